@@ -8,12 +8,17 @@ the same name (names compare without case, as in Spark).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# Functions of this subpackage travel to the executors with the job, so that these need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 #: Texts are handed to an operator's function in slices of about so many bytes.
 SLICE_BYTES = 2 << 20
 

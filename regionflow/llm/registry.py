@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, html_text, quality_rules, secret_scan, token_counts, toxicity
+from . import byte_bpe, chat_format, decontaminate, html_text, near_dup, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
             toxicity.op2_toxicity,
             decontaminate.op3_decontamination,
             token_counts.op4_token_counts,
+            substring_dedup.op5_substring_dedup,
             html_text.op6_html_extraction,
+            near_dup.op7_ngram_jaccard_join,
             byte_bpe.op8_byte_bpe,
             quality_rules.op9_quality_rules,
             secret_scan.op10_secret_scans,
