@@ -16,6 +16,7 @@ table; input columns are kept and clashing ones replaced.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -25,9 +26,12 @@ from .common import arrow_map, table, texts_of
 
 #: Width of the Gaussian, in lines, and the share of the largest smoothed ratio that makes a line content.
 SIGMA, SHARE = 1.5, 0.12
+#: Share of the content lines' text that the content region must hold.
+HELD = 0.95
 
 # HTML elements by their role.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+SECTIONS = frozenset("article body center div main section table td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style head title noscript template iframe object svg canvas select button textarea nav footer aside form menu dialog".split())
 # Words in class, id or role that mark boilerplate.
@@ -152,8 +156,10 @@ def main_text(html: str | None) -> str:
     if named:
         best = max(named, key=lambda k: (named[k], k))
     else:
+        # the innermost element that holds nearly all of them, and more than a single line
         total = sum(len(lines[i][0]) for i in hot)
-        held = [k for k, v in weight.items() if v >= 0.8 * total]
+        n_lines = Counter(k for _, _, dull, path in lines if not dull for tag, k, _ in path if tag in SECTIONS)
+        held = [k for k, n in n_lines.items() if n > 1 and weight.get(k, 0.0) >= HELD * total]
         best = max(held) if held else None
     return "\n\n".join(text for text, _, dull, path in lines if not dull and (best is None or any(k == best for _, k, _ in path)))
 
