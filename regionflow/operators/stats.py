@@ -45,12 +45,35 @@ def exact_p_table(most: int = EXACT, other: int = 40) -> list[tuple[int, int, fl
     return rows
 
 
-def rank_sum(df: DataFrame, keys: list[str], value: str, is_first: str) -> DataFrame:
-    """keys, n1, n2, u (of the first group), ties (sum of t^3 - t): from rows by one grouping and a running sum."""
-    counts = df.groupBy(*keys, value).agg(F.count_if(F.col(is_first)).alias("a"), F.count_if(~F.col(is_first)).alias("b"))
-    below = F.coalesce(F.sum("b").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = counts.withColumn("u", F.col("a") * (below + F.col("b") / 2)).withColumn("t", F.col("a") + F.col("b"))
-    return rows.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum("u").alias("u"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+def rank_sum(first: Column, second: Column) -> Column:
+    """n1, n2, u (of the first group) and ties (sum of t^3 - t) of two arrays of values, by one fold over their sorted union.
+
+    A region's reads are bounded by its coverage, so this needs no shuffle.
+    """
+    tagged = lambda arr, r: F.transform(arr, lambda v: F.struct(v.alias("v"), F.lit(r).cast("long").alias("r")))
+    union = F.array_sort(F.concat(tagged(first, 1), tagged(second, 0)))
+    zero = F.struct(F.lit(None).cast("double").alias("v"), *[F.lit(0).cast("long").alias(c) for c in ("a", "b", "below")], F.lit(0.0).alias("u"), F.lit(0).cast("long").alias("ties"))
+
+    def closed(s: Column) -> tuple[Column, Column, Column]:
+        """below, u and ties once the run of equal values is over."""
+        t = s["a"] + s["b"]
+        return s["below"] + s["b"], s["u"] + s["a"] * (s["below"] + s["b"] / 2), s["ties"] + t * t * t - t
+
+    def step(s: Column, x: Column) -> Column:
+        same = x["v"].eqNullSafe(s["v"])
+        below, u, ties = closed(s)
+        one = F.lit(1).cast("long") - x["r"]
+        return F.struct(
+            x["v"].alias("v"),
+            F.when(same, s["a"] + x["r"]).otherwise(x["r"]).alias("a"),
+            F.when(same, s["b"] + one).otherwise(one).alias("b"),
+            F.when(same, s["below"]).otherwise(below).alias("below"),
+            F.when(same, s["u"]).otherwise(u).alias("u"),
+            F.when(same, s["ties"]).otherwise(ties).alias("ties"),
+        )
+
+    done = F.aggregate(union, zero, step, lambda s: F.struct(closed(s)[1].alias("u"), closed(s)[2].alias("ties")))
+    return F.struct(F.size(first).cast("long").alias("n1"), F.size(second).cast("long").alias("n2"), done["u"].alias("u"), done["ties"].alias("ties"))
 
 
 def normal_p(n1: str, n2: str, u: str, ties: str) -> str:
@@ -67,15 +90,19 @@ def mann_whitney(df: DataFrame, arr: str = "reads_w_snp") -> DataFrame:
     """Per region and SNP: two-sided rank-sum p of the two alleles' reads, and mean(alt) - mean(ref); null if a side is empty.
 
     Small groups without ties get the exact distribution, by a join with a
-    fixed table of about twenty thousand rows.
+    fixed table of about fifteen thousand rows (larger groups of up to 40).
     """
-    rows = df.select(*SNP, F.explode(arr).alias("r")).select(*SNP, F.coalesce("r.ref", "r.alt").alias("v"), F.col("r.ref").isNotNull().alias("is_ref")).where("v IS NOT NULL")
-    sums = rank_sum(rows, SNP, "v", "is_ref")
-    mean_of = lambda k: array_mean(F.filter(F.transform(arr, lambda x: x[k]), lambda v: v.isNotNull())).alias(k)
-    means = df.select(*SNP, mean_of("ref"), mean_of("alt"))
-    p = with_rank_sum_p(sums)
-    out = means.join(p.select(*SNP, "p"), SNP, "left")
-    return out.select(*SNP, half_away(F.col("alt") - F.col("ref"), 5).alias("read_asm_effect"), half_away(F.col("p"), 5).alias("wilcoxon_pvalue"))
+    return tested(df.select(*SNP, arr), arr).select(*SNP, "read_asm_effect", "wilcoxon_pvalue")
+
+
+def tested(df: DataFrame, arr: str) -> DataFrame:
+    """df with read_asm_effect and wilcoxon_pvalue."""
+    side = lambda k: F.filter(F.transform(arr, lambda x: x[k]), lambda v: v.isNotNull())
+    held = [c for c in df.columns if c not in ("n1", "n2", "u", "ties", "p")]
+    rows = df.withColumn("_ref", side("ref")).withColumn("_alt", side("alt"))
+    rows = rows.withColumn("read_asm_effect", half_away(array_mean(F.col("_alt")) - array_mean(F.col("_ref")), 5))
+    rows = rows.withColumn("_s", rank_sum(F.col("_ref"), F.col("_alt"))).select(*held, "read_asm_effect", "_s.*")
+    return with_rank_sum_p(rows).withColumn("wilcoxon_pvalue", half_away(F.col("p"), 5)).select(*held, "read_asm_effect", "wilcoxon_pvalue")
 
 
 def with_rank_sum_p(sums: DataFrame) -> DataFrame:
@@ -125,11 +152,10 @@ def asm_decision(df: DataFrame, p_col: str, cfg: Config = DEFAULT, out: str = "a
 
 def evaluate_asm(regions_and_snps: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Tests, correction within samples and both decisions for every region and SNP."""
-    tested = bh_adjust(mann_whitney(regions_and_snps), "wilcoxon_pvalue")
-    rows = regions_and_snps.select(*SNP, "cpg_w_snp").join(tested, SNP)
+    rows = bh_adjust(tested(regions_and_snps.select(*SNP, "cpg_w_snp", "reads_w_snp"), "reads_w_snp"), "wilcoxon_pvalue")
     rows = max_consecutive_run(sig_cpg_count(rows, "cpg_w_snp", "read_asm_effect", cfg.max_p), "cpg_w_snp", "read_asm_effect", cfg.max_p)
     rows = asm_decision(asm_decision(rows, "corrected_wilcoxon_pvalue", cfg), "wilcoxon_pvalue", cfg, "asm_not_corrected")
-    return rows.drop("cpg_w_snp")
+    return rows.drop("cpg_w_snp", "reads_w_snp")
 
 
 def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:

@@ -1,0 +1 @@
+"""Structured Streaming jobs: the batch operators on calls that keep arriving."""

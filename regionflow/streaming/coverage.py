@@ -1,0 +1,40 @@
+"""Site coverage over a stream of call files.
+
+Files of calls arrive in a folder; the running sums of each site are the state.
+Each micro-batch writes the sites that it changed; ``latest`` gives the current
+row of each site, which equals the batch operator's rows over all files.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+CALLS = T.StructType().add("sample", "string").add("chr", "integer").add("pos", "long").add("read_id", "long").add("cov", "integer").add("meth", "integer")
+
+
+def site_sums(calls: DataFrame) -> DataFrame:
+    """sample, chr, pos, sum_cov, sum_meth: for a stream, running sums as they change."""
+    return calls.groupBy("sample", "chr", "pos").agg(F.sum("cov").alias("sum_cov"), F.sum("meth").alias("sum_meth"))
+
+
+def follow(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
+    """Takes in what lies in ``source`` and ends; a later call goes on from there.
+
+    A batch that is run again after a failure overwrites its own folder, so each
+    change is there once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    stream = spark.readStream.schema(CALLS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    return site_sums(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, target: str) -> DataFrame:
+    """The current sums of each site: those of its highest batch."""
+    changes = spark.read.parquet(target)
+    return changes.groupBy("sample", "chr", "pos").agg(F.max_by("sum_cov", "batch").alias("sum_cov"), F.max_by("sum_meth", "batch").alias("sum_meth"))

@@ -1,0 +1,15 @@
+"""A stream of call files ends where the batch operator does."""
+
+from regionflow.streaming.coverage import CALLS, follow, latest, site_sums
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [("S0", 1, p % 5, r, 1, (p + r) % 2) for p in range(20) for r in range(3)]
+    for part in (rows[:25], rows[25:40]):
+        spark.createDataFrame(part, CALLS).coalesce(1).write.mode("append").parquet(source)
+    follow(spark, source, target, state, 1).awaitTermination()
+    spark.createDataFrame(rows[40:], CALLS).coalesce(1).write.mode("append").parquet(source)
+    follow(spark, source, target, state, 1).awaitTermination()
+    want = site_sums(spark.createDataFrame(rows, CALLS))
+    assert sorted(latest(spark, target).collect()) == sorted(want.collect())
