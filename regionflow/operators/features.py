@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,15 +112,19 @@ def cpg_read_matrix(reads: DataFrame, n_cpg: int = 10, n_reads: int = 20) -> Dat
     return rows.select(*K, F.transform("sites", cell).alias("cpgs_w_padding"))
 
 
-def build_features(regions_w_labels: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The feature table: one lazy plan over nested regions, with labels if they're there."""
+def build_features(regions_w_labels: DataFrame, cfg: Config = DEFAULT, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The feature table of nested regions, with labels if they're there.
+
+    Three branches read the chosen reads; ``keep`` may write these to a table
+    between the stages.  By default all is one lazy plan.
+    """
     ratio, cov = kernel_grid(*cfg.ratio_grid), kernel_grid(*cfg.cov_grid)
     df = cpg_distances(array_fields(regions_w_labels))
     for a in ARRAYS:
         df = array_mean_std(df, a)
         grid, h = (ratio, cfg.ratio_bandwidth) if a.endswith("_fm") else (cov, cfg.cov_bandwidth)
         df = expand_array_columns(with_density(df, a, grid, h), f"{a}_kd", len(grid))
-    halves = read_split_halves(read_extremes_topk(explode_reads(regions_w_labels), cfg.read_share, cfg.extreme_reads, cfg.min_reads))
+    halves = keep(read_split_halves(read_extremes_topk(explode_reads(regions_w_labels), cfg.read_share, cfg.extreme_reads, cfg.min_reads)))
     df = df.drop("cpgs", "reads")
     df = df.join(approx_asm(halves, cfg).drop("total_sig_cpgs", "consecutive_sig_cpgs"), K, "left")
     df = df.join(directional_fm_sequence(cpg_group_counts(halves)), K, "left")

@@ -17,6 +17,7 @@ from ..operators import features as fe
 from ..operators import genome as ge
 from ..operators import regions as rg
 from ..operators import stats as st
+from ..sources import io
 
 CFG = Config(block=2_000)
 TILE, BLOCK = CFG.tile, CFG.block
@@ -26,6 +27,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back: a table between two stages that several branches read."""
+    path = io.scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def calls(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").selectExpr(
         "concat('S', l_orderkey % 3) AS sample",
@@ -112,8 +120,12 @@ def labels(spark, sf) -> DataFrame:
     return st.evaluate_asm(regions_and_snps(spark, sf), CFG)
 
 
+def extremes_of(nested: DataFrame) -> DataFrame:
+    return fe.read_extremes_topk(fe.explode_reads(nested), CFG.read_share, CFG.extreme_reads, CFG.min_reads)
+
+
 def extremes(spark, sf) -> DataFrame:
-    return fe.read_extremes_topk(fe.explode_reads(regions_w_arrays(spark, sf)), CFG.read_share, CFG.extreme_reads, CFG.min_reads)
+    return extremes_of(regions_w_arrays(spark, sf))
 
 
 def halves(spark, sf) -> DataFrame:

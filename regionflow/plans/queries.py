@@ -600,7 +600,8 @@ def _(spark, sf):
 
 
 def features(spark, sf) -> DataFrame:
-    return fe.build_features(rg.label_left_join(ad.regions_w_arrays(spark, sf), rg.unique_label_group(ad.labels(spark, sf))), CFG)
+    nested, labels = ad.kept(ad.regions_w_arrays(spark, sf)), ad.kept(rg.unique_label_group(ad.labels(spark, sf)))
+    return fe.build_features(ad.kept(rg.label_left_join(nested, labels)), CFG, ad.kept)
 
 
 @query("build_features", f"SELECT {K}, nb_reads, nb_cpg_found, asm, approx_asm, n AS seq_len, chr_1 FROM (SELECT *, CASE WHEN chr = 1 THEN 1 ELSE 0 END AS chr_1 FROM regions_cpg) JOIN (SELECT {K}, count(*) AS nb_reads FROM reads GROUP BY {K}) USING ({K}) LEFT JOIN unique_labels USING ({K}) LEFT JOIN ({_APPROX}) USING ({K}) LEFT JOIN (SELECT {K}, count(*) AS n FROM dir GROUP BY {K}) USING ({K})", "regions_cpg", "reads", "unique_labels", "dir", "group_counts")
@@ -709,10 +710,11 @@ FEATS = ["nb_reads", "mean_cpg_fm", "std_cpg_fm", "mean_read_fm", "std_read_fm",
 
 def learning_rows(spark, sf) -> DataFrame:
     """Region features with the planted label and the dataset."""
-    df = fe.array_fields(ad.regions_w_arrays(spark, sf))
+    nested = ad.kept(ad.regions_w_arrays(spark, sf))
+    df = fe.array_fields(nested)
     for a in ("cpg_fm", "read_fm", "cpg_cov"):
         df = fe.array_mean_std(df, a)
-    df = df.drop("cpgs", "reads", "cpg_fm", "read_fm", "cpg_cov").join(st.approx_asm(ad.halves(spark, sf), CFG).select(*rg.K, "approx_asm"), rg.K, "left")
+    df = df.drop("cpgs", "reads", "cpg_fm", "read_fm", "cpg_cov").join(st.approx_asm(fe.read_split_halves(ad.extremes_of(nested)), CFG).select(*rg.K, "approx_asm"), rg.K, "left")
     return rp.split_by_sample_list(ad.planted(df), CFG.datasets)
 
 
