@@ -93,7 +93,8 @@ def scan_secrets(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text
     # repeated rows of one (id, blob) are scanned each, and count once in the ledger
     scanned = scan_blobs(todo, "_text").groupBy("blob").agg(F.max("findings").alias("findings"))
     scanned.select("blob", F.lit(rule_version).cast("integer").alias("rule_version"), "findings").write.mode("append").parquet(ledger_path)
-    known = read_ledger(spark, ledger_path).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).groupBy("blob").agg(F.max("findings").alias("findings"))
+    # the ledger has a pair once: the other side of this join is the paths as they are, whose hot blobs Spark can split
+    known = read_ledger(spark, ledger_path).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
     back = docs.select(*kept, address.alias("blob")).join(known, "blob", "left")
     return back.select(*kept, F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
