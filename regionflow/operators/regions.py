@@ -128,11 +128,14 @@ def read_window_join(genotyped: DataFrame, snp_stats: DataFrame) -> DataFrame:
 
 
 def allele_read_effect(reads: DataFrame) -> DataFrame:
-    """Per region and SNP: mean share of alternative minus reference reads, their numbers and sorted shares."""
+    """Per region and SNP: mean share of alternative minus reference reads, their numbers and sorted shares.
+
+    The difference is rounded to nine digits first, so that ties don't hang on the order of a sum.
+    """
     of = lambda a: F.when(F.col("allele") == a, F.col("methyl_perc"))
     mean = lambda a: F.sum(of(a)) / F.count(of(a))
     return reads.groupBy(*SNP).agg(
-        half_away(mean("ALT") - mean("REF"), 5).alias("asm_region_effect"),
+        half_away(half_away(mean("ALT") - mean("REF"), 9), 5).alias("asm_region_effect"),
         F.count(of("REF")).alias("ref_reads"),
         F.count(of("ALT")).alias("alt_reads"),
         F.array_sort(F.collect_list(of("REF"))).alias("ref"),

@@ -100,7 +100,7 @@ def tested(df: DataFrame, arr: str) -> DataFrame:
     side = lambda k: F.filter(F.transform(arr, lambda x: x[k]), lambda v: v.isNotNull())
     held = [c for c in df.columns if c not in ("n1", "n2", "u", "ties", "p")]
     rows = df.withColumn("_ref", side("ref")).withColumn("_alt", side("alt"))
-    rows = rows.withColumn("read_asm_effect", half_away(array_mean(F.col("_alt")) - array_mean(F.col("_ref")), 5))
+    rows = rows.withColumn("read_asm_effect", half_away(half_away(array_mean(F.col("_alt")) - array_mean(F.col("_ref")), 9), 5))
     rows = rows.withColumn("_s", rank_sum(F.col("_ref"), F.col("_alt"))).select(*held, "read_asm_effect", "_s.*")
     return with_rank_sum_p(rows).withColumn("wilcoxon_pvalue", half_away(F.col("p"), 5)).select(*held, "read_asm_effect", "wilcoxon_pvalue")
 

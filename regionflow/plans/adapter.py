@@ -198,7 +198,7 @@ CTES: dict[str, str] = {
     "mw_sums": f"""SELECT {SNP}, sum(a) AS n1, sum(b) AS n2, sum(a * (below + b / 2.0)) AS u, sum((a + b) * (a + b) * (a + b) - (a + b)) AS ties
       FROM (SELECT *, coalesce(sum(b) OVER (PARTITION BY {SNP} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM mw_values) GROUP BY {SNP}""",
     "mw": f"""SELECT {SNP}, e AS read_asm_effect, {R('p', 5)} AS wilcoxon_pvalue FROM (SELECT *, {st.normal_p('n1', 'n2', 'u', 'ties')} AS p FROM mw_sums)
-      JOIN (SELECT {SNP}, {R("avg(methyl_perc) FILTER (WHERE allele = 'ALT') - avg(methyl_perc) FILTER (WHERE allele = 'REF')", 5)} AS e FROM allele_reads GROUP BY {SNP}) USING ({SNP})""",
+      JOIN (SELECT {SNP}, {R(R("avg(methyl_perc) FILTER (WHERE allele = 'ALT') - avg(methyl_perc) FILTER (WHERE allele = 'REF')", 9), 5)} AS e FROM allele_reads GROUP BY {SNP}) USING ({SNP})""",
     "bh_ranks": "SELECT sample, wilcoxon_pvalue AS p, sum(count(*)) OVER (PARTITION BY sample) * wilcoxon_pvalue / sum(count(*)) OVER (PARTITION BY sample ORDER BY wilcoxon_pvalue ROWS UNBOUNDED PRECEDING) AS raw FROM mw WHERE wilcoxon_pvalue IS NOT NULL GROUP BY sample, wilcoxon_pvalue",
     "bh": f"SELECT sample, p, {R('least(1e0, min(raw) OVER (PARTITION BY sample ORDER BY p DESC ROWS UNBOUNDED PRECEDING))', 5)} AS corrected_wilcoxon_pvalue FROM bh_ranks",
     "tested": "SELECT mw.*, corrected_wilcoxon_pvalue FROM mw LEFT JOIN bh ON mw.sample = bh.sample AND mw.wilcoxon_pvalue = bh.p",

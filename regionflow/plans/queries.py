@@ -269,7 +269,7 @@ def _(spark, sf):
     return rg.ref_alt_array_join(ad.allele_reads(spark, sf)).select(*rg.SNP, ints("ref", 100000).alias("ref_text"), ints("alt", 100000).alias("alt_text"))
 
 
-_EFFECT = f"""SELECT {SNPS}, {R("avg(methyl_perc) FILTER (WHERE allele = 'ALT') - avg(methyl_perc) FILTER (WHERE allele = 'REF')")} AS asm_region_effect,
+_EFFECT = f"""SELECT {SNPS}, {R(R("avg(methyl_perc) FILTER (WHERE allele = 'ALT') - avg(methyl_perc) FILTER (WHERE allele = 'REF')", 9))} AS asm_region_effect,
   count(*) FILTER (WHERE allele = 'REF') AS ref_reads, count(*) FILTER (WHERE allele = 'ALT') AS alt_reads FROM allele_reads GROUP BY {SNPS}"""
 
 
