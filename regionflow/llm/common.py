@@ -103,4 +103,61 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """df written once to the shared folder and read back: lost executors don't undo it, and it's computed once."""
     path = f"{shared_dir(df.sparkSession)}-{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that nothing refers to any more, as Spark's cleaner does at each collection."""
+    import gc
+    import time
+
+    # twice: the first round frees Python's handles, the second the plans that these held
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+class WordHashes:
+    """64-bit hashes of words, by a table that is filled as words come."""
+
+    def __init__(self, most: int = 200_000):
+        import xxhash
+
+        self.most, self.hash = most, xxhash.xxh3_64_intdigest
+        self.clear()
+
+    def clear(self) -> None:
+        import numpy as np
+
+        table = self
+
+        class Numbers(dict):
+            def __missing__(self, word):
+                n = self[word] = len(self)
+                table.fresh.append(table.hash(word))
+                return n
+
+        self.numbers, self.fresh, self.values = Numbers(), [], np.empty(0, np.uint64)
+
+    def of(self, split: list[list[bytes]]):
+        """The hashes of all words, one text after another."""
+        import numpy as np
+
+        if len(self.numbers) > self.most:
+            self.clear()
+        numbers = self.numbers
+        at = np.array([numbers[w] for words in split for w in words], np.int64)
+        if self.fresh:
+            self.values = np.concatenate([self.values, np.array(self.fresh, np.uint64)])
+            self.fresh.clear()
+        return self.values[at]

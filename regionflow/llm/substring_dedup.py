@@ -3,13 +3,14 @@ r"""Substring dedup: repeated-phrase automata.
 A window is 13 consecutive words of one document.  Words covered by a window
 that also starts in a document with a smaller id are removed.
 
-1. Each window has an anchor, its four-word phrase of smallest hash; equal
-   windows have equal anchors, and about one place in six is one.  Anchors that
+1. Each window has an anchor, its five-word phrase of smallest hash; equal
+   windows have equal anchors, and about one place in five is one.  Anchors that
    documents share are found by one pre-aggregated grouping of hashes.
 2. For shared anchors only, the documents give contexts: the anchor's stretch
    of text, which holds exactly the windows that have it.  Equal contexts of
    different documents are grouped first, so copied passages count once.
-3. Contexts are dealt by anchor into shards of bounded size.  A shard confirms
+3. Contexts are dealt by anchor into shards of bounded size (an anchor with more
+   contexts than that has its windows grouped across tasks instead).  A shard confirms
    its recurring passages (windows, word by word, with the first document that
    has each), compiles them into an Aho-Corasick automaton over word numbers,
    and streams its contexts through it to locate every occurrence.
@@ -32,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, stored, table, texts_of
+from .common import WordHashes, arrow_map, discard, release, stored, table, texts_of
 
-WINDOW, ANCHOR = 13, 4
+WINDOW, ANCHOR = 13, 5
 #: Distinct contexts of one shard's automaton.
 SHARD_CONTEXTS = 8_000
 #: The id that stands for a null id: after all others.
@@ -48,20 +49,14 @@ class Anchors:
         import numpy as np
 
         self.mix = np.random.default_rng(seed).integers(1, 2**63, ANCHOR, dtype=np.uint64) | np.uint64(1)
-        self.known: dict[bytes, int] = {}
+        self.words = WordHashes()
 
     def of(self, split: list[list[bytes]]):
         """(text number, anchor hash, first window, last window + 1) arrays, windows counted within their text."""
         import numpy as np
-        import xxhash
 
-        if len(self.known) > 500_000:
-            self.known.clear()
-        known = self.known
-        for w in set().union(*split).difference(known) if split else ():
-            known[w] = xxhash.xxh3_64_intdigest(w)
         sizes = np.array([len(w) for w in split], np.int64)
-        h = np.array([known[w] for words in split for w in words], np.uint64)
+        h = self.words.of(split)
         n, width = len(h), WINDOW - ANCHOR + 1
         if n < WINDOW:
             return (np.empty(0, np.int64),) * 4
@@ -82,16 +77,21 @@ class Anchors:
         new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.empty(0, bool)
         begin = np.flatnonzero(new)
         end = np.r_[begin[1:], len(doc)].astype(np.int64) if len(doc) else begin
-        return doc[begin], (least[begin] >> np.uint64(5)).astype(np.int64), at[begin], at[begin] + (end - begin)
+        return doc[begin], (least[begin] >> np.uint64(16)).astype(np.int64), at[begin], at[begin] + (end - begin)
 
 
 def digest(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()
 
 
+def tag(d: bytes) -> int:
+    """A short form of a digest: with the id, it names a row."""
+    return int.from_bytes(d[:8], "little", signed=True)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """id, n_words, digest, anchors (distinct) from id, text."""
-    added = T.StructType().add("n_words", "long").add("digest", "binary").add("anchors", T.ArrayType(T.LongType()))
+    """id, tag, n_words, digest, anchors from id, text."""
+    added = T.StructType().add("tag", "long").add("n_words", "long").add("digest", "binary").add("anchors", T.ArrayType(T.LongType()))
 
     def make():
         import numpy as np
@@ -102,10 +102,13 @@ def profiles(docs: DataFrame) -> DataFrame:
         def f(batch):
             split = [(t or "").encode().split() for t in texts_of(batch, "text")]
             doc, value, _, _ = anchors.of(split)
-            pairs = np.unique(np.stack([doc, value], 1), axis=0) if len(doc) else np.empty((0, 2), np.int64)
-            offsets = np.searchsorted(pairs[:, 0], np.arange(len(split) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pairs[:, 1], pa.int64()))
-            return {"n_words": [len(w) for w in split], "digest": [digest(w) for w in split], "anchors": lists}
+            # a text that repeats a phrase names its anchor again and again
+            new = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
+            doc, value = doc[new], value[new]
+            offsets = np.searchsorted(doc, np.arange(len(split) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value, pa.int64()))
+            known = [digest(w) for w in split]
+            return {"tag": [tag(d) for d in known], "n_words": [len(w) for w in split], "digest": known, "anchors": lists}
 
         return f
 
@@ -113,12 +116,12 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def contexts_of(docs: DataFrame) -> DataFrame:
-    """id, digest, anchor, context, at (its first word) from id, digest, text, wanted (anchors)."""
-    schema = T.StructType().add("id", "long").add("digest", "binary").add("anchor", "long").add("context", "binary").add("at", "integer")
+    """id, tag, anchor, c (hash of context), context, at (its first word) from id, tag, text, wanted (anchors)."""
+    schema = T.StructType().add("id", "long").add("tag", "long").add("anchor", "long").add("c", "long").add("context", "string").add("at", "integer")
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
+        import xxhash
 
         anchors = Anchors()
         for whole in batches:
@@ -126,23 +129,23 @@ def contexts_of(docs: DataFrame) -> DataFrame:
                 batch = whole.slice(i, 256)
                 split = [(t or "").encode().split() for t in texts_of(batch, "text")]
                 ids, wanted = texts_of(batch, "id"), [set(w) for w in texts_of(batch, "wanted")]
-                known = texts_of(batch, "digest")
+                known = texts_of(batch, "tag")
                 doc, value, first, last = (x.tolist() for x in anchors.of(split))
-                rows = [(ids[d], known[d], v, b" ".join(split[d][a : z + WINDOW - 1]), a) for d, v, a, z in zip(doc, value, first, last) if v in wanted[d]]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 5, [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32()])], schema.names)
+                rows = [(ids[d], known[d], v, xxhash.xxh3_64_intdigest(x := b" ".join(split[d][a : z + WINDOW - 1])) - 2**63, x.decode(), a) for d, v, a, z in zip(doc, value, first, last) if v in wanted[d]]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 6, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()])], schema.names)
 
-    return docs.select("id", "digest", "text", "wanted").mapInArrow(run, schema)
+    return docs.select("id", "tag", "text", "wanted").mapInArrow(run, schema)
 
 
-def locate(contexts: list[tuple[bytes, int, int]]) -> list[list[tuple[int, int]]]:
+def locate(contexts: list[tuple[str, int, int]]) -> list[list[tuple[int, int]]]:
     """For contexts (text, first id, last id): (window, its first id) of the windows that documents share.
 
     Windows are compared word by word: words are numbered, a window is a sequence of numbers.
     """
     import ahocorasick
 
-    number: dict[bytes, int] = {}
-    numbered = [tuple([number.setdefault(w, len(number)) for w in c.split()]) for c, _, _ in contexts]
+    number: dict[str, int] = {}
+    numbered = [tuple([number.setdefault(w, len(number)) for w in c.split(" ")]) for c, _, _ in contexts]
     first: dict[tuple, int] = {}
     last: dict[tuple, int] = {}
     for words, (_, lo, hi) in zip(numbered, contexts):
@@ -162,10 +165,12 @@ def locate(contexts: list[tuple[bytes, int, int]]) -> list[list[tuple[int, int]]
     return [[(end - WINDOW + 1, lo) for end, lo in automaton.iter(words)] for words in numbered]
 
 
+HITS = T.ArrayType(T.StructType().add("window", "integer").add("first", "long"))
+
+
 def located(distinct: DataFrame) -> DataFrame:
-    """anchor, context, hits (window, first id) of contexts with shared windows, from anchor, context, lo, hi."""
-    hit = T.ArrayType(T.StructType().add("window", "integer").add("first", "long"))
-    schema = T.StructType().add("anchor", "long").add("context", "binary").add("hits", hit)
+    """anchor, c, hits (window, first id) of contexts with shared windows, from anchor, c, context, lo, hi."""
+    schema = T.StructType().add("anchor", "long").add("c", "long").add("hits", HITS)
 
     def run(batches):
         import pyarrow as pa
@@ -175,25 +180,25 @@ def located(distinct: DataFrame) -> DataFrame:
         target = to_arrow_schema(schema)
 
         def shard(rows):
-            found = locate([r[1:] for r in rows])
-            kept = [(a, c, [{"window": w, "first": f} for w, f in h]) for (a, c, _, _), h in zip(rows, found) if h]
+            found = locate([r[2:] for r in rows])
+            kept = [(a, c, [{"window": w, "first": f} for w, f in h]) for (a, c, _, _, _), h in zip(rows, found) if h]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], f.type) for i, f in enumerate(target)], schema.names)
 
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(texts_of(batch, c) for c in ("anchor", "context", "lo", "hi"))):
+            for row in zip(*(texts_of(batch, c) for c in ("anchor", "c", "context", "lo", "hi"))):
                 if len(rows) >= SHARD_CONTEXTS and row[0] != rows[-1][0]:
                     yield shard(rows)
                     rows = []
                 rows.append(row)
         yield shard(rows)
 
-    dealt = distinct.select("anchor", "context", "lo", "hi").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = distinct.select("anchor", "c", "context", "lo", "hi").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, schema)
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """id, digest, n_removed, kept (text) from id, digest, text, windows (starts)."""
+    """id, tag, n_removed, kept (text) from id, tag, text, windows (starts)."""
     added = T.StructType().add("n_removed", "long").add("kept", "string")
 
     def make():
@@ -217,38 +222,72 @@ def remove(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, added, make, "text", ("text", "windows"))
 
 
+def shared_anchors(prof: DataFrame, copies: DataFrame) -> DataFrame:
+    """id, wanted: the anchors of each document that another document has too."""
+    marks = prof.select("id", F.explode("anchors").alias("anchor"))
+    shared = marks.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
+    wanted = marks.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("wanted"))
+    return stored(wanted.join(copies.where(F.col("id") != LAST).select("id").distinct(), "id", "left_anti"), "wanted")
+
+
+def located_by_window(distinct: DataFrame) -> DataFrame:
+    """What ``located`` gives, for anchors with too many contexts for one shard: windows are grouped across tasks."""
+    parts = distinct.withColumn("w", F.split("context", " "))
+    each = F.expr(f"transform(sequence(0, size(w) - {WINDOW}), i -> named_struct('window', i, 'words', array_join(slice(w, i + 1, {WINDOW}), ' ')))")
+    windows = parts.select("anchor", "c", "lo", "hi", F.explode(each).alias("x")).select("anchor", "c", "lo", "hi", "x.*")
+    shared = windows.groupBy("words").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("words", "first")
+    hits = windows.select("anchor", "c", "window", "words").join(shared, "words")
+    return hits.groupBy("anchor", "c").agg(F.collect_list(F.struct("window", "first")).cast(HITS).alias("hits"))
+
+
+def shared_windows(spots: DataFrame) -> DataFrame:
+    """id, tag, windows: where each document's windows start that an earlier document has."""
+    distinct = stored(spots.groupBy("anchor", "c", "context").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "distinct")
+    # an anchor on the edge of a very common passage has a context in every document
+    crowded = stored(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_CONTEXTS).select("anchor"), "crowded")
+    release(spots.sparkSession)
+    found = located(distinct.join(crowded, "anchor", "left_anti")).unionByName(located_by_window(distinct.join(crowded, "anchor", "left_semi")))
+    starts = F.expr("transform(filter(hits, h -> h.first < id), h -> at + h.window)")
+    met = spots.select("id", "tag", "anchor", "c", "at").join(found, ["anchor", "c"])
+    hits = met.select("id", "tag", starts.alias("w")).where("size(w) > 0")
+    windows = stored(hits.groupBy("id", "tag").agg(F.flatten(F.collect_list("w")).alias("windows")), "windows")
+    discard(distinct)
+    return windows
+
+
 def dedupe_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of every row; with keep_text also ``kept``, the words left of rows that lost some (null: none lost)."""
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
-    prof = stored(profiles(rows), "profiles")
+    full = stored(profiles(rows), "profiles")
+    prof = stored(full.drop("anchors"), "heads")
     # rows with the words of an earlier document: all their windows recur
     same = prof.where(f"n_words >= {WINDOW}").groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("digest", "lo")
-    copies = stored(prof.select("id", "digest").join(same, "digest").where("id > lo").select("id", "digest").distinct(), "copies")
-    marks = prof.select("id", F.explode("anchors").alias("anchor"))
-    shared = marks.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
-    wanted = marks.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("wanted"))
-    wanted = wanted.join(copies.where(F.col("id") != LAST).select("id").distinct(), "id", "left_anti")
-    asked = stored(with_digest(rows.where("text IS NOT NULL").join(wanted, "id")), "asked")
+    copies = stored(prof.select("id", "tag", "digest").join(same, "digest").where("id > lo").select("id", "tag").distinct(), "copies")
+    wanted = shared_anchors(full.select("id", "anchors"), copies)
+    discard(full)
+    release(rows.sparkSession)
+    asked = stored(with_tag(rows.where("text IS NOT NULL").join(wanted, "id")), "asked")
+    discard(wanted)
+    release(rows.sparkSession)
     spots = stored(contexts_of(asked), "contexts")
-    distinct = spots.groupBy("anchor", "context").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    found = located(distinct).select("anchor", "context", "hits")
-    hits = spots.join(found, ["anchor", "context"]).select("id", "digest", F.expr("transform(filter(hits, h -> h.first < id), h -> at + h.window)").alias("w")).where("size(w) > 0")
-    windows = hits.groupBy("id", "digest").agg(F.flatten(F.collect_list("w")).alias("windows"))
-    gone = remove(asked.select("id", "digest", "text").join(windows, ["id", "digest"])).dropDuplicates(["id", "digest"])
-    settled = gone.select("id", "digest", "n_removed", F.sha2("kept", 256).alias("kept_sha"), *(["kept"] if keep_text else []))
-    out = prof.select("id", "n_words", "digest").join(settled, ["id", "digest"], "left").join(copies.withColumn("copied", F.lit(True)), ["id", "digest"], "left")
+    windows = shared_windows(spots)
+    discard(spots)
+    release(rows.sparkSession)
+    gone = remove(asked.select("id", "tag", "text").join(windows, ["id", "tag"])).dropDuplicates(["id", "tag"])
+    settled = gone.select("id", "tag", "n_removed", F.sha2("kept", 256).alias("kept_sha"), *(["kept"] if keep_text else []))
+    out = prof.select("id", "tag", "n_words", "digest").join(settled, ["id", "tag"], "left").join(copies.withColumn("copied", F.lit(True)), ["id", "tag"], "left")
     n = F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(F.col("copied"), F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha", F.lower(F.hex("digest"))))
     kept = [F.when(F.col("copied"), "").otherwise(F.col("kept")).alias("kept")] if keep_text else []
     return out.select(F.when(F.col("id") != LAST, F.col("id")).alias(id_col), "n_words", n.alias("n_removed"), sha.alias("kept_sha256"), *kept)
 
 
-def with_digest(rows: DataFrame) -> DataFrame:
-    """rows with the digest of their words."""
-    added = T.StructType().add("digest", "binary")
+def with_tag(rows: DataFrame) -> DataFrame:
+    """rows with the tag of their words."""
+    added = T.StructType().add("tag", "long")
 
     def make():
-        return lambda b: {"digest": [digest((t or "").encode().split()) for t in texts_of(b, "text")]}
+        return lambda b: {"tag": [tag(digest((t or "").encode().split())) for t in texts_of(b, "text")]}
 
     return arrow_map(rows, added, make, "text")
 

@@ -189,8 +189,10 @@ def passages(seed, n=40):
     return rows + [(n + 1, rows[3][1]), (n + 2, rows[3][1]), (n + 3, ""), (n + 4, "tiny text")]
 
 
-def test_substrings(spark, none):
-    rows = passages(3)
+@pytest.mark.parametrize("most", [8_000, 3])
+def test_substrings(spark, none, most, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_CONTEXTS", most)
+    rows = passages(most)
     got = substring_dedup.dedupe_substrings(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("x")))
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == brute_dedupe(rows)
     assert substring_dedup.dedupe_substrings(none).count() == 0
