@@ -342,11 +342,11 @@ def _(spark, sf):
 query("read_allele_methylation", f"SELECT {SNPS}, read_id, allele, methyl_perc FROM allele_reads", "allele_reads")(ad.allele_reads)
 
 
-@query("reads_allele_pivot", f"SELECT {SNPS}, count(*) AS nb_reads_found_w_snp, count(*) FILTER (WHERE allele = 'REF') AS nref, {R('sum(methyl_perc)', 3)} AS total FROM allele_reads GROUP BY {SNPS}", "allele_reads")
+@query("reads_allele_pivot", f"SELECT {SNPS}, count(*) AS nb_reads_found_w_snp, count(*) FILTER (WHERE allele = 'REF') AS nref, {R('sum(methyl_perc)', 6)} AS total FROM allele_reads GROUP BY {SNPS}", "allele_reads")
 def _(spark, sf):
     df = rg.reads_allele_pivot(ad.allele_reads(spark, sf))
     total = F.aggregate("reads_w_snp", F.lit(0.0), lambda s, r: s + F.coalesce(r["ref"], r["alt"]))
-    return df.select(*rg.SNP, "nb_reads_found_w_snp", F.size(F.filter("reads_w_snp", lambda r: r["ref"].isNotNull())).alias("nref"), half_away(total, 3).alias("total"))
+    return df.select(*rg.SNP, "nb_reads_found_w_snp", F.size(F.filter("reads_w_snp", lambda r: r["ref"].isNotNull())).alias("nref"), half_away(total, 6).alias("total"))
 
 
 query("unique_label_group", f"SELECT {K}, read_asm_effect, wilcoxon_pvalue, corrected_wilcoxon_pvalue, total_sig_cpgs, consecutive_sig_cpgs, asm, asm_not_corrected FROM unique_labels", "unique_labels")(lambda spark, sf: rg.unique_label_group(ad.labels(spark, sf)))
