@@ -2,19 +2,20 @@ r"""N-gram Jaccard join: Bayesian pruning of candidates, exact verification.
 
 Texts are sets of five-word shingles.  Texts with equal sets are copies and are
 collapsed first, so a join never expands copies.  128 MinHash values a set make
-32 bands of four; sets that agree in a band form a bucket.  A bucket proposes
-pairs of its members with its smallest and its largest member only, so a bucket
-of any size proposes linearly many pairs; every member of a bucket of three is
-paired with each other.  MinHash values of a proposed pair are compared sixteen
-at a time, and the pair is dropped as soon as the posterior probability that its
-Jaccard similarity reaches the threshold (uniform prior) falls below
-``TOLERANCE``.  Pairs left are verified exactly on their shingle sets.  Classes
-are the connected components of verified links.
-
-At the threshold a pair misses all bands with probability 5e-8.  Two members of
-one bucket that are both unlike its ends meet in other bands, whose ends
-differ; the classes equal those of all pairs in the tests.  ``n_links`` counts
-the verified links of a set with other sets.
+32 bands of four; sets that agree in a band form a bucket, and each two members
+of a bucket are compared.  Of buckets with the same members, one stays.  Buckets
+of more than ``BLOCK`` members are dealt in blocks, so that a cell (two blocks)
+is bounded; a pair counts only in the first band in which it agrees.  MinHash
+values of a pair are compared sixteen at a time, and the pair is dropped as soon
+as the posterior probability that its Jaccard similarity reaches the threshold
+(uniform prior) falls below ``TOLERANCE``.  Pairs left are verified exactly on
+their shingle sets.  Classes are the connected components of verified links.
+
+``n_links`` of a text counts the sets that are linked with its set.  A
+cell gives one row a member, with the number of its links and the smallest
+member that they connect it to; only comparisons grow with the square of a class
+of near copies, not rows.  At the threshold a pair misses all bands with
+probability 5e-8.
 
 Sets are addressed by 64-bit hashes: among 1e9 distinct sets, two share an
 address with probability 0.03.
@@ -39,6 +40,9 @@ NGRAM, THRESHOLD = 5, 0.8
 PERMS, ROWS = 128, 4
 BANDS = PERMS // ROWS
 STEP, TOLERANCE = 16, 1e-6
+#: Members of a block; entries of sets that a cell holds as bits at once.
+BLOCK, ENTRIES = 512, 500_000
+CELL = ("bucket", "low", "high")
 
 
 class Shingler:
@@ -93,11 +97,13 @@ def with_sets(df: DataFrame, keep: tuple[str, ...], text_col: str, binary_set: b
         shingler = Shingler()
 
         def f(batch):
-            sets = shingler.sets(texts_of(batch, "_text"))
-            node = [int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None for s in sets]
+            texts = texts_of(batch, "_text")
+            sets = shingler.sets(texts)
+            signed = lambda x: int(np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64))
+            named = {"node": [signed(s.tobytes()) if len(s) else None for s in sets]}
             if binary_set:
-                return {"node": node, "shingles": [s.tobytes() for s in sets]}
-            return {"node": node, "sig": [shingler.signature(s) if len(s) else None for s in sets]}
+                return named | {"shingles": [s.tobytes() for s in sets]}
+            return named | {"sig": [shingler.signature(s) if len(s) else None for s in sets]}
 
         return f
 
@@ -119,65 +125,144 @@ def least_matches(perms: int = PERMS, step: int = STEP, threshold: float = THRES
     return out
 
 
-def prune(pairs: DataFrame) -> DataFrame:
-    """a, b of the pairs (a, b, sig_a, sig_b) that stay likely through all comparisons."""
+def cells(batches):
+    """The rows of one cell at a time, from batches sorted by ``CELL``."""
+    import numpy as np
     import pyarrow as pa
 
-    schema = T.StructType().add("a", "long").add("b", "long")
-    least = least_matches()
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.Table.from_batches([batch])
+        if held is not None:
+            whole = pa.concat_tables([held, whole])
+        keys = np.stack([whole.column(c).to_numpy() for c in CELL])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()]
+        for start, end in zip(cuts, cuts[1:]):
+            yield whole.slice(start, end - start)
+        held = whole.slice(cuts[-1])
+    if held is not None:
+        yield held
 
-    def run(batches):
-        import numpy as np
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(texts_of(batch, c)), "<u4").reshape(-1, PERMS) for c in ("sig_a", "sig_b"))
-            live, matches = np.arange(len(x)), np.zeros(len(x), int)
-            for i, need in enumerate(least):
-                part = slice(i * STEP, (i + 1) * STEP)
-                matches[live] += (x[live, part] == y[live, part]).sum(1)
-                live = live[matches[live] >= need]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(live)), batch.column(1).take(pa.array(live))], ["a", "b"])
+def by_cell(df: DataFrame) -> DataFrame:
+    return df.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """The members of all cells of nodes (node, sig): CELL, band, node, block.
+
+    Each two members of a bucket meet in one cell; a bucket of up to BLOCK members is one.
+    """
+    key = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})))")
+    members = nodes.select("node", F.posexplode(key).alias("band", "bucket"))
+    mark = F.expr("bit_xor(xxhash64(node))").alias("mark")
+    buckets = members.groupBy("bucket").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), mark).where("n > 1")
+    # of buckets with the same members that of the first band, where all pairs agree that agree in another of them
+    kept = buckets.groupBy("n", "first", "last", "mark").agg(F.min(F.struct("band", "bucket")).alias("b"))
+    kept = kept.select("b.bucket", F.expr(f"CAST(ceil(n / {BLOCK}) AS INT)").alias("blocks"))
+    met = members.join(kept, "bucket").withColumn("block", F.expr("CAST(pmod(xxhash64(node, 1), blocks) AS INT)"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return met.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "node", "block")
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, schema)
 
+def likely_partners(met: DataFrame) -> DataFrame:
+    """CELL, node, partners: the pairs of cells (of candidates, with sig) that stay likely through all comparisons.
 
-def verify(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, jaccard of the pairs (a, b, set_a, set_b) whose exact similarity reaches the threshold."""
+    A pair is in one cell only, as the partner of one of its nodes.
+    """
     import pyarrow as pa
 
-    schema = T.StructType().add("a", "long").add("b", "long").add("jaccard", "double")
+    schema = T.StructType().add("bucket", "long").add("low", "integer").add("high", "integer").add("node", "long").add("partners", T.ArrayType(T.LongType()))
+    names, least = schema.names, least_matches()
 
     def run(batches):
         import numpy as np
 
-        for batch in batches:
-            keep, sim, last, x = [], [], None, None
-            for i, (p, q) in enumerate(zip(texts_of(batch, "set_a"), texts_of(batch, "set_b"))):
-                if p is not last:
-                    last, x = p, np.frombuffer(p, np.uint64)
-                y = np.frombuffer(q, np.uint64)
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                j = both / (len(x) + len(y) - both)
-                if j >= threshold:
-                    keep.append(i)
-                    sim.append(j)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sim, pa.float64())], ["a", "b", "jaccard"])
-
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, schema)
+        for cell in cells(batches):
+            node, block = (cell.column(c).to_numpy() for c in ("node", "block"))
+            sig = np.frombuffer(b"".join(texts_of(cell, "sig")), "<u4").reshape(-1, PERMS)
+            band, low, high = (cell.column(c)[0].as_py() for c in ("band", "low", "high"))
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            partners: dict = {}
+            for place, i in enumerate(left):
+                at = right if low < high else right[place + 1 :]
+                same = sig[at] == sig[i]
+                # four equal values of a band, read as one number
+                bands = same.view(np.uint32)[:, : band + 1] == 0x01010101
+                here = bands[:, band] & ~bands[:, :band].any(1)
+                at, same = at[here], same[here]
+                matches = same.reshape(-1, PERMS // STEP, STEP).sum(2).cumsum(1)
+                at = at[(matches >= least).all(1)]
+                if len(at):
+                    partners[i] = node[at]
+                    for j in at:
+                        partners.setdefault(j, node[:0])
+            if partners:
+                rows = sorted(partners)
+                columns = [pa.array(np.full(len(rows), cell.column(c)[0].as_py()), schema_type) for c, schema_type in zip(CELL, (pa.int64(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(node[rows]), pa.array([partners[i] for i in rows], pa.list_(pa.int64()))], names)
+
+    return by_cell(met.select(*CELL, "band", "node", "block", "sig")).mapInArrow(run, schema)
+
+
+def shared_counts(sets: list, pairs: list) -> list:
+    """For each (i, js) of pairs, how many elements the sorted set i shares with each set of js."""
+    import numpy as np
+
+    counts = [np.zeros(len(js), np.int64) for _, js in pairs]
+    parts = -(-sum(map(len, sets)) // ENTRIES)
+    ends = np.array([(2**64 * k) // parts for k in range(1, parts)], np.uint64)
+    cuts = [np.r_[0, np.searchsorted(s, ends), len(s)] for s in sets]
+    for k in range(parts):
+        part = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)]
+        owner = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        _, column, times = np.unique(np.concatenate(part), return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1
+        common = times[column] > 1
+        owner, column = owner[common], number[column[common]]
+        if not len(column):
+            continue
+        bits = np.zeros((len(sets), (int(column.max()) // 64 + 1) * 8), np.uint8)
+        np.add.at(bits, (owner, column >> 3), (1 << (column & 7)).astype(np.uint8))
+        bits = bits.view(np.uint64)
+        for n, (i, js) in zip(counts, pairs):
+            n += np.bitwise_count(bits[js] & bits[i]).sum(1, dtype=np.int64)
+    return counts
+
+
+def verify(likely: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, end, n of the cells of likely (CELL, node, partners, shingles, n_texts).
+
+    n: the texts of the sets that node links with in a cell, whose exact similarity reaches the threshold; end: the
+    smallest node that the cell's links connect node to.
+    """
+    import pyarrow as pa
 
+    schema = T.StructType().add("node", "long").add("end", "long").add("n", "long")
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes (node, sig) that some bucket proposes."""
-    key = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})))")
-    members = nodes.select("node", F.explode(key).alias("bucket"))
-    ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = members.join(ends, "bucket").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    return met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+    def run(batches):
+        import numpy as np
+
+        for cell in cells(batches):
+            cell = cell.sort_by("node")
+            node, texts = cell.column("node").to_numpy(), cell.column("n_texts").to_numpy()
+            sets = [np.frombuffer(s, np.uint64) for s in texts_of(cell, "shingles")]
+            size = np.array([len(s) for s in sets])
+            pairs = [(i, np.searchsorted(node, np.array(p, np.int64))) for i, p in enumerate(texts_of(cell, "partners")) if p]
+            n, end = np.zeros(len(node), np.int64), np.arange(len(node))
+            for (i, js), both in zip(pairs, shared_counts(sets, pairs)):
+                js = js[both / (size[i] + size[js] - both) >= threshold]
+                if len(js):
+                    n[i] += texts[js].sum()
+                    n[js] += texts[i]
+                    ends = np.unique(end[np.append(js, i)])
+                    end[np.isin(end, ends)] = ends[0]
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[end[at]]), pa.array(n[at])], ["node", "end", "n"])
+
+    return by_cell(likely.select(*CELL, "node", "partners", "shingles", "n_texts")).mapInArrow(run, schema)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -202,26 +287,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of docs: its id, class_id (the smallest id of its class) and n_links."""
+    """One row a row of docs: its id, class_id (the smallest id of its class) and n_links (other texts that it links with)."""
     rows = stored(with_sets(docs, (id_col,), text_col).withColumnRenamed(id_col, "id"), "signatures")
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "nodes")
-    pairs = candidates(nodes)
-    sig = nodes.select(F.col("node").alias("n"), F.col("sig").alias("s"))
-    first = pairs.join(sig, F.col("b") == F.col("n")).select("a", "b", F.col("s").alias("sig_b"))
-    likely = stored(prune(first.join(sig, F.col("a") == F.col("n")).withColumnRenamed("s", "sig_a")), "likely")
+    likely = stored(likely_partners(candidates(nodes).join(nodes.select("node", "sig"), "node")), "likely")
     # the sets of the texts that are still in question, each from the row that stands for it
-    asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
+    asked = likely.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked.select(F.col("rep").alias("id2"), F.col("node").alias("asked")), F.expr("id <=> id2"))
     sets = stored(with_sets(texts, ("asked",), "text", True).where("node = asked").dropDuplicates(["node"]).select("node", "shingles"), "sets")
-    held = sets.select(F.col("node").alias("n"), F.col("shingles").alias("s"))
-    half = likely.join(held, F.col("b") == F.col("n")).select("a", "b", F.col("s").alias("set_b"))
-    links = stored(verify(half.join(held, F.col("a") == F.col("n")).withColumnRenamed("s", "set_a")), "links")
-    label = components(links)
+    held = sets.select("node", "shingles", F.lit(1).cast("long").alias("n_texts"))
+    links = stored(verify(likely.join(held, "node")), "links")
+    label = components(links.where("node <> end").select(F.col("node").alias("a"), F.col("end").alias("b")))
     ranked = label.join(nodes.select("node", "rep"), "node")
     of_label = ranked.groupBy("label").agg(F.min("rep").alias("class_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = label.join(of_label, "label").join(degree, "node").select("node", "class_id", "n_links")
-    known = nodes.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degree = links.groupBy("node").agg(F.sum("n").alias("n"))
+    linked = label.join(of_label, "label").join(degree, "node").select("node", "class_id", "n")
+    known = nodes.select("node", "rep").join(linked, "node", "left")
+    known = known.select("node", F.coalesce("class_id", "rep").alias("class_id"), F.expr("coalesce(n, 0L)").alias("n_links"))
     # written, so that the last join is of two plain shuffles and Spark can split the rows of a set with many copies
     known = stored(known, "known")
     out = rows.select("id", "node").join(known, "node", "left")

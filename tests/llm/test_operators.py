@@ -270,6 +270,26 @@ def test_a_large_group_proposes_linearly_many_pairs(spark):
     assert near_dup.near_classes(docs).select("class_id").distinct().count() == 1
 
 
+def filled(rng, form, edits):
+    w = list(form)
+    for at in rng.sample(range(len(form)), edits):
+        w[at] = f"e{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_light_pairs_in_heavily_edited_families(spark):
+    rng = random.Random(21)
+    families = []
+    for g in range(6):
+        form = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        families.append([(1000 * g + i, filled(rng, form, edits)) for i, edits in enumerate([3, 3] + [16] * 400)])
+    got = near_dup.near_classes(spark.createDataFrame(sum(families, []), "doc_id long, text string")).collect()
+    expected = {}
+    for rows in families:  # no two families share a shingle
+        expected |= classes(rows)
+    assert {r["doc_id"]: r["class_id"] for r in got} == expected
+
+
 def test_pruning_table():
     least = near_dup.least_matches()
     assert len(least) == 8 and least == sorted(least) and least[-1] < 0.8 * 128
