@@ -11,7 +11,8 @@ as the posterior probability that its Jaccard similarity reaches the threshold
 (uniform prior) falls below ``TOLERANCE``.  Pairs left are verified exactly on
 their shingle sets.  Classes are the connected components of verified links.
 
-``n_links`` of a text counts the sets that are linked with its set.  A
+``n_links`` of a text counts the different texts that are linked with it: those
+of its own set (other white space, similarity 1) and those of linked sets.  A
 cell gives one row a member, with the number of its links and the smallest
 member that they connect it to; only comparisons grow with the square of a class
 of near copies, not rows.  At the threshold a pair misses all bands with
@@ -87,8 +88,8 @@ class Shingler:
 
 
 def with_sets(df: DataFrame, keep: tuple[str, ...], text_col: str, binary_set: bool = False) -> DataFrame:
-    """keep columns with node (null without words) and either sig or the set itself."""
-    added = T.StructType().add("node", "long").add("shingles" if binary_set else "sig", "binary")
+    """keep columns with node (null without words), body (a hash of the text) and either sig or the set itself."""
+    added = T.StructType().add("node", "long").add("body", "long").add("shingles" if binary_set else "sig", "binary")
 
     def make():
         import numpy as np
@@ -100,7 +101,7 @@ def with_sets(df: DataFrame, keep: tuple[str, ...], text_col: str, binary_set: b
             texts = texts_of(batch, "_text")
             sets = shingler.sets(texts)
             signed = lambda x: int(np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64))
-            named = {"node": [signed(s.tobytes()) if len(s) else None for s in sets]}
+            named = {"node": [signed(s.tobytes()) if len(s) else None for s in sets], "body": [signed(t or "") for t in texts]}
             if binary_set:
                 return named | {"shingles": [s.tobytes() for s in sets]}
             return named | {"sig": [shingler.signature(s) if len(s) else None for s in sets]}
@@ -290,20 +291,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row a row of docs: its id, class_id (the smallest id of its class) and n_links (other texts that it links with)."""
     rows = stored(with_sets(docs, (id_col,), text_col).withColumnRenamed(id_col, "id"), "signatures")
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "nodes")
+    texts_of_set = rows.where("node IS NOT NULL").select("node", "body").distinct().groupBy("node").agg(F.count("*").alias("n_texts")).where("n_texts > 1")
+    several = stored(texts_of_set, "several")
     likely = stored(likely_partners(candidates(nodes).join(nodes.select("node", "sig"), "node")), "likely")
     # the sets of the texts that are still in question, each from the row that stands for it
     asked = likely.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked.select(F.col("rep").alias("id2"), F.col("node").alias("asked")), F.expr("id <=> id2"))
     sets = stored(with_sets(texts, ("asked",), "text", True).where("node = asked").dropDuplicates(["node"]).select("node", "shingles"), "sets")
-    held = sets.select("node", "shingles", F.lit(1).cast("long").alias("n_texts"))
+    held = sets.join(several, "node", "left").select("node", "shingles", F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
     links = stored(verify(likely.join(held, "node")), "links")
     label = components(links.where("node <> end").select(F.col("node").alias("a"), F.col("end").alias("b")))
     ranked = label.join(nodes.select("node", "rep"), "node")
     of_label = ranked.groupBy("label").agg(F.min("rep").alias("class_id"))
     degree = links.groupBy("node").agg(F.sum("n").alias("n"))
     linked = label.join(of_label, "label").join(degree, "node").select("node", "class_id", "n")
-    known = nodes.select("node", "rep").join(linked, "node", "left")
-    known = known.select("node", F.coalesce("class_id", "rep").alias("class_id"), F.expr("coalesce(n, 0L)").alias("n_links"))
+    known = nodes.select("node", "rep").join(linked, "node", "left").join(several, "node", "left")
+    known = known.select("node", F.coalesce("class_id", "rep").alias("class_id"), F.expr("coalesce(n, 0L) + coalesce(n_texts, 1L) - 1L").alias("n_links"))
     # written, so that the last join is of two plain shuffles and Spark can split the rows of a set with many copies
     known = stored(known, "known")
     out = rows.select("id", "node").join(known, "node", "left")

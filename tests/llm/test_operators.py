@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from itertools import combinations
 
 import public_tokenizers
 import pytest
@@ -270,6 +271,22 @@ def test_a_large_group_proposes_linearly_many_pairs(spark):
     assert near_dup.near_classes(docs).select("class_id").distinct().count() == 1
 
 
+def numbers_of_links(rows):
+    """For each row the number of different texts that its text links with, from all pairs."""
+    sets = {}
+    for _, t in rows:
+        w = (t or "").split()
+        m = min(len(w), 5)
+        if w:
+            sets[t] = {tuple(w[k : k + m]) for k in range(len(w) - m + 1)}
+    n = dict.fromkeys(sets, 0)
+    for a, b in combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * len(sets[a] | sets[b]):
+            n[a], n[b] = n[a] + 1, n[b] + 1
+    return {i: n.get(t, 0) for i, t in rows}
+
+
 def filled(rng, form, edits):
     w = list(form)
     for at in rng.sample(range(len(form)), edits):
@@ -290,6 +307,20 @@ def test_light_pairs_in_heavily_edited_families(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == expected
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_links_are_counted_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "ENTRIES", 500_000 if block == 512 else 300)
+    rng = random.Random(22)
+    form = [f"w{i}" for i in range(120)]
+    rows = [(i, filled(rng, form, i % 4)) for i in range(60)] + [(100 + i, t) for i, (_, t) in enumerate(near_rows(3)[:40])]
+    rows += [(200, "five words with other blanks"), (201, "five words\twith other  blanks"), (202, "five words with other blanks"), (203, rows[5][1] + " "), (204, None)]
+    got = {r["doc_id"]: r for r in near_dup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == numbers_of_links(rows)
+    assert {i: r["class_id"] for i, r in got.items()} == classes(rows)
+    assert got[200]["n_links"] == got[201]["n_links"] == 1
+
+
 def test_pruning_table():
     least = near_dup.least_matches()
     assert len(least) == 8 and least == sorted(least) and least[-1] < 0.8 * 128
