@@ -133,7 +133,7 @@ def hmm_fit(df: DataFrame, arr: str, k: int, n_iter: int = 20, restarts: int = 3
     best = max(range(restarts), key=lambda r: final[r]["ll"])
     p = models[best]
     order = np.argsort(p["mean"])
-    return {"k": k, "start": p["start"][order].tolist(), "trans": p["trans"][np.ix_(order, order)].tolist(), "mean": p["mean"][order].tolist(), "var": p["var"][order].tolist(), "loglik": final[best]["ll"], "n": row["n"], "path": path[best]}
+    return {"k": k, "restarts": restarts, "start": p["start"][order].tolist(), "trans": p["trans"][np.ix_(order, order)].tolist(), "mean": p["mean"][order].tolist(), "var": p["var"][order].tolist(), "loglik": final[best]["ll"], "n": row["n"], "path": path[best]}
 
 
 def hmm_score(df: DataFrame, arr: str, params: dict) -> DataFrame:
@@ -237,8 +237,8 @@ def hmm_features_table(df: DataFrame, states: str, k: int, cfg: Config = DEFAULT
     return split_by_sample_list(hmm_state_features(df, states, k), cfg.datasets)
 
 
-def hmm_run_log(spark, params: dict, cfg: Config = DEFAULT) -> DataFrame:
+def hmm_run_log(spark, params: dict) -> DataFrame:
     """One row that sums up a fit, to append to a table of runs."""
     aic, bic = information(params["loglik"], params["n"], params["k"])
-    row = (params["k"], cfg.restarts, len(params["path"]), params["n"], params["loglik"], aic, bic, [float(x) for x in params["mean"]])
+    row = (params["k"], params["restarts"], len(params["path"]), params["n"], params["loglik"], aic, bic, [float(x) for x in params["mean"]])
     return spark.createDataFrame([row], "k int, restarts int, iterations int, n long, loglik double, aic double, bic double, means array<double>")

@@ -669,9 +669,9 @@ def training_sequences(spark, sf) -> DataFrame:
 @query("hmm_fit")
 def _(spark, sf):
     df = training_sequences(spark, sf)
-    m = hmm.hmm_fit(df, "cpg_directional_fm", 3, 8, 2)
+    m = hmm.hmm_fit(df, "cpg_directional_fm", CFG.states, CFG.iterations, CFG.restarts)
     df.unpersist()
-    rows = [(i, float(m["mean"][i]), float(m["var"][i]), float(m["start"][i])) for i in range(3)]
+    rows = [(i, float(m["mean"][i]), float(m["var"][i]), float(m["start"][i])) for i in range(CFG.states)]
     return spark.createDataFrame(rows, "state int, mean double, variance double, start double")
 
 
@@ -683,7 +683,7 @@ def _(spark, sf):
 @query("hmm_model_selection")
 def _(spark, sf):
     df = training_sequences(spark, sf)
-    out = hmm.hmm_model_selection(df, "cpg_directional_fm", [1, 2, 3], 4, 1)
+    out = hmm.hmm_model_selection(df, "cpg_directional_fm", list(range(1, 11)), CFG.iterations, CFG.restarts)
     df.unpersist()
     return out
 
@@ -691,10 +691,10 @@ def _(spark, sf):
 @query("hmm_run_log")
 def _(spark, sf):
     df = training_sequences(spark, sf)
-    m = hmm.hmm_fit(df, "cpg_directional_fm", 2, 4, 2)
+    m = hmm.hmm_fit(df, "cpg_directional_fm", CFG.states, CFG.iterations, CFG.restarts)
     df.unpersist()
     path = io.scratch(spark)
-    io.append_table(hmm.hmm_run_log(spark, m, CFG), path)
+    io.append_table(hmm.hmm_run_log(spark, m), path)
     return spark.read.parquet(path)
 
 

@@ -48,3 +48,22 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 30
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sequence_models_run_with_the_settings_of_the_library(spark, monkeypatch):
+    ran = []
+
+    def fit(df, arr, k, n_iter, restarts, seed=0):
+        ran.append((k, n_iter, restarts))
+        return {"k": k, "restarts": restarts, "start": [0.0] * k, "mean": [0.0] * k, "var": [1.0] * k, "loglik": 0.0, "n": 9, "path": [0.0]}
+
+    monkeypatch.setattr(q.hmm, "hmm_fit", fit)
+    got = {n: q.QUERIES[n](spark, SF).collect() for n in ("hmm_model_selection", "hmm_fit", "hmm_run_log")}
+    own = (q.CFG.iterations, q.CFG.restarts)
+    assert ran == [(k, *own) for k in range(1, 11)] + [(q.CFG.states, *own)] * 2
+    assert [r["k"] for r in got["hmm_model_selection"]] == list(range(1, 11)) and len(got["hmm_fit"]) == q.CFG.states
+
+
+def test_the_run_log_names_the_restarts_that_ran(spark):
+    df = spark.createDataFrame([([0.1, 0.9, 0.2, 0.8],)], "x array<double>")
+    assert q.hmm.hmm_run_log(spark, q.hmm.hmm_fit(df, "x", 2, 2, 1)).first()["restarts"] == 1
