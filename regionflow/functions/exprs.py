@@ -58,7 +58,7 @@ def norm_sf_sql(z: str) -> str:
     return f"(CASE WHEN {z} < 7.07106781186547e0 THEN {body} WHEN {z} < 3.7e1 THEN {far} ELSE 0e0 END)"
 
 
-#: Largest n whose logarithm of n! is at hand; two groups of the coverage limit fit well.
+#: Largest n whose logarithm of n! is at hand; two groups of the coverage limit fit well. Beyond it, Stirling's series is exact to a double.
 MAX_FACTORIAL = 1000
 
 
@@ -67,18 +67,19 @@ def log_factorials() -> Column:
 
 
 def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided exact p of the 2x2 table [[a, b], [c, d]]; 1 if a margin is zero, null beyond MAX_FACTORIAL."""
+    """Two-sided exact p of the 2x2 table [[a, b], [c, d]]; 1 if a margin is zero."""
     table = F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), c.cast("int").alias("c"), d.cast("int").alias("d"), log_factorials().alias("lf"))
 
     def p(t: Column) -> Column:
         r1, r2, c1, n = t["a"] + t["b"], t["c"] + t["d"], t["a"] + t["c"], t["a"] + t["b"] + t["c"] + t["d"]
-        lf = lambda i: F.element_at(t["lf"], i + 1)
+        series = lambda i: (i + 0.5) * F.log(i) - i + 0.5 * math.log(2 * math.pi) + 1 / (12 * i) - 1 / (360 * i * i * i)
+        lf = lambda i: F.coalesce(F.try_element_at(t["lf"], i + 1), series(i.cast("double")))
         const = lf(r1) + lf(r2) + lf(c1) + lf(n - c1) - lf(n)
         term = lambda x: F.exp(const - lf(x) - lf(r1 - x) - lf(c1 - x) - lf(r2 - c1 + x))
         terms = F.transform(F.sequence(F.greatest(F.lit(0), c1 - r2), F.least(r1, c1)), term)
         seen = term(t["a"]) * F.lit(1 + 1e-7)
         total = F.aggregate(F.filter(terms, lambda x: x <= seen), F.lit(0.0), lambda s, x: s + x)
-        return F.when(n > MAX_FACTORIAL, F.lit(None)).when((r1 == 0) | (r2 == 0) | (c1 == 0) | (c1 == n), F.lit(1.0)).otherwise(F.least(F.lit(1.0), total))
+        return F.when((r1 == 0) | (r2 == 0) | (c1 == 0) | (c1 == n), F.lit(1.0)).otherwise(F.least(F.lit(1.0), total))
 
     return F.element_at(F.transform(F.array(table), p), 1)
 

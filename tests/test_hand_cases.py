@@ -185,3 +185,15 @@ def test_text_round_trips(spark, tmp_path):
 def test_decision_never_passes_on_null(spark):
     df = spark.sql("SELECT cast(null AS double) AS p, 0.5D AS read_asm_effect, 5 AS consecutive_sig_cpgs, 5 AS total_sig_cpgs")
     assert st.asm_decision(df, "p", Config()).first()["asm"] == 0
+
+
+def test_fisher_of_deep_tables(spark):
+    from fractions import Fraction
+    from math import comb
+
+    tables = [(400, 300, 350, 350), (1200, 900, 1100, 1000), (3, 2000, 15, 1990), (1001, 0, 0, 1)]
+    got = spark.createDataFrame(tables, "a int, b int, c int, d int").select("a", "b", "c", "d", ex.fisher_p(*map(F.col, "abcd")).alias("p")).collect()
+    for a, b, c, d, p in got:
+        ways = [comb(a + b, x) * comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)]
+        exact = float(Fraction(sum(w for w in ways if w <= ways[a - max(0, a - d)]), comb(a + b + c + d, a + c)))
+        assert abs(p - exact) < 1e-8 * exact + 1e-12
