@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Reference tables of at most this many rows a chromosome table can have are broadcast.
-CHROMOSOMES = 1_000
-
 
 def chr_offsets(lengths: DataFrame) -> DataFrame:
     """chr, chr_length, absolute_nucleotide_pos: the positions on all chromosomes before this one."""
@@ -31,8 +28,8 @@ def clustering_index(df: DataFrame, pos: str, block: int) -> DataFrame:
 
 
 def join_chr_offset(df: DataFrame, offsets: DataFrame) -> DataFrame:
-    """df with its chromosome's offset; there are a few dozen chromosomes, so they're broadcast."""
-    return df.join(F.broadcast(offsets.select("chr", "absolute_nucleotide_pos").limit(CHROMOSOMES)), "chr")
+    """df with its chromosome's offset; Spark broadcasts the offsets if they're few."""
+    return df.join(offsets.select("chr", "absolute_nucleotide_pos"), "chr")
 
 
 def tile_genome(offsets: DataFrame, length: int, block: int) -> DataFrame:

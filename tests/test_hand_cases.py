@@ -197,3 +197,9 @@ def test_fisher_of_deep_tables(spark):
         ways = [comb(a + b, x) * comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)]
         exact = float(Fraction(sum(w for w in ways if w <= ways[a - max(0, a - d)]), comb(a + b + c + d, a + c)))
         assert abs(p - exact) < 1e-8 * exact + 1e-12
+
+
+def test_every_sequence_of_a_reference_has_its_offset(spark):
+    offsets = spark.range(1500).selectExpr("CAST(id AS INT) AS chr", "id * 10 AS absolute_nucleotide_pos")
+    calls = spark.range(1500).selectExpr("CAST(id AS INT) AS chr", "5L AS pos")
+    assert ge.join_chr_offset(calls, offsets).where("absolute_nucleotide_pos = chr * 10").count() == 1500
