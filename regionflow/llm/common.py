@@ -39,9 +39,11 @@ def without(df: DataFrame, names) -> list[str]:
 
 def byte_slices(batch: pa.RecordBatch, col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into slices of about ``limit`` bytes of text; a longer row is a slice of its own."""
-    lengths = batch.column(batch.schema.get_field_index(col)).to_pandas().str.len().fillna(0).to_numpy()
+    import pyarrow.compute as pc
+
+    lengths = pc.binary_length(batch.column(batch.schema.get_field_index(col))).fill_null(0).to_numpy()
     start, held = 0, 0
-    for i, n in enumerate(lengths):
+    for i, n in enumerate(lengths.tolist()):
         if i > start and held + n > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0
@@ -87,44 +89,129 @@ def arrow_map(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where none is named, as in tests."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir).
+
+    Where none is named, a temporary folder serves on one machine, as in tests; a cluster must name one.
+    """
     import tempfile
     import uuid
 
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not known and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(known or tempfile.mkdtemp(prefix="checkpoint-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return f"{held.get()}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """df written once to the shared folder and read back: lost executors don't undo it, and it's computed once."""
-    path = f"{shared_dir(df.sparkSession)}-{name}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's setting by which a finished query's shuffle files go at once.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str = "part", of: list | None = None) -> DataFrame:
+    """df written once to the shared folder and read back: lost executors don't undo it, and it's computed once.
+
+    The write's shuffle files aren't read again, so they go with it.  ``of`` gets the table, for ``discard``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}-{name}"
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if of is not None:
+        of.append(out)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table that ``stored`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of plans that nothing refers to any more, as Spark's cleaner does at each collection."""
-    import gc
-    import time
+class Words:
+    """The words of many texts in one buffer, each followed by one blank.
+
+    ``text``: the buffer; ``begin``, ``length``: where each word stands in it, in bytes; ``sizes``: words of each text.
+    """
+
+    def __init__(self, column: pa.Array):
+        import numpy as np
+
+        parts = column.cast(pa.binary()).to_pylist()
+        raw = np.frombuffer(b"\n".join([p or b"" for p in parts]) + b"\n", np.uint8)
+        blank = np.zeros(256, bool)
+        blank[[32, *range(9, 14)]] = True
+        word = ~blank[raw]
+        edges = np.flatnonzero(np.diff(word, prepend=False))
+        starts, self.length = edges[::2], edges[1::2] - edges[::2]
+        ends = np.cumsum(np.array([len(p or b"") + 1 for p in parts], np.int64))
+        self.sizes = np.diff(np.searchsorted(starts, ends), prepend=0)
+        keep = word.copy()
+        keep[1:] |= word[:-1]
+        buffer = raw[keep]
+        buffer[~word[keep]] = 32
+        self.begin = np.cumsum(self.length + 1) - (self.length + 1)
+        self.buffer, self.text = buffer, buffer.tobytes()
+
+    def spans(self, first, last) -> list[bytes]:
+        """The words first .. last - 1 of the buffer, joined by single blanks, for arrays of both; empty where there are none."""
+        import numpy as np
+
+        end = np.r_[self.begin, len(self.text)]
+        text = self.text
+        return [text[a:z] if z > a else b"" for a, z in zip(end[first].tolist(), (end[last] - 1).tolist())]
+
+    def joined(self) -> list[bytes]:
+        """The words of each text, joined by single blanks."""
+        import numpy as np
+
+        last = np.cumsum(self.sizes)
+        return self.spans(last - self.sizes, last)
+
+    def hashes(self, chunk: int = 1 << 18):
+        """64-bit hashes of all words: polynomials of their bytes, by prefix sums over chunks of whole words."""
+        import numpy as np
 
-    # twice: the first round frees Python's handles, the second the plans that these held
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        n, out, i = len(self.begin), np.empty(len(self.begin), np.uint64), 0
+        while i < n:
+            a = self.begin[i]
+            j = max(i + 1, int(np.searchsorted(self.begin, a + chunk)))
+            z = self.begin[j - 1] + self.length[j - 1]
+            up, down = _powers(int(z - a))
+            sums = np.zeros(z - a + 1, np.uint64)
+            np.cumsum((self.buffer[a:z].astype(np.uint64) + np.uint64(1)) * up[: z - a], out=sums[1:])
+            at = self.begin[i:j] - a
+            out[i:j] = (sums[at + self.length[i:j]] - sums[at]) * down[at]
+            i = j
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        return out ^ (out >> np.uint64(29))
+
+
+#: An odd number and its inverse modulo 2**64.
+_BASE = 0xD6E8FEB86659FD93
+_tables: list = []
+
+
+def _powers(n: int):
+    """Powers of the base and of its inverse, n at least."""
+    import numpy as np
+
+    if not _tables or len(_tables[0]) < n:
+        size = max(n, 1 << 19)
+        with np.errstate(over="ignore"):
+            _tables[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _tables
 
 
 class WordHashes:

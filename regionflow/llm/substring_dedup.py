@@ -9,20 +9,26 @@ that also starts in a document with a smaller id are removed.
 2. For shared anchors only, the documents give contexts: the anchor's stretch
    of text, which holds exactly the windows that have it.  Equal contexts of
    different documents are grouped first, so copied passages count once.
-3. Contexts are dealt by anchor into shards of bounded size (an anchor with more
-   contexts than that has its windows grouped across tasks instead).  A shard confirms
-   its recurring passages (windows, word by word, with the first document that
-   has each), compiles them into an Aho-Corasick automaton over word numbers,
-   and streams its contexts through it to locate every occurrence.
+3. Contexts are dealt by anchor into shards of bounded size.  A shard confirms
+   its recurring passages word by word (runs of windows that one earlier document
+   has), compiles them into an Aho-Corasick automaton over word numbers, and
+   streams its contexts through it to locate every occurrence.  An anchor on the
+   edge of a very common passage may have more contexts than a shard holds; the
+   distinct windows of those contexts are dealt instead, each by its own hash, to
+   shards of the same kind.
 4. Occurrences go back to the documents, whose words they remove.
 
-Documents with the same words as an earlier one are settled by their digests
-and give no contexts.
+Hashes decide only what is looked at.  Documents with the same words as an
+earlier one are settled by their digests and give no contexts.
 
-Defined results: ids other than null name one text each; a null text has no words; texts of fewer than 13 words lose
-nothing; repeated rows of one id don't dedupe each other; rows with a null id
-come after all others and dedupe nothing; an empty table gives an empty table;
-other input columns are left out.
+Defined results: ids are whole numbers, and one other than null names one text
+each; a null text has no words; texts of fewer than 13 words lose nothing;
+repeated rows of one id don't dedupe each other; rows with a null id come after
+all others and dedupe nothing; an empty table gives an empty table; other input
+columns are left out.
+
+Every table between the steps is deleted once it's read; that of the result
+stays in the shared folder for its readers.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, arrow_map, discard, release, stored, table, texts_of
+from .common import SLICE_BYTES, Words, arrow_map, byte_slices, discard, stored, table, texts_of
 
 WINDOW, ANCHOR = 13, 5
 #: Distinct contexts of one shard's automaton.
@@ -42,73 +48,57 @@ SHARD_CONTEXTS = 8_000
 LAST = 2**63 - 1
 
 
-class Anchors:
-    """Anchor places of many texts at once."""
-
-    def __init__(self, seed: int = 5):
-        import numpy as np
-
-        self.mix = np.random.default_rng(seed).integers(1, 2**63, ANCHOR, dtype=np.uint64) | np.uint64(1)
-        self.words = WordHashes()
-
-    def of(self, split: list[list[bytes]]):
-        """(text number, anchor hash, first window, last window + 1) arrays, windows counted within their text."""
-        import numpy as np
-
-        sizes = np.array([len(w) for w in split], np.int64)
-        h = self.words.of(split)
-        n, width = len(h), WINDOW - ANCHOR + 1
-        if n < WINDOW:
-            return (np.empty(0, np.int64),) * 4
-        g = np.zeros(n - ANCHOR + 1, np.uint64)
-        for k in range(ANCHOR):
-            g = (g ^ h[k : n - ANCHOR + 1 + k]) * self.mix[k]
-            g ^= g >> np.uint64(31)
-        # the low five bits name the place, so that the least of a window tells where it stands
-        key = (g & ~np.uint64(31)) | (np.arange(len(g), dtype=np.uint64) & np.uint64(31))
-        least = key[: n - WINDOW + 1].copy()
-        for k in range(1, width):
-            np.minimum(least, key[k : k + len(least)], out=least)
-        start = np.cumsum(sizes) - sizes
-        doc = np.repeat(np.arange(len(split)), np.maximum(sizes - WINDOW + 1, 0))
-        first = np.cumsum(np.maximum(sizes - WINDOW + 1, 0)) - np.maximum(sizes - WINDOW + 1, 0)
-        at = np.arange(len(doc)) - first[doc]
-        least = least[at + start[doc]]
-        new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.empty(0, bool)
-        begin = np.flatnonzero(new)
-        end = np.r_[begin[1:], len(doc)].astype(np.int64) if len(doc) else begin
-        return doc[begin], (least[begin] >> np.uint64(16)).astype(np.int64), at[begin], at[begin] + (end - begin)
-
-
-def digest(words: list[bytes]) -> bytes:
-    return hashlib.sha256(b" ".join(words)).digest()
-
-
-def tag(d: bytes) -> int:
-    """A short form of a digest: with the id, it names a row."""
-    return int.from_bytes(d[:8], "little", signed=True)
+def column(batch, name: str):
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def anchors(words: Words, seed: int = 5):
+    """(text number, anchor hash, first window, last window + 1) arrays, windows counted within their text."""
+    import numpy as np
+
+    mix = np.random.default_rng(seed).integers(1, 2**63, ANCHOR, dtype=np.uint64) | np.uint64(1)
+    h, sizes = words.hashes(), words.sizes
+    n, width = len(h), WINDOW - ANCHOR + 1
+    if n < WINDOW:
+        return (np.empty(0, np.int64),) * 4
+    g = np.zeros(n - ANCHOR + 1, np.uint64)
+    for k in range(ANCHOR):
+        g = (g ^ h[k : n - ANCHOR + 1 + k]) * mix[k]
+        g ^= g >> np.uint64(31)
+    # the low five bits name the place, so that the least of a window tells where it stands
+    key = (g & ~np.uint64(31)) | (np.arange(len(g), dtype=np.uint64) & np.uint64(31))
+    least = key[: n - WINDOW + 1].copy()
+    for k in range(1, width):
+        np.minimum(least, key[k : k + len(least)], out=least)
+    windows = np.maximum(sizes - WINDOW + 1, 0)
+    doc = np.repeat(np.arange(len(sizes)), windows)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
+    least = least[at + np.repeat(np.cumsum(sizes) - sizes, windows)]
+    new = np.ones(len(doc), bool)
+    new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.r_[begin, len(doc)])
+    return doc[begin], (least[begin] >> np.uint64(16)).astype(np.int64), at[begin], at[begin] + size
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """id, tag, n_words, digest, anchors from id, text."""
-    added = T.StructType().add("tag", "long").add("n_words", "long").add("digest", "binary").add("anchors", T.ArrayType(T.LongType()))
+    """id, tag, n_words, digest, anchors from id, tag, text."""
+    added = T.StructType().add("n_words", "long").add("digest", "binary").add("anchors", T.ArrayType(T.LongType()))
 
     def make():
         import numpy as np
         import pyarrow as pa
 
-        anchors = Anchors()
-
         def f(batch):
-            split = [(t or "").encode().split() for t in texts_of(batch, "text")]
-            doc, value, _, _ = anchors.of(split)
+            words = Words(column(batch, "text"))
+            doc, value, _, _ = anchors(words)
             # a text that repeats a phrase names its anchor again and again
-            new = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
+            new = np.ones(len(doc), bool)
+            new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
             doc, value = doc[new], value[new]
-            offsets = np.searchsorted(doc, np.arange(len(split) + 1))
+            offsets = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value, pa.int64()))
-            known = [digest(w) for w in split]
-            return {"tag": [tag(d) for d in known], "n_words": [len(w) for w in split], "digest": known, "anchors": lists}
+            return {"n_words": words.sizes, "digest": [hashlib.sha256(x).digest() for x in words.joined()], "anchors": lists}
 
         return f
 
@@ -120,56 +110,109 @@ def contexts_of(docs: DataFrame) -> DataFrame:
     schema = T.StructType().add("id", "long").add("tag", "long").add("anchor", "long").add("c", "long").add("context", "string").add("at", "integer")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         import xxhash
 
-        anchors = Anchors()
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                split = [(t or "").encode().split() for t in texts_of(batch, "text")]
-                ids, wanted = texts_of(batch, "id"), [set(w) for w in texts_of(batch, "wanted")]
-                known = texts_of(batch, "tag")
-                doc, value, first, last = (x.tolist() for x in anchors.of(split))
-                rows = [(ids[d], known[d], v, xxhash.xxh3_64_intdigest(x := b" ".join(split[d][a : z + WINDOW - 1])) - 2**63, x.decode(), a) for d, v, a, z in zip(doc, value, first, last) if v in wanted[d]]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 6, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()])], schema.names)
+            for batch in byte_slices(whole, "text", SLICE_BYTES):
+                words = Words(column(batch, "text"))
+                doc, value, first, last = anchors(words)
+                lists = column(batch, "wanted")
+                asked = lists.flatten().to_numpy()
+                of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+                # text and anchor as one number; two that meet by chance only give a context too many
+                number = lambda d, v: (v.astype(np.uint64) << np.uint64(12)) * np.uint64(0x9E3779B97F4A7C15) + d.astype(np.uint64)
+                chosen = np.isin(number(doc, value), number(of, asked))
+                doc, value, first, last = (x[chosen] for x in (doc, value, first, last))
+                start = (np.cumsum(words.sizes) - words.sizes)[doc]
+                texts = words.spans(start + first, start + last + WINDOW - 1)
+                c = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64)
+                ids, tags = (column(batch, x).to_numpy()[doc] for x in ("id", "tag"))
+                columns = [pa.array(ids), pa.array(tags), pa.array(value), pa.array(c), pa.array(texts, pa.string()), pa.array(first.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.select("id", "tag", "text", "wanted").mapInArrow(run, schema)
 
 
-def locate(contexts: list[tuple[str, int, int]]) -> list[list[tuple[int, int]]]:
-    """For contexts (text, first id, last id): (window, its first id) of the windows that documents share.
+def groups_of(numbers, starts, seed: int = 3):
+    """Equal windows (numbers[s : s + WINDOW]) get equal group numbers: grouped by a hash, then compared word by word."""
+    import numpy as np
 
-    Windows are compared word by word: words are numbered, a window is a sequence of numbers.
+    rng = np.random.default_rng(seed)
+    rows = np.lib.stride_tricks.sliding_window_view(numbers, WINDOW)
+    while True:
+        h = np.zeros(len(starts), np.uint64)
+        for k in range(WINDOW):
+            h = (h ^ numbers[starts + k].astype(np.uint64)) * (rng.integers(1, 2**63, dtype=np.uint64) | np.uint64(1))
+            h ^= h >> np.uint64(29)
+        _, place, group = np.unique(h, return_index=True, return_inverse=True)
+        if (rows[starts] == rows[starts[place][group]]).all():
+            return group
+        # two unlike windows have one hash: another hash parts them
+
+
+def locate(contexts: list[tuple[str, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """For contexts (text, first id, last id): (start, end, first id) of the passages that an earlier document has.
+
+    Words are numbered; a recurring passage is a run of windows, equal word by
+    word to windows whose first document is one and the same, before the
+    context's last one.
     """
     import ahocorasick
-
-    number: dict[str, int] = {}
-    numbered = [tuple([number.setdefault(w, len(number)) for w in c.split(" ")]) for c, _, _ in contexts]
-    first: dict[tuple, int] = {}
-    last: dict[tuple, int] = {}
-    for words, (_, lo, hi) in zip(numbered, contexts):
-        for i in range(len(words) - WINDOW + 1):
-            w = words[i : i + WINDOW]
-            if first.get(w, LAST) >= lo:
-                first[w] = lo
-            if last.get(w, -LAST) <= hi:
-                last[w] = hi
+    import numpy as np
+
+    class Numbers(dict):
+        def __missing__(self, word):
+            n = self[word] = len(self) + 1
+            return n
+
+    number = Numbers()
+    numbered = [tuple([number[w] for w in c.split(" ")]) for c, _, _ in contexts]
+    if not numbered:
+        return []
+    sizes = np.array([len(n) for n in numbered])
+    begin = np.cumsum(sizes) - sizes
+    flat = np.fromiter((n for words in numbered for n in words), np.int64, int(sizes.sum()))
+    windows = sizes - WINDOW + 1
+    owner = np.repeat(np.arange(len(numbered)), windows)
+    starts = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[owner]
+    low, high = (np.array([c[i] for c in contexts], np.int64) for i in (1, 2))
+    group = groups_of(flat, starts)
+    order = np.argsort(group, kind="stable")
+    first = np.minimum.reduceat(low[owner[order]], np.flatnonzero(np.diff(group[order], prepend=-1)))[group]
+    recurs = first < high[owner]
+    # runs of recurring windows of one context with one first document
+    same = np.zeros(len(owner), bool)
+    same[1:] = recurs[1:] & recurs[:-1] & (owner[1:] == owner[:-1]) & (first[1:] == first[:-1])
+    head = np.flatnonzero(recurs & ~same)
+    tail = np.flatnonzero(recurs & ~np.r_[same[1:], False])
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for w, lo in first.items():
-        if lo < last[w]:
-            automaton.add_word(w, lo)
+    at = starts - begin[owner]
+    for o, a, z, f in zip(owner[head].tolist(), at[head].tolist(), (at[tail] + WINDOW).tolist(), first[head].tolist()):
+        automaton.add_word(numbered[o][a:z], (z - a, f))
     if not len(automaton):
         return [[] for _ in contexts]
     automaton.make_automaton()
-    return [[(end - WINDOW + 1, lo) for end, lo in automaton.iter(words)] for words in numbered]
+    out = []
+    for words in numbered:
+        found: list[tuple[int, int, int]] = []
+        for last, (n, f) in automaton.iter(words):
+            start = last - n + 1
+            # passages inside one of the same document say nothing new
+            while found and found[-1][2] == f and found[-1][0] >= start:
+                found.pop()
+            if not found or found[-1][2] != f or found[-1][1] < last + 1:
+                found.append((start, last + 1, f))
+        out.append(found)
+    return out
 
 
-HITS = T.ArrayType(T.StructType().add("window", "integer").add("first", "long"))
+HITS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("first", "long"))
 
 
 def located(distinct: DataFrame) -> DataFrame:
-    """anchor, c, hits (window, first id) of contexts with shared windows, from anchor, c, context, lo, hi."""
+    """anchor, c, hits (passages with their first id) of contexts with recurring passages, from anchor, c, context, lo, hi."""
     schema = T.StructType().add("anchor", "long").add("c", "long").add("hits", HITS)
 
     def run(batches):
@@ -181,7 +224,7 @@ def located(distinct: DataFrame) -> DataFrame:
 
         def shard(rows):
             found = locate([r[2:] for r in rows])
-            kept = [(a, c, [{"window": w, "first": f} for w, f in h]) for (a, c, _, _, _), h in zip(rows, found) if h]
+            kept = [(a, c, [{"start": s, "end": e, "first": f} for s, e, f in h]) for (a, c, _, _, _), h in zip(rows, found) if h]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], f.type) for i, f in enumerate(target)], schema.names)
 
         rows: list[tuple] = []
@@ -198,98 +241,91 @@ def located(distinct: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """id, tag, n_removed, kept (text) from id, tag, text, windows (starts)."""
+    """id, tag, n_removed, kept (text) from id, tag, text, spans (start, end)."""
     added = T.StructType().add("n_removed", "long").add("kept", "string")
 
     def make():
         import numpy as np
 
         def f(batch):
-            n, kept = [], []
-            for t, starts in zip(texts_of(batch, "text"), texts_of(batch, "windows")):
-                words = (t or "").encode().split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                s = np.unique(np.asarray(starts, np.int64))
-                edge[s] += 1
-                edge[s + WINDOW] -= 1
-                gone = np.cumsum(edge)[:-1] > 0
-                n.append(int(gone.sum()))
-                kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode())
-            return {"n_removed": n, "kept": kept}
+            words = Words(column(batch, "text"))
+            begin = np.cumsum(words.sizes) - words.sizes
+            lists = column(batch, "spans")
+            spans, of = lists.flatten(), np.repeat(begin, lists.value_lengths().to_numpy())
+            edge = np.zeros(len(words.begin) + 1, np.int64)
+            np.add.at(edge, of + spans.field("start").to_numpy(), 1)
+            np.add.at(edge, of + spans.field("end").to_numpy(), -1)
+            left = np.cumsum(edge)[:-1] == 0
+            before = np.r_[0, np.cumsum(left)]
+            n = words.sizes - (before[begin + words.sizes] - before[begin])
+            # bytes of the words left, each with the blank behind it
+            stay = np.repeat(left, words.length + 1)
+            text = words.buffer[stay].tobytes()
+            at = np.r_[0, np.cumsum((words.length + 1) * left)]
+            cut = zip(at[begin].tolist(), at[begin + words.sizes].tolist())
+            return {"n_removed": n, "kept": [text[a : z - 1].decode() if z > a else "" for a, z in cut]}
 
         return f
 
-    return arrow_map(docs, added, make, "text", ("text", "windows"))
+    return arrow_map(docs, added, make, "text", ("text", "spans"))
 
 
-def shared_anchors(prof: DataFrame, copies: DataFrame) -> DataFrame:
-    """id, wanted: the anchors of each document that another document has too."""
-    marks = prof.select("id", F.explode("anchors").alias("anchor"))
+def shared_anchors(prof: DataFrame) -> DataFrame:
+    """id, tag, wanted: the anchors of each row that a document has too whose id is another one."""
+    marks = prof.select("id", "tag", F.explode("anchors").alias("anchor"))
     shared = marks.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
-    wanted = marks.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("wanted"))
-    return stored(wanted.join(copies.where(F.col("id") != LAST).select("id").distinct(), "id", "left_anti"), "wanted")
-
-
-def located_by_window(distinct: DataFrame) -> DataFrame:
-    """What ``located`` gives, for anchors with too many contexts for one shard: windows are grouped across tasks."""
-    parts = distinct.withColumn("w", F.split("context", " "))
-    each = F.expr(f"transform(sequence(0, size(w) - {WINDOW}), i -> named_struct('window', i, 'words', array_join(slice(w, i + 1, {WINDOW}), ' ')))")
-    windows = parts.select("anchor", "c", "lo", "hi", F.explode(each).alias("x")).select("anchor", "c", "lo", "hi", "x.*")
-    shared = windows.groupBy("words").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("words", "first")
-    hits = windows.select("anchor", "c", "window", "words").join(shared, "words")
-    return hits.groupBy("anchor", "c").agg(F.collect_list(F.struct("window", "first")).cast(HITS).alias("hits"))
-
-
-def shared_windows(spots: DataFrame) -> DataFrame:
-    """id, tag, windows: where each document's windows start that an earlier document has."""
-    distinct = stored(spots.groupBy("anchor", "c", "context").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "distinct")
-    # an anchor on the edge of a very common passage has a context in every document
-    crowded = stored(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_CONTEXTS).select("anchor"), "crowded")
-    release(spots.sparkSession)
-    found = located(distinct.join(crowded, "anchor", "left_anti")).unionByName(located_by_window(distinct.join(crowded, "anchor", "left_semi")))
-    starts = F.expr("transform(filter(hits, h -> h.first < id), h -> at + h.window)")
+    return marks.join(shared, "anchor", "left_semi").groupBy("id", "tag").agg(F.collect_set("anchor").alias("wanted"))
+
+
+def of_windows(crowded: DataFrame) -> DataFrame:
+    """What ``located`` gives, for contexts of crowded anchors: each distinct window goes through an automaton once."""
+    each = F.expr(f"transform(sequence(0, size(w) - {WINDOW}), i -> named_struct('shift', i, 'words', array_join(slice(w, i + 1, {WINDOW}), ' ')))")
+    windows = crowded.withColumn("w", F.split("context", " ")).select("anchor", "c", "lo", "hi", F.explode(each).alias("x")).select("anchor", "c", "lo", "hi", "x.shift", "x.words")
+    key = F.xxhash64("words")
+    distinct = windows.groupBy("words").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    found = located(distinct.select(key.alias("anchor"), F.xxhash64("words", F.lit(1)).alias("c"), F.col("words").alias("context"), "lo", "hi"))
+    hits = windows.select("anchor", "c", "shift", key.alias("k"), F.xxhash64("words", F.lit(1)).alias("k2")).join(found.select(F.col("anchor").alias("k"), F.col("c").alias("k2"), "hits"), ["k", "k2"])
+    moved = F.expr("transform(hits, h -> named_struct('start', h.start + shift, 'end', h.end + shift, 'first', h.first))")
+    return hits.select("anchor", "c", moved.cast(HITS).alias("hits"))
+
+
+def shared_spans(spots: DataFrame, tables: list) -> DataFrame:
+    """id, tag, spans: the words of each row that an earlier document's windows cover."""
+    distinct = stored(spots.groupBy("anchor", "c", "context").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "distinct", tables)
+    crowded = stored(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_CONTEXTS).select("anchor"), "crowded", tables)
+    found = located(distinct.join(crowded, "anchor", "left_anti")).unionByName(of_windows(distinct.join(crowded, "anchor", "left_semi")))
+    earlier = F.expr("transform(filter(hits, h -> h.first < id), h -> named_struct('start', at + h.start, 'end', at + h.end))")
     met = spots.select("id", "tag", "anchor", "c", "at").join(found, ["anchor", "c"])
-    hits = met.select("id", "tag", starts.alias("w")).where("size(w) > 0")
-    windows = stored(hits.groupBy("id", "tag").agg(F.flatten(F.collect_list("w")).alias("windows")), "windows")
-    discard(distinct)
-    return windows
+    hits = met.select("id", "tag", earlier.alias("s")).where("size(s) > 0")
+    return stored(hits.groupBy("id", "tag").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans", tables)
 
 
 def dedupe_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of every row; with keep_text also ``kept``, the words left of rows that lost some (null: none lost)."""
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
+    # with its id, a text's hash names a row
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    tables: list = []
     full = stored(profiles(rows), "profiles")
-    prof = stored(full.drop("anchors"), "heads")
+    prof = stored(full.drop("anchors"), "heads", tables)
     # rows with the words of an earlier document: all their windows recur
     same = prof.where(f"n_words >= {WINDOW}").groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("digest", "lo")
-    copies = stored(prof.select("id", "tag", "digest").join(same, "digest").where("id > lo").select("id", "tag").distinct(), "copies")
-    wanted = shared_anchors(full.select("id", "anchors"), copies)
+    copies = stored(prof.select("id", "tag", "digest").join(same, "digest").where("id > lo").select("id", "tag").distinct(), "copies", tables)
+    wanted = stored(shared_anchors(full.select("id", "tag", "anchors")).join(copies, ["id", "tag"], "left_anti"), "wanted")
     discard(full)
-    release(rows.sparkSession)
-    asked = stored(with_tag(rows.where("text IS NOT NULL").join(wanted, "id")), "asked")
+    asked = stored(rows.where("text IS NOT NULL").join(wanted, ["id", "tag"]), "asked", tables)
     discard(wanted)
-    release(rows.sparkSession)
     spots = stored(contexts_of(asked), "contexts")
-    windows = shared_windows(spots)
+    spans = shared_spans(spots, tables)
     discard(spots)
-    release(rows.sparkSession)
-    gone = remove(asked.select("id", "tag", "text").join(windows, ["id", "tag"])).dropDuplicates(["id", "tag"])
+    gone = remove(asked.select("id", "tag", "text").join(spans, ["id", "tag"])).dropDuplicates(["id", "tag"])
     settled = gone.select("id", "tag", "n_removed", F.sha2("kept", 256).alias("kept_sha"), *(["kept"] if keep_text else []))
     out = prof.select("id", "tag", "n_words", "digest").join(settled, ["id", "tag"], "left").join(copies.withColumn("copied", F.lit(True)), ["id", "tag"], "left")
     n = F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(F.col("copied"), F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha", F.lower(F.hex("digest"))))
     kept = [F.when(F.col("copied"), "").otherwise(F.col("kept")).alias("kept")] if keep_text else []
-    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias(id_col), "n_words", n.alias("n_removed"), sha.alias("kept_sha256"), *kept)
-
-
-def with_tag(rows: DataFrame) -> DataFrame:
-    """rows with the tag of their words."""
-    added = T.StructType().add("tag", "long")
-
-    def make():
-        return lambda b: {"tag": [tag(digest((t or "").encode().split())) for t in texts_of(b, "text")]}
-
-    return arrow_map(rows, added, make, "text")
+    done = stored(out.select(F.when(F.col("id") != LAST, F.col("id")).alias(id_col), "n_words", n.alias("n_removed"), sha.alias("kept_sha256"), *kept), "result")
+    discard(*tables)
+    return done
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
