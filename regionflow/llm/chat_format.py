@@ -6,7 +6,8 @@ a message's text, ``regenerate`` starts its text anew.  The log is partitioned
 by conversation and message, sorted by sequence and folded: the last edit or
 regeneration of a message wins, with the deltas after it.  Messages are folded
 first, so a conversation's own group gets one row a message, not one an event.
-Whole messages that share a number stay separate messages.
+Whole messages that share a number stay separate messages; later deltas, edits
+and regenerations belong to the last one before them.
 
 The rendered form of a turn is ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``.  Inside
 roles and texts a backslash, ``<`` and ``[`` become two characters (``\\e``,
@@ -15,7 +16,7 @@ gives the text.  The loss mask has one entry a turn: the code points of its
 text in the rendered form, and whether they count (assistant turns).
 
 Defined results: null texts and roles are empty; ties in sequence go by kind,
-role and text; repeated rows are repeated messages; null conversation ids form
+role and text; null sequence and message numbers stand last; repeated rows are repeated messages; null conversation ids form
 one conversation; an empty log gives no conversations; other columns are left out.
 """
 
@@ -48,15 +49,18 @@ def fold_events(log: DataFrame) -> DataFrame:
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     rank = F.when(F.col("kind") == "message", 0).when(F.col("kind") == "delta", 3).when(F.col("kind") == "edit", 1).otherwise(2)
-    event = F.struct(F.col("seq").alias("seq"), rank.alias("rank"), role.alias("role"), text.alias("text"))
+    # nulls in order stand last
+    event = F.struct(F.col("seq").isNull().alias("unordered"), F.col("seq").alias("seq"), rank.alias("rank"), role.alias("role"), text.alias("text"))
     by_message = log.groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list(event)).alias("e"))
-    # the fold of one message: from its last reset on, texts are joined; whole messages alone stay as they are
+    # a whole message begins a part of its own, and so does the first event; a part is folded from its last reset on
+    cuts = F.when(F.expr("exists(e, x -> x.rank > 0)"), F.expr("filter(transform(e, (x, i) -> if(i = 0 or x.rank = 0, i, -1)), i -> i >= 0)"))
+    part = F.expr("transform(cuts, (c, k) -> slice(e, c + 1, coalesce(try_element_at(cuts, k + 2), size(e)) - c))")
+    live = "slice(p, array_max(transform(p, (x, i) -> if(x.rank < 3, i, 0))) + 1, size(p))"
+    folded = F.expr(f"transform(parts, p -> named_struct('role', p[0].role, 'text', array_join(transform({live}, x -> x.text), '')))")
     whole = F.expr("transform(e, x -> named_struct('role', x.role, 'text', x.text))")
-    last = F.expr("array_max(transform(e, (x, i) -> if(x.rank in (0, 1, 2), i, 0)))")
-    live = F.expr("slice(e, last + 1, size(e) - last)")
-    joined = F.expr("array(named_struct('role', e[0].role, 'text', array_join(transform(live, x -> x.text), '')))")
-    folded = by_message.withColumn("last", last).withColumn("live", live).select("conv_id", "msg", F.when(F.expr("forall(e, x -> x.rank = 0)"), whole).otherwise(joined).alias("m"))
-    return folded.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("msg", "m"))), lambda x: x["m"])).alias("turns"))
+    messages = by_message.withColumn("cuts", cuts).withColumn("parts", part)
+    messages = messages.select("conv_id", F.col("msg").isNull().alias("unordered"), "msg", F.when(F.col("parts").isNull(), whole).otherwise(folded).alias("m"))
+    return messages.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("unordered", "msg", "m"))), lambda x: x["m"])).alias("turns"))
 
 
 def render(conversations: DataFrame) -> DataFrame:

@@ -212,39 +212,3 @@ def _powers(n: int):
         with np.errstate(over="ignore"):
             _tables[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _tables
-
-
-class WordHashes:
-    """64-bit hashes of words, by a table that is filled as words come."""
-
-    def __init__(self, most: int = 200_000):
-        import xxhash
-
-        self.most, self.hash = most, xxhash.xxh3_64_intdigest
-        self.clear()
-
-    def clear(self) -> None:
-        import numpy as np
-
-        table = self
-
-        class Numbers(dict):
-            def __missing__(self, word):
-                n = self[word] = len(self)
-                table.fresh.append(table.hash(word))
-                return n
-
-        self.numbers, self.fresh, self.values = Numbers(), [], np.empty(0, np.uint64)
-
-    def of(self, split: list[list[bytes]]):
-        """The hashes of all words, one text after another."""
-        import numpy as np
-
-        if len(self.numbers) > self.most:
-            self.clear()
-        numbers = self.numbers
-        at = np.array([numbers[w] for words in split for w in words], np.int64)
-        if self.fresh:
-            self.values = np.concatenate([self.values, np.array(self.fresh, np.uint64)])
-            self.fresh.clear()
-        return self.values[at]

@@ -2,12 +2,16 @@
 
 The standard library's parser streams events; block elements break the page
 into lines.  Each line has a ratio of its text to its tags, zero inside
-elements that are boilerplate by their nature (menus, footers, forms, adverts).
+elements that are boilerplate by their nature (menus, footers, forms) or by a
+whole name of their class, id or role (``sidebar``, ``cookie-banner``, not
+``no-sidebar``), unless that element holds the page's content.
 Ratios are smoothed by a Gaussian over neighbouring lines; lines whose smoothed
 ratio reaches a share of the largest form clusters, the best cluster's element
 (article, main, or the smallest element around it) is the content region, and
 every line of it that isn't boilerplate is kept, however short.
 
+Everything is linear in the page's length.
+
 Defined results: a null, empty or text-free page gives an empty text; nothing
 is capped; repeated rows give repeated results; an empty table gives an empty
 table; input columns are kept and clashing ones replaced.
@@ -28,26 +32,46 @@ from .common import arrow_map, table, texts_of
 SIGMA, SHARE = 1.5, 0.12
 #: Share of the content lines' text that the content region must hold.
 HELD = 0.95
+#: Share of a page's text at which an element isn't boilerplate by its name: with a first heading inside, and without.
+MOST, NEARLY_ALL = 0.5, 0.9
 
 # HTML elements by their role.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 SECTIONS = frozenset("article body center div main section table td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style head title noscript template iframe object svg canvas select button textarea nav footer aside form menu dialog".split())
-# Words in class, id or role that mark boilerplate.
+# Words in class, id or role that mark boilerplate, and words that may stand beside them.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+BESIDE = frozenset("area bar block body bottom box container global group inner item items left link links list main outer page panel primary right secondary section site text thread top unit wrap wrapper".split())
 CLOSES_P = BLOCK - {"body", "html", "head"}
-_MARK = re.compile(r"[a-z]+")
+#: End tags of these don't reach beyond the nearest of SCOPES.
+LOOSE, SCOPES = frozenset("p li b i a span".split()), frozenset(["article", "body"])
+_CAMEL, _PART = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[a-z]+")
+
+
+def marked(value: str) -> bool:
+    """One of the value's names says boilerplate: all its parts are marks, or words that may stand beside one."""
+    for name in value.split():
+        parts = _PART.findall(_CAMEL.sub("-", name).lower())
+        if not MARKS.isdisjoint(parts) and all(x in MARKS or x in BESIDE for x in parts):
+            return True
+    return False
+
+
+NONE, SOFT, HARD = range(3)
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, boilerplate?, path of open elements)."""
+    """Lines of a page, (text, tags, element), and its elements: parent, tag and mark of each; 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []
-        self.ids = 0
-        self.lines: list[tuple[str, int, bool, tuple]] = []
+        self.parent, self.tag, self.mark = [0], ["page"], [NONE]
+        self.open: list[int] = []
+        # open elements of each name: in all, and since each open element of SCOPES
+        self.held: Counter = Counter()
+        self.scopes: list[Counter] = [Counter()]
+        self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.tags = 0
 
@@ -55,23 +79,41 @@ class Lines(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, any(x[2] for x in self.open), tuple(self.open)))
+                self.lines.append((text, self.tags, self.open[-1] if self.open else 0))
                 self.tags = 0
             self.text = []
 
-    def boilerplate(self, tag, attrs):
+    def kind(self, tag, attrs) -> int:
         if tag in SKIP:
-            return True
+            return HARD
         if tag == "header":
-            return not any(x[0] in ("article", "main", "section") for x in self.open)
+            return NONE if self.held["article"] or self.held["main"] or self.held["section"] else HARD
         if tag in ("article", "main", "body", "html"):
-            return False
+            return NONE
         for k, v in attrs:
-            if k in ("class", "id", "role") and v and not MARKS.isdisjoint(_MARK.findall(v.lower())):
-                return True
             if k == "hidden" or (k == "aria-hidden" and v == "true"):
-                return True
-        return False
+                return HARD
+        return SOFT if any(k in ("class", "id", "role") and v and marked(v) for k, v in attrs) else NONE
+
+    def begin(self, tag, attrs):
+        self.parent.append(self.open[-1] if self.open else 0)
+        self.mark.append(self.kind(tag, attrs))
+        self.tag.append(tag)
+        self.open.append(len(self.tag) - 1)
+        self.held[tag] += 1
+        if tag in SCOPES:
+            self.scopes.append(Counter())
+        self.scopes[-1][tag] += 1
+
+    def end(self, place):
+        """Ends the open elements from this place on."""
+        for e in reversed(self.open[place:]):
+            tag = self.tag[e]
+            self.held[tag] -= 1
+            self.scopes[-1][tag] -= 1
+            if tag in SCOPES:
+                self.scopes.pop()
+        del self.open[place:]
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -95,8 +137,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if tag in BLOCK or tag in SKIP or attrs:
-            self.ids += 1
-            self.open.append((tag, self.ids, self.boilerplate(tag, attrs)))
+            self.begin(tag, attrs)
         if tag in ("script", "style", "textarea", "title"):
             self.flush()
 
@@ -105,23 +146,57 @@ class Lines(HTMLParser):
 
     def close_to(self, tag, barrier):
         """Ends the nearest open element of this name, unless one of ``barrier`` stands in between."""
+        if not self.held[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+            name = self.tag[self.open[i]]
+            if name == tag:
+                self.end(i)
                 return
-            if self.open[i][0] in barrier:
+            if name in barrier:
                 return
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCK or tag in SKIP:
             self.flush()
-        if any(x[0] == tag for x in self.open):
-            self.close_to(tag, {"article", "body"} - {tag} if tag in ("p", "li", "b", "i", "a", "span") else ())
+        if self.scopes[-1][tag] if tag in LOOSE else self.held[tag]:
+            self.close_to(tag, ())
 
     def handle_data(self, data):
         self.text.append(data)
 
+    def sums(self, of_lines: list[float]) -> list[float]:
+        """For each element, the sum over the lines inside it."""
+        out = [0.0] * len(self.tag)
+        for (_, _, e), x in zip(self.lines, of_lines):
+            out[e] += x
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def inside(self, chosen: list[bool]) -> list[bool]:
+        """For each line, whether an element that is chosen holds it."""
+        held = list(chosen)
+        for e in range(1, len(held)):
+            held[e] = held[e] or held[self.parent[e]]
+        return [held[e] for _, _, e in self.lines]
+
+    def boilerplate(self) -> list[bool]:
+        """For each line, whether it's inside an element that is boilerplate.
+
+        A class or an id can err: an element that holds a first heading (or a main element) and most of the page's
+        text, or nearly all of it, isn't boilerplate by its name.
+        """
+        hard = self.inside([m == HARD for m in self.mark])
+        size = self.sums([0.0 if h else len(x[0]) for x, h in zip(self.lines, hard)])
+        heads = [0] * len(self.tag)
+        for e in range(len(heads) - 1, 0, -1):
+            heads[e] += self.tag[e] in ("h1", "main")
+            heads[self.parent[e]] += heads[e]
+        whole = [size[e] >= (MOST if heads[e] else NEARLY_ALL) * size[0] for e in range(len(size))]
+        return self.inside([m == HARD or (m == SOFT and not w) for m, w in zip(self.mark, whole)])
+
 
 def smoothed(ratios: list[float]) -> list[float]:
     import numpy as np
@@ -131,37 +206,42 @@ def smoothed(ratios: list[float]) -> list[float]:
     return np.convolve(np.asarray(ratios, float), k / k.sum(), "full")[r : r + len(ratios)].tolist()
 
 
+#: What would begin a tag or a comment.
+_OPENING = re.compile(r"<[a-zA-Z/!?]")
+
+
+def without_open_end(html: str) -> str:
+    """html without a tag that never ends: nothing behind its ``<`` is text."""
+    m = _OPENING.search(html, html.rfind(">") + 1)
+    return html[: m.start()] if m else html
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page: its blocks in order, joined by an empty line."""
     p = Lines()
-    p.feed(html or "")
+    p.feed(without_open_end(html or ""))
     p.close()
     p.flush()
     lines = p.lines
     if not lines:
         return ""
-    smooth = smoothed([0.0 if dull else len(text) / (tags + 1) for text, tags, dull, _ in lines])
+    dull = p.boilerplate()
+    smooth = smoothed([0.0 if d else len(text) / (tags + 1) for (text, tags, _), d in zip(lines, dull)])
     least = SHARE * max(smooth)
-    hot = [i for i, x in enumerate(lines) if not x[2] and smooth[i] >= least]
-    if not hot:
+    hot = [len(x[0]) if not d and s >= least else 0 for x, d, s in zip(lines, dull, smooth)]
+    if not any(hot):
         return ""
     # clusters of hot lines weigh for each element that holds them; an article or main holds the page's content if there is one
-    weight: dict[int, float] = {}
-    named: dict[int, float] = {}
-    for i in hot:
-        for tag, key, _ in lines[i][3]:
-            weight[key] = weight.get(key, 0.0) + len(lines[i][0])
-            if tag in ("article", "main"):
-                named[key] = weight[key]
+    weight = p.sums(hot)
+    named = [e for e, tag in enumerate(p.tag) if tag in ("article", "main") and weight[e]]
     if named:
-        best = max(named, key=lambda k: (named[k], k))
+        best = max(named, key=lambda e: (weight[e], e))
     else:
         # the innermost element that holds nearly all of them, and more than a single line
-        total = sum(len(lines[i][0]) for i in hot)
-        n_lines = Counter(k for _, _, dull, path in lines if not dull for tag, k, _ in path if tag in SECTIONS)
-        held = [k for k, n in n_lines.items() if n > 1 and weight.get(k, 0.0) >= HELD * total]
-        best = max(held) if held else None
-    return "\n\n".join(text for text, _, dull, path in lines if not dull and (best is None or any(k == best for _, k, _ in path)))
+        n_lines = p.sums([0 if d else 1 for d in dull])
+        best = max((e for e, tag in enumerate(p.tag) if tag in SECTIONS and n_lines[e] > 1 and weight[e] >= HELD * weight[0]), default=0)
+    kept = p.inside([e == best for e in range(len(p.tag))])
+    return "\n\n".join(x[0] for x, d, k in zip(lines, dull, kept) if k and not d)
 
 
 def extract_text(df: DataFrame, html_col: str = "html", keep_html: bool = True) -> DataFrame:

@@ -22,11 +22,13 @@ Sets are addressed by 64-bit hashes: among 1e9 distinct sets, two share an
 address with probability 0.03.
 
 Words are `[^\x20\x09-\x0D]+`.  Defined results: a text of one to four words is
-one shingle; null and wordless texts have no links and are a class each; rows
-without an id are no class but their own and have a null class_id, if no copy
-or near copy has an id; repeated rows share a class; an empty table gives an
-empty table; other columns are left out by ``near_classes`` and kept by
-``one_of_each``.
+one shingle; null and wordless texts have no links and are a class each; a class
+without any id has a null class_id; an id may name several texts, each of which
+has its own class; repeated rows share a class; an empty table gives an empty
+table; other columns are left out by ``near_classes`` and kept by ``one_of_each``.
+
+Every table between the steps is deleted once it's read; that of the result
+stays in the shared folder for its readers.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, arrow_map, stored, table, texts_of
+from .common import Words, arrow_map, discard, stored, table, texts_of
 
 NGRAM, THRESHOLD = 5, 0.8
 PERMS, ROWS = 128, 4
@@ -56,26 +58,29 @@ class Shingler:
         self.mix = rng.integers(1, 2**63, NGRAM, dtype=np.uint64) | np.uint64(1)
         self.a = (rng.integers(1, 2**32, PERMS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
         self.b = rng.integers(0, 2**32, PERMS, dtype=np.uint64).astype(np.uint32)[:, None]
-        self.words = WordHashes()
 
-    def sets(self, texts: list) -> list:
-        """The sorted distinct shingle hashes of each text."""
+    def phrases(self, h, m: int):
+        """Hashes of all phrases of m words."""
         import numpy as np
 
-        split = [(t or "").encode().split() for t in texts]
-        hashes, out, end = self.words.of(split), [], 0
-        for words in split:
-            n, end = len(words), end + len(words)
-            if not n:
-                out.append(np.empty(0, np.uint64))
-                continue
-            h = hashes[end - n : end]
-            m = min(n, NGRAM)
-            s = np.full(n - m + 1, np.uint64(m), np.uint64)
-            for k in range(m):
-                s = (s ^ h[k : n - m + 1 + k]) * self.mix[k]
-                s ^= s >> np.uint64(29)
-            out.append(np.unique(s))
+        s = np.full(max(len(h) - m + 1, 0), np.uint64(m), np.uint64)
+        for k in range(m):
+            s = (s ^ h[k : len(h) - m + 1 + k]) * self.mix[k]
+            s ^= s >> np.uint64(29)
+        return s
+
+    def sets(self, texts) -> list:
+        """The sorted distinct shingle hashes of each text of an Arrow column."""
+        import numpy as np
+
+        words = Words(texts)
+        h = words.hashes()
+        s = self.phrases(h, NGRAM)
+        out, at = [], 0
+        for n in words.sizes.tolist():
+            # a text of one to four words is one shingle
+            out.append(np.unique(s[at : at + n - NGRAM + 1]) if n >= NGRAM else self.phrases(h[at : at + n], n) if n else np.empty(0, np.uint64))
+            at += n
         return out
 
     def signature(self, s) -> bytes:
@@ -87,9 +92,18 @@ class Shingler:
         return low.astype("<u4").tobytes()
 
 
-def with_sets(df: DataFrame, keep: tuple[str, ...], text_col: str, binary_set: bool = False) -> DataFrame:
-    """keep columns with node (null without words), body (a hash of the text) and either sig or the set itself."""
-    added = T.StructType().add("node", "long").add("body", "long").add("shingles" if binary_set else "sig", "binary")
+#: The columns that name a row: hashes of its id and of its text.
+ROW = ("id_hash", "text_hash")
+
+
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, ROW and _text of docs; rows of one name have one id and one text."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias(ROW[0]), F.xxhash64(text_col).alias(ROW[1]), F.col(text_col).alias("_text"))
+
+
+def with_sets(rows: DataFrame, binary_set: bool = False) -> DataFrame:
+    """rows, their _text replaced by node (null without words) and either sig or the set itself."""
+    added = T.StructType().add("node", "long").add("shingles" if binary_set else "sig", "binary")
 
     def make():
         import numpy as np
@@ -98,17 +112,14 @@ def with_sets(df: DataFrame, keep: tuple[str, ...], text_col: str, binary_set: b
         shingler = Shingler()
 
         def f(batch):
-            texts = texts_of(batch, "_text")
-            sets = shingler.sets(texts)
-            signed = lambda x: int(np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64))
-            named = {"node": [signed(s.tobytes()) if len(s) else None for s in sets], "body": [signed(t or "") for t in texts]}
+            sets = shingler.sets(batch.column(batch.schema.get_field_index("_text")))
+            node = [int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None for s in sets]
             if binary_set:
-                return named | {"shingles": [s.tobytes() for s in sets]}
-            return named | {"sig": [shingler.signature(s) if len(s) else None for s in sets]}
+                return {"node": node, "shingles": [s.tobytes() for s in sets]}
+            return {"node": node, "sig": [shingler.signature(s) if len(s) else None for s in sets]}
 
         return f
 
-    rows = df.select(*keep, F.col(text_col).alias("_text"))
     return arrow_map(rows, added, make, "_text", ("_text",))
 
 
@@ -267,57 +278,80 @@ def verify(likely: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, label: the smallest node that links (a, b) connect to it.
+    """node, label: the smallest node that links (a, b) connect to it, as a table of the shared folder.
 
     Each round takes the smallest label among neighbours, then the label of that
     label, so a chain of n links needs about log n rounds; every round is written
-    to the shared folder.
+    to the shared folder, and the one before it deleted.
     """
     edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")), "edges")
-    labels = stored(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    labels = stored(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"), F.lit(True).alias("moved")), "labels")
     for _ in range(most_rounds):
         near = edges.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("m"))
         down = labels.join(near, F.col("node") == F.col("u"), "left").select("node", "label", F.least("label", "m").alias("new"))
         up = labels.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
         jumped = down.join(up, F.col("new") == F.col("n2"), "left").select("node", F.least("new", "l2").alias("label"), (F.least("new", "l2") < F.col("label")).alias("moved"))
         done = stored(jumped, "labels")
-        labels = done.select("node", "label")
+        discard(labels)
+        labels = done
         if done.where("moved").isEmpty():
+            discard(edges)
             return labels
     raise RuntimeError("components didn't settle")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of docs: its id, class_id (the smallest id of its class) and n_links (other texts that it links with)."""
-    rows = stored(with_sets(docs, (id_col,), text_col).withColumnRenamed(id_col, "id"), "signatures")
-    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "nodes")
-    texts_of_set = rows.where("node IS NOT NULL").select("node", "body").distinct().groupBy("node").agg(F.count("*").alias("n_texts")).where("n_texts > 1")
-    several = stored(texts_of_set, "several")
-    likely = stored(likely_partners(candidates(nodes).join(nodes.select("node", "sig"), "node")), "likely")
-    # the sets of the texts that are still in question, each from the row that stands for it
-    asked = likely.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked.select(F.col("rep").alias("id2"), F.col("node").alias("asked")), F.expr("id <=> id2"))
-    sets = stored(with_sets(texts, ("asked",), "text", True).where("node = asked").dropDuplicates(["node"]).select("node", "shingles"), "sets")
+def row_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, ROW, node, label, class_id, n_links of every row of docs, as a table of the shared folder.
+
+    label: a number of the row's class, null without words; class_id: the smallest id of the class.
+    """
+    tables: list = []
+    texts = named(docs, id_col, text_col)
+    rows = stored(with_sets(texts), "signatures", tables)
+    worded = rows.where("node IS NOT NULL")
+    # a node's set is taken from one of its rows
+    nodes = stored(worded.groupBy("node").agg(F.min("id").alias("rep"), F.min(F.struct(*ROW)).alias("row"), F.first("sig").alias("sig")), "nodes", tables)
+    several = stored(worded.select("node", "text_hash").distinct().groupBy("node").agg(F.count("*").alias("n_texts")).where("n_texts > 1"), "several", tables)
+    likely = stored(likely_partners(candidates(nodes).join(nodes.select("node", "sig"), "node")), "likely", tables)
+    # the sets of the texts that are still in question
+    asked = likely.select("node").distinct().join(nodes.select("node", "row"), "node").select(F.col("node").alias("asked"), "row.*")
+    sets = with_sets(texts.drop("id").join(asked, [*ROW]), True).where("node = asked").dropDuplicates(["node"]).select("node", "shingles")
+    sets = stored(sets, "sets", tables)
     held = sets.join(several, "node", "left").select("node", "shingles", F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
-    links = stored(verify(likely.join(held, "node")), "links")
+    links = stored(verify(likely.join(held, "node")), "links", tables)
     label = components(links.where("node <> end").select(F.col("node").alias("a"), F.col("end").alias("b")))
-    ranked = label.join(nodes.select("node", "rep"), "node")
-    of_label = ranked.groupBy("label").agg(F.min("rep").alias("class_id"))
+    tables.append(label)
+    of_label = label.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
     degree = links.groupBy("node").agg(F.sum("n").alias("n"))
-    linked = label.join(of_label, "label").join(degree, "node").select("node", "class_id", "n")
+    linked = label.select("node", "label").join(of_label, "label").join(degree, "node")
     known = nodes.select("node", "rep").join(linked, "node", "left").join(several, "node", "left")
-    known = known.select("node", F.coalesce("class_id", "rep").alias("class_id"), F.expr("coalesce(n, 0L) + coalesce(n_texts, 1L) - 1L").alias("n_links"))
+    known = known.select("node", F.coalesce("label", "node").alias("label"), F.coalesce("class_id", "rep").alias("class_id"), F.expr("coalesce(n, 0L) + coalesce(n_texts, 1L) - 1L").alias("n_links"))
     # written, so that the last join is of two plain shuffles and Spark can split the rows of a set with many copies
-    known = stored(known, "known")
-    out = rows.select("id", "node").join(known, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = stored(known, "known", tables)
+    out = rows.select("id", *ROW, "node").join(known, "node", "left")
+    done = stored(out.select("id", *ROW, "node", "label", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    discard(*tables)
+    return done
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a row of docs: its id, class_id (the smallest id of its class) and n_links (other texts that it links with)."""
+    return row_classes(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class, that of the smallest id; rows without an id stay."""
-    kept = near_classes(docs, id_col, text_col).where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_kept")).distinct()
-    chosen = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return chosen.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each class: that of the smallest id, a row without an id only if no other has one.
+
+    Rows are chosen by id and text together, so that an id which names several
+    texts keeps each that isn't a copy.  Texts without words are no copies of
+    another.  Repeated rows of one id and one text are one document.
+    """
+    rows = row_classes(docs, id_col, text_col)
+    first = F.min(F.struct(F.col("id").isNull(), "id", *ROW)).alias("row")
+    keys = [f"_{c}" for c in ROW]
+    kept = rows.where("label IS NOT NULL").groupBy("label").agg(first).select("row.id_hash", "row.text_hash").union(rows.where("label IS NULL").select(*ROW)).toDF(*keys)
+    chosen = docs.withColumns({k: F.xxhash64(of) for k, of in zip(keys, (id_col, text_col))}).join(kept, keys, "left_semi").dropDuplicates(keys)
+    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -266,7 +266,7 @@ def test_a_large_group_proposes_linearly_many_pairs(spark):
         w[rng.randrange(200)] = f"edit{i}"
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = near_dup.with_sets(docs, ("doc_id",), "text")
+    nodes = near_dup.with_sets(near_dup.named(docs, "doc_id", "text"))
     assert near_dup.candidates(nodes).count() < 400 * 2 * near_dup.BANDS
     assert near_dup.near_classes(docs).select("class_id").distinct().count() == 1
 
