@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from .common import arrow_map, table, texts_of
 
 WINDOW, SAMPLE = 13, 8
-#: Bytes of item text in a block, and of document text in a shard.
-BLOCK_BYTES, SHARD_BYTES = 32 << 20, 8 << 20
+#: Bytes of item text in a block (about 150 MB of phrases in a worker), and of document text in a shard.
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 
 #: UTF-8 bytes of words, lower-cased; all else is a blank.  Every byte of a character beyond ASCII is of a word.
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -42,24 +42,55 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The test phrases of one block of items over an alphabet of their words; 0 is the separator."""
+    """The distinct test phrases of one block of items over an alphabet of their words; 0 is the separator."""
 
     def __init__(self, items: list[tuple]):
         import numpy as np
 
         self.ids: dict[bytes, int] = {}
-        rows: dict[tuple, set] = {}
+        number: dict[str, int] = {}
+        flat, sizes, owner = [], [], []
         for key, text in items:
             w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)]
-            n = min(len(w), WINDOW)
-            for i in range(len(w) - n + 1 if n else 0):
-                rows.setdefault(tuple(w[i : i + n]), set()).add(key)
-        self.items = [sorted(x) for x in rows.values()]
-        self.lengths = np.array([len(r) for r in rows], np.int64)
+            flat += w
+            sizes.append(len(w))
+            owner.append(number.setdefault(key, len(number)))
+        self.keys = list(number)
+        sizes, flat = np.array(sizes, np.int64), np.array(flat, np.int32)
+        windows = np.where(sizes, np.maximum(sizes - WINDOW + 1, 1), 0)
+        first = np.repeat(np.cumsum(sizes) - sizes, windows)
+        start = first + np.arange(len(first)) - np.repeat(np.cumsum(windows) - windows, windows)
+        length = np.repeat(np.minimum(sizes, WINDOW), windows)
         # right aligned: backward search starts in the last column
-        self.matrix = np.zeros((len(rows), WINDOW), np.int64)
-        for i, r in enumerate(rows):
-            self.matrix[i, WINDOW - len(r) :] = r
+        matrix = np.zeros((len(start), WINDOW), np.int32)
+        for k in range(WINDOW):
+            has = length > k
+            matrix[has, WINDOW - 1 - k] = flat[(start + length - 1 - k)[has]]
+        kept, group = distinct_rows(matrix)
+        self.matrix, self.lengths = matrix[kept], length[kept]
+        # the items of each phrase, each once
+        pairs = np.unique(group * max(len(self.keys), 1) + np.repeat(np.array(owner, np.int64), windows))
+        phrase, self.item = np.divmod(pairs, max(len(self.keys), 1))
+        self.item_start = np.searchsorted(phrase, np.arange(len(kept) + 1))
+
+    def items(self, phrase: int) -> list[str]:
+        return [self.keys[i] for i in self.item[self.item_start[phrase] : self.item_start[phrase + 1]].tolist()]
+
+
+def distinct_rows(matrix):
+    """(places of one row of each kind, each row's kind) of a matrix of small integers: by a hash, checked number by number."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    while True:
+        h = np.zeros(len(matrix), np.uint64)
+        for k in range(matrix.shape[1]):
+            h = (h ^ matrix[:, k].astype(np.uint64)) * (rng.integers(1, 2**63, dtype=np.uint64) | np.uint64(1))
+            h ^= h >> np.uint64(29)
+        _, kept, kind = np.unique(h, return_index=True, return_inverse=True)
+        if all((matrix[kept, k][kind] == matrix[:, k]).all() for k in range(matrix.shape[1])):
+            return kept, kind
+        # two unlike rows have one hash: another hash parts them
 
 
 class WaveletMatrix:
@@ -237,7 +268,7 @@ def shard_hits(texts: list, phrases: Phrases):
         begin = at - np.array(starts)[doc]
         for d, s, p in zip(doc.tolist(), begin.tolist(), which.tolist()):
             spans[d].append([s, s + int(phrases.lengths[p])])
-            items[d].update(phrases.items[p])
+            items[d].update(phrases.items(p))
     return n_words, [merged(s) for s in spans], items
 
 

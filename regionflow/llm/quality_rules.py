@@ -1,15 +1,18 @@
 """Quality rules: an isolation forest on rule statistics.
 
 Rule statistics are taken from every whole text.  The forest's trees are random
-splits of a bounded sample of labelled good rows (``max_labelled`` rows at most,
-those with the smallest hash of doc_id); short mean path lengths mark documents
-unlike them.  The threshold is calibrated on the same labelled rows: the score
-that parts good from bad best, among those that reject ``max_loss`` of the good
-rows at most.  The model is a few hundred kilobytes at any corpus size.
+splits of a bounded sample of labelled good rows (one text each of
+``max_labelled`` labelled documents at most, those with the smallest hash of
+doc_id); short mean path lengths mark documents unlike them.  Trees are grown
+from one half of the good rows; the threshold is calibrated on the other half
+and the bad rows: the score that parts good from bad best, among those that
+reject ``max_loss`` of the good rows at most.  The model is a few hundred
+kilobytes at any corpus size.
 
 Defined results: a null text has no words; texts without words fail the base
-rules; without labelled rows of both kinds the method rejects nothing and the
-base rules alone decide; repeated rows are judged each; empty tables give empty
+rules; a document labelled both ways is bad; with fewer than four good labelled
+rows of 50 words, or no bad one, the method rejects nothing and the base rules
+alone decide; repeated rows are judged each; empty tables give empty
 tables; input columns are kept and clashing ones replaced.
 """
 
@@ -152,16 +155,22 @@ def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """A calibrated forest, or None without labelled rows of both kinds."""
     import numpy as np
 
-    chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    # a document labelled both ways counts as bad, and one text stands for an id: the rows are bounded
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("integer")).alias("_label"))
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    got = with_statistics(rows.select("_label", "_text"), "_text", False).select("_label", "features", "n_words").where("n_words >= 50").limit(4 * max_labelled).toPandas()
+    found = with_statistics(rows.select("_id", "_label", F.xxhash64("_text").alias("_h"), "_text"), "_text", False).where("n_words >= 50")
+    got = found.groupBy("_id").agg(F.max("_label").alias("_label"), F.min_by("features", "_h").alias("features"), F.xxhash64("_id", F.lit(1)).alias("_part")).toPandas()
     good = got["_label"].to_numpy() == 1
-    if good.sum() < 20 or (~good).sum() < 1:
+    if good.sum() < 4 or (~good).sum() < 1:
         return None
-    x = np.array(got["features"].tolist())
-    order = np.lexsort(x.T)
-    x, good = x[order], good[order]
-    forest = Forest(x[good], x)
+    x, part = np.array(got["features"].tolist()), got["_part"].to_numpy()
+    order = np.lexsort((part, *x.T))
+    x, good, part = x[order], good[order], part[order]
+    # trees are grown from one half of the good rows, the threshold is set by the other half and the bad rows
+    grown = good & (np.argsort(np.argsort(np.where(good, part, np.iinfo(np.int64).max), kind="stable"), kind="stable") < good.sum() // 2)
+    forest = Forest(x[grown], x)
+    x, good = x[~grown], good[~grown]
     s = forest.score(x)
     cuts = np.unique(s[s >= np.quantile(s[good], 1 - max_loss)])
     gain = [(s[~good] > c).mean() - (s[good] > c).mean() for c in cuts]

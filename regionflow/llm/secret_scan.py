@@ -1,8 +1,9 @@
 r"""Secret scans: an incremental ledger of content-addressed blobs.
 
-Every version of a text is addressed by its SHA-256.  The ledger, a table in
-the shared folder, holds the findings of each (blob, rule version) pair ever
-scanned.  A scan groups the texts by address, keeps one path of each blob
+Every version of a text is addressed by its SHA-256.  The ledger, a table at a
+path of the caller's (queries take it from ``spark.regionflow.secretLedger``,
+and start an empty one where that isn't set), holds the findings of each (blob,
+rule version) pair ever scanned.  A scan groups the texts by address, keeps one path of each blob
 (the groups are pre-aggregated, so thousands of copies cost nothing), drops the
 pairs that the ledger has, scans the rest and appends them; then the findings
 are joined back to all paths, whose copies Spark may split, since the other side
@@ -14,6 +15,8 @@ further kinds add spans: github, jwt, private_key.  Offsets are code points.
 Defined results: a null text is an empty blob without findings; repeated rows
 get the findings of their blob each; an empty table gives an empty table; the
 paths' other columns are kept and clashing ones replaced.
+
+The ledger stays, and so does the table of findings that the result reads.
 """
 
 from __future__ import annotations
@@ -24,21 +27,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, shared_dir, table, texts_of, without
+from .common import arrow_map, shared_dir, stored, table, texts_of, without
 
 #: Raise with every change of the rules: pairs of older versions are scanned anew.
 RULE_VERSION = 1
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 BASE_KINDS = ("assign", "access", "hex")
-MORE = {
-    "github": ("gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")),
-    "jwt": ("eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    "private_key": ("PRIVATE KEY", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")),
-}
+GITHUB = re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")
+PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")
+_DOTTED, _JWT_HEAD = re.compile(r"[A-Za-z0-9_.-]+"), re.compile(r"\beyJ")
+
+
+def web_tokens(text: str) -> list[tuple[int, int]]:
+    """Three parts of 8 or more characters parted by dots, the first behind ``eyJ``: maximal runs, then their parts, so each character is seen once."""
+    out = []
+    for run in _DOTTED.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        at, done = run.start(), -1
+        parts = []
+        for p in run[0].split("."):
+            parts.append((at, p))
+            at += len(p) + 1
+        for (at, a), (_, b), (last, c) in zip(parts, parts[1:], parts[2:]):
+            m = _JWT_HEAD.search(a)
+            if at > done and m and len(a) - m.end() >= 8 and len(b) >= 8 and len(c) >= 8:
+                done = last + len(c)
+                out.append((at + m.start(), done))
+    return out
+
+
+def spans_of(rule: re.Pattern):
+    return lambda text: [m.span() for m in rule.finditer(text)]
+
+
+#: Kinds beyond the base: a string without which there are none, and what finds them.
+MORE = {"github": ("gh", spans_of(GITHUB)), "jwt": ("eyJ", web_tokens), "private_key": ("PRIVATE KEY", spans_of(PRIVATE_KEY))}
 KINDS = [*BASE_KINDS, *MORE]
 
 FINDING = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer"))
@@ -52,9 +79,9 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
         found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    for kind, (hint, rule) in MORE.items():
+    for kind, (hint, find) in MORE.items():
         if hint in text:
-            found += [(kind, m.start(), m.end()) for m in rule.finditer(text)]
+            found += [(kind, *span) for span in find(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -93,8 +120,10 @@ def scan_secrets(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text
     # repeated rows of one (id, blob) are scanned each, and count once in the ledger
     scanned = scan_blobs(todo, "_text").groupBy("blob").agg(F.max("findings").alias("findings"))
     scanned.select("blob", F.lit(rule_version).cast("integer").alias("rule_version"), "findings").write.mode("append").parquet(ledger_path)
-    # the ledger has a pair once: the other side of this join is the paths as they are, whose hot blobs Spark can split
+    # a table of its own, in which a pair stands once even if two scans added it: the other side of this join is the
+    # paths as they are, whose hot blobs Spark can split
     known = read_ledger(spark, ledger_path).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
+    known = stored(known.dropDuplicates(["blob"]), "findings")
     back = docs.select(*kept, address.alias("blob")).join(known, "blob", "left")
     return back.select(*kept, F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
@@ -107,15 +136,26 @@ def joined(findings, kinds=None):
 def redact(docs: DataFrame, ledger_path: str, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """docs with every secret's span replaced by ``mark``; overlapping spans are replaced together."""
     found = scan_secrets(docs, ledger_path, text_col=text_col)
-    step = """aggregate(findings, named_struct('at', 0, 'out', ''),
-        (s, f) -> if(f.end <= s.at, s, named_struct('at', f.end, 'out', concat(s.out, substring(`{c}`, s.at + 1, greatest(f.start - s.at, 0)), if(f.start >= s.at, '{m}', '')))),
-        s -> concat(s.out, substring(`{c}`, s.at + 1)))""".format(c=text_col, m=mark)
-    return found.withColumn(text_col, F.when(F.size("findings") > 0, F.expr(step)).otherwise(F.col(text_col))).drop("findings")
+    # the stretches between secrets, joined by the mark
+    cut = lambda s, f: F.struct(f["end"].alias("at"), F.when(f["start"] >= s["at"], F.array_append(s["left"], F.struct(s["at"].alias("a"), f["start"].alias("z")))).otherwise(s["left"]).alias("left"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,z:int>>").alias("left"))
+    text = F.col(f"`{text_col}`")
+    left = F.aggregate("findings", zero, lambda s, f: F.when(f["end"] <= s["at"], s).otherwise(cut(s, f)), lambda s: F.array_append(s["left"], F.struct(s["at"].alias("a"), F.length(text).alias("z"))))
+    clean = F.array_join(F.transform(left, lambda g: F.substr(text, g["a"] + 1, g["z"] - g["a"])), mark)
+    return found.withColumn(text_col, F.when(F.size("findings") > 0, clean).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: Names a ledger that outlives a session; without it each call of a query starts an empty one.
+LEDGER = "spark.regionflow.secretLedger"
+
+
+def ledger_of(spark) -> str:
+    return spark.conf.get(LEDGER, None) or f"{shared_dir(spark)}-ledger"
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan_secrets(docs, f"{shared_dir(spark)}-ledger", keep_text=False)
+    found = scan_secrets(docs, ledger_of(spark), keep_text=False)
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",

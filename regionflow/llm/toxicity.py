@@ -8,11 +8,12 @@ phrases (two-word phrases with a stem that only clean training rows have, and
 any given ones) take a match back.  The sum of the weights, and the sum
 normalised by length, give the score through a logistic calibration.
 
-Training reads at most ``max_labelled`` labelled rows (those with the smallest
-hash of doc_id) and never a held-out row; lexicon and phrases are bounded by
-``max_terms``.  All documents are scored whole.
+Training reads one text each of at most ``max_labelled`` labelled documents
+(those with the smallest hash of doc_id) and never a held-out one; a stem must
+be in ``MIN_TOXIC`` toxic training texts; lexicon and phrases are bounded by
+``max_terms``.  All documents are scored whole, in time linear in their length.
 
-Defined results: null and empty texts score as texts without a match; without
+Defined results: a document labelled both ways is toxic; null and empty texts score as texts without a match; without
 toxic training rows every score is the toxic share of the training rows (0 if
 there is none); repeated rows are scored each; empty tables give empty tables;
 input columns are kept and clashing ones replaced.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, table, texts_of
+from .common import arrow_map, discard, stored, table, texts_of
 
 MAX_LABELLED, MAX_TERMS, MIN_TOXIC, THRESHOLD = 24_000, 2_000, 6, 0.3
 
@@ -96,7 +97,16 @@ class Model:
                 free.append((start, end))
             elif start not in best or best[start][1] < w:
                 best[start] = (padded[start : end + 1], w)
-        return [(s, t, w) for s, (t, w) in best.items() if not any(a <= s < b for a, b in free)]
+        # both in order, so one pass tells which matches begin inside a phrase
+        free.sort()
+        out, k, reach = [], 0, -1
+        for s, (t, w) in sorted(best.items()):
+            while k < len(free) and free[k][0] <= s:
+                reach = max(reach, free[k][1])
+                k += 1
+            if s >= reach:
+                out.append((s, t, w))
+        return out
 
     def features(self, text: str | None) -> list[float]:
         folded = fold(text)
@@ -144,13 +154,24 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out=None, exceptions: tuple[str, ...] = (), max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Model:
     """A model of at most max_terms stems, learned from labelled rows that aren't held out."""
-    import numpy as np
-
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("integer").alias("label"))
+    # a document labelled both ways counts as toxic
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("integer")).alias("label"))
     if held_out is not None:
         known = known.where(~held_out(F.col("id")))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "label")
+    # one text of each id, so that the rows are bounded too; they're read several times
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    labelled = stored(rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label")), "labelled")
+    try:
+        return fitted(labelled.select("text", "label"), tuple(exceptions), max_terms)
+    finally:
+        discard(labelled)
+
+
+def fitted(rows: DataFrame, exceptions: tuple[str, ...], max_terms: int) -> Model:
+    """A model from rows (text, label)."""
+    import numpy as np
+
     n = rows.agg(F.expr("count_if(label = 1)"), F.expr("count_if(label <> 1)")).first()
     given = {" " + fold(x).strip() + " " for x in exceptions}
     if not n[0]:
