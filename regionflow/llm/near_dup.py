@@ -63,9 +63,10 @@ class Shingler:
         """Hashes of all phrases of m words."""
         import numpy as np
 
-        s = np.full(max(len(h) - m + 1, 0), np.uint64(m), np.uint64)
+        n = max(len(h) - m + 1, 0)
+        s = np.full(n, np.uint64(m), np.uint64)
         for k in range(m):
-            s = (s ^ h[k : len(h) - m + 1 + k]) * self.mix[k]
+            s = (s ^ h[k : k + n]) * self.mix[k]
             s ^= s >> np.uint64(29)
         return s
 

@@ -442,3 +442,162 @@ def test_slices_are_bounded():
     b = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 50, "c", "", "d" * 9])], ["t"])
     parts = list(common.byte_slices(b, "t", 20))
     assert sum(p.num_rows for p in parts) == 6 and [p.num_rows for p in parts] == [2, 1, 3]
+
+
+def test_long_texts_take_seconds():
+    """Texts of a few MB, made to be hard for each operator's Python part."""
+    import time
+
+    import pyarrow as pa
+
+    began = time.time()
+    model = toxicity.Model({" bad": 3.0, " bad ": 3.5}, {" bad apple ", " apple bad "}, [-1.0, 1, 1, 1])
+    assert model.matches(toxicity.fold("bad apple bad pear " * 200_000))
+    assert html_text.main_text("<div>" * 200_000 + "deep") == "deep"
+    assert html_text.main_text("<p><article>" + "<div>x" * 100_000 + "</p>" * 100_000).startswith("x")
+    assert html_text.main_text("words " + "< <! <a " * 100_000).startswith("words <")
+    assert secret_scan.find_secrets("-eyJ" * 500_000) == [] and secret_scan.find_secrets("token " * 300_000) == []
+    assert len(near_dup.Shingler().sets(pa.array(["word " * 1_000_000]))[0]) == 1
+    assert substring_dedup.anchors(common.Words(pa.array(["x" * 5_000_000 + " y" * 100])))[0].tolist()
+    assert quality_rules.statistics("a b c " * 500_000)[0][0] == 1_500_000
+    assert decontaminate.shard_hits(["a b c d " * 300_000], decontaminate.Phrases([("i", "c d a b")]))[1] == [[[2, 1_199_998]]]
+    assert time.time() - began < 90
+
+
+def test_words_of_a_buffer():
+    import pyarrow as pa
+
+    found = common.Words(pa.array(ODD))
+    assert found.joined() == [" ".join(words(t)).encode() for t in ODD] and found.sizes.tolist() == [len(words(t)) for t in ODD]
+    every = [w for t in ODD for w in words(t)]
+    assert len(set(found.hashes().tolist())) == len(set(every)) and found.hashes(7).tolist() == found.hashes().tolist()
+    assert common.Words(pa.array([None, ""])).joined() == [b"", b""]
+
+
+def test_an_id_of_several_texts_loses_none(spark):
+    t = " ".join(f"w{i}" for i in range(100))
+    rows = [(3, t), (5, t.replace("w50", "x50")), (5, "a text that stands alone here"), (5, "a text that stands alone here"), (7, None), (7, "one more alone")]
+    left = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in left) == [(3, t), (5, "a text that stands alone here"), (7, ""), (7, "one more alone")]
+
+
+def test_rows_without_an_id(spark):
+    rng = random.Random(12)
+    form = [f"w{i}" for i in range(100)]
+    rows = [(None, filled(rng, form, i % 3)) for i in range(120)] + [(None, f"alone {i} " * 20) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_classes(docs).collect()
+    want = numbers_of_links(list(enumerate(t for _, t in rows)))
+    assert len(got) == 180 and all(r["class_id"] is None for r in got) and sorted(r["n_links"] for r in got) == sorted(want.values())
+    assert near_dup.one_of_each(docs).count() == 61
+    # texts are hashed a second time once for each set in question, however many rows share a null id
+    seen = spark.sparkContext.accumulator(0)
+    inner = near_dup.with_sets
+
+    def counted(df, binary_set=False):
+        return inner(df.where(F.udf(lambda: bool(seen.add(1)) or True, "boolean").asNondeterministic()()), binary_set) if binary_set else inner(df)
+
+    near_dup.with_sets = counted
+    try:
+        near_dup.near_classes(docs).count()
+    finally:
+        near_dup.with_sets = inner
+    assert 0 < seen.value <= 240
+    gone = substring_dedup.dedupe_substrings(docs).collect()
+    assert all(r["n_removed"] == 0 for r in gone)
+
+
+def test_deltas_belong_to_the_last_message(spark):
+    events = [(0, 0, "message", "user", "A"), (1, 0, "message", "user", "B"), (2, 0, "delta", "user", "C"), (3, 1, "delta", "assistant", "x"), (4, 1, "message", "assistant", "W"), (5, 1, "edit", "assistant", "V"), (6, 1, "delta", "assistant", "!"), (None, 1, "message", "assistant", "last"), (9, None, "message", "user", "end")]
+    log = spark.createDataFrame([(9, *e) for e in events], "conv_id long, seq long, msg long, kind string, role string, text string")
+    turns = chat_format.fold_events(log).first()["turns"]
+    assert [t["text"] for t in turns] == ["A", "BC", "x", "V!", "last", "end"]
+
+
+def brute_matches(folded, stems, phrases):
+    """Stems at blanks, the heaviest at each place, without those that begin inside a phrase."""
+    padded, out = folded + " ", {}
+    inside = {i for p in phrases for k in range(len(padded)) if padded.startswith(p, k) for i in range(k, k + len(p) - 1)}
+    for k in range(len(padded)):
+        held = [(w, s) for s, w in stems.items() if padded.startswith(s, k)]
+        if held and k not in inside:
+            out[k] = max(held)[0]
+    return out
+
+
+def test_lexicon_against_brute_force():
+    rng = random.Random(13)
+    stems = {" ab": 1.0, " ab ": 2.0, " abc": 3.0, " b": 0.5, " ca ": 4.0}
+    phrases = {" ab ca ", " b b ", " ca abc "}
+    model = toxicity.Model(stems, phrases, [0.0, 1, 1, 1])
+    for _ in range(300):
+        folded = " " + " ".join(rng.choice(["ab", "abc", "abd", "b", "ba", "ca", "cab", "x"]) for _ in range(rng.randint(0, 14)))
+        assert {s: w for s, _, w in model.matches(folded)} == brute_matches(folded, stems, phrases)
+
+
+def test_scores_of_odd_texts(spark, odd, none):
+    model = toxicity.Model({" bad": 3.0}, set(), [-2.0, 1, 1, 1])
+    got = toxicity.score_toxicity(odd.withColumn("predicted", F.lit("old")), model)
+    assert got.count() == len(ODD) and got.columns.count("predicted") == 1 and got.where("score BETWEEN 0 AND 1").count() == len(ODD)
+    assert toxicity.score_toxicity(none, model).count() == 0
+    # labels and documents that repeat: toxic if any label says so, one text an id
+    docs = spark.createDataFrame([(i % 20, "calm words" if i % 2 else "awful badword here") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in range(20) for y in ((0, 1) if i % 2 == 0 else (0, 0))], "doc_id long, toxic int")
+    learned = toxicity.fit_toxicity(docs, labels)
+    assert learned.score("badword") > 0.5 > learned.score("calm words")
+    assert toxicity.fit_toxicity(none, labels.limit(0)).score("x") < 0.01
+
+
+def test_windows_with_many_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_CONTEXTS", 10)
+    rng = random.Random(14)
+    hot = " ".join(f"h{i}" for i in range(13))
+    rows = [(i, f"{' '.join(f'a{rng.randrange(9999)}' for _ in range(6))} {hot} {' '.join(f'b{rng.randrange(9999)}' for _ in range(6))}") for i in range(90)]
+    rows += [(None, rows[0][1]), (None, "c " + rows[1][1])]
+    got = substring_dedup.dedupe_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute_dedupe([(i, t) for i, t in rows if i is not None])
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect() if r["doc_id"] is not None} == want
+    assert sorted(r["n_removed"] for r in got.collect() if r["doc_id"] is None) == [25, 25]
+
+
+ARTICLE = "<h1>Title</h1><p>" + "Prose of some length. " * 12 + "</p><p>End.</p>"
+TEXT = "Title\n\n" + ("Prose of some length. " * 12).strip() + "\n\nEnd."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><nav>Home</nav><div class='content no-sidebar'>{ARTICLE}</div><div class='sidebar'>Side</div></body>",
+        f"<body><div class='widget'>{ARTICLE}</div><div class='comments'><p>Great post!</p></div></body>",
+        f"<body><div id='cookieBanner'>We use cookies</div><main>{ARTICLE}</main><footer>c</footer></body>",
+        f"<body><article>{ARTICLE}<div class='ad'>Buy now</div><aside>Aside</aside></article><div class='related-posts'>More</div></body>",
+        f"<body><header><h2>Site</h2></header><article><header>{ARTICLE}</header></article><form>Name<input></form></body>",
+        f"<html><head><title>T</title><style>p{{}}</style><script>x='<p>'</script></head><body>{ARTICLE}</body></html>",
+        f"<div class='site-footer'>c</div><div class='page'>{ARTICLE}</div><div class='comment-list'><article class='c'>Nice</article></div>".replace("<article class='c'>Nice</article>", "<p>Nice</p>"),
+        f"<body><article>{ARTICLE}<p hidden>secret</p><section class='comments'>Hm</section></article></body>",
+        f"<body><table><tr><td>{ARTICLE}</td><td class='sidebar-left'>Side</td></tr></table></body>",
+        f"<body><div role='navigation'><a>x</a></div><article>{ARTICLE}<!-- note --></article><noscript>No</noscript></body>",
+        f"<body><ul class='breadcrumbs'><li>a<li>b</ul><section>{ARTICLE}</section><div class='newsletter signup'>Join us</div></body>",
+        f"<BODY><ARTICLE>{ARTICLE}</ARTICLE><DIV CLASS='Social'>Share</DIV><a href='",
+    ],
+)
+def test_hand_pages(page):
+    assert html_text.main_text(page) == TEXT
+
+
+def test_related_work_is_prose():
+    page = f"<body><article>{ARTICLE}<p class='related-work'>Work of others.</p></article></body>"
+    assert html_text.main_text(page) == TEXT + "\n\nWork of others."
+
+
+def test_web_tokens():
+    part = "abcdefgh_-"
+    text = f"x eyJ{part}.{part}.{part} -eyJ{part}.{part}.{part}.{part} eyJab.{part}.{part} eyJ{part}.{part}"
+    rule = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    assert secret_scan.web_tokens(text) == [m.span() for m in rule.finditer(text)]
+
+
+def test_redaction_marks_are_plain_text(spark, tmp_path):
+    docs = spark.createDataFrame([(1, SECRET, "c")], "doc_id long, text string, findings string")
+    got = secret_scan.redact(docs, str(tmp_path / "ledger"), mark="it's \\1 $0")
+    assert got.columns == docs.columns and got.first()["text"].startswith("x it's \\1 $0' it's \\1 $0 it's")
