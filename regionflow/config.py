@@ -35,6 +35,8 @@ class Config:
     states: int = 4
     restarts: int = 3
     iterations: int = 20
+    # points that a search draws from its grid
+    draws: int = 50
     # sample -> dataset
     datasets: dict[str, str] = field(default_factory=lambda: {"S0": "TRAINING", "S1": "VALIDATION", "S2": "TESTING"})
 

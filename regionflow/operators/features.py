@@ -79,13 +79,6 @@ def read_split_halves(reads: DataFrame) -> DataFrame:
     return reads.withColumn("grp", F.when(place <= F.ceil(n / 2), "high").otherwise("low"))
 
 
-def crop_pad(n: int, want: int) -> tuple[int, int]:
-    """Items to drop in front and behind (negative: to add), alternating from the front."""
-    gap = n - want
-    front = (abs(gap) + 1) // 2
-    return (front, gap - front) if gap >= 0 else (-front, gap + front)
-
-
 def cpg_read_matrix(reads: DataFrame, n_cpg: int = 10, n_reads: int = 20) -> DataFrame:
     """Per region: matrix of sites by reads; 0 missing, 1 unmethylated, 2 methylated.
 

@@ -1,7 +1,7 @@
 """Hidden Markov models of one-dimensional Gaussian sequences.
 
 Fitting is distributed expectation-maximisation: each task runs forward and
-backward passes over its sequences for all restarts at once and gives a few
+backward passes over its sequences, those of equal length and all restarts at once, and gives a few
 sums; only these reach the driver, which has the parameters.  Decoding is a fold
 over an array inside the JVM.
 """
@@ -35,29 +35,62 @@ def start_params(stats: dict, k: int, restart: int, seed: int) -> dict:
     return {"start": np.full(k, 1 / k), "trans": trans / trans.sum(1, keepdims=True), "mean": q + rng.normal(0, 0.1 * sd * (restart > 0), k), "var": np.full(k, sd * sd)}
 
 
-def e_step(x, p):
-    """Log-likelihood and expected sums of one sequence: scaled forward and backward passes."""
+def stacked(models: list[dict]) -> dict:
+    """Parameters of several models of one size as arrays, one row a model."""
     import numpy as np
 
-    log_b = -0.5 * ((x[:, None] - p["mean"]) ** 2 / p["var"] + np.log(2 * np.pi * p["var"]))
-    shift = log_b.max(1, keepdims=True)
+    return {name: np.stack([np.asarray(m[name], float) for m in models]) for name in ("start", "trans", "mean", "var")}
+
+
+def by_length(sequences, cells: int):
+    """Arrays of sequences of equal length, each of about ``cells`` values at most; empty ones are left out."""
+    import numpy as np
+
+    held: dict[int, list] = {}
+    for x in sequences:
+        if x is not None and len(x):
+            held.setdefault(len(x), []).append(x)
+    for n, xs in held.items():
+        step = max(1, cells // n)
+        for i in range(0, len(xs), step):
+            yield np.asarray(xs[i : i + step], float)
+
+
+def forward(x, p):
+    """Scaled forward pass over sequences x (rows of equal length) for all models: alpha and emissions by step, scales, log-likelihoods."""
+    import numpy as np
+
+    # models by sequences by states, for each step
+    log_b = -0.5 * ((x.T[:, None, :, None] - p["mean"][:, None, :]) ** 2 / p["var"][:, None, :] + np.log(2 * np.pi * p["var"])[:, None, :])
+    shift = log_b.max(3, keepdims=True)
     b = np.exp(log_b - shift)
-    n, k = b.shape
-    alpha, beta, c = np.empty((n, k)), np.ones((n, k)), np.empty(n)
-    a = p["start"] * b[0]
-    for t in range(n):
-        if t:
-            a = (alpha[t - 1] @ p["trans"]) * b[t]
-        c[t] = max(a.sum(), 1e-300)
-        alpha[t] = a / c[t]
-    for t in range(n - 2, -1, -1):
-        beta[t] = p["trans"] @ (b[t + 1] * beta[t + 1]) / c[t + 1]
-    gamma = alpha * beta
-    gamma /= gamma.sum(1, keepdims=True)
-    xi = np.zeros((k, k))
-    if n > 1:
-        xi = p["trans"] * (alpha[:-1].T @ (b[1:] * beta[1:] / c[1:, None]))
-    return float(np.log(c).sum() + shift.sum()), gamma[0], xi, gamma.sum(0), gamma.T @ x, gamma.T @ (x * x)
+    alpha, c = np.empty_like(b), np.empty(b.shape[:3])
+    for t in range(len(b)):
+        a = (alpha[t - 1] @ p["trans"] if t else p["start"][:, None, :]) * b[t]
+        c[t] = np.maximum(a.sum(2), 1e-300)
+        alpha[t] = a / c[t][:, :, None]
+    return alpha, b, c, np.log(c).sum(0) + shift.sum((0, 3))
+
+
+def expected_sums(x, p):
+    """For each model: log-likelihood, first states, transitions, and the states' weights, values and squares, added up over sequences x."""
+    import numpy as np
+
+    alpha, b, c, ll = forward(x, p)
+    k = b.shape[3]
+    xi, weight, first, square = np.zeros_like(p["trans"]), np.zeros_like(p["mean"]), np.zeros_like(p["mean"]), np.zeros_like(p["mean"])
+    beta = np.ones(b.shape[1:])
+    for t in range(len(b) - 1, -1, -1):
+        if t < len(b) - 1:
+            ahead = b[t + 1] * beta / c[t + 1][:, :, None]
+            xi += p["trans"] * (alpha[t].transpose(0, 2, 1) @ ahead)
+            beta = ahead @ p["trans"].transpose(0, 2, 1)
+        gamma = alpha[t] * beta
+        gamma /= gamma.sum(2, keepdims=True)
+        weight += gamma.sum(1)
+        first += (gamma * x[None, :, t, None]).sum(1)
+        square += (gamma * (x * x)[None, :, t, None]).sum(1)
+    return np.concatenate([ll.sum(1)[:, None], gamma.sum(1), xi.reshape(-1, k * k), weight, first, square], axis=1)
 
 
 def m_step(s: dict, variational: bool, prior_mean: float, prior_var: float) -> dict:
@@ -72,6 +105,8 @@ def m_step(s: dict, variational: bool, prior_mean: float, prior_var: float) -> d
     return {"start": start / start.sum(), "trans": trans / trans.sum(1, keepdims=True), "mean": mean, "var": np.maximum(var, 1e-4)}
 
 
+#: Values times states times models that a pass holds at once.
+CELLS = 1 << 20
 SUMS = T.StructType().add("restart", "integer").add("sums", T.ArrayType(T.DoubleType()))
 
 
@@ -82,18 +117,13 @@ def one_pass(df: DataFrame, arr: str, models: list[dict]) -> list[dict]:
     k = len(models[0]["mean"])
 
     def run(frames):
-        total = [np.zeros(1 + k + k * k + 3 * k) for _ in models]
-        seen = False
-        for frame in frames:
-            for seq in frame[arr]:
-                if seq is None or not len(seq):
-                    continue
-                seen = True
-                for m, p in enumerate(models):
-                    ll, g0, xi, n, x, xx = e_step(np.asarray(seq, float), p)
-                    total[m] += np.concatenate([[ll], g0, xi.ravel(), n, x, xx])
         import pandas as pd
 
+        p = stacked(models)
+        total, seen = np.zeros((len(models), 1 + k + k * k + 3 * k)), False
+        for frame in frames:
+            for x in by_length(frame[arr], CELLS // (k * len(models))):
+                total, seen = total + expected_sums(x, p), True
         if seen:
             yield pd.DataFrame({"restart": range(len(models)), "sums": [list(t) for t in total]})
 
@@ -140,13 +170,12 @@ def hmm_score(df: DataFrame, arr: str, params: dict) -> DataFrame:
     """One row: total log-likelihood and number of observations, by forward passes in the tasks."""
     import numpy as np
 
-    p = {k: np.array(params[k]) for k in ("start", "trans", "mean", "var")}
-
     def run(frames):
         import pandas as pd
 
+        p = stacked([params])
         for frame in frames:
-            yield pd.DataFrame({"loglik": [e_step(np.asarray(s, float), p)[0] for s in frame[arr]]})
+            yield pd.DataFrame({"loglik": [float(np.sum([forward(x, p)[3].sum() for x in by_length(frame[arr], CELLS // len(params["mean"]))]))]})
 
     total = df.where(F.size(arr) > 0).select(arr).mapInPandas(run, "loglik double").agg(F.sum("loglik").alias("loglik"))
     n = df.agg(F.sum(F.when(F.size(arr) > 0, F.size(arr))).alias("n"))
@@ -168,7 +197,11 @@ def hmm_model_selection(df: DataFrame, arr: str, ks: list[int], n_iter: int = 10
 
 
 def hmm_decode(df: DataFrame, arr: str, params: dict) -> DataFrame:
-    """df with hidden_states: the most likely path of each sequence; ties go to the lower state."""
+    """df with hidden_states: the most likely path of each sequence; ties go to the lower state.
+
+    The fold copies the path it has so far at each step, which is cheap for the sites of a tile or a block, as here;
+    sequences of many thousands should be cut into blocks first.
+    """
     k = len(params["mean"])
     lit = lambda v: F.lit(float(v))
     log = lambda v: math.log(max(v, 1e-300))

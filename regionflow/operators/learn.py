@@ -47,7 +47,12 @@ def pipeline(kind: str, feats: list[str], label: str, params: dict) -> Pipeline:
 
 
 def fit(kind: str, df: DataFrame, feats: list[str], label: str, params: dict | None = None):
-    return pipeline(kind, feats, label, params or {}).fit(weighted(df, label))
+    """A fitted pipeline; the weighted rows are read once for each of its stages, so they're kept meanwhile."""
+    rows = weighted(df.select(*[c for c in feats if c not in LEAKS], label), label).persist()
+    try:
+        return pipeline(kind, feats, label, params or {}).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def rf_fit(df, feats, label, params=None):

@@ -214,3 +214,12 @@ def locus_comparison_metrics(loci: DataFrame) -> DataFrame:
         F.count_if(pred & ~has).alias("n_model_only"),
         F.count_if(pred & ~has & (F.col("predicted") == 1)).alias("n_model_only_positive"),
     )
+
+
+def baseline_eval(df: DataFrame, labels: list[str], pred: str) -> DataFrame:
+    """The report of a prediction for each of several labels, with the label's name; rows without a label don't count."""
+    parts = [classification_report(confusion_matrix(df.where(F.col(c).isNotNull()), c, pred)).select(F.lit(c).alias("label"), "*") for c in labels]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -2,47 +2,37 @@
 
 from __future__ import annotations
 
-from math import comb
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.exprs import array_mean, fisher_p, half_away, half_even, longest_run, norm_sf_sql
+from ..functions.exprs import array_mean, array_sum, fisher_p, half_away, half_even, longest_run, norm_sf_sql
 from .regions import K, SNP
 
 #: An exact rank-sum distribution is used up to this size of the smaller group, if there are no ties.
 EXACT = 8
 
 
-def exact_counts(n1: int, n2: int) -> list[int]:
-    """How many of the orders of n1 and n2 values have each rank-sum statistic U = 0, 1, ..."""
-    ways = [[[1] if not i or not j else [] for j in range(n2 + 1)] for i in range(n1 + 1)]
-    for i in range(1, n1 + 1):
-        for j in range(1, n2 + 1):
-            a, b = ways[i - 1][j], ways[i][j - 1]
-            out = [0] * (i * j + 1)
-            for u, k in enumerate(a):
-                out[u + j] += k
-            for u, k in enumerate(b):
-                out[u] += k
-            ways[i][j] = out
-    return ways[n1][n2]
-
-
-def exact_p_table(most: int = EXACT, other: int = 40) -> list[tuple[int, int, float, float]]:
-    """(smaller group, larger group, larger U, two-sided p) for groups of at most ``most`` and ``other``."""
-    rows = []
-    for a in range(1, most + 1):
-        for b in range(a, other + 1):
-            counts, total = exact_counts(a, b), comb(a + b, a)
-            tail = 0
-            for u in range(a * b, -1, -1):
-                tail += counts[u]
-                if 2 * u >= a * b:
-                    rows.append((a, b, float(u), min(1.0, 2 * tail / total)))
-    return rows
+def exact_p(n1: Column, n2: Column, u: Column) -> Column:
+    """Two-sided p of the rank-sum statistic u of groups without ties, from the number of orders that have each statistic.
+
+    These numbers are the coefficients of the product over i = 1 .. a of (1 - q^(b + i)) / (1 - q^i), for groups of a <= b
+    values; only those up to the smaller tail are computed, by one fold over i, so b may be of any size.
+    """
+    sizes = F.struct(F.least(n1, n2).cast("int").alias("a"), F.greatest(n1, n2).cast("int").alias("b"), F.least(u, n1 * n2 - u).cast("int").alias("m"))
+
+    def p(t: Column) -> Column:
+        def step(c: Column, i: Column) -> Column:
+            less = F.transform(c, lambda x, k: x - F.coalesce(F.get(c, k - t["b"] - i), F.lit(0.0)))
+            return F.aggregate(less, F.array().cast("array<double>"), lambda s, x: F.array_append(s, x + F.coalesce(F.get(s, F.size(s) - i), F.lit(0.0))))
+
+        one = F.transform(F.sequence(F.lit(0), t["m"]), lambda k: F.when(k == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+        ways = F.aggregate(F.sequence(F.lit(1), t["a"]), one, step)
+        orders = F.aggregate(F.sequence(F.lit(1), t["a"]), F.lit(1.0), lambda s, i: s * (t["b"] + i) / i)
+        return F.least(F.lit(1.0), array_sum(ways) * 2 / orders)
+
+    return F.element_at(F.transform(F.array(sizes), p), 1)
 
 
 def rank_sum(first: Column, second: Column) -> Column:
@@ -89,8 +79,8 @@ def normal_p(n1: str, n2: str, u: str, ties: str) -> str:
 def mann_whitney(df: DataFrame, arr: str = "reads_w_snp") -> DataFrame:
     """Per region and SNP: two-sided rank-sum p of the two alleles' reads, and mean(alt) - mean(ref); null if a side is empty.
 
-    Small groups without ties get the exact distribution, by a join with a
-    fixed table of about fifteen thousand rows (larger groups of up to 40).
+    Groups without ties, of which the smaller has up to eight values, get the
+    exact distribution whatever the size of the other.
     """
     return tested(df.select(*SNP, arr), arr).select(*SNP, "read_asm_effect", "wilcoxon_pvalue")
 
@@ -106,13 +96,9 @@ def tested(df: DataFrame, arr: str) -> DataFrame:
 
 
 def with_rank_sum_p(sums: DataFrame) -> DataFrame:
-    """sums (n1, n2, u, ties) with p."""
+    """sums (n1, n2, u, ties) with p: exact if a group is small and there are no ties, else by the normal approximation."""
     small = F.col("ties").eqNullSafe(0) & (F.least("n1", "n2") <= EXACT) & (F.least("n1", "n2") > 0)
-    table = sums.sparkSession.createDataFrame(exact_p_table(), "lo int, hi int, top double, exact double")
-    keyed = sums.withColumn("lo", F.when(small, F.least("n1", "n2")).cast("int")).withColumn("hi", F.greatest("n1", "n2").cast("int"))
-    keyed = keyed.withColumn("top", F.greatest(F.col("u"), F.col("n1") * F.col("n2") - F.col("u")).cast("double"))
-    joined = keyed.join(F.broadcast(table), ["lo", "hi", "top"], "left")
-    return joined.withColumn("p", F.coalesce("exact", F.expr(normal_p("n1", "n2", "u", "ties")))).drop("lo", "hi", "top", "exact")
+    return sums.withColumn("p", F.when(small, exact_p(F.col("n1"), F.col("n2"), F.col("u"))).otherwise(F.expr(normal_p("n1", "n2", "u", "ties"))))
 
 
 def bh_adjust(df: DataFrame, p: str, by: str = "sample", out: str = "corrected_wilcoxon_pvalue") -> DataFrame:

@@ -78,8 +78,12 @@ def genotyped(spark, sf) -> DataFrame:
 
 
 def snp_cpg(spark, sf) -> DataFrame:
+    return allele_counts(genotyped(spark, sf))
+
+
+def allele_counts(calls: DataFrame) -> DataFrame:
     of = lambda a, c: F.sum(F.when(F.col("allele") == a, F.col(c)).otherwise(0))
-    rows = genotyped(spark, sf).groupBy(*rg.SNP, "pos").agg(of("REF", "cov").alias("ref_cov"), of("REF", "meth").alias("ref_meth"), of("ALT", "cov").alias("alt_cov"), of("ALT", "meth").alias("alt_meth"))
+    rows = calls.groupBy(*rg.SNP, "pos").agg(of("REF", "cov").alias("ref_cov"), of("REF", "meth").alias("ref_meth"), of("ALT", "cov").alias("alt_cov"), of("ALT", "meth").alias("alt_meth"))
     p = fisher_p(F.col("ref_meth"), F.col("ref_cov") - F.col("ref_meth"), F.col("alt_meth"), F.col("alt_cov") - F.col("alt_meth"))
     return rows.withColumn("fisher_pvalue", half_away(p, 6))
 
@@ -97,7 +101,10 @@ def allele_reads(spark, sf) -> DataFrame:
 
 
 def regions_and_snps(spark, sf) -> DataFrame:
-    return rg.join_snp_arrays(cpg_w_snp(spark, sf), rg.reads_allele_pivot(allele_reads(spark, sf)))
+    """Both branches start from the genotyped calls, so these are a table between the stages."""
+    rows = kept(genotyped(spark, sf))
+    sites = rg.region_snp_cpg_nest(allele_counts(rows), LO, HI, CFG.min_cpg)
+    return rg.join_snp_arrays(sites, rg.reads_allele_pivot(rg.read_allele_methylation(rows)))
 
 
 def cpgs(spark, sf) -> DataFrame:
@@ -113,7 +120,10 @@ def reads(spark, sf) -> DataFrame:
 
 
 def regions_w_arrays(spark, sf) -> DataFrame:
-    return rg.join_cpg_read_arrays(nested_cpgs(spark, sf), rg.region_reads_nest(reads(spark, sf)))
+    """Sites and reads start from the calls of regions, so these are a table between the stages."""
+    rows = kept(region_calls(spark, sf))
+    sites = rg.region_cpgs_nest(rg.cpg_fm_cov(rows, CFG.min_cov, CFG.max_cov), CFG.min_cpg)
+    return rg.join_cpg_read_arrays(sites, rg.region_reads_nest(rg.read_methylation_arrays(rows)))
 
 
 def labels(spark, sf) -> DataFrame:
@@ -165,6 +175,29 @@ def fisher_sql(source: str, a: str, b: str, c: str, d: str) -> str:
     FROM (SELECT *, CAST({a} AS BIGINT) AS a_, CAST({b} AS BIGINT) AS b_, CAST({c} AS BIGINT) AS c_, CAST({d} AS BIGINT) AS d_ FROM {source}) q"""
 
 
+def rank_p_sql(source: str, n1: str, n2: str, u: str, ties: str) -> str:
+    """SELECT source.*, p: the two-sided rank-sum test, stated apart from the library.
+
+    The normal tail is Simpson's rule over the density; without ties, and with
+    eight values or fewer in a group, the orders with each statistic are counted
+    by sums over lists, one factor of their generating function after another.
+    """
+    return f"""
+    SELECT q.* EXCLUDE (n1_, n2_, u_, t_, m_, small, spread, z), CASE WHEN n1_ = 0 OR n2_ = 0 THEN NULL WHEN small THEN least(1e0, 2 * tail) WHEN NOT spread > 1e-12 THEN 1e0
+      ELSE least(1e0, greatest(0e0, 1 - 2 * z / 3000 / sqrt(2 * pi()) * list_sum(list_transform(range(1001), lambda i: CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z * i / 1000, 2) / 2))))) END AS p
+    FROM (SELECT *, greatest(0e0, (abs(u_ - n1_ * n2_ / 2) - 0.5) / sqrt(spread)) AS z FROM (
+      SELECT *, t_ = 0 AND least(n1_, n2_) BETWEEN 1 AND 8 AS small, CAST(least(u_, n1_ * n2_ - u_) AS BIGINT) AS m_, n1_ * n2_ / 12 * (n1_ + n2_ + 1 - CASE WHEN n1_ + n2_ > 1 THEN t_ / ((n1_ + n2_) * (n1_ + n2_ - 1)) ELSE 2 END) AS spread
+      FROM (SELECT *, CAST({n1} AS DOUBLE) AS n1_, CAST({n2} AS DOUBLE) AS n2_, CAST({u} AS DOUBLE) AS u_, CAST({ties} AS DOUBLE) AS t_ FROM {source}))) q
+    LEFT JOIN (
+      WITH RECURSIVE w AS (
+        SELECT a, b, m, 0 AS i, 1e0 AS orders, list_transform(range(m + 1), lambda k: CASE WHEN k = 0 THEN 1e0 ELSE 0e0 END) AS c FROM (
+          SELECT DISTINCT CAST(least({n1}, {n2}) AS BIGINT) AS a, CAST(greatest({n1}, {n2}) AS BIGINT) AS b, CAST(least({u}, {n1} * {n2} - {u}) AS BIGINT) AS m FROM {source} WHERE {ties} = 0 AND least({n1}, {n2}) BETWEEN 1 AND 8)
+        UNION ALL
+        SELECT a, b, m, i + 1, orders * (b + i + 1) / (i + 1), list_transform(range(m + 1), lambda k: list_sum(list_transform(range(0, k // (i + 1) + 1), lambda j: c[k - j * (i + 1) + 1] - CASE WHEN k - j * (i + 1) >= b + i + 1 THEN c[k - j * (i + 1) - b - i] ELSE 0 END)))
+        FROM w WHERE i < a)
+      SELECT a, b, m, list_sum(c) / orders AS tail FROM w WHERE i = a) e ON q.small AND e.a = least(q.n1_, q.n2_) AND e.b = greatest(q.n1_, q.n2_) AND e.m = q.m_"""
+
+
 def even_sql(x: str, digits: int) -> str:
     return f"round_even({x} * 1e{digits}, 0) / 1e{digits}"
 
@@ -197,7 +230,7 @@ CTES: dict[str, str] = {
     "mw_values": f"SELECT {SNP}, methyl_perc AS v, count(*) FILTER (WHERE allele = 'REF') AS a, count(*) FILTER (WHERE allele = 'ALT') AS b FROM allele_reads JOIN snp_regions USING ({SNP}) GROUP BY {SNP}, methyl_perc",
     "mw_sums": f"""SELECT {SNP}, sum(a) AS n1, sum(b) AS n2, sum(a * (below + b / 2.0)) AS u, sum((a + b) * (a + b) * (a + b) - (a + b)) AS ties
       FROM (SELECT *, coalesce(sum(b) OVER (PARTITION BY {SNP} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM mw_values) GROUP BY {SNP}""",
-    "mw": f"""SELECT {SNP}, e AS read_asm_effect, {R('p', 5)} AS wilcoxon_pvalue FROM (SELECT *, {st.normal_p('n1', 'n2', 'u', 'ties')} AS p FROM mw_sums)
+    "mw": f"""SELECT {SNP}, e AS read_asm_effect, {R('p', 5)} AS wilcoxon_pvalue FROM ({rank_p_sql('mw_sums', 'n1', 'n2', 'u', 'ties')})
       JOIN (SELECT {SNP}, {R(R("avg(methyl_perc) FILTER (WHERE allele = 'ALT') - avg(methyl_perc) FILTER (WHERE allele = 'REF')", 9), 5)} AS e FROM allele_reads GROUP BY {SNP}) USING ({SNP})""",
     "bh_ranks": "SELECT sample, wilcoxon_pvalue AS p, sum(count(*)) OVER (PARTITION BY sample) * wilcoxon_pvalue / sum(count(*)) OVER (PARTITION BY sample ORDER BY wilcoxon_pvalue ROWS UNBOUNDED PRECEDING) AS raw FROM mw WHERE wilcoxon_pvalue IS NOT NULL GROUP BY sample, wilcoxon_pvalue",
     "bh": f"SELECT sample, p, {R('least(1e0, min(raw) OVER (PARTITION BY sample ORDER BY p DESC ROWS UNBOUNDED PRECEDING))', 5)} AS corrected_wilcoxon_pvalue FROM bh_ranks",

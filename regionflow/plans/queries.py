@@ -20,7 +20,7 @@ from ..operators import reports as rp
 from ..operators import stats as st
 from ..sources import io
 from . import adapter as ad
-from .adapter import BLOCK, CFG, TILE, K, even_sql, fisher_sql, with_ctes
+from .adapter import BLOCK, CFG, TILE, K, even_sql, fisher_sql, rank_p_sql, with_ctes
 from .adapter import SNP as SNPS
 
 QUERIES: dict[str, Callable] = {}
@@ -478,6 +478,27 @@ def _(spark, sf):
 
 
 query("mann_whitney", f"SELECT {SNPS}, read_asm_effect, wilcoxon_pvalue FROM mw", "mw")(lambda spark, sf: st.mann_whitney(ad.regions_and_snps(spark, sf)))
+
+def small_groups(spark, sf) -> DataFrame:
+    """Prices of the first orders of a run of orders against those of its others: few against many, mostly without ties."""
+    lines = ad.table(spark, sf, "lineitem")
+    parts = [lines.selectExpr(f"{n} AS run", f"l_orderkey div {n} AS grp", f"l_orderkey % {n} = 0 AS chosen", "l_extendedprice AS price") for n in (3, 12, 40)]
+    price = lambda chosen: F.when(F.col("chosen") == chosen, F.col("price"))
+    one = F.struct(price(True).alias("ref"), price(False).alias("alt"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("run", "grp").agg(F.collect_list(one).alias("reads"))
+
+
+_SMALL = """SELECT run, grp, sum(a) AS n1, sum(b) AS n2, sum(a * (below + b / 2.0)) AS u, sum(pow(a + b, 3) - (a + b)) AS ties FROM (
+  SELECT *, coalesce(sum(b) OVER (PARTITION BY run, grp ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
+    SELECT run, l_orderkey // run AS grp, l_extendedprice AS price, count(*) FILTER (WHERE l_orderkey % run = 0) AS a, count(*) FILTER (WHERE l_orderkey % run <> 0) AS b
+    FROM lineitem, (VALUES (3), (12), (40)) r(run) GROUP BY ALL)) GROUP BY run, grp"""
+
+
+@query("mann_whitney_small", f"SELECT run, grp, {R('p')} AS p FROM ({rank_p_sql(f'({_SMALL}) s', 'n1', 'n2', 'u', 'ties')})")
+def _(spark, sf):
+    return st.tested(small_groups(spark, sf), "reads").select("run", "grp", F.col("wilcoxon_pvalue").alias("p"))
+
+
 query("bh_adjust", f"SELECT {SNPS}, read_asm_effect, wilcoxon_pvalue, corrected_wilcoxon_pvalue FROM tested", "tested")(lambda spark, sf: st.bh_adjust(st.mann_whitney(ad.regions_and_snps(spark, sf)), "wilcoxon_pvalue"))
 
 
@@ -527,8 +548,8 @@ def _(spark, sf):
 
 _ASITES = f"SELECT *, coalesce({_GROUP_EFFECT}, 0) AS effect FROM ({_GROUP_FISHER})"
 _APOOL = f"SELECT {K}, sum(high_meth)::DOUBLE AS a, sum(high_cov - high_meth)::DOUBLE AS b, sum(low_meth)::DOUBLE AS c, sum(low_cov - low_meth)::DOUBLE AS d FROM group_counts GROUP BY {K}"
-_ATEST = f"""SELECT {K}, {even_sql('(a / n1 - c / n2)', 3)} AS reads_asm_effect, {R(st.normal_p('n1', 'n2', 'u', 'ties'))} AS pvalue FROM (
-  SELECT *, a + b AS n1, c + d AS n2, a * d + a * c / 2.0 + b * d / 2.0 AS u, (b + d) * (b + d) * (b + d) - (b + d) + (a + c) * (a + c) * (a + c) - (a + c) AS ties FROM ({_APOOL}))"""
+_AU = f"(SELECT *, a + b AS n1, c + d AS n2, a * d + a * c / 2.0 + b * d / 2.0 AS u, pow(b + d, 3) - (b + d) + pow(a + c, 3) - (a + c) AS ties FROM ({_APOOL})) s"
+_ATEST = f"SELECT {K}, {even_sql('(a / n1 - c / n2)', 3)} AS reads_asm_effect, {R('p')} AS pvalue FROM ({rank_p_sql(_AU, 'n1', 'n2', 'u', 'ties')})"
 _ARUNS = f"""SELECT {K}, max(total) AS total, max(CASE WHEN good = 1 THEN n ELSE 0 END) AS longest FROM (SELECT {K}, good, g, count(*) AS n, sum(sum(good)) OVER (PARTITION BY {K}) AS total FROM (
   SELECT *, i - row_number() OVER (PARTITION BY {K}, good ORDER BY pos) AS g FROM (SELECT {K}, pos, CASE WHEN p < 0.05 AND CASE WHEN reads_asm_effect > 0 THEN effect > 0 ELSE effect < 0 END THEN 1 ELSE 0 END AS good,
     row_number() OVER (PARTITION BY {K} ORDER BY pos) AS i FROM ({_ASITES}) JOIN ({_ATEST}) USING ({K}))) GROUP BY {K}, good, g) GROUP BY {K}"""
@@ -558,36 +579,61 @@ def _(spark, sf):
     return fe.array_fields(ad.regions_w_arrays(spark, sf)).select(*rg.K, "nb_reads", ints("cpg_cov").alias("covs"), ints("cpg_fm", 1000).alias("fms"), ints("read_fm", 1000).alias("read_fms"))
 
 
-@query("array_mean_std", f"SELECT {K}, {R('avg(cov)', 3)} AS mean_cpg_cov, {R('stddev_samp(cov)', 3)} AS std_cpg_cov, {R('avg(fm)', 3)} AS mean_cpg_fm, {R('stddev_samp(fm)', 3)} AS std_cpg_fm FROM kept_cpgs GROUP BY {K}", "kept_cpgs")
-def _(spark, sf):
-    from ..functions.exprs import array_mean, array_std
+#: The four arrays of a region, in the order of the library's.
+_LISTS = f"""(SELECT {K}, region_nb_cpg, nb_cpg_found, nb_reads, cpg_cov, cpg_fm, read_fm, list_transform(range(2, len(ps) + 1), lambda i: CAST(ps[i] - ps[i - 1] AS DOUBLE)) AS cpg_dist
+  FROM (SELECT {K}, region_nb_cpg, nb_cpg_found, list(CAST(cov AS DOUBLE) ORDER BY pos) AS cpg_cov, list(fm ORDER BY pos) AS cpg_fm, list(pos ORDER BY pos) AS ps FROM kept_cpgs GROUP BY {K}, region_nb_cpg, nb_cpg_found)
+  JOIN (SELECT {K}, count(*) AS nb_reads, list(fm ORDER BY read_id) AS read_fm FROM reads GROUP BY {K}) USING ({K}))"""
+_TOTAL = "list_reduce({}, lambda p, q: p + q)"
+_MEANS = "(SELECT *, " + ", ".join(f"{_TOTAL.format(x)} / len({x}) AS m_{x}" for x in fe.ARRAYS) + f" FROM {_LISTS})"
 
-    df = fe.array_fields(ad.regions_w_arrays(spark, sf))
-    out = {f"{n}_{a}": half_away(f(F.col(a)), 3) for a in ("cpg_cov", "cpg_fm") for n, f in (("mean", array_mean), ("std", array_std))}
-    return df.withColumns(out).select(*rg.K, *out)
 
+def _std(x: str) -> str:
+    squares = f"list_transform({x}, lambda v: (v - m_{x}) * (v - m_{x}))"
+    return f"CASE WHEN len({x}) > 1 THEN sqrt({_TOTAL.format(squares)} / (len({x}) - 1)) END"
 
-_GRID = kernel_grid(*CFG.ratio_grid)
 
+_MOMENTS = ", ".join(f"{even_sql(f'm_{x}', 4)} AS mean_{x}, {even_sql(f'({_std(x)})', 4)} AS std_{x}" for x in fe.ARRAYS)
 
-@query("kernel_grid", f"SELECT g, count(*) AS n FROM kept_cpgs JOIN (SELECT unnest([{', '.join(str(g) for g in _GRID)}])::DOUBLE AS g) ON abs(fm - g) < 0.0495 GROUP BY g", "kept_cpgs")
+
+@query("array_mean_std", f"SELECT {K}, {_MOMENTS} FROM {_MEANS}", "kept_cpgs", "reads")
 def _(spark, sf):
-    grid = F.explode(F.array(*[F.lit(g) for g in kernel_grid(*CFG.ratio_grid)])).alias("g")
-    fm = fe.array_fields(ad.regions_w_arrays(spark, sf)).select(F.explode("cpg_fm").alias("fm"))
-    return fm.select("fm", grid).where("abs(fm - g) < 0.0495D").groupBy("g").agg(F.count("*").alias("n"))
+    df = fe.cpg_distances(fe.array_fields(ad.regions_w_arrays(spark, sf)))
+    for x in fe.ARRAYS:
+        df = fe.array_mean_std(df, x)
+    return df.select(*rg.K, *[f"{n}_{x}" for x in fe.ARRAYS for n in ("mean", "std")])
 
 
-def _kde(arr: str, src: str, grid: list[float], h: float) -> str:
-    return f"SELECT {K}, g, {R(f'sum(exp(-((g - {arr}) / {h}) * ((g - {arr}) / {h}) / 2)) / (count(*) * {h} * sqrt(2 * pi()))', 3)} AS density FROM {src} JOIN (SELECT unnest([{', '.join(str(g) for g in grid)}])::DOUBLE AS g) ON true GROUP BY {K}, g"
+_RATIO, _COV = kernel_grid(*CFG.ratio_grid), kernel_grid(*CFG.cov_grid)
 
 
-@query("kernel_density", _kde("fm", "kept_cpgs", _GRID, 0.1), "kept_cpgs")
+@query("kernel_grid", " UNION ALL ".join(f"SELECT '{x}' AS field, g, count(*) AS n FROM kept_cpgs JOIN (SELECT unnest([{', '.join(str(g) for g in grid)}])::DOUBLE AS g) ON abs({x} - g) < {near} GROUP BY g" for x, grid, near in (("fm", _RATIO, 0.0495), ("cov", _COV, 4.95))), "kept_cpgs")
 def _(spark, sf):
-    from ..functions.exprs import kernel_density
+    sites = ad.nested_cpgs(spark, sf).select(F.explode("cpgs").alias("c")).select("c.fm", F.col("c.cov").cast("double").alias("cov"))
+
+    def near(x, grid, width):
+        points = F.explode(F.array(*[F.lit(g) for g in kernel_grid(*grid)])).alias("g")
+        return sites.select(F.lit(x).alias("field"), F.col(x).alias("x"), points).where(F.abs(F.col("x") - F.col("g")) < width)
+
+    return near("fm", CFG.ratio_grid, 0.0495).unionByName(near("cov", CFG.cov_grid, 4.95)).groupBy("field", "g").agg(F.count("*").alias("n"))
+
+
+def _density(x: str, g: str, grid: list[float], h: float) -> str:
+    import math
+
+    terms = f"list_transform({x}, lambda v: exp(-(({g} - v) / {h}) * (({g} - v) / {h}) / 2))"
+    return even_sql(f"({_TOTAL.format(terms)} / (len({x}) * {h * math.sqrt(2 * math.pi)!r}))", 4)
+
 
-    df = fe.array_fields(ad.regions_w_arrays(spark, sf)).withColumn("kd", kernel_density(F.col("cpg_fm"), _GRID, CFG.ratio_bandwidth, 12))
-    grid = F.array(*[F.lit(g) for g in _GRID])
-    return df.select(*rg.K, F.explode(F.arrays_zip(grid.alias("g"), "kd")).alias("x")).select(*rg.K, F.col("x.g"), half_away(F.col("x.kd"), 3).alias("density"))
+_GRIDS = {x: (_RATIO, CFG.ratio_bandwidth) if x.endswith("_fm") else (_COV, CFG.cov_bandwidth) for x in fe.ARRAYS}
+
+
+@query("kernel_density", " UNION ALL ".join(f"SELECT {K}, '{x}' AS field, i AS point, {_density(x, f'{grid}[i + 1]', grid, h)} AS density FROM {_LISTS}, (SELECT CAST(unnest(range({len(grid)})) AS INTEGER) AS i)" for x, (grid, h) in _GRIDS.items()), "kept_cpgs", "reads")
+def _(spark, sf):
+    df = fe.cpg_distances(fe.array_fields(ad.regions_w_arrays(spark, sf)))
+    for x, (grid, h) in _GRIDS.items():
+        df = fe.with_density(df, x, grid, h)
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("field"), F.col(f"{x}_kd").alias("kd")) for x in fe.ARRAYS])).alias("d")
+    return df.select(*rg.K, each).select(*rg.K, "d.field", F.posexplode("d.kd").alias("point", "density"))
 
 
 _EXPANDED = ", ".join(f"max(CASE WHEN i = {i + 1} THEN pos END) AS pos_{i}" for i in range(9))
@@ -604,9 +650,22 @@ def features(spark, sf) -> DataFrame:
     return fe.build_features(ad.kept(rg.label_left_join(nested, labels)), CFG, ad.kept)
 
 
-@query("build_features", f"SELECT {K}, nb_reads, nb_cpg_found, asm, approx_asm, n AS seq_len, chr_1 FROM (SELECT *, CASE WHEN chr = 1 THEN 1 ELSE 0 END AS chr_1 FROM regions_cpg) JOIN (SELECT {K}, count(*) AS nb_reads FROM reads GROUP BY {K}) USING ({K}) LEFT JOIN unique_labels USING ({K}) LEFT JOIN ({_APPROX}) USING ({K}) LEFT JOIN (SELECT {K}, count(*) AS n FROM dir GROUP BY {K}) USING ({K})", "regions_cpg", "reads", "unique_labels", "dir", "group_counts")
+def _features_sql() -> str:
+    texts = ", ".join(f"array_to_string(list_transform({x}, lambda v: CAST(round(v * {scale}) AS BIGINT)), ',') AS {x}" for x, scale in (("cpg_cov", 1), ("cpg_fm", 1000), ("read_fm", 1000), ("cpg_dist", 1)))
+    densities = ", ".join(f"{_density(x, str(g), grid, h)} AS {x}_kd_{i}" for x, (grid, h) in _GRIDS.items() for i, g in enumerate(grid))
+    chromosomes = ", ".join(f"CASE WHEN chr = {i} THEN 1 ELSE 0 END AS chr_{i}" for i in range(1, 23))
+    seq = f"SELECT {K}, string_agg(CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS cpg_directional_fm FROM dir GROUP BY {K}"
+    return f"""SELECT * FROM (SELECT {K}, region_nb_cpg, nb_cpg_found, nb_reads, {texts}, {_MOMENTS}, {densities}, {chromosomes} FROM {_MEANS})
+      LEFT JOIN (SELECT {K}, read_asm_effect, wilcoxon_pvalue, corrected_wilcoxon_pvalue, total_sig_cpgs, consecutive_sig_cpgs, asm, asm_not_corrected FROM unique_labels) USING ({K})
+      LEFT JOIN (SELECT {K}, approx_asm, reads_asm_effect FROM ({_APPROX})) USING ({K}) LEFT JOIN ({seq}) USING ({K}) LEFT JOIN ({_MATRIX}) USING ({K})"""
+
+
+@query("build_features", _features_sql(), "kept_cpgs", "reads", "unique_labels", "dir", "group_counts", "halves", "rcalls")
 def _(spark, sf):
-    return features(spark, sf).select(*rg.K, "nb_reads", "nb_cpg_found", "asm", "approx_asm", F.when(F.col("cpg_directional_fm").isNotNull(), F.size("cpg_directional_fm")).alias("seq_len"), "chr_1")
+    df = features(spark, sf)
+    matrix = F.array_join(F.transform("cpgs_w_padding", lambda r: F.array_join(F.transform(r, lambda x: x.cast("string")), ",")), ";").alias("matrix")
+    texts = {"cpg_cov": 1, "cpg_fm": 1000, "read_fm": 1000, "cpg_dist": 1, "cpg_directional_fm": 10000}
+    return df.select(*[c for c in df.columns if c not in texts and c != "cpgs_w_padding"], *[ints(c, k).alias(c) for c, k in texts.items()], matrix)
 
 
 # --- sequence models
@@ -659,7 +718,7 @@ def _state_sql() -> str:
 
 
 query("hmm_state_features", _state_sql(), "states")(lambda spark, sf: hmm.hmm_state_features(ad.states(spark, sf), "states", 3).drop("states", "label", "cpg_directional_fm"))
-query("hmm_features_table", f"SELECT {K}, state_0_count, state_entropy, {_DATASET} AS dataset FROM ({_state_sql()})", "states")(lambda spark, sf: hmm.hmm_features_table(ad.states(spark, sf), "states", 3, CFG).select(*rg.K, "state_0_count", "state_entropy", "dataset"))
+query("hmm_features_table", f"SELECT *, {_DATASET} AS dataset FROM ({_state_sql()})", "states")(lambda spark, sf: hmm.hmm_features_table(ad.states(spark, sf), "states", 3, CFG).drop("states", "label", "cpg_directional_fm"))
 
 
 def training_sequences(spark, sf) -> DataFrame:
@@ -675,9 +734,26 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "state int, mean double, variance double, start double")
 
 
-@query("hmm_score")
+def _score_sql() -> str:
+    """The forward pass by a recursive table: each state's share and the log-likelihood so far."""
+    import math
+
+    m = MODEL
+    density = [f"(exp(-(x - {m['mean'][j]}) * (x - {m['mean'][j]}) / {2 * m['var'][j]!r}) / {math.sqrt(2 * math.pi * m['var'][j])!r})" for j in range(3)]
+    base = ", ".join(f"{m['start'][j]} * {density[j]} AS r{j}" for j in range(3))
+    step = ", ".join(f"({' + '.join(f'a{i} * {m['trans'][i][j]}' for i in range(3))}) * {density[j]} AS r{j}" for j in range(3))
+    scaled = "r0 / (r0 + r1 + r2) AS a0, r1 / (r0 + r1 + r2) AS a1, r2 / (r0 + r1 + r2) AS a2"
+    keys = ", ".join("w." + c for c in K.split(", "))
+    return f"""SELECT {R('sum(ll)', 4)} AS loglik, CAST(sum(n) AS BIGINT) AS n FROM (
+      WITH RECURSIVE o AS (SELECT {K}, x, row_number() OVER (PARTITION BY {K} ORDER BY pos) AS i, count(*) OVER (PARTITION BY {K}) AS n FROM dir),
+      w AS (SELECT {K}, i, n, {scaled}, ln(r0 + r1 + r2) AS ll FROM (SELECT *, {base} FROM o WHERE i = 1)
+        UNION ALL SELECT {K}, i, n, {scaled}, ll + ln(r0 + r1 + r2) FROM (SELECT {keys}, o.i, w.n, ll, {step} FROM w JOIN o USING ({K}) WHERE o.i = w.i + 1))
+      SELECT ll, n FROM w WHERE i = n)"""
+
+
+@query("hmm_score", _score_sql(), "dir")
 def _(spark, sf):
-    return hmm.hmm_score(ad.sequences(spark, sf), "cpg_directional_fm", MODEL)
+    return hmm.hmm_score(ad.sequences(spark, sf), "cpg_directional_fm", MODEL).select(half_away(F.col("loglik"), 4).alias("loglik"), "n")
 
 
 @query("hmm_model_selection")
@@ -720,7 +796,7 @@ def learning_rows(spark, sf) -> DataFrame:
 
 def _fit_query(kind: str):
     def run(spark, sf):
-        rows = learning_rows(spark, sf).persist()
+        rows = ad.kept(learning_rows(spark, sf))
         model = learn.fit(kind, rows.where("dataset = 'TRAINING'"), FEATS, "label")
         return rp.classification_report(rp.confusion_matrix(learn.predicted(model, rows.where("dataset = 'TESTING'")), "label", "pred"))
 
@@ -730,19 +806,24 @@ def _fit_query(kind: str):
 for _kind in ("rf", "gbt", "lr"):
     query(f"{_kind}_fit")(_fit_query(_kind))
 
+GRID = {"numTrees": [10, 20, 40], "maxDepth": [2, 4, 6, 8], "minInstancesPerNode": [1, 2, 5], "featureSubsetStrategy": ["sqrt", "onethird", "all"]}
+
+
+def searched(rows: DataFrame) -> list[tuple[dict, float]]:
+    return learn.random_search(rows.where("dataset = 'TRAINING'"), rows.where("dataset = 'VALIDATION'"), "rf", FEATS, "label", GRID, CFG.draws, threads=8)
+
 
 @query("random_search")
 def _(spark, sf):
-    rows = learning_rows(spark, sf).persist()
-    found = learn.random_search(rows.where("dataset = 'TRAINING'"), rows.where("dataset = 'VALIDATION'"), "rf", FEATS, "label", {"numTrees": [5, 10], "maxDepth": [3, 5]}, 3)
+    found = searched(ad.kept(learning_rows(spark, sf)))
     return spark.createDataFrame([(str(sorted(p.items())), float(s)) for p, s in found], "params string, sum_f1 double")
 
 
 @query("refit_and_test")
 def _(spark, sf):
-    rows = learning_rows(spark, sf).persist()
-    path = io.scratch(spark)
-    return learn.refit_and_test(rows.where("dataset <> 'TESTING'"), rows.where("dataset = 'TESTING'"), "rf", FEATS, "label", {"numTrees": 10}, path)[1]
+    rows = ad.kept(learning_rows(spark, sf))
+    best = searched(rows)[0][0]
+    return learn.refit_and_test(rows.where("dataset <> 'TESTING'"), rows.where("dataset = 'TESTING'"), "rf", FEATS, "label", best, io.scratch(spark))[1]
 
 
 _CM = "SELECT count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS tn, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS fn, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp FROM labels"
@@ -767,14 +848,19 @@ def _(spark, sf):
     return rp.classification_report(rp.confusion_matrix(ad.table(spark, sf, "labels"), "quality", "toxic"))
 
 
-_BASE = f"SELECT count(*) FILTER (WHERE asm = 0 AND approx_asm = 0) AS tn, count(*) FILTER (WHERE asm = 0 AND approx_asm = 1) AS fp, count(*) FILTER (WHERE asm = 1 AND approx_asm = 0) AS fn, count(*) FILTER (WHERE asm = 1 AND approx_asm = 1) AS tp FROM unique_labels JOIN ({_APPROX}) USING ({K}) WHERE sample = 'S2'"
+BASE_LABELS = ["asm", "asm_not_corrected"]
+
+
+def _base(label: str) -> str:
+    of = lambda a, b: f"count(*) FILTER (WHERE {label} = {a} AND approx_asm = {b})"
+    return f"SELECT {of(0, 0)} AS tn, {of(0, 1)} AS fp, {of(1, 0)} AS fn, {of(1, 1)} AS tp FROM unique_labels JOIN ({_APPROX}) USING ({K}) WHERE sample = 'S2'"
 
 
-@query("baseline_eval", _report_sql(_BASE), "unique_labels", "group_counts")
+@query("baseline_eval", " UNION ALL ".join(f"SELECT '{c}' AS label, * FROM ({_report_sql(_base(c))})" for c in BASE_LABELS), "unique_labels", "group_counts")
 def _(spark, sf):
-    df = rp.split_by_sample_list(rg.unique_label_group(ad.labels(spark, sf)), CFG.datasets).where("dataset = 'TESTING'").select(*rg.K, "asm")
+    df = rp.split_by_sample_list(rg.unique_label_group(ad.labels(spark, sf)), CFG.datasets).where("dataset = 'TESTING'").select(*rg.K, *BASE_LABELS)
     df = df.join(st.approx_asm(ad.halves(spark, sf), CFG).select(*rg.K, "approx_asm"), rg.K)
-    return rp.classification_report(rp.confusion_matrix(df, "asm", "approx_asm"))
+    return rp.baseline_eval(df, BASE_LABELS, "approx_asm")
 
 
 _COMPARE = f"SELECT count(*) AS n_loci, count(label) AS n_evaluated, count(*) FILTER (WHERE label = 1) AS n_evaluated_positive, count(predicted) AS n_modelled, count(*) FILTER (WHERE predicted IS NOT NULL AND label IS NULL) AS n_model_only, count(*) FILTER (WHERE predicted = 1 AND label IS NULL) AS n_model_only_positive FROM (SELECT CASE WHEN locus % 3 = 0 THEN max_label END AS label, CASE WHEN max_score IS NOT NULL THEN CAST(max_score > 15 AS INTEGER) END AS predicted FROM ({_LOCUS}))"

@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one only if none is named."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one if none is named and there's one machine."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        known = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not known and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(known or tempfile.mkdtemp(prefix="checkpoint-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return f"{held.get()}/{uuid.uuid4().hex}"

@@ -1,6 +1,8 @@
 """Site coverage over a stream of call files.
 
-Files of calls arrive in a folder; the running sums of each site are the state.
+Files of calls arrive in a folder; the running sums of each site are the state,
+which the sites of the genome times the samples bound (calls have no event time,
+so there is no watermark).
 Each micro-batch writes the sites that it changed; ``latest`` gives the current
 row of each site, which equals the batch operator's rows over all files.
 """

@@ -9,7 +9,7 @@ from regionflow.config import AUTOSOME_LENGTHS, Config
 from regionflow.functions import exprs as ex
 from regionflow.operators import features as fe
 from regionflow.operators import genome as ge
-from regionflow.operators import hmm
+from regionflow.operators import hmm, learn
 from regionflow.operators import regions as rg
 from regionflow.operators import reports as rp
 from regionflow.operators import stats as st
@@ -58,8 +58,28 @@ def test_rank_sum(spark):
     assert row["wilcoxon_pvalue"] is None and row["read_asm_effect"] is None
 
 
-def test_exact_distribution_sums_to_all_orders():
-    assert sum(st.exact_counts(4, 6)) == math.comb(10, 4)
+@pytest.mark.parametrize("n1,n2", [(3, 3), (3, 41), (5, 60), (3, 100), (2, 60), (8, 200), (1, 1), (100, 3), (8, 8)])
+def test_exact_rank_sums(spark, n1, n2):
+    """Against the number of subsets of each rank sum, by whole numbers; the group of n1 stands apart, and in the middle."""
+    ways = [[0] * (n1 * n2 + 1) for _ in range(n1 + 1)]
+    ways[0][0] = 1
+    for rank in range(n1 + n2):  # choose ranks for the first group; its statistic is the sum of (rank - place)
+        for k in range(min(rank + 1, n1), 0, -1):
+            shift = rank - (k - 1)
+            if shift <= n1 * n2:
+                ways[k] = [w + (ways[k - 1][u - shift] if u >= shift else 0) for u, w in enumerate(ways[k])]
+    total = math.comb(n1 + n2, n1)
+    assert sum(ways[n1]) == total
+    for u in (0, 1, n1 * n2 // 3, n1 * n2 // 2, n1 * n2):
+        p = min(1.0, 2 * sum(ways[n1][: min(u, n1 * n2 - u) + 1]) / total)
+        got = spark.createDataFrame([(n1, n2, float(u))], "n1 long, n2 long, u double").select(st.exact_p(F.col("n1"), F.col("n2"), F.col("u"))).first()[0]
+        assert got == pytest.approx(p, rel=1e-12)
+
+
+def test_small_against_large_groups(spark):
+    for n2, p in ((41, 0.00015), (100, 0.00001)):
+        row = st.mann_whitney(reads_of(spark, [0.01, 0.02, 0.03], [0.1 + i / 1000 for i in range(n2)])).first()
+        assert row["wilcoxon_pvalue"] == p
 
 
 def test_tiles(spark):
@@ -98,7 +118,6 @@ def test_halves_and_matrix(spark):
     wide = [("r", 1.0, list(range(1, 14)), [1] * 13, 1)]
     df = spark.createDataFrame(wide, "read_id string, fm double, cpg_pos array<int>, cpg_meth array<int>, rank_desc int").selectExpr(*KEY.split(", "), "*")
     assert len(fe.cpg_read_matrix(df, 10, 20).first()["cpgs_w_padding"]) == 10
-    assert fe.crop_pad(13, 10) == (2, 1) and fe.crop_pad(3, 10) == (-4, -3)
 
 
 def test_distances_and_density(spark):
@@ -203,3 +222,67 @@ def test_every_sequence_of_a_reference_has_its_offset(spark):
     offsets = spark.range(1500).selectExpr("CAST(id AS INT) AS chr", "id * 10 AS absolute_nucleotide_pos")
     calls = spark.range(1500).selectExpr("CAST(id AS INT) AS chr", "5L AS pos")
     assert ge.join_chr_offset(calls, offsets).where("absolute_nucleotide_pos = chr * 10").count() == 1500
+
+
+def test_learning_finds_a_plain_rule(spark, tmp_path):
+    rows = [(float(i % 10), float(i % 7), None if i % 11 == 0 else float(i % 3), int(i % 10 >= 5), i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int, part int").withColumn("asm_not_corrected", F.col("y"))
+    train, val, test = (df.where(f"part = {k}") for k in range(3))
+    for kind in ("rf", "gbt", "lr"):
+        model = learn.fit(kind, train, ["a", "b", "c", "asm_not_corrected"], "y")
+        assert learn.sum_f1(model, test, "y") > 1.9
+        assert "asm_not_corrected" not in model.stages[0].getInputCols()  # what defines the label is no feature
+    grid = {"numTrees": [2, 5], "maxDepth": [1, 3]}
+    found = learn.random_search(train, val, "rf", ["a", "b", "c"], "y", grid, 3)
+    assert len(found) == 3 and found[0][1] == max(s for _, s in found) and all(p in learn.draws(grid, 9, 0) for p, _ in found)
+    model, report = learn.refit_and_test(train.union(val), test, "rf", ["a", "b", "c"], "y", found[0][0], str(tmp_path / "model"))
+    assert report.where("class = 'accuracy'").first()["support"] == test.count() and (tmp_path / "model").exists()
+
+
+def test_model_selection_and_run_log(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    seqs = [([float(rng.normal((0.0, 4.0)[(t // 6) % 2], 0.4)) for t in range(24)],) for _ in range(30)] + [([],), (None,)]
+    df = spark.createDataFrame(seqs, "x array<double>")
+    rows = {r["k"]: r for r in hmm.hmm_model_selection(df, "x", [1, 2, 3], 10, 2).collect()}
+    assert min(rows, key=lambda k: rows[k]["bic"]) == 2
+    for k, r in rows.items():
+        free = k - 1 + k * (k - 1) + 2 * k
+        assert r["aic"] == pytest.approx(2 * free - 2 * r["loglik"]) and r["bic"] == pytest.approx(free * math.log(720) - 2 * r["loglik"])
+    m = hmm.hmm_fit(df, "x", 2, 10, 2)
+    log = hmm.hmm_run_log(spark, m).first()
+    assert (log["k"], log["restarts"], log["n"]) == (2, 2, 720) and log["bic"] == pytest.approx(rows[2]["bic"]) and log["iterations"] == len(m["path"])
+
+
+def plain_pass(x, p):
+    """Likelihood and sums of one sequence by all paths of states."""
+    import itertools
+
+    import numpy as np
+
+    k, n = len(p["mean"]), len(x)
+    dens = lambda j, v: math.exp(-((v - p["mean"][j]) ** 2) / 2 / p["var"][j]) / math.sqrt(2 * math.pi * p["var"][j])
+    total, sums = 0.0, np.zeros(k + k * k + 3 * k)
+    for path in itertools.product(range(k), repeat=n):
+        w = p["start"][path[0]] * math.prod(dens(s, v) for s, v in zip(path, x)) * math.prod(p["trans"][a][b] for a, b in zip(path, path[1:]))
+        one = np.zeros_like(sums)
+        one[path[0]] += 1
+        for a, b in zip(path, path[1:]):
+            one[k + a * k + b] += 1
+        for s, v in zip(path, x):
+            one[k + k * k + s] += 1
+            one[2 * k + k * k + s] += v
+            one[3 * k + k * k + s] += v * v
+        total, sums = total + w, sums + w * one
+    return np.r_[math.log(total), sums / total]
+
+
+def test_passes_against_all_paths():
+    import numpy as np
+
+    models = [{"start": [0.6, 0.4], "trans": [[0.7, 0.3], [0.2, 0.8]], "mean": [0.0, 1.0], "var": [0.5, 1.5]}, {"start": [0.1, 0.9], "trans": [[0.5, 0.5], [0.9, 0.1]], "mean": [2.0, -1.0], "var": [1.0, 0.3]}]
+    seqs = [[0.3], [0.1, 1.2, -0.4], [1.0, 1.1, 0.2], [0.5, 0.6, 0.7, 0.8, 0.9]]
+    got = sum(hmm.expected_sums(x, hmm.stacked(models)) for x in hmm.by_length([*seqs, [], None], 4))
+    for m, row in zip(models, got):
+        assert row == pytest.approx(sum(plain_pass(x, m) for x in seqs), rel=1e-9)

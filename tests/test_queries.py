@@ -38,9 +38,32 @@ def test_query(spark, db, name):
     assert sorted((tuple(plain(r[c]) for c in sorted(cols)) for r in df.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", ["hmm_score", "rf_fit"])
-def test_rows_only(spark, name):
-    assert q.QUERIES[name](spark, SF).count() > 0
+@pytest.mark.parametrize("name", ["rf_fit", "gbt_fit", "lr_fit"])
+def test_fits_report_on_all_test_rows(spark, name):
+    got = {r["class"]: r for r in q.QUERIES[name](spark, SF).collect()}
+    n = q.learning_rows(spark, SF).where("dataset = 'TESTING'").count()
+    assert got["accuracy"]["support"] == got["0"]["support"] + got["1"]["support"] == n
+    assert got["accuracy"]["precision"] >= 0.75  # the planted difference is plain
+
+
+def test_search_and_refit(spark, monkeypatch):
+    monkeypatch.setattr(q, "GRID", {"numTrees": [2, 4], "maxDepth": [1, 2]})
+    found = q.QUERIES["random_search"](spark, SF).collect()
+    assert len({r["params"] for r in found}) == 4 and [r["sum_f1"] for r in found] == sorted((r["sum_f1"] for r in found), reverse=True)
+    seen = {}
+
+    def refit(train_val, test, kind, feats, label, params, path):
+        seen["params"] = str(sorted(params.items()))
+        return None, q.rp.classification_report(q.rp.confusion_matrix(test.withColumn("pred", q.F.col(label)), label, "pred"))
+
+    monkeypatch.setattr(q.learn, "refit_and_test", refit)
+    q.QUERIES["refit_and_test"](spark, SF).collect()
+    assert seen["params"] == found[0]["params"]  # the point found is the one refitted
+
+
+def test_small_groups_reach_the_exact_branch(spark, db):
+    rows = db.execute(f"SELECT n1, n2 FROM ({q._SMALL}) WHERE ties = 0 AND least(n1, n2) BETWEEN 1 AND 8").fetchall()
+    assert any(b > 41 for _, b in rows) and any(b > 100 for _, b in rows) and len(rows) > 50
 
 
 def test_entry(spark):
@@ -59,6 +82,7 @@ def test_sequence_models_run_with_the_settings_of_the_library(spark, monkeypatch
 
     monkeypatch.setattr(q.hmm, "hmm_fit", fit)
     got = {n: q.QUERIES[n](spark, SF).collect() for n in ("hmm_model_selection", "hmm_fit", "hmm_run_log")}
+    assert q.CFG.draws == 50
     own = (q.CFG.iterations, q.CFG.restarts)
     assert ran == [(k, *own) for k in range(1, 11)] + [(q.CFG.states, *own)] * 2
     assert [r["k"] for r in got["hmm_model_selection"]] == list(range(1, 11)) and len(got["hmm_fit"]) == q.CFG.states
