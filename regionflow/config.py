@@ -33,8 +33,8 @@ class Config:
     cov_bandwidth: float = 5.0
     # sequence models
     states: int = 4
-    restarts: int = 3
-    iterations: int = 20
+    restarts: int = 5
+    iterations: int = 100
     # points that a search draws from its grid
     draws: int = 50
     # sample -> dataset

@@ -107,41 +107,48 @@ def m_step(s: dict, variational: bool, prior_mean: float, prior_var: float) -> d
 
 #: Values times states times models that a pass holds at once.
 CELLS = 1 << 20
-SUMS = T.StructType().add("restart", "integer").add("sums", T.ArrayType(T.DoubleType()))
+SUMS = T.StructType().add("k", "integer").add("restart", "integer").add("sums", T.ArrayType(T.DoubleType()))
 
 
-def one_pass(df: DataFrame, arr: str, models: list[dict]) -> list[dict]:
-    """Expected sums over all sequences for each model, added up by Spark."""
+def one_pass(df: DataFrame, arr: str, models: dict[int, list[dict]]) -> dict[int, list[dict]]:
+    """Expected sums over all sequences for each model of each size, added up by Spark in one job."""
     import numpy as np
 
-    k = len(models[0]["mean"])
-
     def run(frames):
         import pandas as pd
 
-        p = stacked(models)
-        total, seen = np.zeros((len(models), 1 + k + k * k + 3 * k)), False
+        params = {k: stacked(m) for k, m in models.items()}
+        total = {k: np.zeros((len(m), 1 + k + k * k + 3 * k)) for k, m in models.items()}
+        seen = False
         for frame in frames:
-            for x in by_length(frame[arr], CELLS // (k * len(models))):
-                total, seen = total + expected_sums(x, p), True
+            for x in by_length(frame[arr], CELLS // max(k * len(m) for k, m in models.items())):
+                seen = True
+                for k, p in params.items():
+                    total[k] += expected_sums(x, p)
         if seen:
-            yield pd.DataFrame({"restart": range(len(models)), "sums": [list(t) for t in total]})
+            rows = [(k, r, t.tolist()) for k in total for r, t in enumerate(total[k])]
+            yield pd.DataFrame(rows, columns=SUMS.names)
 
-    parts = df.select(arr).mapInPandas(run, SUMS).select("restart", F.posexplode("sums").alias("i", "v"))
-    rows = parts.groupBy("restart", "i").agg(F.sum("v").alias("v")).collect()  # restarts x a few dozen numbers
-    flat = np.zeros((len(models), 1 + k + k * k + 3 * k))
+    parts = df.select(arr).mapInPandas(run, SUMS).select("k", "restart", F.posexplode("sums").alias("i", "v"))
+    rows = parts.groupBy("k", "restart", "i").agg(F.sum("v").alias("v")).collect()  # sizes x restarts x some dozens of numbers
+    flat = {k: np.zeros((len(m), 1 + k + k * k + 3 * k)) for k, m in models.items()}
     for r in rows:
-        flat[r["restart"], r["i"]] = r["v"]
-    cut = np.cumsum([1, k, k * k, k, k])
-    out = []
-    for f in flat:
-        ll, start, xi, n, x, xx = np.split(f, cut)
-        out.append({"ll": float(ll[0]), "start": start, "xi": xi.reshape(k, k), "n": n, "x": x, "xx": xx})
+        flat[r["k"]][r["restart"], r["i"]] = r["v"]
+    out: dict[int, list[dict]] = {}
+    for k in models:
+        cut = np.cumsum([1, k, k * k, k, k])
+        out[k] = []
+        for f in flat[k]:
+            ll, start, xi, n, x, xx = np.split(f, cut)
+            out[k].append({"ll": float(ll[0]), "start": start, "xi": xi.reshape(k, k), "n": n, "x": x, "xx": xx})
     return out
 
 
-def hmm_fit(df: DataFrame, arr: str, k: int, n_iter: int = 20, restarts: int = 3, seed: int = 0, variational: bool = False, tol: float = 1e-3) -> dict:
-    """Parameters (states in order of mean), loglik, n and the path of the best restart's log-likelihood."""
+def hmm_fits(df: DataFrame, arr: str, ks: list[int], n_iter: int = 20, restarts: int = 3, seed: int = 0, variational: bool = False, tol: float = 1e-2) -> list[dict]:
+    """A fit of each number of states; all sizes and restarts share each pass over the sequences.
+
+    A fit is a dict of parameters (states in order of mean), loglik, n and the path of the best restart's log-likelihood.
+    """
     import numpy as np
 
     values = df.select(F.explode(arr).alias("x"))
@@ -150,20 +157,32 @@ def hmm_fit(df: DataFrame, arr: str, k: int, n_iter: int = 20, restarts: int = 3
     if not row["n"]:
         raise ValueError("no observations")
     stats = {"quantiles": row["q"], "sd": row["sd"] or 0.0}
-    models = [start_params(stats, k, r, seed) for r in range(restarts)]
-    path: list[list[float]] = [[] for _ in models]
+    models = {k: [start_params(stats, k, r, seed) for r in range(restarts)] for k in ks}
+    path: dict[int, list[list[float]]] = {k: [[] for _ in range(restarts)] for k in ks}
+    live = list(ks)
     for _ in range(n_iter):
-        sums = one_pass(df, arr, models)
-        for r, s in enumerate(sums):
-            path[r].append(s["ll"])
-        if all(len(p) > 1 and p[-1] - p[-2] < tol * max(1.0, abs(p[-1]) * 1e-3) for p in path):
+        sums = one_pass(df, arr, {k: models[k] for k in live})
+        for k in live:
+            for p, s in zip(path[k], sums[k]):
+                p.append(s["ll"])
+        live = [k for k in live if not all(len(p) > 1 and p[-1] - p[-2] < tol * max(1.0, abs(p[-1]) * 1e-3) for p in path[k])]
+        if not live:
             break
-        models = [m_step(s, variational, row["mean"], stats["sd"] ** 2) for s in sums]
+        for k in live:
+            models[k] = [m_step(s, variational, row["mean"], stats["sd"] ** 2) for s in sums[k]]
     final = one_pass(df, arr, models)
-    best = max(range(restarts), key=lambda r: final[r]["ll"])
-    p = models[best]
-    order = np.argsort(p["mean"])
-    return {"k": k, "restarts": restarts, "start": p["start"][order].tolist(), "trans": p["trans"][np.ix_(order, order)].tolist(), "mean": p["mean"][order].tolist(), "var": p["var"][order].tolist(), "loglik": final[best]["ll"], "n": row["n"], "path": path[best]}
+    out = []
+    for k in ks:
+        best = max(range(restarts), key=lambda r: final[k][r]["ll"])
+        p = models[k][best]
+        order = np.argsort(p["mean"])
+        out.append({"k": k, "restarts": restarts, "start": p["start"][order].tolist(), "trans": p["trans"][np.ix_(order, order)].tolist(), "mean": p["mean"][order].tolist(), "var": p["var"][order].tolist(), "loglik": final[k][best]["ll"], "n": row["n"], "path": path[k][best]})
+    return out
+
+
+def hmm_fit(df: DataFrame, arr: str, k: int, n_iter: int = 20, restarts: int = 3, seed: int = 0, variational: bool = False, tol: float = 1e-2) -> dict:
+    """The fit of one number of states."""
+    return hmm_fits(df, arr, [k], n_iter, restarts, seed, variational, tol)[0]
 
 
 def hmm_score(df: DataFrame, arr: str, params: dict) -> DataFrame:
@@ -189,10 +208,8 @@ def information(loglik: float, n: int, k: int) -> tuple[float, float]:
 
 
 def hmm_model_selection(df: DataFrame, arr: str, ks: list[int], n_iter: int = 10, restarts: int = 2, seed: int = 0) -> DataFrame:
-    rows = []
-    for k in ks:
-        m = hmm_fit(df, arr, k, n_iter, restarts, seed)
-        rows.append((k, m["loglik"], *information(m["loglik"], m["n"], k)))
+    """k, loglik, aic, bic of the fit of each number of states."""
+    rows = [(m["k"], m["loglik"], *information(m["loglik"], m["n"], m["k"])) for m in hmm_fits(df, arr, ks, n_iter, restarts, seed)]
     return df.sparkSession.createDataFrame(rows, "k int, loglik double, aic double, bic double")
 
 
