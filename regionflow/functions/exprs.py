@@ -6,6 +6,7 @@ the column and its check.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -39,11 +40,9 @@ def allele_effect(ref_meth: Column, ref_cov: Column, alt_meth: Column, alt_cov:
     return half_away(F.try_divide(alt_meth, alt_cov) - F.try_divide(ref_meth, ref_cov), digits)
 
 
-def _horner(coefficients: list[float], x: str) -> str:
-    out = f"{coefficients[0]:.16e}"
-    for c in coefficients[1:]:
-        out = f"({out} * {x} + {c:.16e})"
-    return out
+def let(value: Column, f) -> Column:
+    """f(value), with value evaluated once however often f names it, also where Spark merges projections."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 # West's (2005) rational approximation of the normal tail, highest power first.
@@ -51,11 +50,16 @@ _TOP = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.9128660783
 _BOTTOM = [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
 
 
-def norm_sf_sql(z: str) -> str:
+def norm_sf(z: Column) -> Column:
     """Upper tail of the standard normal for z >= 0."""
-    body = f"exp(-{z} * {z} / 2e0) * {_horner(_TOP, z)} / {_horner(_BOTTOM, z)}"
-    far = f"exp(-{z} * {z} / 2e0) / ({z} + 1e0 / ({z} + 2e0 / ({z} + 3e0 / ({z} + 4e0 / ({z} + 6.5e-1))))) / 2.506628274631e0"
-    return f"(CASE WHEN {z} < 7.07106781186547e0 THEN {body} WHEN {z} < 3.7e1 THEN {far} ELSE 0e0 END)"
+
+    def tail(z: Column) -> Column:
+        horner = lambda cs: functools.reduce(lambda s, c: s * z + c, cs[1:], F.lit(cs[0]))
+        near = F.exp(-z * z / 2) * horner(_TOP) / horner(_BOTTOM)
+        far = F.exp(-z * z / 2) / functools.reduce(lambda s, k: z + F.lit(k) / s, (4.0, 3.0, 2.0, 1.0), z + 0.65) / 2.506628274631
+        return F.when(z < 7.07106781186547, near).when(z < 37, far).otherwise(F.lit(0.0))
+
+    return let(z, tail)
 
 
 #: Largest n whose logarithm of n! is at hand; two groups of the coverage limit fit well. Beyond it, Stirling's series is exact to a double.

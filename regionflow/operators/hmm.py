@@ -9,7 +9,9 @@ over an array inside the JVM.
 from __future__ import annotations
 
 import math
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,9 @@ from ..config import DEFAULT, Config
 from ..functions.exprs import half_even
 from .reports import split_by_sample_list
 
+# Functions of this module travel to the executors with the job, so that these need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def flatten_observations(df: DataFrame, arr: str, keys: list[str]) -> DataFrame:
     """One row an observation: keys, idx, x; sequences stay apart."""

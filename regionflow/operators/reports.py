@@ -179,11 +179,12 @@ def confusion_matrix(df: DataFrame, label: str, pred: str) -> DataFrame:
     return df.agg(is_(0, 0).alias("tn"), is_(0, 1).alias("fp"), is_(1, 0).alias("fn"), is_(1, 1).alias("tp"))
 
 
-def classification_report(cm: DataFrame) -> DataFrame:
-    """class, precision, recall, f1, support (3 digits): classes 0 and 1, accuracy, macro and weighted means, and the sum of f1."""
+def classification_report(cm: DataFrame, *by: str) -> DataFrame:
+    """For each row of cm (tn, fp, fn, tp; columns ``by`` are kept): class, precision, recall, f1, support (3 digits): classes 0 and 1, accuracy, macro and weighted means, and the sum of f1."""
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     c = F.col
     cm = cm.select(
+        *by,
         *[c(x).cast("double").alias(x) for x in ("tn", "fp", "fn", "tp")],
     )
     cm = cm.withColumns({"p0": ratio(c("tn"), c("tn") + c("fn")), "r0": ratio(c("tn"), c("tn") + c("fp")), "p1": ratio(c("tp"), c("tp") + c("fp")), "r1": ratio(c("tp"), c("tp") + c("fn")), "s0": c("tn") + c("fp"), "s1": c("tp") + c("fn")})
@@ -200,7 +201,7 @@ def classification_report(cm: DataFrame) -> DataFrame:
         ("sum f1", F.lit(None).cast("double"), F.lit(None).cast("double"), c("f0") + c("f1"), c("s")),
     ]
     structs = [F.struct(F.lit(n).alias("class"), half_away(p, 3).alias("precision"), half_away(r, 3).alias("recall"), half_away(f, 3).alias("f1"), s.cast("long").alias("support")) for n, p, r, f, s in rows]
-    return cm.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    return cm.select(*by, F.explode(F.array(*structs)).alias("r")).select(*by, "r.*")
 
 
 def locus_comparison_metrics(loci: DataFrame) -> DataFrame:
@@ -217,9 +218,9 @@ def locus_comparison_metrics(loci: DataFrame) -> DataFrame:
 
 
 def baseline_eval(df: DataFrame, labels: list[str], pred: str) -> DataFrame:
-    """The report of a prediction for each of several labels, with the label's name; rows without a label don't count."""
-    parts = [classification_report(confusion_matrix(df.where(F.col(c).isNotNull()), c, pred)).select(F.lit(c).alias("label"), "*") for c in labels]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The report of a prediction for each of several labels, with the label's name, in one pass; rows without a label don't count."""
+    is_ = lambda c, a, b: F.count_if((F.col(c) == a) & (F.col(pred) == b))
+    cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+    counts = df.agg(*[is_(c, a, b).alias(f"{c}_{x}") for c in labels for x, (a, b) in cells.items()])
+    rows = [F.struct(F.lit(c).alias("label"), *[F.col(f"{c}_{x}").alias(x) for x in cells]) for c in labels]
+    return classification_report(counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*"), "label")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.exprs import array_mean, array_sum, fisher_p, half_away, half_even, longest_run, norm_sf_sql
+from ..functions.exprs import array_mean, array_sum, fisher_p, half_away, half_even, let, longest_run, norm_sf
 from .regions import K, SNP
 
 #: An exact rank-sum distribution is used up to this size of the smaller group, if there are no ties.
@@ -32,7 +32,7 @@ def exact_p(n1: Column, n2: Column, u: Column) -> Column:
         orders = F.aggregate(F.sequence(F.lit(1), t["a"]), F.lit(1.0), lambda s, i: s * (t["b"] + i) / i)
         return F.least(F.lit(1.0), array_sum(ways) * 2 / orders)
 
-    return F.element_at(F.transform(F.array(sizes), p), 1)
+    return let(sizes, p)
 
 
 def rank_sum(first: Column, second: Column) -> Column:
@@ -62,18 +62,22 @@ def rank_sum(first: Column, second: Column) -> Column:
             F.when(same, s["ties"]).otherwise(ties).alias("ties"),
         )
 
-    done = F.aggregate(union, zero, step, lambda s: F.struct(closed(s)[1].alias("u"), closed(s)[2].alias("ties")))
-    return F.struct(F.size(first).cast("long").alias("n1"), F.size(second).cast("long").alias("n2"), done["u"].alias("u"), done["ties"].alias("ties"))
+    sizes = [F.size(first).cast("long").alias("n1"), F.size(second).cast("long").alias("n2")]
+    return F.aggregate(union, zero, step, lambda s: F.struct(*sizes, closed(s)[1].alias("u"), closed(s)[2].alias("ties")))
 
 
-def normal_p(n1: str, n2: str, u: str, ties: str) -> str:
-    """SQL text of the two-sided p by the normal approximation with tie and continuity correction; null for an empty group."""
-    n = f"({n1} + {n2})"
-    sigma = f"sqrt({n1} * {n2} / 1.2e1 * ({n} + 1 - {ties} / ({n} * ({n} - 1e0))))"
-    big = f"greatest({u}, {n1} * {n2} - {u})"
-    z = f"greatest(({big} - {n1} * {n2} / 2e0 - 5e-1) / {sigma}, 0e0)"
-    flat = f"({n} < 2 OR {n1} * {n2} / 1.2e1 * ({n} + 1 - {ties} / ({n} * ({n} - 1e0))) <= 1e-12)"
-    return f"CASE WHEN {n1} = 0 OR {n2} = 0 THEN NULL WHEN {flat} THEN 1e0 ELSE least(1e0, 2e0 * {norm_sf_sql(z)}) END"
+def normal_p(n1: Column, n2: Column, u: Column, ties: Column) -> Column:
+    """Two-sided p by the normal approximation with tie and continuity correction; null for an empty group."""
+    held = F.struct(n1.cast("double").alias("a"), n2.cast("double").alias("b"), u.cast("double").alias("u"), ties.cast("double").alias("t"))
+
+    def p(s: Column) -> Column:
+        n = s["a"] + s["b"]
+        spread = s["a"] * s["b"] / 12 * (n + 1 - F.coalesce(F.try_divide(s["t"], n * (n - 1)), F.lit(2.0)))
+        apart = F.abs(s["u"] - s["a"] * s["b"] / 2) - 0.5
+        tested = let(spread, lambda v: F.when(v <= 1e-12, F.lit(1.0)).otherwise(F.least(F.lit(1.0), norm_sf(F.greatest(apart / F.sqrt(v), F.lit(0.0))) * 2)))
+        return F.when((s["a"] > 0) & (s["b"] > 0), tested)
+
+    return let(held, p)
 
 
 def mann_whitney(df: DataFrame, arr: str = "reads_w_snp") -> DataFrame:
@@ -88,17 +92,20 @@ def mann_whitney(df: DataFrame, arr: str = "reads_w_snp") -> DataFrame:
 def tested(df: DataFrame, arr: str) -> DataFrame:
     """df with read_asm_effect and wilcoxon_pvalue."""
     side = lambda k: F.filter(F.transform(arr, lambda x: x[k]), lambda v: v.isNotNull())
-    held = [c for c in df.columns if c not in ("n1", "n2", "u", "ties", "p")]
     rows = df.withColumn("_ref", side("ref")).withColumn("_alt", side("alt"))
-    rows = rows.withColumn("read_asm_effect", half_away(half_away(array_mean(F.col("_alt")) - array_mean(F.col("_ref")), 9), 5))
-    rows = rows.withColumn("_s", rank_sum(F.col("_ref"), F.col("_alt"))).select(*held, "read_asm_effect", "_s.*")
-    return with_rank_sum_p(rows).withColumn("wilcoxon_pvalue", half_away(F.col("p"), 5)).select(*held, "read_asm_effect", "wilcoxon_pvalue")
+    effect = half_away(half_away(array_mean(F.col("_alt")) - array_mean(F.col("_ref")), 9), 5)
+    p = let(rank_sum_p(rank_sum(F.col("_ref"), F.col("_alt"))), lambda p: half_away(p, 5))
+    return rows.withColumn("read_asm_effect", effect).withColumn("wilcoxon_pvalue", p).drop("_ref", "_alt")
+
+
+def rank_sum_p(sums: Column) -> Column:
+    """p of a struct (n1, n2, u, ties): exact if a group is small and there are no ties, else by the normal approximation."""
 
+    def p(s: Column) -> Column:
+        small = (s["ties"] == 0) & F.least(s["n1"], s["n2"]).between(1, EXACT)
+        return F.when(small, exact_p(s["n1"], s["n2"], s["u"])).otherwise(normal_p(s["n1"], s["n2"], s["u"], s["ties"]))
 
-def with_rank_sum_p(sums: DataFrame) -> DataFrame:
-    """sums (n1, n2, u, ties) with p: exact if a group is small and there are no ties, else by the normal approximation."""
-    small = F.col("ties").eqNullSafe(0) & (F.least("n1", "n2") <= EXACT) & (F.least("n1", "n2") > 0)
-    return sums.withColumn("p", F.when(small, exact_p(F.col("n1"), F.col("n2"), F.col("u"))).otherwise(F.expr(normal_p("n1", "n2", "u", "ties"))))
+    return let(sums, p)
 
 
 def bh_adjust(df: DataFrame, p: str, by: str = "sample", out: str = "corrected_wilcoxon_pvalue") -> DataFrame:
@@ -177,10 +184,9 @@ def approx_asm(reads: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     sites = fisher_exact(counts.withColumns({"a": F.col("high_meth"), "b": F.col("high_cov") - F.col("high_meth"), "c": F.col("low_meth"), "d": F.col("low_cov") - F.col("low_meth")}), "a", "b", "c", "d")
     one = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("effect", F.lit(0.0)).alias("effect"), "fisher_pvalue")))
     rows = sites.groupBy(*K).agg(one.alias("cpgs"), *[F.sum(c).alias(c) for c in "abcd"])
-    n1, n2, zeros, ones = "(a + b)", "(c + d)", "(b + d)", "(a + c)"
-    rows = rows.withColumn("n1", F.expr(n1)).withColumn("n2", F.expr(n2)).withColumn("u", F.expr("a * d + a * c / 2e0 + b * d / 2e0"))
-    rows = rows.withColumn("ties", F.expr(f"{zeros} * {zeros} * {zeros} - {zeros} + {ones} * {ones} * {ones} - {ones}"))
-    rows = rows.withColumn("pvalue", half_away(F.expr(normal_p("n1", "n2", "u", "ties")), 5))
+    n1, n2, zeros, ones = F.col("a") + F.col("b"), F.col("c") + F.col("d"), F.col("b") + F.col("d"), F.col("a") + F.col("c")
+    u = F.col("a") * F.col("d") + F.col("a") * F.col("c") / 2 + F.col("b") * F.col("d") / 2
+    rows = rows.withColumns({"n1": n1, "n2": n2, "pvalue": let(normal_p(n1, n2, u, zeros * zeros * zeros - zeros + ones * ones * ones - ones), lambda p: half_away(p, 5))})
     rows = rows.withColumn("reads_asm_effect", half_even(F.try_divide("a", "n1") - F.try_divide("c", "n2"), 3))
     rows = max_consecutive_run(sig_cpg_count(rows, "cpgs", "reads_asm_effect", cfg.max_p), "cpgs", "reads_asm_effect", cfg.max_p)
     return asm_decision(rows, "pvalue", cfg, "approx_asm", "reads_asm_effect").select(*K, "approx_asm", "reads_asm_effect", "total_sig_cpgs", "consecutive_sig_cpgs")

@@ -27,7 +27,7 @@ def test_fisher(spark, table, p):
 
 def test_normal_tail(spark):
     zs = [0.0, 0.5, 1.96, 3.0, 7.0, 7.5, 20.0]
-    df = spark.createDataFrame([(z,) for z in zs], "z double").withColumn("p", F.expr(ex.norm_sf_sql("z")))
+    df = spark.createDataFrame([(z,) for z in zs], "z double").withColumn("p", ex.norm_sf(F.col("z")))
     for r in df.collect():
         assert r["p"] == pytest.approx(0.5 * math.erfc(r["z"] / math.sqrt(2)), rel=1e-9, abs=1e-15)
 
