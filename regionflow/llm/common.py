@@ -117,7 +117,7 @@ def stored(df: DataFrame, name: str = "part", of: list | None = None) -> DataFra
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{name}"
-    before = spark.conf.get(CLEAN_SHUFFLES)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
         df.write.parquet(path)
