@@ -62,30 +62,50 @@ def norm_sf(z: Column) -> Column:
     return let(z, tail)
 
 
-#: Largest n whose logarithm of n! is at hand; two groups of the coverage limit fit well. Beyond it, Stirling's series is exact to a double.
-MAX_FACTORIAL = 1000
+#: Largest n whose logarithm of n! is listed. Beyond it, Stirling's series is exact to a double.
+MAX_FACTORIAL = 30
 
 
-def log_factorials() -> Column:
-    return F.array(*[F.lit(math.lgamma(n + 1)) for n in range(MAX_FACTORIAL + 1)])
+def log_factorial(listed: Column, n: Column) -> Column:
+    """Logarithm of n! for a whole n >= 0; listed has those up to MAX_FACTORIAL."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + (F.lit(1.0) / 12 - (F.lit(1.0) / 360 - F.lit(1.0) / 1260 / (x * x)) / (x * x)) / x
+    return F.coalesce(F.try_element_at(listed, n.cast("int") + 1), series)
 
 
 def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided exact p of the 2x2 table [[a, b], [c, d]]; 1 if a margin is zero."""
-    table = F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), c.cast("int").alias("c"), d.cast("int").alias("d"), log_factorials().alias("lf"))
+    """Two-sided exact p of the 2x2 table [[a, b], [c, d]]; 1 if a margin is zero.
+
+    One fold over the tables of the same margins, each one's logarithm from that of the table before it.
+    """
+    counts = [x.cast("long").alias(name) for name, x in zip("abcd", (a, b, c, d))]
+    table = F.struct(*counts, F.array(*[F.lit(math.lgamma(n + 1)) for n in range(MAX_FACTORIAL + 1)]).alias("lf"))
+
+    def margins(t: Column) -> Column:
+        r1, r2, c1 = t["a"] + t["b"], t["c"] + t["d"], t["a"] + t["c"]
+        least = F.greatest(F.lit(0).cast("long"), c1 - r2)
+        return F.struct(t["a"].alias("a"), t["b"].alias("b"), t["c"].alias("c"), t["d"].alias("d"), t["lf"].alias("lf"), r1.alias("r1"), r2.alias("r2"), c1.alias("c1"), least.alias("least"))
+
+    def ends(t: Column) -> Column:
+        lf = functools.partial(log_factorial, t["lf"])
+        of = lambda *cells: -functools.reduce(lambda s, n: s + lf(n), cells[1:], lf(cells[0]))
+        both = lf(t["r1"]) + lf(t["r2"]) + lf(t["c1"]) + lf(t["r1"] + t["r2"] - t["c1"]) - lf(t["r1"] + t["r2"])
+        first = of(t["least"], t["r1"] - t["least"], t["c1"] - t["least"], t["r2"] - t["c1"] + t["least"])
+        seen = of(t["a"], t["b"], t["c"], t["d"]) + math.log1p(1e-7)
+        return F.struct(t["r1"].alias("r1"), t["r2"].alias("r2"), t["c1"].alias("c1"), t["least"].alias("least"), both.alias("both"), first.alias("first"), seen.alias("seen"))
 
     def p(t: Column) -> Column:
-        r1, r2, c1, n = t["a"] + t["b"], t["c"] + t["d"], t["a"] + t["c"], t["a"] + t["b"] + t["c"] + t["d"]
-        series = lambda i: (i + 0.5) * F.log(i) - i + 0.5 * math.log(2 * math.pi) + 1 / (12 * i) - 1 / (360 * i * i * i)
-        lf = lambda i: F.coalesce(F.try_element_at(t["lf"], i + 1), series(i.cast("double")))
-        const = lf(r1) + lf(r2) + lf(c1) + lf(n - c1) - lf(n)
-        term = lambda x: F.exp(const - lf(x) - lf(r1 - x) - lf(c1 - x) - lf(r2 - c1 + x))
-        terms = F.transform(F.sequence(F.greatest(F.lit(0), c1 - r2), F.least(r1, c1)), term)
-        seen = term(t["a"]) * F.lit(1 + 1e-7)
-        total = F.aggregate(F.filter(terms, lambda x: x <= seen), F.lit(0.0), lambda s, x: s + x)
-        return F.when((r1 == 0) | (r2 == 0) | (c1 == 0) | (c1 == n), F.lit(1.0)).otherwise(F.least(F.lit(1.0), total))
-
-    return F.element_at(F.transform(F.array(table), p), 1)
+        def step(s: Column, x: Column) -> Column:
+            here = F.when(s["log"] <= t["seen"], F.exp(t["both"] + s["log"])).otherwise(F.lit(0.0))
+            odds = (t["r1"] - x).cast("double") * (t["c1"] - x) / ((x + 1).cast("double") * (t["r2"] - t["c1"] + x + 1))
+            return F.struct((s["p"] + here).alias("p"), (s["log"] + F.coalesce(F.log(odds), F.lit(0.0))).alias("log"))
+
+        tables = F.sequence(t["least"], F.least(t["r1"], t["c1"]))
+        total = F.aggregate(tables, F.struct(F.lit(0.0).alias("p"), t["first"].alias("log")), step, lambda s: s["p"])
+        empty = (t["r1"] == 0) | (t["r2"] == 0) | (t["c1"] == 0) | (t["c1"] == t["r1"] + t["r2"])
+        return F.when(empty, F.lit(1.0)).otherwise(F.least(F.lit(1.0), total))
+
+    return let(let(let(table, margins), ends), p)
 
 
 def array_sum(arr: Column) -> Column:
