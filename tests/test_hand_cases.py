@@ -1,6 +1,7 @@
 """Cases worked out by hand, properties, and fixed-against-source semantics."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,10 @@ def test_fisher_of_deep_tables(spark):
     from math import comb
 
     tables = [(400, 300, 350, 350), (1200, 900, 1100, 1000), (3, 2000, 15, 1990), (1001, 0, 0, 1)]
+    # small ones, and ones on both sides of the end of the listed factorials
+    rng = random.Random(31)
+    tables += [tuple(rng.randint(0, most) for _ in range(4)) for most in (2, 6, 16, 33) for _ in range(60)]
+    tables = [t for t in tables if sum(t)]
     got = spark.createDataFrame(tables, "a int, b int, c int, d int").select("a", "b", "c", "d", ex.fisher_p(*map(F.col, "abcd")).alias("p")).collect()
     for a, b, c, d, p in got:
         ways = [comb(a + b, x) * comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)]
