@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, html_text, near_dup, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
+from . import byte_bpe, chat_format, decontaminate, html_text, merkle, near_dup, periodic_runs, quality_rules, secret_scan, simhash, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -19,9 +19,12 @@ def queries() -> dict:
             byte_bpe.op8_byte_bpe,
             quality_rules.op9_quality_rules,
             secret_scan.op10_secret_scans,
+            merkle.op11_merkle_manifest,
+            periodic_runs.op12_periodic_runs,
+            simhash.op13_simhash_near_dedup,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat_format.OP1_SQL}
+    return {"op1_chat_formatting": chat_format.OP1_SQL, "op11_merkle_manifest": merkle.OP11_SQL}
