@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_away
+from .ranks import in_first, key_hash
 
 # --- projections and filters
 
@@ -128,34 +129,29 @@ def state_mean_by_label(df: DataFrame, states: str, label: str) -> DataFrame:
     return df.withColumn("_m", mean).groupBy(label).agg(F.avg("_m").alias("mean"), F.stddev_pop("_m").alias("sd"))
 
 
-# --- sampling, by a rank of key hashes: the same rows whatever the partitioning
-
-
-def _hash(key: str, seed: int):
-    """A hash that both engines can state: arithmetic on a number."""
-    return F.pmod(F.col(key) * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))
+# --- sampling, by key hashes: the same rows whatever the partitioning
 
 
 def sample_n_per_group(df: DataFrame, by: str, n: int, key: str, seed: int = 0) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(by).orderBy(_hash(key, seed), key))
+    rank = F.row_number().over(W.partitionBy(by).orderBy(key_hash(key, seed), key))
     return df.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
 def balanced_downsample(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
-    """As many rows of each class as the smallest has."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(_hash(key, seed), key))
-    return df.withColumn("_r", rank).join(F.broadcast(counts)).where("_r <= _least").drop("_r", "_least")
+    """As many rows of each class as the smallest has: the first by hash."""
+    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+    least = counts.agg(F.min("_n").alias("n_first"))
+    return in_first(df, label, key, counts.select(label).join(F.broadcast(least)), seed).where("_first").drop("_first")
 
 
 def random_oversample(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
-    """Rows of smaller classes repeated up to the largest: all the same number of times, the first by rank once more."""
+    """Rows of smaller classes repeated up to the largest: all the same number of times, the first by hash once more."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     top = counts.agg(F.max("_n").alias("_top"))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(_hash(key, seed), key))
-    rows = df.withColumn("_r", rank).join(F.broadcast(counts.withColumnRenamed(label, "_l")), F.col(label) == F.col("_l")).join(F.broadcast(top))
-    times = F.floor(F.col("_top") / F.col("_n")) + F.when(F.col("_r") <= F.col("_top") % F.col("_n"), 1).otherwise(0)
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_r", "_n", "_l", "_top")
+    sizes = counts.join(F.broadcast(top)).select(label, F.expr("_top % _n").alias("n_first"), F.expr("_top div _n").alias("_times"))
+    rows = in_first(df, label, key, sizes.where("n_first > 0"), seed)
+    rows = rows.join(F.broadcast(sizes.select(F.col(label).alias("_l"), "_times")), F.col(label).eqNullSafe(F.col("_l")))
+    return rows.withColumn("copy", F.explode(F.expr("sequence(1L, _times + IF(_first, 1L, 0L))"))).drop("_first", "_l", "_times")
 
 
 def chosen_blocks(n: int, max_block: int, seed: int) -> list[int]:
