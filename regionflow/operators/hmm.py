@@ -2,8 +2,9 @@
 
 Fitting is distributed expectation-maximisation: each task runs forward and
 backward passes over its sequences, those of equal length and all restarts at once, and gives a few
-sums; only these reach the driver, which has the parameters.  Decoding is a fold
-over an array inside the JVM.
+sums; only these reach the driver, which has the parameters.  The variational
+form has posterior distributions in their place, and its evidence bound as the
+objective.  Decoding runs over batches of sequences of equal length in Arrow.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ def stacked(models: list[dict]) -> dict:
     """Parameters of several models of one size as arrays, one row a model."""
     import numpy as np
 
-    return {name: np.stack([np.asarray(m[name], float) for m in models]) for name in ("start", "trans", "mean", "var")}
+    out = {name: np.stack([np.asarray(m[name], float) for m in models]) for name in ("start", "trans", "mean", "var")}
+    return out | {"bias": np.stack([np.asarray(m.get("bias", np.zeros(len(m["mean"]))), float) for m in models])}
 
 
 def by_length(sequences, cells: int):
@@ -66,7 +68,7 @@ def forward(x, p):
     import numpy as np
 
     # models by sequences by states, for each step
-    log_b = -0.5 * ((x.T[:, None, :, None] - p["mean"][:, None, :]) ** 2 / p["var"][:, None, :] + np.log(2 * np.pi * p["var"])[:, None, :])
+    log_b = p["bias"][:, None, :] - 0.5 * ((x.T[:, None, :, None] - p["mean"][:, None, :]) ** 2 / p["var"][:, None, :] + np.log(2 * np.pi * p["var"])[:, None, :])
     shift = log_b.max(3, keepdims=True)
     b = np.exp(log_b - shift)
     alpha, c = np.empty_like(b), np.empty(b.shape[:3])
@@ -98,61 +100,159 @@ def expected_sums(x, p):
     return np.concatenate([ll.sum(1)[:, None], gamma.sum(1), xi.reshape(-1, k * k), weight, first, square], axis=1)
 
 
-def m_step(s: dict, variational: bool, prior_mean: float, prior_var: float) -> dict:
-    """Parameters from sums; the variational form adds Dirichlet counts and normal-gamma pseudo-observations."""
+def m_step(s: dict) -> dict:
+    """The likeliest parameters for sums."""
     import numpy as np
 
-    extra = 1.0 if variational else 1e-6
-    start, trans = s["start"] + extra, s["xi"] + extra
-    n = s["n"] + (1.0 if variational else 0.0) + 1e-9
-    mean = (s["x"] + (prior_mean if variational else 0.0)) / n
-    var = (s["xx"] + ((prior_var + prior_mean**2) if variational else 0.0)) / n - mean**2
-    return {"start": start / start.sum(), "trans": trans / trans.sum(1, keepdims=True), "mean": mean, "var": np.maximum(var, 1e-4)}
+    start, trans, n = s["start"] + 1e-6, s["xi"] + 1e-6, s["n"] + 1e-9
+    mean = s["x"] / n
+    return {"start": start / start.sum(), "trans": trans / trans.sum(1, keepdims=True), "mean": mean, "var": np.maximum(s["xx"] / n - mean**2, 1e-4)}
 
 
-#: Values times states times models that a pass holds at once.
-CELLS = 1 << 20
-SUMS = T.StructType().add("k", "integer").add("restart", "integer").add("sums", T.ArrayType(T.DoubleType()))
+# --- the variational form: Dirichlet rows of starts and transitions, a normal-gamma for each state's mean and precision
 
 
-def one_pass(df: DataFrame, arr: str, models: dict[int, list[dict]]) -> dict[int, list[dict]]:
-    """Expected sums over all sequences for each model of each size, added up by Spark in one job."""
+def digamma(x):
+    """By its recurrence up to 10, then by its asymptotic series."""
     import numpy as np
 
-    def run(frames):
-        import pandas as pd
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    for _ in range(10):
+        low = x < 10
+        out -= np.where(low, 1 / x, 0)
+        x = np.where(low, x + 1, x)
+    y = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
 
-        params = {k: stacked(m) for k, m in models.items()}
-        total = {k: np.zeros((len(m), 1 + k + k * k + 3 * k)) for k, m in models.items()}
-        seen = False
-        for frame in frames:
-            for x in by_length(frame[arr], CELLS // max(k * len(m) for k, m in models.items())):
-                seen = True
+
+def _ln_gamma(x):
+    import numpy as np
+
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def prior_of(k: int, mean: float) -> dict:
+    """Weak priors: one observation in all for each Dirichlet row, the data's mean with the weight of one observation, half an observation of precision."""
+    import numpy as np
+
+    return {"start": np.full(k, 1 / k), "trans": np.full((k, k), 1 / k), "beta": np.ones(k), "m": np.full(k, mean), "a": np.full(k, 0.5), "b": np.full(k, 5e-4)}
+
+
+def posterior_of(s: dict, prior: dict) -> dict:
+    """The posterior of sums under a prior."""
+    import numpy as np
+
+    n, beta = s["n"], prior["beta"] + s["n"]
+    m = (prior["beta"] * prior["m"] + s["x"]) / beta
+    spread = s["xx"] + prior["beta"] * prior["m"] ** 2 - beta * m**2
+    return {"start": prior["start"] + s["start"], "trans": prior["trans"] + s["xi"], "beta": beta, "m": m, "a": prior["a"] + n / 2, "b": prior["b"] + np.maximum(spread, 0.0) / 2}
+
+
+def expected_model(q: dict) -> dict:
+    """What a pass takes for a posterior: exponentials of expected logs of starts and transitions, and emissions by expected logs, too."""
+    import numpy as np
+
+    rows = lambda a: np.exp(digamma(a) - digamma(a.sum(-1, keepdims=True)))
+    return {"start": rows(q["start"]), "trans": rows(q["trans"]), "mean": q["m"], "var": q["b"] / q["a"], "bias": 0.5 * (digamma(q["a"]) - np.log(q["a"])) - 0.5 / q["beta"]}
+
+
+def divergence(q: dict, p: dict) -> float:
+    """The divergence of a posterior from the prior, over all its parts."""
+    import numpy as np
+
+    def dirichlet(a, b):
+        gain = ((a - b) * (digamma(a) - digamma(a.sum(-1, keepdims=True)))).sum(-1)
+        return (_ln_gamma(a.sum(-1)) - _ln_gamma(a).sum(-1) - _ln_gamma(b.sum(-1)) + _ln_gamma(b).sum(-1) + gain).sum()
+
+    mean_precision = q["a"] / q["b"]
+    normal = 0.5 * (np.log(q["beta"] / p["beta"]) + p["beta"] / q["beta"] - 1 + p["beta"] * mean_precision * (q["m"] - p["m"]) ** 2)
+    gamma = (q["a"] - p["a"]) * digamma(q["a"]) - _ln_gamma(q["a"]) + _ln_gamma(p["a"]) + p["a"] * np.log(q["b"] / p["b"]) + q["a"] * (p["b"] / q["b"] - 1)
+    return float(dirichlet(q["start"], p["start"]) + dirichlet(q["trans"], p["trans"]) + normal.sum() + gamma.sum())
+
+
+def settled_model(q: dict) -> dict:
+    """The posterior's means as parameters."""
+    return {"start": q["start"] / q["start"].sum(), "trans": q["trans"] / q["trans"].sum(1, keepdims=True), "mean": q["m"], "var": q["b"] / q["a"]}
+
+
+def first_posterior(model: dict, prior: dict, n: int) -> dict:
+    """A posterior around a model's parameters, as if each state had its share of the n observations."""
+    k = len(model["mean"])
+    share = max(n / k, 1.0)
+    a = prior["a"] + share / 2
+    return {"start": prior["start"] + model["start"], "trans": prior["trans"] + model["trans"] * share, "beta": prior["beta"] + share, "m": model["mean"], "a": a, "b": model["var"] * a}
+
+
+# --- passes
+
+#: Values times states times models that a pass holds at once; values of a row of ``blocks``.
+CELLS, BLOCK_VALUES = 1 << 20, 1 << 17
+SUMS = T.StructType().add("k", "integer").add("restart", "integer").add("i", "integer").add("v", "double")
+
+
+def blocks(df: DataFrame, arr: str) -> DataFrame:
+    """Sequences by length, many in a row: n (their length) and x (their values as 64-bit floats); empty ones are left out."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            size = np.diff(column.offsets.to_numpy())
+            values = column.values.to_numpy(zero_copy_only=False).astype(float)
+            first, rows = column.offsets.to_numpy()[:-1], []
+            for n in np.unique(size[size > 0]).tolist():
+                at, step = first[size == n], max(1, BLOCK_VALUES // n)
+                rows += [(n, values[at[i : i + step, None] + np.arange(n)].tobytes()) for i in range(0, len(at), step)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["n", "x"])
+
+    return df.select(F.col(arr).cast("array<double>")).mapInArrow(run, "n long, x binary")
+
+
+def pass_over(rows: DataFrame, models: dict) -> dict:
+    """Expected sums of each model, {(k, restart): parameters}, over all sequences of ``blocks``, added up by Spark in one job."""
+    import numpy as np
+
+    names = sorted(models)
+    sizes = sorted({k for k, _ in names})
+
+    def run(batches):
+        import pyarrow as pa
+
+        of = {k: [n for n in names if n[0] == k] for k in sizes}
+        params = {k: stacked([models[n] for n in of[k]]) for k in sizes}
+        total = {k: np.zeros((len(of[k]), 1 + k + k * k + 3 * k)) for k in sizes}
+        for batch in batches:
+            for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(x).reshape(-1, n)
                 for k, p in params.items():
-                    total[k] += expected_sums(x, p)
-        if seen:
-            rows = [(k, r, t.tolist()) for k in total for r, t in enumerate(total[k])]
-            yield pd.DataFrame(rows, columns=SUMS.names)
-
-    parts = df.select(arr).mapInPandas(run, SUMS).select("k", "restart", F.posexplode("sums").alias("i", "v"))
-    rows = parts.groupBy("k", "restart", "i").agg(F.sum("v").alias("v")).collect()  # sizes x restarts x some dozens of numbers
-    flat = {k: np.zeros((len(m), 1 + k + k * k + 3 * k)) for k, m in models.items()}
-    for r in rows:
-        flat[r["k"]][r["restart"], r["i"]] = r["v"]
-    out: dict[int, list[dict]] = {}
-    for k in models:
-        cut = np.cumsum([1, k, k * k, k, k])
-        out[k] = []
-        for f in flat[k]:
-            ll, start, xi, n, x, xx = np.split(f, cut)
-            out[k].append({"ll": float(ll[0]), "start": start, "xi": xi.reshape(k, k), "n": n, "x": x, "xx": xx})
+                    step = max(1, CELLS // (n * k * len(of[k])))
+                    for i in range(0, len(x), step):
+                        total[k] += expected_sums(x[i : i + step], p)
+        for k in sizes:
+            width = total[k].shape[1]
+            columns = [np.full(total[k].size, k), np.repeat([r for _, r in of[k]], width), np.tile(np.arange(width), len(of[k]))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(total[k].ravel())], SUMS.names)
+
+    # models x some dozens of numbers
+    got = rows.mapInArrow(run, SUMS).groupBy("k", "restart", "i").agg(F.sum("v").alias("v")).toArrow().sort_by([("k", "ascending"), ("restart", "ascending"), ("i", "ascending")])
+    k_of, r_of, value = (got.column(c).to_numpy() for c in ("k", "restart", "v"))
+    out = {}
+    for k, r in names:
+        ll, start, xi, n, x, xx = np.split(value[(k_of == k) & (r_of == r)], np.cumsum([1, k, k * k, k, k]))
+        out[k, r] = {"ll": float(ll[0]), "start": start, "xi": xi.reshape(k, k), "n": n, "x": x, "xx": xx}
     return out
 
 
 def hmm_fits(df: DataFrame, arr: str, ks: list[int], n_iter: int = 20, restarts: int = 3, seed: int = 0, variational: bool = False, tol: float = 1e-2) -> list[dict]:
     """A fit of each number of states; all sizes and restarts share each pass over the sequences.
 
-    A fit is a dict of parameters (states in order of mean), loglik, n and the path of the best restart's log-likelihood.
+    A restart ends, and leaves the passes, when a pass gains less than ``tol``: of the log-likelihood or, in the
+    variational form, of the evidence bound.  A fit is a dict of parameters (states in order of mean; the
+    posterior's means in the variational form), loglik, n, bound (null without priors) and the path of the best
+    restart's objective.  The best restart is the one of the highest objective.
     """
     import numpy as np
 
@@ -162,26 +262,39 @@ def hmm_fits(df: DataFrame, arr: str, ks: list[int], n_iter: int = 20, restarts:
     if not row["n"]:
         raise ValueError("no observations")
     stats = {"quantiles": row["q"], "sd": row["sd"] or 0.0}
-    models = {k: [start_params(stats, k, r, seed) for r in range(restarts)] for k in ks}
-    path: dict[int, list[list[float]]] = {k: [[] for _ in range(restarts)] for k in ks}
-    live = list(ks)
-    for _ in range(n_iter):
-        sums = one_pass(df, arr, {k: models[k] for k in live})
-        for k in live:
-            for p, s in zip(path[k], sums[k]):
-                p.append(s["ll"])
-        live = [k for k in live if not all(len(p) > 1 and p[-1] - p[-2] < tol * max(1.0, abs(p[-1]) * 1e-3) for p in path[k])]
-        if not live:
-            break
-        for k in live:
-            models[k] = [m_step(s, variational, row["mean"], stats["sd"] ** 2) for s in sums[k]]
-    final = one_pass(df, arr, models)
+    models = {(k, r): start_params(stats, k, r, seed) for k in ks for r in range(restarts)}
+    priors = {k: prior_of(k, row["mean"]) for k in ks}
+    posteriors = {n: first_posterior(m, priors[n[0]], row["n"]) for n, m in models.items()} if variational else {}
+    path: dict = {n: [] for n in models}
+    live = sorted(models)
+    rows = blocks(df, arr).persist()
+    try:
+        for left in range(n_iter, -1, -1):
+            sums = pass_over(rows, {n: expected_model(posteriors[n]) if variational else models[n] for n in live})
+            for n, s in sums.items():
+                path[n].append(s["ll"] - (divergence(posteriors[n], priors[n[0]]) if variational else 0.0))
+            live = [n for n in live if left and not (len(path[n]) > 1 and path[n][-1] - path[n][-2] < tol)]
+            if not live:
+                break
+            for n in live:
+                if variational:
+                    posteriors[n] = posterior_of(sums[n], priors[n[0]])
+                else:
+                    models[n] = m_step(sums[n])
+        best = {k: max(range(restarts), key=lambda r: path[k, r][-1]) for k in ks}
+        if variational:
+            models = {(k, r): settled_model(posteriors[k, r]) for k, r in best.items()}
+            loglik = {k: s["ll"] for (k, _), s in pass_over(rows, models).items()}
+        else:
+            loglik = {k: path[k, r][-1] for k, r in best.items()}
+    finally:
+        rows.unpersist()
     out = []
     for k in ks:
-        best = max(range(restarts), key=lambda r: final[k][r]["ll"])
-        p = models[k][best]
-        order = np.argsort(p["mean"])
-        out.append({"k": k, "restarts": restarts, "start": p["start"][order].tolist(), "trans": p["trans"][np.ix_(order, order)].tolist(), "mean": p["mean"][order].tolist(), "var": p["var"][order].tolist(), "loglik": final[k][best]["ll"], "n": row["n"], "path": path[k][best]})
+        p, own = models[k, best[k]], path[k, best[k]]
+        order = np.argsort(p["mean"], kind="stable")
+        fit = {"start": p["start"][order].tolist(), "trans": p["trans"][np.ix_(order, order)].tolist(), "mean": p["mean"][order].tolist(), "var": p["var"][order].tolist()}
+        out.append({"k": k, "restarts": restarts, **fit, "loglik": loglik[k], "bound": own[-1] if variational else None, "n": row["n"], "path": own})
     return out
 
 
@@ -218,35 +331,91 @@ def hmm_model_selection(df: DataFrame, arr: str, ks: list[int], n_iter: int = 10
     return df.sparkSession.createDataFrame(rows, "k int, loglik double, aic double, bic double")
 
 
-def hmm_decode(df: DataFrame, arr: str, params: dict) -> DataFrame:
-    """df with hidden_states: the most likely path of each sequence; ties go to the lower state.
+def viterbi(x, log_start, log_trans, mean, var):
+    """The likeliest states of sequences x (rows of equal length); of equal ones the lower state."""
+    import numpy as np
 
-    The fold copies the path it has so far at each step, which is cheap for the sites of a tile or a block, as here;
-    sequences of many thousands should be cut into blocks first.
-    """
-    k = len(params["mean"])
-    lit = lambda v: F.lit(float(v))
-    log = lambda v: math.log(max(v, 1e-300))
+    k = len(mean)
+    emit = [-0.5 * math.log(2 * math.pi * var[j]) - (x - mean[j]) * (x - mean[j]) / (2 * var[j]) for j in range(k)]
+    if len(x) < 4:
+        return np.stack([_viterbi_of_one([e[i] for e in emit], log_start, log_trans) for i in range(len(x))])
+    emit = np.stack(emit, axis=2)
+    n = x.shape[1]
+    back = np.zeros((n, len(x), k), np.uint8)
+    v = np.asarray(log_start) + emit[:, 0]
+    for t in range(1, n):
+        came = v[:, :, None] + np.asarray(log_trans)
+        back[t] = came.argmax(1)
+        v = came.max(1) + emit[:, t]
+    out = np.empty((len(x), n), np.int32)
+    out[:, -1] = v.argmax(1)
+    each = np.arange(len(x))
+    for t in range(n - 1, 0, -1):
+        out[:, t - 1] = back[t][each, out[:, t]]
+    return out
 
-    def emit(x, j):
-        return lit(-0.5 * math.log(2 * math.pi * params["var"][j])) - (x - lit(params["mean"][j])) * (x - lit(params["mean"][j])) / lit(2 * params["var"][j])
 
-    def arg_best(scores):
-        """Zero-based place of the first largest."""
-        return F.array_position(scores, F.array_max(scores)).cast("int") - 1
+def _viterbi_of_one(emit, log_start, log_trans):
+    """The same for one sequence, whatever its length: plain numbers, and one byte a state and step."""
+    import numpy as np
+
+    k, n = len(emit), len(emit[0])
+    columns = [e.tolist() for e in emit]
+    into = [[row[j] for row in log_trans] for j in range(k)]
+    v, back, states = [s + c[0] for s, c in zip(log_start, columns)], bytearray(n * k), range(1, k)
+    for t in range(1, n):
+        new, at = [], t * k
+        for j, way in enumerate(into):
+            best, arg = v[0] + way[0], 0
+            for i in states:
+                other = v[i] + way[i]
+                if other > best:
+                    best, arg = other, i
+            back[at + j] = arg
+            new.append(best + columns[j][t])
+        v = new
+    out = np.empty(n, np.int32)
+    state = v.index(max(v))
+    for t in range(n - 1, -1, -1):
+        out[t] = state
+        state = back[t * k + state]
+    return out
 
-    first = F.array(*[lit(log(params["start"][j])) + emit(F.get(arr, F.lit(0)), j) for j in range(k)])
-    zero = F.struct(first.alias("v"), F.array().cast("array<array<int>>").alias("back"))
 
-    def step(s, x):
-        came = [F.array(*[F.get(s["v"], F.lit(i)) + lit(log(params["trans"][i][j])) for i in range(k)]) for j in range(k)]
-        v = F.array(*[F.array_max(came[j]) + emit(x, j) for j in range(k)])
-        return F.struct(v.alias("v"), F.array_append(s["back"], F.array(*[arg_best(c) for c in came])).alias("back"))
+def hmm_decode(df: DataFrame, arr: str, params: dict) -> DataFrame:
+    """df with hidden_states: the most likely path of each sequence; ties go to the lower state; empty without values.
 
-    done = F.aggregate(F.slice(arr, 2, F.greatest(F.size(arr) - 1, F.lit(0))), zero, step)
-    df = df.withColumn("_d", F.when(F.size(arr) > 0, done))
-    walked = F.aggregate(F.reverse("_d.back"), F.array(arg_best(F.col("_d.v"))), lambda path, b: F.array_append(path, F.get(b, F.element_at(path, -1))))
-    return df.withColumn("hidden_states", F.when(F.size(arr) > 0, F.reverse(walked)).otherwise(F.array().cast("array<int>"))).drop("_d")
+    Linear in a sequence: sequences of a batch are decoded by length, all of one length at once, with one byte a step and state.
+    """
+    log = lambda v: math.log(max(float(v), 1e-300))
+    start, trans = [log(v) for v in params["start"]], [[log(v) for v in row] for row in params["trans"]]
+    mean, var = [float(v) for v in params["mean"]], [float(v) for v in params["var"]]
+    others = [c for c in df.columns if c.lower() != "hidden_states"]
+    place = others.index(next(c for c in others if c.lower() == arr.lower()))
+    schema = T.StructType([df.schema[c] for c in others]).add("hidden_states", T.ArrayType(T.IntegerType()))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column(place)
+            size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            # a null row may stand on any values
+            first = column.offsets.to_numpy()[:-1].astype(np.int64)
+            values = column.values.to_numpy(zero_copy_only=False).astype(float)
+            ends = np.r_[0, np.cumsum(size)]
+            states = np.empty(ends[-1], np.int32)
+            for n in np.unique(size[size > 0]).tolist():
+                rows, step = np.flatnonzero(size == n), max(1, CELLS // n)
+                for i in range(0, len(rows), step):
+                    at = rows[i : i + step]
+                    states[ends[at][:, None] + np.arange(n)] = viterbi(values[first[at][:, None] + np.arange(n)], start, trans, mean, var)
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(states))
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], schema.names)
+
+    # numbered names, as mapInArrow takes no names with dots
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).mapInArrow(run, schema)
 
 
 def hmm_state_features(df: DataFrame, states: str, k: int) -> DataFrame:
@@ -254,13 +423,11 @@ def hmm_state_features(df: DataFrame, states: str, k: int) -> DataFrame:
     s, n = F.col(states), F.size(states)
     pairs = F.zip_with(F.slice(s, 1, F.greatest(n - 1, F.lit(0))), F.slice(s, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a * k + b)
     df = df.withColumn("_t", pairs)
-    # lengths of runs: one struct a run, by a fold
-    zero = F.array().cast("array<struct<s:int,n:int>>")
-
-    def grow(runs, x):
-        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["s"] == x), F.array_append(F.slice(runs, 1, F.size(runs) - 1), F.struct(x.alias("s"), (F.try_element_at(runs, F.lit(-1))["n"] + 1).alias("n")))).otherwise(F.array_append(runs, F.struct(x.alias("s"), F.lit(1).alias("n"))))
-
-    df = df.withColumn("_r", F.aggregate(F.transform(s, lambda x: x.cast("int")), zero, grow))
+    # runs: where one starts, and how far the next one is
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(states, i) != F.get(states, i - 1)))
+    df = df.withColumn("_s", F.when(n > 0, starts).otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), F.when(n > 0, F.array(n)).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("_r", F.zip_with("_s", ends, lambda a, z: F.struct(F.get(states, a).cast("int").alias("s"), (z - a).alias("n"))))
     out: dict = {}
     share = lambda a, b: half_even(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda p, x: p + x)
@@ -284,7 +451,7 @@ def hmm_state_features(df: DataFrame, states: str, k: int) -> DataFrame:
     p = [F.coalesce(F.try_divide(held(i), n), F.lit(0.0)) for i in range(k)]
     entropy = sum((F.when(x > 0, -x * F.log(x)).otherwise(0.0) for x in p[1:]), F.when(p[0] > 0, -p[0] * F.log(p[0])).otherwise(0.0))
     out["state_entropy"] = half_even(entropy, 4)
-    return df.withColumns(out).drop("_t", "_r")
+    return df.withColumns(out).drop("_t", "_s", "_r")
 
 
 def hmm_features_table(df: DataFrame, states: str, k: int, cfg: Config = DEFAULT) -> DataFrame:
