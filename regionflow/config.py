@@ -35,8 +35,10 @@ class Config:
     states: int = 4
     restarts: int = 5
     iterations: int = 100
-    # points that a search draws from its grid
+    # points that a search draws from its grid; strengths and penalties of logistic regressions
     draws: int = 50
+    lr_strengths: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
+    lr_penalties: tuple[str, ...] = ("l1", "l2")
     # sample -> dataset
     datasets: dict[str, str] = field(default_factory=lambda: {"S0": "TRAINING", "S1": "VALIDATION", "S2": "TESTING"})
 
