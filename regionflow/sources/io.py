@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +43,62 @@ def sample_tables(spark: SparkSession, root: str, kind: str, samples: list[str])
     return spark.read.option("basePath", f"{root}/{kind}").parquet(f"{root}/{kind}").where(F.col("sample").isin(*samples))
 
 
+def _as_text(t: T.DataType) -> T.DataType:
+    """The type with text in place of every number, so that a number may also be written as text."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_as_text(t.elementType))
+    return T.StringType() if isinstance(t, T.NumericType) else t
+
+
+def _typed(c: Column, t: T.DataType) -> Column:
+    """A column read by ``_as_text`` in its declared type; null where a text is no such number."""
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_typed(c[f.name], f.dataType).alias(f.name) for f in t.fields]))
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _typed(x, t.elementType))
+    if isinstance(t, T.IntegralType):
+        # whole numbers may be written with a fraction of zeros
+        x = c.try_cast("double")
+        return F.coalesce(c.try_cast(t), F.when((x == F.floor(x)) & (F.abs(x) < 2.0**53), x.cast("long").cast("string").try_cast(t)))
+    return c.try_cast(t) if isinstance(t, T.NumericType) else c
+
+
+def _wrong(c: Column, t: T.DataType) -> Column:
+    """Whether a column read by ``_as_text`` holds, at any depth, a text that isn't a number of its declared type."""
+    if isinstance(t, T.StructType):
+        return F.coalesce(reduce(lambda a, b: a | b, [_wrong(c[f.name], f.dataType) for f in t.fields], F.lit(False)), F.lit(False))
+    if isinstance(t, T.ArrayType):
+        return F.coalesce(F.exists(c, lambda x: _wrong(x, t.elementType)), F.lit(False))
+    return c.isNotNull() & _typed(c, t).isNull() if isinstance(t, T.NumericType) else F.lit(False)
+
+
+#: The column of a line that couldn't be read.
+BROKEN = "_corrupt_record"
+
+
+def _ndjson(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Lines as text: ``line``, its fields in ``row`` by ``_as_text``, and ``broken``."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    asked = _as_text(schema).add(BROKEN, "string")
+    rows = lines.select(F.col("value").alias("line"), F.from_json("value", asked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("row"))
+    return rows.withColumn("broken", F.coalesce(F.col("row").isNull() | F.col(f"row.{BROKEN}").isNotNull() | _wrong(F.col("row"), schema), F.lit(True)))
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """Rows of newline-separated JSON, plain or as an export writes it, with numbers as text; broken lines are left to ``broken_ndjson``.
+
+    Every line that isn't blank is in exactly one of the two.
+    """
+    rows = _ndjson(spark, path, schema).where(~F.col("broken"))
+    return rows.select(*[_typed(F.col("row")[f.name], f.dataType).alias(f.name) for f in schema.fields])
+
+
+def broken_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """file, line of what isn't JSON, or has text where a number of the schema belongs."""
+    rows = _ndjson(spark, path, schema).withColumn("file", F.input_file_name())
+    return rows.where("broken").select("file", "line")
 
 
 def write_ndjson(df: DataFrame, path: str, if_exists: str = "skip") -> None:
@@ -55,8 +110,40 @@ def replace_table(df: DataFrame, path: str, partition: str, sort: list[str]) ->
     df.repartitionByRange(partition, *sort).sortWithinPartitions(partition, *sort).write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
-def append_table(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_table(df: DataFrame, path: str, run: str) -> None:
+    """Rows of one run added to a table, in a folder of their own (column run_id): a second try of the same run replaces the first."""
+    df.withColumn("run_id", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``append_table`` writes, run ids as text."""
+    known = spark.read.parquet(path).schema
+    return spark.read.schema(T.StructType([*[f for f in known if f.name != "run_id"], T.StructField("run_id", T.StringType())])).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None, name: str | None = None) -> DataFrame:
+    """df as a table in buckets by keys, each sorted by them: groupings by the keys (and more) and joins on them need no exchange.
+
+    ``buckets`` is the number of shuffle partitions by default; tables that are joined need the same number.  The table is
+    an external one in the shared folder; ``drop_bucketed`` takes it away.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = name or f"bucketed_{uuid.uuid4().hex}"
+    spread = df.repartition(n, *keys)
+    spread.write.bucketBy(n, *keys).sortBy(*keys).format("parquet").option("path", scratch(spark)).mode("overwrite").saveAsTable(name)
+    out = spark.table(name)
+    out.table_name = name
+    return out
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    """Takes a table of ``bucketed`` out of the catalog and deletes its files, once nothing reads it any more."""
+    spark = df.sparkSession
+    where = spark.sql(f"DESCRIBE FORMATTED {df.table_name}").where("col_name = 'Location'").first()["data_type"]
+    spark.sql(f"DROP TABLE {df.table_name}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def array_text(df: DataFrame, col: str, elem: str = "double", to: str = "array") -> DataFrame:
