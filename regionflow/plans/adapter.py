@@ -101,8 +101,8 @@ def allele_reads(spark, sf) -> DataFrame:
 
 
 def regions_and_snps(spark, sf) -> DataFrame:
-    """Both branches start from the genotyped calls, so these are a table between the stages."""
-    rows = kept(genotyped(spark, sf))
+    """Both branches start from the genotyped calls, a table in buckets by the join's keys, so that nothing after it is shuffled."""
+    rows = io.bucketed(genotyped(spark, sf).select(*rg.SNP, "pos", "read_id", "allele", "cov", "meth"), rg.SNP)
     sites = rg.region_snp_cpg_nest(allele_counts(rows), LO, HI, CFG.min_cpg)
     return rg.join_snp_arrays(sites, rg.reads_allele_pivot(rg.read_allele_methylation(rows)))
 
@@ -120,8 +120,8 @@ def reads(spark, sf) -> DataFrame:
 
 
 def regions_w_arrays(spark, sf) -> DataFrame:
-    """Sites and reads start from the calls of regions, so these are a table between the stages."""
-    rows = kept(region_calls(spark, sf))
+    """Sites and reads start from the calls of regions, a table in buckets by region, so that nothing after it is shuffled."""
+    rows = io.bucketed(region_calls(spark, sf).select(*rg.K, "region_nb_cpg", "pos", "read_id", "cov", "meth"), rg.K)
     sites = rg.region_cpgs_nest(rg.cpg_fm_cov(rows, CFG.min_cov, CFG.max_cov), CFG.min_cpg)
     return rg.join_cpg_read_arrays(sites, rg.region_reads_nest(rg.read_methylation_arrays(rows)))
 
@@ -130,6 +130,11 @@ def labels(spark, sf) -> DataFrame:
     return st.evaluate_asm(regions_and_snps(spark, sf), CFG)
 
 
+def region_labels(spark, sf) -> DataFrame:
+    """The labels in buckets by region: their grouping and their join with regions need no exchange."""
+    return rg.unique_label_group(io.bucketed(labels(spark, sf), rg.K))
+
+
 def extremes_of(nested: DataFrame) -> DataFrame:
     return fe.read_extremes_topk(fe.explode_reads(nested), CFG.read_share, CFG.extreme_reads, CFG.min_reads)
 
@@ -151,9 +156,13 @@ def sequences(spark, sf) -> DataFrame:
     return planted(st.directional_fm_sequence(st.cpg_group_counts(halves(spark, sf))))
 
 
+def cuts(arr: str):
+    """States by fixed cuts: 0 below 0.2, 1 below 0.5, else 2."""
+    return F.transform(arr, lambda x: F.when(x < 0.2, 0).when(x < 0.5, 1).otherwise(2))
+
+
 def states(spark, sf) -> DataFrame:
-    """Sequences with states by fixed cuts: 0 below 0.2, 1 below 0.5, else 2."""
-    return sequences(spark, sf).withColumn("states", F.transform("cpg_directional_fm", lambda x: F.when(x < 0.2, 0).when(x < 0.5, 1).otherwise(2)))
+    return sequences(spark, sf).withColumn("states", cuts("cpg_directional_fm"))
 
 
 # --- the same as SQL

@@ -80,11 +80,22 @@ def _(spark, sf):
     return io.sample_tables(spark, root, "calls", ["S0", "S2"]).select(*CALLS_T.names)
 
 
+def exported(spark, sf) -> str:
+    """A folder of calls as an export writes them, whole numbers as text, and of lines that were cut off."""
+    path, rows = io.scratch(spark), plain_calls(spark, sf)
+    rows.select(*[F.col(c).cast("string").alias(c) for c in CALLS_T.names]).write.json(path)
+    rows.where("read_id % 100 = 7").selectExpr("concat('{\"chr\":\"', chr, '\",\"pos\":\"', pos) AS value").write.mode("append").text(path)
+    return path
+
+
 @query("src_ndjson", _CALLS, "calls")
 def _(spark, sf):
-    path = io.scratch(spark)
-    plain_calls(spark, sf).write.json(path)
-    return io.read_ndjson(spark, path, CALLS_T)
+    return io.read_ndjson(spark, exported(spark, sf), CALLS_T)
+
+
+@query("src_ndjson_broken", "SELECT '{\"chr\":\"' || chr || '\",\"pos\":\"' || pos AS line, count(*) AS n FROM calls WHERE read_id % 100 = 7 GROUP BY line", "calls")
+def _(spark, sf):
+    return io.broken_ndjson(spark, exported(spark, sf), CALLS_T).groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query("sink_ndjson", _CALLS, "calls")
@@ -104,12 +115,19 @@ def _(spark, sf):
     return spark.read.parquet(path).select(*rg.K, "pos", "read_id")
 
 
+@query("sink_table_bucketed", f"SELECT {K}, count(*) AS n, sum(cov) AS cov, nr AS reads FROM rcalls JOIN (SELECT {K}, count(*) AS nr FROM reads GROUP BY {K}) USING ({K}) GROUP BY {K}, nr", "rcalls", "reads")
+def _(spark, sf):
+    rows = io.bucketed(ad.region_calls(spark, sf).select(*rg.K, "read_id", "cov"), rg.K)
+    sums = rows.groupBy(*rg.K).agg(F.count("*").alias("n"), F.sum("cov").alias("cov"))
+    return sums.join(rows.groupBy(*rg.K, "read_id").count().groupBy(*rg.K).agg(F.count("*").alias("reads")), rg.K)
+
+
 @query("sink_table_append", "SELECT sample, count(*) AS n FROM calls GROUP BY sample", "calls")
 def _(spark, sf):
     path = io.scratch(spark)
-    for s in ("S0", "S1", "S2"):
-        io.append_table(plain_calls(spark, sf).where(F.col("sample") == s), path)
-    return spark.read.parquet(path).groupBy("sample").agg(F.count("*").alias("n"))
+    for s in ("S0", "S1", "S1", "S2"):  # one run is tried again
+        io.append_table(plain_calls(spark, sf).where(F.col("sample") == s), path, f"calls of {s}")
+    return io.read_appended(spark, path).groupBy("sample").agg(F.count("*").alias("n"))
 
 
 @query("array_text_column", f"SELECT {K}, count(*) AS n, {R('sum(fm)', 3)} AS total FROM kept_cpgs GROUP BY {K}", "kept_cpgs")
@@ -251,7 +269,7 @@ def _(spark, sf):
 
 @query("label_left_join", f"SELECT {K}, nb_cpg_found, read_asm_effect, wilcoxon_pvalue, corrected_wilcoxon_pvalue, total_sig_cpgs, consecutive_sig_cpgs, asm, asm_not_corrected FROM regions_cpg LEFT JOIN unique_labels USING ({K})", "regions_cpg", "unique_labels")
 def _(spark, sf):
-    return rg.label_left_join(ad.nested_cpgs(spark, sf).select(*rg.K, "nb_cpg_found"), rg.unique_label_group(ad.labels(spark, sf)))
+    return rg.label_left_join(ad.regions_w_arrays(spark, sf), ad.region_labels(spark, sf)).select(*rg.K, "nb_cpg_found", *rg.LABELS)
 
 
 @query("read_window_join", f"SELECT DISTINCT {SNPS}, read_id, allele, pos, meth FROM genotyped JOIN ({_STATS}) USING ({SNPS}) WHERE pos BETWEEN coalesce(min_pos_sig_cpg, min_cpg_pos) AND coalesce(max_pos_sig_cpg, max_cpg_pos)", "genotyped", "cpg_w_snp")
@@ -430,7 +448,7 @@ def _(spark, sf):
 query("read_extremes_topk", f"SELECT {K}, read_id, fm, rank_desc, n_ok FROM ranked", "ranked")(lambda spark, sf: ad.extremes(spark, sf).select(*rg.K, "read_id", "fm", "rank_desc", "n_ok"))
 query("read_split_halves", f"SELECT {K}, read_id, grp FROM halves", "halves")(lambda spark, sf: ad.halves(spark, sf).select(*rg.K, "read_id", "grp"))
 
-_H = "(doc_id * 2654435761 + {}) % 4294967296"
+_H = "((doc_id % 2147483648 + 2147483648) % 2147483648 * 2654435761 + {}) % 4294967296"
 
 
 def labelled(spark, sf) -> DataFrame:
@@ -646,8 +664,7 @@ def _(spark, sf):
 
 
 def features(spark, sf) -> DataFrame:
-    nested, labels = ad.kept(ad.regions_w_arrays(spark, sf)), ad.kept(rg.unique_label_group(ad.labels(spark, sf)))
-    return fe.build_features(ad.kept(rg.label_left_join(nested, labels)), CFG, ad.kept)
+    return fe.build_features(ad.kept(rg.label_left_join(ad.regions_w_arrays(spark, sf), ad.region_labels(spark, sf))), CFG, ad.kept)
 
 
 def _features_sql() -> str:
@@ -660,14 +677,18 @@ def _features_sql() -> str:
       LEFT JOIN (SELECT {K}, approx_asm, reads_asm_effect FROM ({_APPROX})) USING ({K}) LEFT JOIN ({seq}) USING ({K}) LEFT JOIN ({_MATRIX}) USING ({K})"""
 
 
-@query("build_features", _features_sql(), "kept_cpgs", "reads", "unique_labels", "dir", "group_counts", "halves", "rcalls")
-def _(spark, sf):
-    df = features(spark, sf)
+def shown(df: DataFrame) -> DataFrame:
+    """A feature table with its arrays as text."""
     matrix = F.array_join(F.transform("cpgs_w_padding", lambda r: F.array_join(F.transform(r, lambda x: x.cast("string")), ",")), ";").alias("matrix")
     texts = {"cpg_cov": 1, "cpg_fm": 1000, "read_fm": 1000, "cpg_dist": 1, "cpg_directional_fm": 10000}
     return df.select(*[c for c in df.columns if c not in texts and c != "cpgs_w_padding"], *[ints(c, k).alias(c) for c, k in texts.items()], matrix)
 
 
+@query("build_features", _features_sql(), "kept_cpgs", "reads", "unique_labels", "dir", "group_counts", "halves", "rcalls")
+def _(spark, sf):
+    return shown(features(spark, sf))
+
+
 # --- sequence models
 
 
@@ -718,20 +739,36 @@ def _state_sql() -> str:
 
 
 query("hmm_state_features", _state_sql(), "states")(lambda spark, sf: hmm.hmm_state_features(ad.states(spark, sf), "states", 3).drop("states", "label", "cpg_directional_fm"))
-query("hmm_features_table", f"SELECT *, {_DATASET} AS dataset FROM ({_state_sql()})", "states")(lambda spark, sf: hmm.hmm_features_table(ad.states(spark, sf), "states", 3, CFG).drop("states", "label", "cpg_directional_fm"))
+
+
+def training_table(spark, sf) -> DataFrame:
+    """Features, labels and state features of the regions that have a sequence, with the dataset."""
+    df = features(spark, sf).where("cpg_directional_fm IS NOT NULL")
+    return hmm.hmm_features_table(df.withColumn("states", ad.cuts("cpg_directional_fm")), "states", 3, CFG).drop("states")
+
+
+@query("hmm_features_table", f"SELECT *, {_DATASET} AS dataset FROM ({_features_sql()}) JOIN ({_state_sql()}) USING ({K})", "kept_cpgs", "reads", "unique_labels", "dir", "group_counts", "halves", "rcalls", "states")
+def _(spark, sf):
+    return shown(training_table(spark, sf))
 
 
 def training_sequences(spark, sf) -> DataFrame:
     return rp.split_by_sample_list(ad.sequences(spark, sf), CFG.datasets).where("dataset = 'TRAINING'").select("cpg_directional_fm").persist()
 
 
-@query("hmm_fit")
-def _(spark, sf):
-    df = training_sequences(spark, sf)
-    m = hmm.hmm_fit(df, "cpg_directional_fm", CFG.states, CFG.iterations, CFG.restarts)
-    df.unpersist()
-    rows = [(i, float(m["mean"][i]), float(m["var"][i]), float(m["start"][i])) for i in range(CFG.states)]
-    return spark.createDataFrame(rows, "state int, mean double, variance double, start double")
+def _fitted(variational: bool):
+    def run(spark, sf):
+        df = training_sequences(spark, sf)
+        m = hmm.hmm_fit(df, "cpg_directional_fm", CFG.states, CFG.iterations, CFG.restarts, variational=variational)
+        df.unpersist()
+        rows = [(i, float(m["mean"][i]), float(m["var"][i]), float(m["start"][i])) for i in range(CFG.states)]
+        return spark.createDataFrame(rows, "state int, mean double, variance double, start double")
+
+    return run
+
+
+query("hmm_fit")(_fitted(False))
+query("hmm_fit_variational")(_fitted(True))
 
 
 def _score_sql() -> str:
@@ -770,8 +807,9 @@ def _(spark, sf):
     m = hmm.hmm_fit(df, "cpg_directional_fm", CFG.states, CFG.iterations, CFG.restarts)
     df.unpersist()
     path = io.scratch(spark)
-    io.append_table(hmm.hmm_run_log(spark, m), path)
-    return spark.read.parquet(path)
+    for _ in range(2):  # a second try of a run adds no row
+        io.append_table(hmm.hmm_run_log(spark, m), path, f"hmm of {m['k']} states")
+    return io.read_appended(spark, path)
 
 
 @query("pad_sequences", f"SELECT {K}, string_agg(CAST(CAST(round(coalesce(x, 0) * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY j) AS padded FROM (SELECT DISTINCT {K}, unnest(range(1, 11)) AS j FROM dir) LEFT JOIN (SELECT {K}, x, row_number() OVER (PARTITION BY {K} ORDER BY pos) AS j FROM dir) USING ({K}, j) GROUP BY {K}", "dir")
@@ -781,49 +819,77 @@ def _(spark, sf):
 
 # --- learning and evaluation
 
-FEATS = ["nb_reads", "mean_cpg_fm", "std_cpg_fm", "mean_read_fm", "std_read_fm", "mean_cpg_cov", "std_cpg_cov", "approx_asm"]
+LABEL = "asm_not_corrected"
+#: Columns of the training table that are no features: keys, labels, counts of the region, arrays.
+APART = [*rg.K, "dataset", "region_nb_cpg", "nb_cpg_found", "nb_reads", "approx_asm", "asm", LABEL, *fe.ARRAYS, "cpg_directional_fm", "cpgs_w_padding"]
 
 
-def learning_rows(spark, sf) -> DataFrame:
-    """Region features with the planted label and the dataset."""
-    nested = ad.kept(ad.regions_w_arrays(spark, sf))
-    df = fe.array_fields(nested)
-    for a in ("cpg_fm", "read_fm", "cpg_cov"):
-        df = fe.array_mean_std(df, a)
-    df = df.drop("cpgs", "reads", "cpg_fm", "read_fm", "cpg_cov").join(st.approx_asm(fe.read_split_halves(ad.extremes_of(nested)), CFG).select(*rg.K, "approx_asm"), rg.K, "left")
-    return rp.split_by_sample_list(ad.planted(df), CFG.datasets)
+def learning_rows(spark, sf) -> tuple[DataFrame, list[str]]:
+    """The labelled rows of the training table, as a table, and its features: all columns but those apart and those that define the label."""
+    rows = training_table(spark, sf).where(F.col(LABEL).isNotNull())
+    feats = [c for c in rows.columns if c not in APART and c not in learn.LEAKS]
+    return ad.kept(rows.select(*rg.K, "dataset", LABEL, *feats)), feats
 
 
-def _fit_query(kind: str):
-    def run(spark, sf):
-        rows = ad.kept(learning_rows(spark, sf))
-        model = learn.fit(kind, rows.where("dataset = 'TRAINING'"), FEATS, "label")
-        return rp.classification_report(rp.confusion_matrix(learn.predicted(model, rows.where("dataset = 'TESTING'")), "label", "pred"))
+def of(rows: DataFrame, *datasets: str) -> DataFrame:
+    return rows.where(F.col("dataset").isin(*datasets))
+
+
+_LEARNED = f"({_features_sql()}) JOIN ({_state_sql()}) USING ({K}) WHERE {LABEL} IS NOT NULL"
+_LEARN_CTES = ("kept_cpgs", "reads", "unique_labels", "dir", "group_counts", "halves", "rcalls", "states")
 
-    return run
 
+@query("training_support", f"SELECT {_DATASET} AS dataset, {LABEL} AS label, count(*) AS n FROM {_LEARNED} GROUP BY ALL", *_LEARN_CTES)
+def _(spark, sf):
+    return learning_rows(spark, sf)[0].groupBy("dataset", F.col(LABEL).alias("label")).agg(F.count("*").alias("n"))
+
+
+def report_of(df: DataFrame) -> DataFrame:
+    return rp.classification_report(rp.confusion_matrix(df, LABEL, "pred"))
 
-for _kind in ("rf", "gbt", "lr"):
-    query(f"{_kind}_fit")(_fit_query(_kind))
 
-GRID = {"numTrees": [10, 20, 40], "maxDepth": [2, 4, 6, 8], "minInstancesPerNode": [1, 2, 5], "featureSubsetStrategy": ["sqrt", "onethird", "all"]}
+@query("rf_fit")
+def _(spark, sf):
+    rows, feats = learning_rows(spark, sf)
+    return report_of(learn.predicted(learn.rf_fit(of(rows, "TRAINING"), feats, LABEL), of(rows, "TESTING")))
 
 
-def searched(rows: DataFrame) -> list[tuple[dict, float]]:
-    return learn.random_search(rows.where("dataset = 'TRAINING'"), rows.where("dataset = 'VALIDATION'"), "rf", FEATS, "label", GRID, CFG.draws, threads=8)
+@query("gbt_fit")
+def _(spark, sf):
+    rows, feats = learning_rows(spark, sf)
+    model = learn.gbt_fit(of(rows, "TRAINING"), feats, LABEL, {"n_estimators": 20, "max_depth": 3, "reg_alpha": 0.01}, ad.kept)
+    return report_of(model.predicted(of(rows, "TESTING")))
+
+
+@query("lr_fit")
+def _(spark, sf):
+    """The whole grid of strengths and penalties, each point with its report on the validation rows."""
+    rows, feats = learning_rows(spark, sf)
+    found = learn.lr_search(of(rows, "TRAINING"), of(rows, "VALIDATION"), feats, LABEL, CFG.lr_strengths, CFG.lr_penalties)
+    return spark.createDataFrame([(c, p, float(f1), int(m.passes), sum(1 for b in m.coefficients[1:] if b)) for (c, p), m, f1 in found], "c double, penalty string, sum_f1 double, passes int, n_features int")
+
+
+def searched(rows: DataFrame, feats: list[str], kind: str) -> list[tuple[dict, float]]:
+    return learn.random_search(of(rows, "TRAINING"), of(rows, "VALIDATION"), kind, feats, LABEL, learn.GRIDS[kind], CFG.draws, threads=8, keep=ad.kept)
 
 
 @query("random_search")
 def _(spark, sf):
-    found = searched(ad.kept(learning_rows(spark, sf)))
-    return spark.createDataFrame([(str(sorted(p.items())), float(s)) for p, s in found], "params string, sum_f1 double")
+    rows, feats = learning_rows(spark, sf)
+    found = [(k, str(sorted(p.items())), float(s)) for k in ("rf", "gbt") for p, s in searched(rows, feats, k)]
+    return spark.createDataFrame(found, "model string, params string, sum_f1 double")
 
 
 @query("refit_and_test")
 def _(spark, sf):
-    rows = ad.kept(learning_rows(spark, sf))
-    best = searched(rows)[0][0]
-    return learn.refit_and_test(rows.where("dataset <> 'TESTING'"), rows.where("dataset = 'TESTING'"), "rf", FEATS, "label", best, io.scratch(spark))[1]
+    """One row a model of the table of results: the best point found, refitted, its confusion and report on the test rows."""
+    rows, feats = learning_rows(spark, sf)
+    path = io.scratch(spark)
+    for k in ("rf", "gbt"):
+        best = searched(rows, feats, k)[0][0]
+        _, row = learn.refit_and_test(of(rows, "TRAINING", "VALIDATION"), of(rows, "TESTING"), k, feats, LABEL, best, keep=ad.kept, path=io.scratch(spark))
+        io.append_table(row, path, f"{k} with {CFG.draws} draws")
+    return io.read_appended(spark, path)
 
 
 _CM = "SELECT count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS tn, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS fn, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp FROM labels"

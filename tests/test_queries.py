@@ -38,27 +38,40 @@ def test_query(spark, db, name):
     assert sorted((tuple(plain(r[c]) for c in sorted(cols)) for r in df.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", ["rf_fit", "gbt_fit", "lr_fit"])
+def support(spark):
+    return {(r["dataset"], r["label"]): r["n"] for r in q.QUERIES["training_support"](spark, SF).collect()}
+
+
+def test_features_are_all_columns_but_those_that_define_the_label(spark):
+    rows, feats = q.learning_rows(spark, SF)
+    assert not {*q.learn.LEAKS, *q.APART} & set(feats) and len(feats) == 129
+    assert {"mean_cpg_fm", "std_cpg_dist", "cpg_cov_kd_20", "read_fm_kd_0", "chr_22", "reads_asm_effect", "state_0_count", "trans_2_1_prob", "dwell_1_var", "state_entropy"} <= set(feats)
+    assert rows.where(f"{q.LABEL} IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("name", ["rf_fit", "gbt_fit"])
 def test_fits_report_on_all_test_rows(spark, name):
     got = {r["class"]: r for r in q.QUERIES[name](spark, SF).collect()}
-    n = q.learning_rows(spark, SF).where("dataset = 'TESTING'").count()
-    assert got["accuracy"]["support"] == got["0"]["support"] + got["1"]["support"] == n
-    assert got["accuracy"]["precision"] >= 0.75  # the planted difference is plain
+    n = support(spark)
+    assert [got[c]["support"] for c in ("0", "1")] == [n.get(("TESTING", c), 0) for c in (0, 1)]
 
 
-def test_search_and_refit(spark, monkeypatch):
-    monkeypatch.setattr(q, "GRID", {"numTrees": [2, 4], "maxDepth": [1, 2]})
-    found = q.QUERIES["random_search"](spark, SF).collect()
-    assert len({r["params"] for r in found}) == 4 and [r["sum_f1"] for r in found] == sorted((r["sum_f1"] for r in found), reverse=True)
-    seen = {}
+def test_logistic_grid_is_fitted_whole(spark):
+    got = q.QUERIES["lr_fit"](spark, SF).collect()
+    assert {(r["c"], r["penalty"]) for r in got} == {(c, p) for c in (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0) for p in ("l1", "l2")}
 
-    def refit(train_val, test, kind, feats, label, params, path):
-        seen["params"] = str(sorted(params.items()))
-        return None, q.rp.classification_report(q.rp.confusion_matrix(test.withColumn("pred", q.F.col(label)), label, "pred"))
 
-    monkeypatch.setattr(q.learn, "refit_and_test", refit)
-    q.QUERIES["refit_and_test"](spark, SF).collect()
-    assert seen["params"] == found[0]["params"]  # the point found is the one refitted
+def test_search_and_refit(spark, monkeypatch):
+    monkeypatch.setattr(q.learn, "GRIDS", {"rf": {"n_estimators": [2, 4], "max_depth": [1, 2]}, "gbt": {"n_estimators": [1, 2], "max_depth": [1, 2]}})
+    found = q.QUERIES["random_search"](spark, SF).collect()
+    for kind in ("rf", "gbt"):
+        own = [r for r in found if r["model"] == kind]
+        assert len({r["params"] for r in own}) == 4 and [r["sum_f1"] for r in own] == sorted((r["sum_f1"] for r in own), reverse=True)
+    rows = {r["model"]: r for r in q.QUERIES["refit_and_test"](spark, SF).collect()}
+    n = support(spark)
+    for kind, r in rows.items():
+        assert r["tn"] + r["fp"] + r["fn"] + r["tp"] == sum(v for (d, _), v in n.items() if d == "TESTING") and r["run_id"].startswith(kind)
+    assert set(rows) == {"rf", "gbt"}
 
 
 def test_small_groups_reach_the_exact_branch(spark, db):
@@ -77,14 +90,14 @@ def test_sequence_models_run_with_the_settings_of_the_library(spark, monkeypatch
     ran = []
 
     def fits(df, arr, ks, n_iter, restarts, *rest):
-        ran.append((list(ks), n_iter, restarts))
+        ran.append((list(ks), n_iter, restarts, *rest[1:2]))
         return [{"k": k, "restarts": restarts, "start": [0.0] * k, "mean": [0.0] * k, "var": [1.0] * k, "loglik": 0.0, "n": 9, "path": [0.0]} for k in ks]
 
     monkeypatch.setattr(q.hmm, "hmm_fits", fits)
-    got = {n: q.QUERIES[n](spark, SF).collect() for n in ("hmm_model_selection", "hmm_fit", "hmm_run_log")}
+    got = {n: q.QUERIES[n](spark, SF).collect() for n in ("hmm_model_selection", "hmm_fit", "hmm_run_log", "hmm_fit_variational")}
     own = (q.CFG.iterations, q.CFG.restarts)
     assert q.CFG.draws == 50
-    assert ran == [(list(range(1, 11)), *own)] + [([q.CFG.states], *own)] * 2
+    assert ran == [(list(range(1, 11)), *own)] + [([q.CFG.states], *own, False)] * 2 + [([q.CFG.states], *own, True)]
     assert [r["k"] for r in got["hmm_model_selection"]] == list(range(1, 11)) and len(got["hmm_fit"]) == q.CFG.states
 
 
