@@ -1,16 +1,20 @@
 """HTML extraction: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams events; block elements break the page
-into lines.  Each line has a ratio of its text to its tags, zero inside
-elements that are boilerplate by their nature (menus, footers, forms) or by a
+into lines.  A line is made of pieces of text, each booked to the element that is
+open when it comes; scripts, icons, buttons and the like inside a block neither
+end it nor own its text.  Each line has a ratio of its text to its tags; text
+inside elements that are boilerplate by their nature (menus, footers, forms), by a
 whole name of their class, id or role (``sidebar``, ``cookie-banner``, not
-``no-sidebar``), unless that element holds the page's content.
+``no-sidebar``), or hidden doesn't count, unless that element holds the page's content.
 Ratios are smoothed by a Gaussian over neighbouring lines; lines whose smoothed
-ratio reaches a share of the largest form clusters, the best cluster's element
-(article, main, or the smallest element around it) is the content region, and
-every line of it that isn't boilerplate is kept, however short.
+ratio reaches a share of the largest form clusters.  The content region is the
+article or main element with most of the clusters' text, all articles if they
+hold it together, or the smallest element around it; every line of it that
+isn't boilerplate is kept, however short.
 
-Everything is linear in the page's length.
+Everything is linear in the page's length: open elements are kept in stacks by
+name, and sums go up and down the elements once.
 
 Defined results: a null, empty or text-free page gives an empty text; nothing
 is capped; repeated rows give repeated results; an empty table gives an empty
@@ -20,7 +24,7 @@ table; input columns are kept and clashing ones replaced.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -30,8 +34,8 @@ from .common import arrow_map, table, texts_of
 
 #: Width of the Gaussian, in lines, and the share of the largest smoothed ratio that makes a line content.
 SIGMA, SHARE = 1.5, 0.12
-#: Share of the content lines' text that the content region must hold.
-HELD = 0.95
+#: Share of the content lines' text that the content region must hold; share at which one article is it.
+HELD, ONE = 0.95, 0.8
 #: Share of a page's text at which an element isn't boilerplate by its name: with a first heading inside, and without.
 MOST, NEARLY_ALL = 0.5, 0.9
 
@@ -39,14 +43,24 @@ MOST, NEARLY_ALL = 0.5, 0.9
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 SECTIONS = frozenset("article body center div main section table td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("script style head title noscript template iframe object svg canvas select button textarea nav footer aside form menu dialog".split())
+SKIP = frozenset("head nav footer aside menu dialog".split())
+#: What is inside these is no text, and not a part of the block around them.
+SILENT = frozenset("script style title noscript template iframe object svg math canvas select button textarea audio video".split())
 # Words in class, id or role that mark boilerplate, and words that may stand beside them.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
-BESIDE = frozenset("area bar block body bottom box container global group inner item items left link links list main outer page panel primary right secondary section site text thread top unit wrap wrapper".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies responses reviews share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+BESIDE = frozenset("area bar block body bottom box container global group inner item items left link links list main outer page panel primary right secondary section site text thread top unit user users customer reader wrap wrapper".split())
 CLOSES_P = BLOCK - {"body", "html", "head"}
 #: End tags of these don't reach beyond the nearest of SCOPES.
-LOOSE, SCOPES = frozenset("p li b i a span".split()), frozenset(["article", "body"])
+LOOSE, SCOPES = frozenset("p li b i a span".split()), ("article", "body")
+#: What a start tag ends: the nearest open element of a name, unless one of the others is nearer.
+ENDS = {
+    "li": (("li", ("ul", "ol", "menu")),),
+    **dict.fromkeys(("dd", "dt"), (("dd", ("dl",)), ("dt", ("dl",)))),
+    **dict.fromkeys(("td", "th"), (("td", ("table", "tr")), ("th", ("table", "tr")))),
+    "tr": (("td", ("table", "tr")), ("th", ("table", "tr")), ("tr", ("table",))),
+}
 _CAMEL, _PART = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
 def marked(value: str) -> bool:
@@ -62,139 +76,147 @@ NONE, SOFT, HARD = range(3)
 
 
 class Lines(HTMLParser):
-    """Lines of a page, (text, tags, element), and its elements: parent, tag and mark of each; 0 is the page."""
+    """Lines of a page and its elements: parent, tag and mark of each; 0 is the page.
+
+    A line is its pieces, (text, element), and its number of tags.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.mark = [0], ["page"], [NONE]
+        # open elements, and the places in that stack of each name, of all blocks and of all silent ones
         self.open: list[int] = []
-        # open elements of each name: in all, and since each open element of SCOPES
-        self.held: Counter = Counter()
-        self.scopes: list[Counter] = [Counter()]
-        self.lines: list[tuple[str, int, int]] = []
-        self.text: list[str] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.silent: list[int] = []
+        self.lines: list[tuple[list[tuple[str, int]], int]] = []
+        self.pieces: list[tuple[str, int]] = []
         self.tags = 0
 
     def flush(self):
-        if self.text:
-            text = " ".join("".join(self.text).split())
-            if text:
-                self.lines.append((text, self.tags, self.open[-1] if self.open else 0))
+        if self.pieces:
+            if any(not t.isspace() for t, _ in self.pieces):
+                self.lines.append((self.pieces, self.tags))
                 self.tags = 0
-            self.text = []
+            self.pieces = []
 
     def kind(self, tag, attrs) -> int:
-        if tag in SKIP:
+        if tag in SKIP or tag in SILENT:
             return HARD
-        if tag == "header":
-            return NONE if self.held["article"] or self.held["main"] or self.held["section"] else HARD
-        if tag in ("article", "main", "body", "html"):
-            return NONE
         for k, v in attrs:
-            if k == "hidden" or (k == "aria-hidden" and v == "true"):
+            if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and _HIDDEN.search(v)):
                 return HARD
-        return SOFT if any(k in ("class", "id", "role") and v and marked(v) for k, v in attrs) else NONE
+        if tag == "header":
+            return NONE if self.places["article"] or self.places["main"] or self.places["section"] else HARD
+        if tag in ("article", "main", "body", "html") and not any(k in ("class", "id") and v and "comment" in v.lower() and marked(v) for k, v in attrs):
+            return NONE
+        return SOFT if tag == "form" or any(k in ("class", "id", "role") and v and marked(v) for k, v in attrs) else NONE
 
     def begin(self, tag, attrs):
         self.parent.append(self.open[-1] if self.open else 0)
         self.mark.append(self.kind(tag, attrs))
         self.tag.append(tag)
+        for stack in self.stacks(tag):
+            stack.append(len(self.open))
         self.open.append(len(self.tag) - 1)
-        self.held[tag] += 1
-        if tag in SCOPES:
-            self.scopes.append(Counter())
-        self.scopes[-1][tag] += 1
+
+    def stacks(self, tag):
+        yield self.places[tag]
+        if tag in BLOCK:
+            yield self.blocks
+        if tag in SILENT:
+            yield self.silent
 
     def end(self, place):
         """Ends the open elements from this place on."""
-        for e in reversed(self.open[place:]):
-            tag = self.tag[e]
-            self.held[tag] -= 1
-            self.scopes[-1][tag] -= 1
-            if tag in SCOPES:
-                self.scopes.pop()
+        for e in self.open[place:]:
+            for stack in self.stacks(self.tag[e]):
+                stack.pop()
         del self.open[place:]
 
+    def nearest(self, *names) -> int:
+        """The place of the innermost open element of these names, -1 if there's none."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=-1)
+
     def handle_starttag(self, tag, attrs):
+        if self.silent:
+            if tag not in VOID:
+                self.begin(tag, attrs)
+            return
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            self.handle_data(" ")
             return
         if tag in BLOCK:
             self.flush()
-            if tag in CLOSES_P:
-                self.close_to("p", BLOCK - {"p"})
-            if tag == "li":
-                self.close_to("li", {"ul", "ol", "menu"})
-            elif tag in ("dd", "dt"):
-                self.close_to("dd", {"dl"})
-                self.close_to("dt", {"dl"})
-            elif tag in ("td", "th", "tr"):
-                self.close_to("td", {"table", "tr"})
-                self.close_to("th", {"table", "tr"})
-                if tag == "tr":
-                    self.close_to("tr", {"table"})
+            # a paragraph ends where a block begins in it
+            if tag in CLOSES_P and self.blocks and self.tag[self.open[self.blocks[-1]]] == "p":
+                self.end(self.blocks[-1])
+            for name, barrier in ENDS.get(tag, ()):
+                place = self.nearest(name)
+                if place > self.nearest(*barrier):
+                    self.end(place)
         if tag in VOID:
             return
-        if tag in BLOCK or tag in SKIP or attrs:
+        if tag in BLOCK or tag in SKIP or tag in SILENT or attrs:
             self.begin(tag, attrs)
-        if tag in ("script", "style", "textarea", "title"):
-            self.flush()
 
     def handle_startendtag(self, tag, attrs):
+        # only drawings have elements that end by themselves; in a page's own the slash says nothing
         self.handle_starttag(tag, attrs)
-
-    def close_to(self, tag, barrier):
-        """Ends the nearest open element of this name, unless one of ``barrier`` stands in between."""
-        if not self.held[tag]:
-            return
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.tag[self.open[i]]
-            if name == tag:
-                self.end(i)
-                return
-            if name in barrier:
-                return
+        if tag not in VOID and tag != "br" and (len(self.silent) > (tag in SILENT) or tag in ("svg", "math")):
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self.tags += 1
-        if tag in BLOCK or tag in SKIP:
-            self.flush()
-        if self.scopes[-1][tag] if tag in LOOSE else self.held[tag]:
-            self.close_to(tag, ())
+        place = self.nearest(tag)
+        inside = self.silent and place >= self.silent[0]
+        if not inside:
+            if self.silent and (place < 0 or tag not in BLOCK):
+                return
+            self.tags += 1
+            if tag in BLOCK or tag in SKIP:
+                self.flush()
+        if place > (self.nearest(*SCOPES) if tag in LOOSE else -1):
+            self.end(place)
 
     def handle_data(self, data):
-        self.text.append(data)
+        if not self.silent:
+            self.pieces.append((data, self.open[-1] if self.open else 0))
 
-    def sums(self, of_lines: list[float]) -> list[float]:
-        """For each element, the sum over the lines inside it."""
-        out = [0.0] * len(self.tag)
-        for (_, _, e), x in zip(self.lines, of_lines):
-            out[e] += x
+    def sums(self, of_elements: list[float]) -> list[float]:
+        """For each element, the sum over itself and the elements inside it."""
+        out = list(of_elements)
         for e in range(len(out) - 1, 0, -1):
             out[self.parent[e]] += out[e]
         return out
 
     def inside(self, chosen: list[bool]) -> list[bool]:
-        """For each line, whether an element that is chosen holds it."""
+        """For each element, whether it's one of the chosen or inside one."""
         held = list(chosen)
         for e in range(1, len(held)):
             held[e] = held[e] or held[self.parent[e]]
-        return [held[e] for _, _, e in self.lines]
+        return held
+
+    def booked(self, out: list[bool]) -> list[int]:
+        """For each element, the characters of its own pieces, without those that are out."""
+        size = [0] * len(self.tag)
+        for pieces, _ in self.lines:
+            for text, e in pieces:
+                if not out[e]:
+                    size[e] += len(text)
+        return size
 
     def boilerplate(self) -> list[bool]:
-        """For each line, whether it's inside an element that is boilerplate.
+        """For each element, whether it's boilerplate or inside such a one.
 
-        A class or an id can err: an element that holds a first heading (or a main element) and most of the page's
-        text, or nearly all of it, isn't boilerplate by its name.
+        A class or an id can err, and a form may hold a page: an element that holds a first heading (or a main element)
+        and most of the page's text, or nearly all of it and, if it's a form, a paragraph, isn't boilerplate by its name.
         """
         hard = self.inside([m == HARD for m in self.mark])
-        size = self.sums([0.0 if h else len(x[0]) for x, h in zip(self.lines, hard)])
-        heads = [0] * len(self.tag)
-        for e in range(len(heads) - 1, 0, -1):
-            heads[e] += self.tag[e] in ("h1", "main")
-            heads[self.parent[e]] += heads[e]
-        whole = [size[e] >= (MOST if heads[e] else NEARLY_ALL) * size[0] for e in range(len(size))]
+        size = self.sums(self.booked(hard))
+        heads = self.sums([t in ("h1", "main") for t in self.tag])
+        prose = self.sums([t == "p" for t in self.tag])
+        whole = [size[e] >= (MOST if heads[e] else NEARLY_ALL) * size[0] and (heads[e] or prose[e] or self.tag[e] != "form") for e in range(len(size))]
         return self.inside([m == HARD or (m == SOFT and not w) for m, w in zip(self.mark, whole)])
 
 
@@ -216,32 +238,53 @@ def without_open_end(html: str) -> str:
     return html[: m.start()] if m else html
 
 
+def outermost(p: Lines, chosen: list[int]) -> list[int]:
+    """Those of the chosen elements that no other one holds."""
+    own = [False] * len(p.tag)
+    for e in chosen:
+        own[e] = True
+    held = p.inside(own)
+    return [e for e in chosen if not held[p.parent[e]]]
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page: its blocks in order, joined by an empty line."""
     p = Lines()
     p.feed(without_open_end(html or ""))
     p.close()
     p.flush()
-    lines = p.lines
-    if not lines:
-        return ""
     dull = p.boilerplate()
-    smooth = smoothed([0.0 if d else len(text) / (tags + 1) for (text, tags, _), d in zip(lines, dull)])
-    least = SHARE * max(smooth)
-    hot = [len(x[0]) if not d and s >= least else 0 for x, d, s in zip(lines, dull, smooth)]
-    if not any(hot):
+    # text and tags of each line, and the element that most of it lies in
+    texts, owner = [], []
+    for pieces, _ in p.lines:
+        good = [(t, e) for t, e in pieces if not dull[e]]
+        texts.append(" ".join("".join(t for t, _ in good).split()))
+        owner.append(max(((len(t), -e) for t, e in good if not t.isspace()), default=(0, 0))[1] * -1)
+    if not any(texts):
         return ""
-    # clusters of hot lines weigh for each element that holds them; an article or main holds the page's content if there is one
-    weight = p.sums(hot)
+    smooth = smoothed([len(t) / (tags + 1) for t, (_, tags) in zip(texts, p.lines)])
+    least = SHARE * max(smooth)
+    hot = [0] * len(p.tag)
+    filled = [0] * len(p.tag)
+    for text, e, s in zip(texts, owner, smooth):
+        if text:
+            hot[e] += len(text) if s >= least else 0
+            filled[e] += 1
+    # clusters of hot lines weigh for each element that holds them
+    weight, n_lines = p.sums(hot), p.sums(filled)
     named = [e for e, tag in enumerate(p.tag) if tag in ("article", "main") and weight[e]]
-    if named:
-        best = max(named, key=lambda e: (weight[e], e))
-    else:
-        # the innermost element that holds nearly all of them, and more than a single line
-        n_lines = p.sums([0 if d else 1 for d in dull])
-        best = max((e for e, tag in enumerate(p.tag) if tag in SECTIONS and n_lines[e] > 1 and weight[e] >= HELD * weight[0]), default=0)
-    kept = p.inside([e == best for e in range(len(p.tag))])
-    return "\n\n".join(x[0] for x, d, k in zip(lines, dull, kept) if k and not d)
+    best = max(named, key=lambda e: (weight[e], e), default=0)
+    region = [best]
+    if not named or weight[best] < ONE * weight[0]:
+        # several articles together, or the innermost element that holds nearly all, and more than a single line
+        region = outermost(p, named)
+        if sum(weight[e] for e in region) < HELD * weight[0]:
+            region = [max((e for e, tag in enumerate(p.tag) if tag in SECTIONS and n_lines[e] > 1 and weight[e] >= HELD * weight[0]), default=0)]
+    own = [False] * len(p.tag)
+    for e in region:
+        own[e] = True
+    kept = p.inside(own)
+    return "\n\n".join(t for t, e in zip(texts, owner) if t and kept[e])
 
 
 def extract_text(df: DataFrame, html_col: str = "html", keep_html: bool = True) -> DataFrame:
