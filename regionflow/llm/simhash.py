@@ -72,7 +72,7 @@ def bit_counts(hashes, sizes):
     return np.add.reduceat(np.concatenate(sums, axis=1).astype(np.int64), np.cumsum(parts) - parts)
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", keep_text: bool = True) -> DataFrame:
     """docs with the 64 bits of each text as a signed number."""
 
     def make():
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprin
 
         return f
 
-    return arrow_map(docs, T.StructType().add(out, "long"), make, text_col, (text_col,))
+    return arrow_map(docs, T.StructType().add(out, "long"), make, text_col, () if keep_text else (text_col,))
 
 
 # --- one shard
@@ -175,8 +175,8 @@ class Tree:
             self.label = to[self.label]
 
 
-def small_links(points, group):
-    """Place pairs within the radius of small groups in a row (equal numbers of group): neighbours at 1, 2, ... places."""
+def small_labels(points, group):
+    """For each point the place of the first of its group (equal numbers, in a row) that links connect it to; groups are small: neighbours at 1, 2, ... places are compared."""
     import numpy as np
 
     out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -187,7 +187,15 @@ def small_links(points, group):
         at = np.flatnonzero(same & (np.bitwise_count(points[t:] ^ points[:-t]) <= RADIUS))
         out_a.append(at)
         out_b.append(at + t)
-    return np.concatenate(out_a), np.concatenate(out_b)
+    i, j, label = np.concatenate(out_a), np.concatenate(out_b), np.arange(len(points))
+    while True:
+        low, new = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
 
 
 def linked(members: DataFrame) -> DataFrame:
@@ -204,8 +212,10 @@ def linked(members: DataFrame) -> DataFrame:
         size = np.diff(np.r_[np.flatnonzero(new), len(new)])
         group = np.cumsum(new) - 1
         small = (size <= LEAF // 2)[group]
-        i, j = small_links(points[small], group[small])
-        a, b = [points[small][i]], [points[small][j]]
+        few = points[small]
+        label = small_labels(few, group[small])
+        moved = np.flatnonzero(label != np.arange(len(few)))
+        a, b = [few[moved]], [few[label[moved]]]
         for g in np.flatnonzero(size > LEAF // 2):
             own = points[group == g] if len(size) < 8 else points[np.searchsorted(group, g) : np.searchsorted(group, g, "right")]
             tree = Tree(own)
@@ -240,7 +250,7 @@ def linked(members: DataFrame) -> DataFrame:
 
 def bands_for(n: int, expected: int = EXPECTED) -> int:
     """The fewest bands at which a shard of n points holds ``expected`` by chance: links agree in all but RADIUS of them."""
-    return next((b for b in range(RADIUS + 1, 2 * RADIUS + 1) if n <= expected << (64 * (b - RADIUS) // b)), 2 * RADIUS)
+    return next((b for b in range(RADIUS + 1, 2 * RADIUS + 1) if n <= expected << (64 // b * (b - RADIUS))), 2 * RADIUS)
 
 
 def masks(bands: int) -> list[int]:
@@ -275,7 +285,7 @@ def sharded(points: DataFrame, bands: int, size: int = SHARD) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (a signed number) and component_id of every row of docs."""
     tables: list = []
-    rows = stored(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("_text")), "_text", "point"), "fingerprints", tables)
+    rows = stored(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("_text")), "_text", "point", False), "fingerprints", tables)
     points = stored(rows.groupBy("point").agg(F.min("id").alias("first")), "points", tables)
     cells = sharded(points.select("point"), bands_for(points.count()))
     links = stored(linked(cells).distinct(), "links", tables)
