@@ -9,11 +9,14 @@ the same name (names compare without case, as in Spark).
 from __future__ import annotations
 
 import sys
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Functions of this subpackage travel to the executors with the job, so that these need no copy of it.
@@ -31,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def without(df: DataFrame, names) -> list[str]:
     """The columns of df whose names don't clash with names."""
     taken = {n.lower() for n in names}
@@ -79,13 +87,14 @@ def arrow_map(
     def run(batches):
         f = make()
         for whole in batches:
-            for batch in byte_slices(whole, text_col, slice_bytes):
+            for batch in byte_slices(whole.rename_columns(read), text_col, slice_bytes):
                 out = f(batch)
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
                 columns += [out[x.name] if isinstance(out[x.name], pa.Array) else pa.array(out[x.name], x.type) for x in target]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *target.names])
 
-    return df.select(*read).mapInArrow(run, schema)
+    # numbered on their way, as mapInArrow takes no names with dots
+    return df.select(*[column(c).alias(f"c{i}") for i, c in enumerate(read)]).mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,6 +117,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark's setting by which a finished query's shuffle files go at once.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing: dict = {"lock": threading.Lock(), "before": {}}
+
+
+@contextmanager
+def clean_shuffles(spark: SparkSession):
+    """Each query of the session cleans its own shuffle files when it ends; after the last of several writes at a time the session's setting is what it was."""
+    lock, held = _writing["lock"], _writing["before"]
+    name = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode())
+    with lock:
+        n, before = held.get(name, (0, spark.conf.get(CLEAN_SHUFFLES, "false")))
+        held[name] = (n + 1, before)
+        spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        with lock:
+            n, before = held.pop(name)
+            if n > 1:
+                held[name] = (n - 1, before)
+            else:
+                spark.conf.set(CLEAN_SHUFFLES, before)
 
 
 def stored(df: DataFrame, name: str = "part", of: list | None = None) -> DataFrame:
@@ -117,12 +147,8 @@ def stored(df: DataFrame, name: str = "part", of: list | None = None) -> DataFra
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{name}"
-    before = spark.conf.get(CLEAN_SHUFFLES, "false")
-    spark.conf.set(CLEAN_SHUFFLES, "true")
-    try:
+    with clean_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     if of is not None:

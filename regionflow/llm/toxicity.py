@@ -237,7 +237,8 @@ def score_toxicity(df: DataFrame, model: Model, text_col: str = "text", keep_tex
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """False for a row without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
