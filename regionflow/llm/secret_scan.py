@@ -2,11 +2,12 @@ r"""Secret scans: an incremental ledger of content-addressed blobs.
 
 Every version of a text is addressed by its SHA-256.  The ledger, a table at a
 path of the caller's (queries take it from ``spark.regionflow.secretLedger``,
-and start an empty one where that isn't set), holds the findings of each (blob,
+and otherwise keep one at a fixed place of the shared folder), holds the findings of each (blob,
 rule version) pair ever scanned.  A scan groups the texts by address, keeps one path of each blob
 (the groups are pre-aggregated, so thousands of copies cost nothing), drops the
-pairs that the ledger has, scans the rest and appends them; then the findings
-are joined back to all paths, whose copies Spark may split, since the other side
+pairs that the ledger has, scans the rest and appends them; then the findings of
+these blobs alone are taken from the ledger and
+joined back to all paths, whose copies Spark may split, since the other side
 has one row a blob.
 
 Base rules (kinds assign, access, hex) find leftmost non-overlapping matches;
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, shared_dir, stored, table, texts_of, without
+from .common import arrow_map, column, discard, shared_dir, stored, table, texts_of, without
 
 #: Raise with every change of the rules: pairs of older versions are scanned anew.
 RULE_VERSION = 1
@@ -85,12 +86,25 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+#: Blobs that a task remembers, so that it scans the copies of one once.
+REMEMBERED = 1 << 16
+
+
 def scan_blobs(blobs: DataFrame, text_col: str) -> DataFrame:
-    """blobs with ``findings``, without their texts."""
+    """blobs (blob, text_col) with ``findings``, without their texts; copies that a task meets are scanned once."""
     added = T.StructType().add("findings", FINDING)
 
     def make():
-        return lambda b: {"findings": [[{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(t)] for t in texts_of(b, text_col)]}
+        seen: dict[str, list] = {}
+
+        def findings(blob, text):
+            if blob not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen[blob] = [{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(text)]
+            return seen[blob]
+
+        return lambda b: {"findings": [findings(*x) for x in zip(texts_of(b, "blob"), texts_of(b, text_col))]}
 
     return arrow_map(blobs, added, make, text_col, (text_col,))
 
@@ -109,22 +123,25 @@ def scan_secrets(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text
     Rows that share an id must not differ in text; where they do, each is found by (id, blob).
     """
     spark = docs.sparkSession
-    address = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    kept = without(docs, ["findings", "blob", *([] if keep_text else [text_col])])
+    text, path = F.coalesce(column(text_col), F.lit("")), column(id_col)
+    address = F.sha2(text.cast("binary"), 256)
+    kept = [column(c) for c in without(docs, ["findings", "blob", *([] if keep_text else [text_col])])]
     # one path stands for a blob: its smallest id, or none if all its ids are null
-    blobs = docs.select(address.alias("blob"), F.col(id_col).alias("path")).groupBy("blob").agg(F.min("path").alias("path"))
+    blobs = docs.select(address.alias("blob"), path.alias("path")).groupBy("blob").agg(F.min("path").alias("path"))
+    blobs = stored(blobs, "blobs")
     ledger = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version)
     unseen = blobs.join(ledger.select("blob"), "blob", "left_anti")
-    paths = docs.select(F.col(id_col).alias("path"), address.alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    paths = docs.select(path.alias("path"), address.alias("blob"), text.alias("_text"))
     todo = paths.join(unseen.withColumnRenamed("path", "_p").withColumnRenamed("blob", "_b"), F.expr("path <=> _p AND blob = _b"), "left_semi").select("blob", "_text")
-    # repeated rows of one (id, blob) are scanned each, and count once in the ledger
+    # rows of one (id, blob) count once in the ledger
     scanned = scan_blobs(todo, "_text").groupBy("blob").agg(F.max("findings").alias("findings"))
     scanned.select("blob", F.lit(rule_version).cast("integer").alias("rule_version"), "findings").write.mode("append").parquet(ledger_path)
-    # a table of its own, in which a pair stands once even if two scans added it: the other side of this join is the
-    # paths as they are, whose hot blobs Spark can split
+    # of the ledger, what these blobs need, as a table of its own, in which a pair stands once even if two scans added
+    # it: the other side of this join is the paths as they are, whose hot blobs Spark can split
     known = read_ledger(spark, ledger_path).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
-    known = stored(known.dropDuplicates(["blob"]), "findings")
-    back = docs.select(*kept, address.alias("blob")).join(known, "blob", "left")
+    known = stored(known.join(blobs.select("blob"), "blob", "left_semi").dropDuplicates(["blob"]), "findings")
+    discard(blobs)
+    back = docs.select(*kept, address.alias("_blob")).join(known, F.col("_blob") == F.col("blob"), "left")
     return back.select(*kept, F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
 
@@ -139,18 +156,23 @@ def redact(docs: DataFrame, ledger_path: str, mark: str = "[SECRET]", text_col:
     # the stretches between secrets, joined by the mark
     cut = lambda s, f: F.struct(f["end"].alias("at"), F.when(f["start"] >= s["at"], F.array_append(s["left"], F.struct(s["at"].alias("a"), f["start"].alias("z")))).otherwise(s["left"]).alias("left"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,z:int>>").alias("left"))
-    text = F.col(f"`{text_col}`")
+    text = column(text_col)
     left = F.aggregate("findings", zero, lambda s, f: F.when(f["end"] <= s["at"], s).otherwise(cut(s, f)), lambda s: F.array_append(s["left"], F.struct(s["at"].alias("a"), F.length(text).alias("z"))))
     clean = F.array_join(F.transform(left, lambda g: F.substr(text, g["a"] + 1, g["z"] - g["a"])), mark)
-    return found.withColumn(text_col, F.when(F.size("findings") > 0, clean).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.withColumn(text_col, F.when(F.size("findings") > 0, clean).otherwise(text)).select(*[column(c) for c in docs.columns])
 
 
-#: Names a ledger that outlives a session; without it each call of a query starts an empty one.
+#: Names a ledger; without it queries share one in the folder that spark.checkpoint.dir names.
 LEDGER = "spark.regionflow.secretLedger"
 
 
 def ledger_of(spark) -> str:
-    return spark.conf.get(LEDGER, None) or f"{shared_dir(spark)}-ledger"
+    """The path of the ledger that queries share: a fixed one, so that a later call, of any session, scans only what is new.
+
+    Where neither setting is there, which only one machine allows, the ledger lives as long as the session.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return spark.conf.get(LEDGER, None) or (f"{shared.rstrip('/')}/secret-ledger" if shared else f"{shared_dir(spark).rsplit('/', 1)[0]}/secret-ledger")
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
