@@ -10,9 +10,11 @@ and behind every separator.  All test phrases of a block run backward search
 together; occurrences are located by walking to a sampled position; the spans
 of a document are merged.
 
-Test items come in blocks of bounded size, one broadcast each; the documents
-pass each block in turn and carry their spans along, so the items may outgrow
-any one block and nothing is shuffled.
+Test items come in blocks of bounded size, one broadcast each.  A single block is
+one pass, and nothing is shuffled.  Of several, each is a job of its own over the
+documents, written with numbers for rows, so that a worker never holds more than
+one block; a job gives the spans of the documents that it hits, and these few rows are added up
+and joined back.
 
 A phrase is 13 words (an item of fewer is one phrase).  Defined results: a null
 or wordless text has no words and no hits; wordless and null items are never
@@ -22,11 +24,11 @@ empty tables or no hits; input columns are kept and clashing ones replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, table, texts_of
+from .common import arrow_map, column, discard, stored, table, texts_of, without
 
 WINDOW, SAMPLE = 13, 8
 #: Bytes of item text in a block (about 150 MB of phrases in a worker), and of document text in a shard.
@@ -266,52 +268,80 @@ def shard_hits(texts: list, phrases: Phrases):
         at = place[index.locate(rows)]
         doc = np.searchsorted(starts, at, "right") - 1
         begin = at - np.array(starts)[doc]
-        for d, s, p in zip(doc.tolist(), begin.tolist(), which.tolist()):
-            spans[d].append([s, s + int(phrases.lengths[p])])
+        for d, s, n in zip(doc.tolist(), begin.tolist(), phrases.lengths[which].tolist()):
+            spans[d].append([s, s + n])
+        # a phrase's items are added once a document, however often it's there
+        for pair in np.unique(doc * len(phrases.lengths) + which).tolist():
+            d, p = divmod(pair, len(phrases.lengths))
             items[d].update(phrases.items(p))
     return n_words, [merged(s) for s in spans], items
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES):
-    """Blocks of (id, text), each of at most ``most`` bytes of text (a longer item is a block of its own)."""
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+    """The number of blocks of (id, text), and these, each of about ``most`` bytes of text at most (a longer item is a block of its own)."""
+    rows = items.select(F.coalesce(column(id_col).cast("string"), F.lit("")).alias("id"), column(text_col).alias("text")).where("text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // (most // 2)) or 1
-    for i in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i)
-        yield [(r["id"], r["text"]) for r in part.collect()]
+    parts = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i) for i in range(n))
+    return n, ([(r["id"], r["text"]) for r in part.collect()] for part in parts)
 
 
 SPANS = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
 FOUND = T.StructType().add("n_words", "long").add("spans", SPANS).add("items", T.ArrayType(T.StringType()))
 
 
+def found_in(docs: DataFrame, block: list, text_col: str, drop: tuple = ()) -> DataFrame:
+    """docs with _found: words, spans and items of one block."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def make():
+        phrases = Phrases(shared.value)
+
+        def f(batch):
+            found = zip(*shard_hits(texts_of(batch, text_col), phrases))
+            return {"_found": [{"n_words": n, "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted(items)} for n, spans, items in found]}
+
+        return f
+
+    return arrow_map(docs, T.StructType().add("_found", FOUND), make, text_col, drop, SHARD_BYTES)
+
+
+def found_in_blocks(docs: DataFrame, blocks, text_col: str) -> DataFrame:
+    """docs with _found for all blocks, each by a job of its own."""
+    tables: list = []
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    texts, hits = rows.select("_row", column(text_col).alias("_text")), []
+    for k, block in enumerate(blocks):
+        part = found_in(texts, block, "_text", ("_text",)).select("_row", "_found.*")
+        # every row's number of words comes from the first block
+        hits.append(stored(part if k == 0 else part.where(F.size("spans") > 0), "hits", tables))
+    every = hits[0]
+    for h in hits[1:]:
+        every = every.unionByName(h)
+    # spans of several blocks that meet are one
+    spans = every.select("_row", F.explode("spans").alias("s")).select("_row", "s.*")
+    before = Window.partitionBy("_row").orderBy("start", "end")
+    reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("nth", F.sum("fresh").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("_row", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy(F.col("_row").alias("_s")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    found = every.select("_row", F.explode("items").alias("item")).groupBy(F.col("_row").alias("_i")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    merged = hits[0].select("_row", "n_words").join(spans, F.col("_row") == F.col("_s"), "left").join(found, F.col("_row") == F.col("_i"), "left")
+    one = F.struct("n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).cast(FOUND)
+    merged = stored(merged.select(F.col("_row").alias("_number"), one.alias("_found")), "found")
+    discard(*tables)
+    return rows.join(merged, F.col("_row") == F.col("_number")).drop("_row", "_number")
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit, spans, items (sorted) and contaminated."""
-    sc = docs.sparkSession.sparkContext
-    out = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "n_hit", "spans", "items", "contaminated", "_found", "_before")])
-    for k, block in enumerate(item_blocks(items, item_id, item_text, block_bytes)):
-        shared = sc.broadcast(block)
-
-        def make(shared=shared):
-            phrases = Phrases(shared.value)
-
-            def f(batch):
-                n, spans, found = shard_hits(texts_of(batch, text_col), phrases)
-                if "_before" in batch.schema.names:
-                    for old, s, c in zip(texts_of(batch, "_before"), spans, found):
-                        s[:] = merged(s + [[x["start"], x["end"]] for x in old["spans"]])
-                        c.update(old["items"])
-                return {"_found": [{"n_words": a, "spans": [{"start": s, "end": e} for s, e in b], "items": sorted(c)} for a, b, c in zip(n, spans, found)]}
-
-            return f
-
-        before = out.withColumnRenamed("_found", "_before") if k else out
-        out = arrow_map(before, T.StructType().add("_found", FOUND), make, text_col, ("_before",), SHARD_BYTES)
+    out = docs.select(*[column(c) for c in without(docs, ("n_words", "n_hit", "spans", "items", "contaminated", "_found", "_row", "_number"))])
+    n, blocks = item_blocks(items, item_id, item_text, block_bytes)
+    out = found_in(out, next(blocks), text_col) if n == 1 else found_in_blocks(out, blocks, text_col)
     step = "aggregate(_found.spans, 0L, (n, s) -> n + s.end - s.start)"
     out = out.withColumn("n_words", F.col("_found.n_words")).withColumn("n_hit", F.expr(step)).withColumn("spans", F.col("_found.spans")).withColumn("items", F.col("_found.items"))
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).drop("_found")
-    return out if keep_text else out.drop(text_col)
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    return out.drop("_found") if keep_text else out.drop("_found", text_col)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
