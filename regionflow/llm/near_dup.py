@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, arrow_map, discard, stored, table, texts_of
+from .common import Words, arrow_map, column, discard, stored, table, texts_of
 
 NGRAM, THRESHOLD = 5, 0.8
 PERMS, ROWS = 128, 4
@@ -180,44 +180,52 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return met.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "node", "block")
 
 
-def likely_partners(met: DataFrame) -> DataFrame:
-    """CELL, node, partners: the pairs of cells (of candidates, with sig) that stay likely through all comparisons.
+def likely_pairs(cell, least: list) -> dict:
+    """{row: partners' rows} of a cell (with sig): the pairs that stay likely through all comparisons, each once."""
+    import numpy as np
 
-    A pair is in one cell only, as the partner of one of its nodes.
+    block = cell.column("block").to_numpy()
+    sig = np.frombuffer(b"".join(texts_of(cell, "sig")), "<u4").reshape(-1, PERMS)
+    band, low, high = (cell.column(c)[0].as_py() for c in ("band", "low", "high"))
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    partners: dict = {}
+    for place, i in enumerate(left):
+        at = right if low < high else right[place + 1 :]
+        same = sig[at] == sig[i]
+        # four equal values of a band, read as one number
+        bands = same.view(np.uint32)[:, : band + 1] == 0x01010101
+        here = bands[:, band] & ~bands[:, :band].any(1)
+        at, same = at[here], same[here]
+        matches = same.reshape(-1, PERMS // STEP, STEP).sum(2).cumsum(1)
+        at = at[(matches >= least).all(1)]
+        if len(at):
+            partners[i] = at
+    return partners
+
+
+#: What says in which cell a node is, and which of its pairs count there.
+MEMBER = (*CELL, "band", "node", "block")
+
+
+def likely(met: DataFrame) -> DataFrame:
+    """The rows of met (MEMBER, sig) that have a likely partner in their cell, without sig.
+
+    Pairs aren't written: ``verify`` finds them again among the rows that are left, so that rows stay linear in a class.
     """
     import pyarrow as pa
 
-    schema = T.StructType().add("bucket", "long").add("low", "integer").add("high", "integer").add("node", "long").add("partners", T.ArrayType(T.LongType()))
-    names, least = schema.names, least_matches()
+    schema, least = T.StructType([met.schema[c] for c in MEMBER]), least_matches()
 
     def run(batches):
         import numpy as np
 
         for cell in cells(batches):
-            node, block = (cell.column(c).to_numpy() for c in ("node", "block"))
-            sig = np.frombuffer(b"".join(texts_of(cell, "sig")), "<u4").reshape(-1, PERMS)
-            band, low, high = (cell.column(c)[0].as_py() for c in ("band", "low", "high"))
-            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            partners: dict = {}
-            for place, i in enumerate(left):
-                at = right if low < high else right[place + 1 :]
-                same = sig[at] == sig[i]
-                # four equal values of a band, read as one number
-                bands = same.view(np.uint32)[:, : band + 1] == 0x01010101
-                here = bands[:, band] & ~bands[:, :band].any(1)
-                at, same = at[here], same[here]
-                matches = same.reshape(-1, PERMS // STEP, STEP).sum(2).cumsum(1)
-                at = at[(matches >= least).all(1)]
-                if len(at):
-                    partners[i] = node[at]
-                    for j in at:
-                        partners.setdefault(j, node[:0])
+            partners = likely_pairs(cell, least)
             if partners:
-                rows = sorted(partners)
-                columns = [pa.array(np.full(len(rows), cell.column(c)[0].as_py()), schema_type) for c, schema_type in zip(CELL, (pa.int64(), pa.int32(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(node[rows]), pa.array([partners[i] for i in rows], pa.list_(pa.int64()))], names)
+                some = np.unique(np.concatenate([np.array(list(partners)), *partners.values()]))
+                yield from cell.select(list(MEMBER)).take(pa.array(some)).combine_chunks().to_batches()
 
-    return by_cell(met.select(*CELL, "band", "node", "block", "sig")).mapInArrow(run, schema)
+    return by_cell(met.select(*MEMBER, "sig")).mapInArrow(run, schema)
 
 
 def shared_counts(sets: list, pairs: list) -> list:
@@ -245,15 +253,15 @@ def shared_counts(sets: list, pairs: list) -> list:
     return counts
 
 
-def verify(likely: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """node, end, n of the cells of likely (CELL, node, partners, shingles, n_texts).
+def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, end, n of the cells of members (MEMBER, sig, shingles, n_texts).
 
     n: the texts of the sets that node links with in a cell, whose exact similarity reaches the threshold; end: the
     smallest node that the cell's links connect node to.
     """
     import pyarrow as pa
 
-    schema = T.StructType().add("node", "long").add("end", "long").add("n", "long")
+    schema, least = T.StructType().add("node", "long").add("end", "long").add("n", "long"), least_matches()
 
     def run(batches):
         import numpy as np
@@ -263,7 +271,7 @@ def verify(likely: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             node, texts = cell.column("node").to_numpy(), cell.column("n_texts").to_numpy()
             sets = [np.frombuffer(s, np.uint64) for s in texts_of(cell, "shingles")]
             size = np.array([len(s) for s in sets])
-            pairs = [(i, np.searchsorted(node, np.array(p, np.int64))) for i, p in enumerate(texts_of(cell, "partners")) if p]
+            pairs = list(likely_pairs(cell, least).items())
             n, end = np.zeros(len(node), np.int64), np.arange(len(node))
             for (i, js), both in zip(pairs, shared_counts(sets, pairs)):
                 js = js[both / (size[i] + size[js] - both) >= threshold]
@@ -275,7 +283,7 @@ def verify(likely: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[end[at]]), pa.array(n[at])], ["node", "end", "n"])
 
-    return by_cell(likely.select(*CELL, "node", "partners", "shingles", "n_texts")).mapInArrow(run, schema)
+    return by_cell(members.select(*MEMBER, "sig", "shingles", "n_texts")).mapInArrow(run, schema)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -313,13 +321,13 @@ def row_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # a node's set is taken from one of its rows
     nodes = stored(worded.groupBy("node").agg(F.min("id").alias("rep"), F.min(F.struct(*ROW)).alias("row"), F.first("sig").alias("sig")), "nodes", tables)
     several = stored(worded.select("node", "text_hash").distinct().groupBy("node").agg(F.count("*").alias("n_texts")).where("n_texts > 1"), "several", tables)
-    likely = stored(likely_partners(candidates(nodes).join(nodes.select("node", "sig"), "node")), "likely", tables)
+    members = stored(likely(candidates(nodes).join(nodes.select("node", "sig"), "node")), "likely", tables)
     # the sets of the texts that are still in question
-    asked = likely.select("node").distinct().join(nodes.select("node", "row"), "node").select(F.col("node").alias("asked"), "row.*")
+    asked = members.select("node").distinct().join(nodes.select("node", "row"), "node").select(F.col("node").alias("asked"), "row.*")
     sets = with_sets(texts.drop("id").join(asked, [*ROW]), True).where("node = asked").dropDuplicates(["node"]).select("node", "shingles")
     sets = stored(sets, "sets", tables)
-    held = sets.join(several, "node", "left").select("node", "shingles", F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
-    links = stored(verify(likely.join(held, "node")), "links", tables)
+    held = sets.join(several, "node", "left").join(nodes.select("node", "sig"), "node").select("node", "sig", "shingles", F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
+    links = stored(verify(members.join(held, "node")), "links", tables)
     label = components(links.where("node <> end").select(F.col("node").alias("a"), F.col("end").alias("b")))
     tables.append(label)
     of_label = label.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
@@ -352,7 +360,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = [f"_{c}" for c in ROW]
     kept = rows.where("label IS NOT NULL").groupBy("label").agg(first).select("row.id_hash", "row.text_hash").union(rows.where("label IS NULL").select(*ROW)).toDF(*keys)
     chosen = docs.withColumns({k: F.xxhash64(of) for k, of in zip(keys, (id_col, text_col))}).join(kept, keys, "left_semi").dropDuplicates(keys)
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return chosen.select(*[column(c) for c in docs.columns])
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
