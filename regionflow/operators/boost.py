@@ -232,11 +232,12 @@ def level(rows: DataFrame, growing: list[Growing], asked: list[tuple[int, int]],
     import numpy as np
 
     n_feats = len(growing[0].model.feats)
-    number = {a: i for i, a in enumerate(asked)}
+    number = {a: i for i, a in enumerate(asked)}  # by model, then node
     jobs = []
     for m in sorted({m for m, _ in asked}):
         g = growing[m]
-        jobs.append((m, g.model.params, g.model.trees[rested[m] :], g.tree, len(g.model.trees), {n: number[m, n] for mm, n in asked if mm == m}, columns_of(len(g.model.trees), n_feats, g.model.params)))
+        nodes = [n for mm, n in asked if mm == m]
+        jobs.append((m, g.model.params, g.model.trees[rested[m] :], g.tree, len(g.model.trees), nodes, number[m, nodes[0]], columns_of(len(g.model.trees), n_feats, g.model.params)))
 
     def run(batches):
         import pyarrow as pa
@@ -248,10 +249,12 @@ def level(rows: DataFrame, growing: list[Growing], asked: list[tuple[int, int]],
             bins = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, n_feats)
             row, y = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(float)
             margins = batch.column(3).flatten().to_numpy().reshape(len(row), -1)
-            for m, p, trees, tree, nth, nodes, columns in jobs:
+            for m, p, trees, tree, nth, nodes, first, columns in jobs:
                 at = tree.node_of(bins)
+                # the nodes of a model stand in a row
                 place = np.full(len(tree.feature), -1)
-                place[list(nodes)] = list(nodes.values())
+                place[nodes] = np.arange(len(nodes))
+                start, size = first * n_feats * width, len(nodes) * n_feats * width
                 here = place[at] >= 0
                 if p["subsample"] < 1:
                     here &= drawn(row, nth, p["seed"]) < p["subsample"]
@@ -263,7 +266,7 @@ def level(rows: DataFrame, growing: list[Growing], asked: list[tuple[int, int]],
                 weight = np.where(y[i] > 0, p["scale_pos_weight"], 1.0)
                 for k, v in enumerate(((prob - y[i]) * weight, np.maximum(prob * (1 - prob), 1e-16) * weight)):
                     key = ((place[at[i]] * n_feats)[:, None] + columns) * width + bins[i][:, columns]
-                    total[k] += np.bincount(key.ravel(), np.repeat(v, len(columns)), total.shape[1])
+                    total[k, start : start + size] += np.bincount(key.ravel(), np.repeat(v, len(columns)), size)
         some = np.flatnonzero(total[1])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], ["at", "g", "h"])
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..config import DEFAULT, Config
 from ..functions.exprs import half_even
 from .reports import split_by_sample_list
+from .sums import summed
 
 # Functions of this module travel to the executors with the job, so that these need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -188,7 +189,6 @@ def first_posterior(model: dict, prior: dict, n: int) -> dict:
 
 #: Values times states times models that a pass holds at once; values of a row of ``blocks``.
 CELLS, BLOCK_VALUES = 1 << 20, 1 << 17
-SUMS = T.StructType().add("k", "integer").add("restart", "integer").add("i", "integer").add("v", "double")
 
 
 def blocks(df: DataFrame, arr: str) -> DataFrame:
@@ -211,19 +211,18 @@ def blocks(df: DataFrame, arr: str) -> DataFrame:
     return df.select(F.col(arr).cast("array<double>")).mapInArrow(run, "n long, x binary")
 
 
-def pass_over(rows: DataFrame, models: dict) -> dict:
-    """Expected sums of each model, {(k, restart): parameters}, over all sequences of ``blocks``, added up by Spark in one job."""
+def pass_over(rows: DataFrame, tasks: int, models: dict) -> dict:
+    """Expected sums of each model, {(k, restart): parameters}, over all sequences of ``blocks``, added up in one job."""
     import numpy as np
 
     names = sorted(models)
     sizes = sorted({k for k, _ in names})
+    width = {k: 1 + k + k * k + 3 * k for k in sizes}
+    of = {k: [n for n in names if n[0] == k] for k in sizes}
 
-    def run(batches):
-        import pyarrow as pa
-
-        of = {k: [n for n in names if n[0] == k] for k in sizes}
+    def add(batches):
         params = {k: stacked([models[n] for n in of[k]]) for k in sizes}
-        total = {k: np.zeros((len(of[k]), 1 + k + k * k + 3 * k)) for k in sizes}
+        total = {k: np.zeros((len(of[k]), width[k])) for k in sizes}
         for batch in batches:
             for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x = np.frombuffer(x).reshape(-1, n)
@@ -231,18 +230,13 @@ def pass_over(rows: DataFrame, models: dict) -> dict:
                     step = max(1, CELLS // (n * k * len(of[k])))
                     for i in range(0, len(x), step):
                         total[k] += expected_sums(x[i : i + step], p)
-        for k in sizes:
-            width = total[k].shape[1]
-            columns = [np.full(total[k].size, k), np.repeat([r for _, r in of[k]], width), np.tile(np.arange(width), len(of[k]))]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(total[k].ravel())], SUMS.names)
-
-    # models x some dozens of numbers
-    got = rows.mapInArrow(run, SUMS).groupBy("k", "restart", "i").agg(F.sum("v").alias("v")).toArrow().sort_by([("k", "ascending"), ("restart", "ascending"), ("i", "ascending")])
-    k_of, r_of, value = (got.column(c).to_numpy() for c in ("k", "restart", "v"))
-    out = {}
+        return np.concatenate([total[k].ravel() for k in sizes])
+
+    flat, out, at = summed(rows, tasks, sum(width[k] * len(of[k]) for k in sizes), add), {}, 0
     for k, r in names:
-        ll, start, xi, n, x, xx = np.split(value[(k_of == k) & (r_of == r)], np.cumsum([1, k, k * k, k, k]))
+        ll, start, xi, n, x, xx = np.split(flat[at : at + width[k]], np.cumsum([1, k, k * k, k, k]))
         out[k, r] = {"ll": float(ll[0]), "start": start, "xi": xi.reshape(k, k), "n": n, "x": x, "xx": xx}
+        at += width[k]
     return out
 
 
@@ -268,9 +262,10 @@ def hmm_fits(df: DataFrame, arr: str, ks: list[int], n_iter: int = 20, restarts:
     path: dict = {n: [] for n in models}
     live = sorted(models)
     rows = blocks(df, arr).persist()
+    tasks = rows.rdd.getNumPartitions()
     try:
         for left in range(n_iter, -1, -1):
-            sums = pass_over(rows, {n: expected_model(posteriors[n]) if variational else models[n] for n in live})
+            sums = pass_over(rows, tasks, {n: expected_model(posteriors[n]) if variational else models[n] for n in live})
             for n, s in sums.items():
                 path[n].append(s["ll"] - (divergence(posteriors[n], priors[n[0]]) if variational else 0.0))
             live = [n for n in live if left and not (len(path[n]) > 1 and path[n][-1] - path[n][-2] < tol)]
@@ -284,7 +279,7 @@ def hmm_fits(df: DataFrame, arr: str, ks: list[int], n_iter: int = 20, restarts:
         best = {k: max(range(restarts), key=lambda r: path[k, r][-1]) for k in ks}
         if variational:
             models = {(k, r): settled_model(posteriors[k, r]) for k, r in best.items()}
-            loglik = {k: s["ll"] for (k, _), s in pass_over(rows, models).items()}
+            loglik = {k: s["ll"] for (k, _), s in pass_over(rows, tasks, models).items()}
         else:
             loglik = {k: path[k, r][-1] for k, r in best.items()}
     finally:

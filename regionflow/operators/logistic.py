@@ -20,7 +20,8 @@ from dataclasses import dataclass
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .sums import summed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -107,15 +108,13 @@ def lr_grid(df: DataFrame, feats: list[str], label: str, points: list[dict], wei
     n, scale = len(feats) + 1, np.array([1 / d if d else 0.0 for d in deviations])
     columns = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(m)), F.lit(m)).alias(f"f{i}") for i, (c, m) in enumerate(zip(feats, means))]
     rows = df.select(F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), *columns).persist()
-    size = 1 + n + n * n
+    size, tasks = 1 + n + n * n, rows.rdd.getNumPartitions()
 
     def sums(asked: dict) -> dict:
         names = sorted(asked)
         matrix = np.stack([asked[i] for i in names], axis=1)
 
-        def run(batches):
-            import pyarrow as pa
-
+        def add(batches):
             out = np.zeros((len(names), size))
             for batch in batches:
                 for part in (batch.slice(i, 8192) for i in range(0, batch.num_rows, 8192)):
@@ -128,12 +127,9 @@ def lr_grid(df: DataFrame, feats: list[str], label: str, points: list[dict], wei
                     grad, curve = x.T @ (w[:, None] * (p - y[:, None])), w[:, None] * p * (1 - p)
                     for j in range(len(names)):
                         out[j] += np.r_[loss[j], grad[:, j], (x.T @ (x * curve[:, j : j + 1])).ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["at", "v"])
+            return out.ravel()
 
-        got = rows.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-        flat = np.zeros(len(names) * size)
-        flat[got.column("at").to_numpy()] = got.column("v").to_numpy()
-        out = flat.reshape(len(names), size) / total
+        out = summed(rows, tasks, len(names) * size, add).reshape(len(names), size) / total
         return {i: (o[0], o[1 : n + 1], o[n + 1 :].reshape(n, n)) for i, o in zip(names, out)}
 
     state = {}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regionflow.operators import boost, hmm, learn, logistic
+from regionflow.operators import boost, hmm, learn, logistic, sums
 from regionflow.plans import adapter as ad
 
 
@@ -139,6 +139,23 @@ def test_logistic_grid_agrees_with_spark_ml(spark, mixed):
     rows.unpersist()
 
 
+def test_sums_by_either_way(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 7)
+
+    def add(batches):
+        out = np.zeros(30)
+        for b in batches:
+            np.add.at(out, b.column(0).to_numpy() % 23, 1.0)
+        return out
+
+    want = [44.0] * 11 + [43.0] * 12 + [0.0] * 7
+    assert sums.summed(rows, 7, 30, add).tolist() == want
+    monkeypatch.setattr(sums, "PIECE", 4)
+    monkeypatch.setattr(sums, "DIRECT", 0)
+    assert sums.summed(rows, 7, 30, add).tolist() == want
+    assert sums.summed(rows.limit(0), 1, 30, add).tolist() == [0.0] * 30
+
+
 def test_points_cost_no_jobs(spark, mixed):
     def jobs(n):
         spark.sparkContext.setJobGroup(f"grid{n}", "")
@@ -226,9 +243,9 @@ def test_settled_restarts_leave_the_passes(spark, monkeypatch):
     asked = []
     own = hmm.pass_over
 
-    def passes(rows, models):
+    def passes(rows, tasks, models):
         asked.append(set(models))
-        return own(rows, models)
+        return own(rows, tasks, models)
 
     monkeypatch.setattr(hmm, "pass_over", passes)
     df = spark.createDataFrame([([0.0, 0.1, 3.0, 3.1] * 5,)] * 20, "x array<double>")
