@@ -48,7 +48,7 @@ def test_stages(spark):
 def test_queries_are_registered():
     import __spark_entry__ as e
 
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 11)} and "pipeline" in e.queries()
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 14)} and "pipeline" in e.queries()
 
 
 WANT = {
@@ -62,6 +62,9 @@ WANT = {
     "op8": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op11": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op12": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13": "doc_id fingerprint component_id",
 }
 
 
