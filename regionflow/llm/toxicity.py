@@ -10,7 +10,7 @@ normalised by length, give the score through a logistic calibration.
 
 Training reads one text each of at most ``max_labelled`` labelled documents
 (those with the smallest hash of doc_id) and never a held-out one; a stem must
-be in ``MIN_TOXIC`` toxic training texts; lexicon and phrases are bounded by
+be in a twentieth of the toxic training texts, two at least and ``MIN_TOXIC`` at most; lexicon and phrases are bounded by
 ``max_terms``.  All documents are scored whole, in time linear in their length.
 
 Defined results: a document labelled both ways is toxic; null and empty texts score as texts without a match; without
@@ -176,10 +176,10 @@ def fitted(rows: DataFrame, exceptions: tuple[str, ...], max_terms: int) -> Mode
     given = {" " + fold(x).strip() + " " for x in exceptions}
     if not n[0]:
         return Model({}, set(), [-30.0, 0, 0, 0])
-    words = word_counts(rows)
+    words, least = word_counts(rows), max(2, min(MIN_TOXIC, n[0] // 20))
     stems = words.where(F.length("word") >= 3).select(F.explode(F.concat(F.array(F.concat(F.lit(" "), "word", F.lit(" "))), F.expr("transform(filter(sequence(4, 12), k -> k <= length(word)), k -> ' ' || substring(word, 1, k))"))).alias("stem"), "toxic", "clean")
     odds = F.log((F.col("toxic") + 0.5) / (n[0] + 1)) - F.log((F.col("clean") + 0.5) / (n[1] + 1))
-    kept = stems.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= MIN_TOXIC).withColumn("odds", odds).where("odds >= 2.5")
+    kept = stems.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= least).withColumn("odds", odds).where("odds >= 2.5")
     top = kept.orderBy((F.col("odds") * F.sqrt("toxic")).desc(), F.length("stem"), "stem").limit(max_terms).collect()
     chosen: dict[str, float] = {}
     for r in sorted(top, key=lambda r: (len(r["stem"]), r["stem"])):
