@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.io import discard
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Trees between two writes of margins; depth of a tree without a bound; sums of a job.
@@ -330,13 +332,15 @@ def boost_fits(df: DataFrame, feats: list[str], label: str, points: list[dict],
     while True:
         asked = [(i, n) for i, g in enumerate(growing) if not g.done for n in g.waiting][:at_once]
         if not asked:
+            discard(rows)
             return models
         sums = level(rows, growing, asked, rested, width)
         for j, (i, node) in enumerate(asked):
             growing[i].split(node, sums[0, j], sums[1, j])
         grown = max(len(g.model.trees) - r for g, r in zip(growing, rested))
         if grown >= REST and not all(g.done for g in growing):
-            rows = keep(with_margins(rows, growing, rested, n_feats))
+            before, rows = rows, keep(with_margins(rows, growing, rested, n_feats))
+            discard(before)
             rested = [len(g.model.trees) for g in growing]
 
 

@@ -27,11 +27,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: a table between two stages that several branches read."""
-    path = io.scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A table between two stages that several branches read; what a returned DataFrame reads can't be deleted before it is.
+kept = io.kept
 
 
 def calls(spark, sf) -> DataFrame:

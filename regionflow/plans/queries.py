@@ -866,6 +866,7 @@ def _(spark, sf):
     """The whole grid of strengths and penalties, each point with its report on the validation rows."""
     rows, feats = learning_rows(spark, sf)
     found = learn.lr_search(of(rows, "TRAINING"), of(rows, "VALIDATION"), feats, LABEL, CFG.lr_strengths, CFG.lr_penalties)
+    io.discard(rows)
     return spark.createDataFrame([(c, p, float(f1), int(m.passes), sum(1 for b in m.coefficients[1:] if b)) for (c, p), m, f1 in found], "c double, penalty string, sum_f1 double, passes int, n_features int")
 
 
@@ -877,6 +878,7 @@ def searched(rows: DataFrame, feats: list[str], kind: str) -> list[tuple[dict, f
 def _(spark, sf):
     rows, feats = learning_rows(spark, sf)
     found = [(k, str(sorted(p.items())), float(s)) for k in ("rf", "gbt") for p, s in searched(rows, feats, k)]
+    io.discard(rows)
     return spark.createDataFrame(found, "model string, params string, sum_f1 double")
 
 
@@ -889,6 +891,7 @@ def _(spark, sf):
         best = searched(rows, feats, k)[0][0]
         _, row = learn.refit_and_test(of(rows, "TRAINING", "VALIDATION"), of(rows, "TESTING"), k, feats, LABEL, best, keep=ad.kept, path=io.scratch(spark))
         io.append_table(row, path, f"{k} with {CFG.draws} draws")
+    io.discard(rows)
     return io.read_appended(spark, path)
 
 

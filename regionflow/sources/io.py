@@ -23,6 +23,27 @@ def scratch(spark: SparkSession) -> str:
     return f"{held.get()}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back: a table between two stages; ``discard`` deletes it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``kept`` once nothing reads them any more; other DataFrames are left alone."""
+    for df in tables:
+        if getattr(df, "stored_at", None):
+            _delete(df.sparkSession, df.stored_at)
+
+
 def tsv_typed(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
     """Tab-separated text, plain or gzipped, with a declared schema."""
     return spark.read.schema(schema).csv(path, sep="\t", header=header)
@@ -142,8 +163,7 @@ def drop_bucketed(df: DataFrame) -> None:
     spark = df.sparkSession
     where = spark.sql(f"DESCRIBE FORMATTED {df.table_name}").where("col_name = 'Location'").first()["data_type"]
     spark.sql(f"DROP TABLE {df.table_name}")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, where)
 
 
 def array_text(df: DataFrame, col: str, elem: str = "double", to: str = "array") -> DataFrame:

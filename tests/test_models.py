@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -78,11 +79,13 @@ def test_boosting_equals_brute_force(spark, mixed, monkeypatch, rest):
     kept = []
 
     def keep(df):
-        kept.append(ad.kept(df))
-        return kept[-1]
+        out = ad.kept(df)
+        kept.append((out, out.toPandas()))
+        return out
 
     models = boost.boost_fits(mixed, ["a", "b", "c"], "y", POINTS, keep, bins=8)
-    rows = kept[0].toPandas().sort_values("row")
+    rows = kept[0][1].sort_values("row")
+    assert not any(os.path.exists(t.stored_at.removeprefix("file:")) for t, _ in kept)  # nothing is left behind
     bins = np.stack([np.frombuffer(b, np.uint8) for b in rows["bins"]]).astype(int)
     assert len(rows) == 400 and (len(kept) > 2) == (rest == 1)
     for m, p in zip(models, POINTS):
