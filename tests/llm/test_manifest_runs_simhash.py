@@ -81,7 +81,7 @@ def manifest_rows(spark, df, tmp_path, name):
 TABLE = "doc_id long, source string, lang string, n_chars int, text string"
 
 
-@pytest.mark.parametrize("depth,n", [(4, 150), (1, 700), (2, 700), (1, 1), (4, 9)])
+@pytest.mark.parametrize("depth,n", [(4, 150), (1, 700), (2, 700), (1, 1)])
 def test_manifest(spark, tmp_path, monkeypatch, depth, n):
     monkeypatch.setattr(merkle, "DEPTH", depth)
     monkeypatch.setattr(merkle, "BLOCK", 8**depth)
