@@ -169,8 +169,11 @@ def best_split(g, h, allowed, p: dict):
         gains.append(np.where(fine, gain, -np.inf))
     both = np.stack(gains, 2)
     both[~allowed] = -np.inf
+    best = both.max()
+    if not np.isfinite(best):
+        return None
     # sums are added in any order, so gains within rounding are equal
-    at = int(np.argmax(both >= both.max() - 1e-9 * max(1.0, abs(both.max())) if np.isfinite(both.max()) else both == both.max()))
+    at = int(np.argmax(both >= best - 1e-9 * max(1.0, abs(best))))
     f, b, missing = np.unravel_index(at, both.shape)
     gain = both[f, b, missing]
     return (float(gain), int(f), int(b) + 1, bool(missing)) if gain > max(p["gamma"], 1e-6) else None
@@ -204,11 +207,11 @@ class Growing:
 
     def split(self, node: int, g, h) -> None:
         """Makes a node that waits a leaf or splits it, by its sums; a tree without such nodes is finished."""
+        import numpy as np
+
         p, depth = self.model.params, self.waiting.pop(node)
         deepest = DEEPEST if p["max_depth"] is None else p["max_depth"]
         columns = columns_of(len(self.model.trees), len(self.model.feats), p)
-        import numpy as np
-
         allowed = np.zeros(len(self.model.feats), bool)
         allowed[columns] = True
         found = best_split(g, h, allowed, p) if depth < deepest else None
@@ -216,10 +219,13 @@ class Growing:
         self.tree.value[node] = leaf_value(total_g, total_h, p)
         if found:
             _, f, cut, missing = found
-            left, right = self.tree.add(), self.tree.add()
             self.tree.feature[node], self.tree.cut[node], self.tree.missing_left[node] = f, cut, missing
-            self.tree.left[node], self.tree.right[node] = left, right
-            self.waiting |= {left: depth + 1, right: depth + 1}
+            left = [float(x[f, 1 : cut + 1].sum() + missing * x[f, 0]) for x in (g, h)]
+            for side, (a, b) in ((self.tree.left, left), (self.tree.right, (total_g - left[0], total_h - left[1]))):
+                side[node] = self.tree.add(leaf_value(a, b, p))
+                # one that can't be split needs no sums of its own
+                if depth + 1 < deepest and b >= 2 * p["min_child_weight"] - 1e-9:
+                    self.waiting[side[node]] = depth + 1
         if not self.waiting:
             self.model.trees.append(self.tree)
             if not self.done:
