@@ -29,8 +29,8 @@ from ..sources.io import discard
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Trees between two writes of margins; depth of a tree without a bound; sums of a job.
-REST, DEEPEST, SUMS = 25, 30, 1 << 22
+#: Trees between two writes of margins; depth of a tree without a bound; sums of a job; rows that are worth a task.
+REST, DEEPEST, SUMS, TASK = 25, 30, 1 << 22, 8192
 DEFAULTS = {"n_estimators": 100, "max_depth": 6, "eta": 0.3, "min_child_weight": 1.0, "subsample": 1.0, "colsample_bytree": 1.0, "reg_lambda": 1.0, "reg_alpha": 0.0, "gamma": 0.0, "scale_pos_weight": 1.0, "seed": 0}
 
 
@@ -109,11 +109,11 @@ class Boosted:
         return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).mapInArrow(run, schema)
 
 
-def cuts_of(df: DataFrame, feats: list[str], bins: int = 32, accuracy: int = 2000) -> list[list[float]]:
-    """The distinct quantiles of each feature, all in one job; values up to the i-th one are bin i + 1, missing ones bin 0."""
+def cuts_of(df: DataFrame, feats: list[str], bins: int = 32, accuracy: int = 2000) -> tuple[list[list[float]], int]:
+    """The distinct quantiles of each feature, and the number of rows, in one job; values up to the i-th one are bin i + 1, missing ones bin 0."""
     levels = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    row = df.agg(*[F.percentile_approx(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), levels, accuracy).alias(f"q{i}") for i, c in enumerate(feats)]).first()
-    return [sorted(set(q or [])) for q in row]
+    row = df.agg(F.count("*").alias("n"), *[F.percentile_approx(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), levels, accuracy).alias(f"q{i}") for i, c in enumerate(feats)]).first()
+    return [sorted(set(q or [])) for q in row[1:]], row["n"]
 
 
 def binned(columns, cuts):
@@ -317,7 +317,7 @@ def boost_fits(df: DataFrame, feats: list[str], label: str, points: list[dict],
         raise ValueError("a bin is one byte")
     models = [Boosted(list(feats), [], DEFAULTS | p) for p in points]
     df = df.where(F.col(label).isNotNull())
-    cuts = cuts_of(df, feats, bins)
+    cuts, n_rows = cuts_of(df, feats, bins)
     for m in models:
         m.cuts = cuts
     width = max(map(len, cuts)) + 2
@@ -332,7 +332,7 @@ def boost_fits(df: DataFrame, feats: list[str], label: str, points: list[dict],
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in b], pa.binary()), batch.column(1), zero], ROWS.names)
 
     # the number of a row is written with it, so that it stays the same
-    rows = keep(df.select(F.monotonically_increasing_id().alias("row"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(feats)]).mapInArrow(to_bins, ROWS))
+    rows = keep(df.select(F.monotonically_increasing_id().alias("row"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(feats)]).mapInArrow(to_bins, ROWS).coalesce(max(1, -(-n_rows // TASK))))
     growing, rested = [Growing(m) for m in models], [0] * n_points
     at_once = max(1, SUMS // (n_feats * width))
     while True:

@@ -261,7 +261,8 @@ def hmm_fits(df: DataFrame, arr: str, ks: list[int], n_iter: int = 20, restarts:
     posteriors = {n: first_posterior(m, priors[n[0]], row["n"]) for n, m in models.items()} if variational else {}
     path: dict = {n: [] for n in models}
     live = sorted(models)
-    rows = blocks(df, arr).persist()
+    # a pass over few values isn't worth many tasks
+    rows = blocks(df, arr).coalesce(-(-row["n"] // BLOCK_VALUES)).persist()
     tasks = rows.rdd.getNumPartitions()
     try:
         for left in range(n_iter, -1, -1):

@@ -25,6 +25,9 @@ from .sums import summed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows that are worth a task of a pass.
+TASK = 8192
+
 
 @dataclass
 class Logistic:
@@ -54,7 +57,7 @@ def grid(cs: list[float], penalties: list[str], weight: float) -> list[dict]:
 
 
 def moments(df: DataFrame, feats: list[str], label: str, weight: str):
-    """Weights of both classes, and each feature's mean and deviation, in one job; a missing value counts as the mean of the others."""
+    """The weight of class 1 and of all rows, their number, and each feature's mean and deviation, in one job; a missing value counts as the mean of the others."""
     x = [F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in feats]
     means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], F.sum(F.when(F.col(label) == 1, F.col(weight))).alias("one"), F.sum(weight).alias("all")).first()
     m = [means[f"m{i}"] or 0.0 for i in range(len(feats))]
@@ -68,7 +71,7 @@ def moments(df: DataFrame, feats: list[str], label: str, weight: str):
         mean = (rows[f"s{i}"] or 0.0) / total if total else 0.0
         spread = ((rows[f"q{i}"] or 0.0) / total - mean * mean) * (n / (n - 1) if n > 1 else 1.0) if total else 0.0
         deviation.append(max(spread, 0.0) ** 0.5 if spread > 1e-24 else 0.0)
-    return means["one"] or 0.0, means["all"] or 0.0, m, deviation
+    return means["one"] or 0.0, means["all"] or 0.0, n, m, deviation
 
 
 def newton_step(b, grad, hess, l1, l2, rounds: int = 200):
@@ -102,12 +105,12 @@ def lr_grid(df: DataFrame, feats: list[str], label: str, points: list[dict], wei
     import numpy as np
 
     df = df.where(F.col(label).isNotNull())
-    one, total, means, deviations = moments(df, feats, label, weight)
+    one, total, n_rows, means, deviations = moments(df, feats, label, weight)
     if not 0 < one < total:
         raise ValueError("both classes need rows")
     n, scale = len(feats) + 1, np.array([1 / d if d else 0.0 for d in deviations])
     columns = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(m)), F.lit(m)).alias(f"f{i}") for i, (c, m) in enumerate(zip(feats, means))]
-    rows = df.select(F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), *columns).persist()
+    rows = df.select(F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), *columns).coalesce(-(-n_rows // TASK)).persist()
     size, tasks = 1 + n + n * n, rows.rdd.getNumPartitions()
 
     def sums(asked: dict) -> dict:
