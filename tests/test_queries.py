@@ -104,3 +104,15 @@ def test_sequence_models_run_with_the_settings_of_the_library(spark, monkeypatch
 def test_the_run_log_names_the_restarts_that_ran(spark):
     df = spark.createDataFrame([([0.1, 0.9, 0.2, 0.8],)], "x array<double>")
     assert q.hmm.hmm_run_log(spark, q.hmm.hmm_fit(df, "x", 2, 2, 1)).first()["restarts"] == 1
+
+
+def test_a_site_at_the_limit_of_p_is_not_significant_in_either_engine(spark, db):
+    """2 of 4 against 0 of 12, and the tables that mirror it, have an exact p of 1/20."""
+    tables = [(2, 4, 0, 12), (2, 4, 12, 12), (0, 12, 2, 4), (12, 12, 2, 4)]
+    reads = [("S0", 1, i * 250 + 1, i * 250 + 250, 0, g, [5], [int(j < m)]) for i, (hm, hc, lm, lc) in enumerate(tables) for g, m, n in (("high", hm, hc), ("low", lm, lc)) for j in range(n)]
+    df = spark.createDataFrame(reads, "sample string, chr int, region_inf long, region_sup long, clustering_index int, grp string, cpg_pos array<int>, cpg_meth array<int>")
+    assert [r["total_sig_cpgs"] for r in q.st.approx_asm(df, q.CFG).collect()] == [0] * 4
+    rows = ", ".join(f"('S0', 1, {i}, {i}, 0, 5, {hm}, {hc}, {lm}, {lc})" for i, (hm, hc, lm, lc) in enumerate(tables))
+    sql = f"WITH group_counts({q.K}, pos, high_meth, high_cov, low_meth, low_cov) AS (VALUES {rows}) {q._APPROX}"
+    got = [r[0] for r in db.execute(f"SELECT total_sig_cpgs FROM ({sql})").fetchall()]
+    assert got == [0] * 4
