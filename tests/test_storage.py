@@ -118,3 +118,14 @@ def test_no_window_sorts_a_class(spark):
         assert keys and all(len(k) == 2 for k in keys)
         assert len({tuple(r) for r in f(df.repartition(9), "y", "id").collect()} ^ {tuple(r) for r in out.collect()}) == 0
     assert rp.balanced_downsample(df, "y", "id").count() == 8000 and rp.random_oversample(df, "y", "id").count() == 32000
+
+
+@given
+def test_regions_and_labels_start_from_one_table_of_calls(spark, monkeypatch):
+    ad, joined, written = q.ad, [], []
+    plain, keep = ad.region_calls, ad.kept
+    monkeypatch.setattr(ad, "region_calls", lambda *a: joined.append(1) or plain(*a))
+    monkeypatch.setattr(ad, "kept", lambda df: written.append(df.columns) or keep(df))
+    assert q.QUERIES["label_left_join"](spark, SF).count() == 30
+    # the tests are written before their correction, without arrays
+    assert len(joined) == 1 and len(written) == 1 and "wilcoxon_pvalue" in written[0] and "cpg_w_snp" not in written[0]
