@@ -129,3 +129,11 @@ def test_regions_and_labels_start_from_one_table_of_calls(spark, monkeypatch):
     assert q.QUERIES["label_left_join"](spark, SF).count() == 30
     # the tests are written before their correction, without arrays
     assert len(joined) == 1 and len(written) == 1 and "wilcoxon_pvalue" in written[0] and "cpg_w_snp" not in written[0]
+
+
+@given
+def test_calls_of_a_window_join_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(q.ad, "TASK_CALLS", 500)
+    df = q.QUERIES["read_window_join"](spark, SF)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
+    assert n > 10 and re.search(rf"hashpartitioning\(sample[^)]*, {n}\)", plan(df)) and df.rdd.getNumPartitions() == n
