@@ -3,9 +3,11 @@
 Features are binned once, at quantiles.  A level of a tree takes one job: each
 task adds up gradients and hessians of its rows by node, feature and bin, Spark
 adds up the tasks' sums, and the driver, which gets as many numbers as nodes,
-features and bins make, chooses the splits.  Trees of several parameter points
-grow at once, a level of each in every job, so their number costs no jobs.
-Rows never move: a task walks its rows down the trees, from the margins that
+features and bins make, chooses the splits.  A node of ``SMALL`` rows or fewer
+needs no more levels: Spark deals its rows to a task of its own, which grows all
+that is below it, so that a tree of few rows is one job, not one a level.  Trees
+of several parameter points grow at once, all that wait in every job, so their number costs no jobs.
+A task walks its rows down the trees, from the margins that
 were written last (every ``REST`` trees), so a lost executor costs what its rows cost.
 
 A split's gain is G_l^2 / (H_l + lambda) + G_r^2 / (H_r + lambda) - G^2 / (H +
@@ -30,7 +32,9 @@ from ..sources.io import discard
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Trees between two writes of margins; depth of a tree without a bound; sums of a job; rows that are worth a task.
-REST, DEEPEST, SUMS, TASK = 25, 30, 1 << 22, 8192
+REST, DEEPEST, SUMS, TASK = 5, 30, 1 << 22, 1024
+#: Rows of a node below which one task grows the rest; rows whose bins a task adds up at once.
+SMALL, STEP = 1 << 16, 8192
 DEFAULTS = {"n_estimators": 100, "max_depth": 6, "eta": 0.3, "min_child_weight": 1.0, "subsample": 1.0, "colsample_bytree": 1.0, "reg_lambda": 1.0, "reg_alpha": 0.0, "gamma": 0.0, "scale_pos_weight": 1.0, "seed": 0}
 
 
@@ -109,6 +113,27 @@ class Boosted:
         return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).mapInArrow(run, schema)
 
 
+def confusions(models: list[Boosted], df: DataFrame, label: str) -> DataFrame:
+    """tn, fp, fn, tp of each point (a model's place), by one pass over df; all models have the same features and cuts, so rows are binned once."""
+    import numpy as np
+
+    cuts = models[0].cuts
+
+    def run(batches):
+        import pyarrow as pa
+
+        cells = np.zeros((len(models), 4), np.int64)
+        for batch in batches:
+            y, bins = batch.column(0).to_numpy(), binned(batch.columns[1:], cuts)
+            for m, model in enumerate(models):
+                pred = (1 / (1 + np.exp(-model.margin(bins))) > 0.5).astype(np.int64)
+                cells[m] += np.bincount(2 * y + pred, minlength=4)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models)), pa.int32()), *(pa.array(cells[:, k]) for k in range(4))], ["point", "tn", "fp", "fn", "tp"])
+
+    rows = df.where(F.col(label).isin(0, 1)).select(F.col(label).cast("long").alias("y"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(models[0].feats)])
+    return rows.mapInArrow(run, "point int, tn long, fp long, fn long, tp long").groupBy("point").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
+
+
 def cuts_of(df: DataFrame, feats: list[str], bins: int = 32, accuracy: int = 2000) -> tuple[list[list[float]], int]:
     """The distinct quantiles of each feature, and the number of rows, in one job; values up to the i-th one are bin i + 1, missing ones bin 0."""
     levels = F.array(*[F.lit(i / bins) for i in range(1, bins)])
@@ -190,11 +215,68 @@ def leaf_value(g: float, h: float, p: dict) -> float:
     return float(-p["eta"] * cut_towards_zero(g, p["reg_alpha"]) / (h + lambda_of(h, p["reg_lambda"])))
 
 
+def divide(tree: Tree, node: int, depth: int, g, h, columns, p: dict) -> list[int]:
+    """Makes a node a leaf or splits it, by its sums (features by bins) and the features that it may split by; the children that may be split again."""
+    import numpy as np
+
+    deepest = DEEPEST if p["max_depth"] is None else p["max_depth"]
+    allowed = np.zeros(len(g), bool)
+    allowed[columns] = True
+    found = best_split(g, h, allowed, p) if depth < deepest else None
+    total_g, total_h = float(g[columns[0]].sum()), float(h[columns[0]].sum())
+    tree.value[node] = leaf_value(total_g, total_h, p)
+    if not found:
+        return []
+    _, f, cut, missing = found
+    tree.feature[node], tree.cut[node], tree.missing_left[node] = f, cut, missing
+    left = [float(x[f, 1 : cut + 1].sum() + missing * x[f, 0]) for x in (g, h)]
+    open_ = []
+    for side, (a, b) in ((tree.left, left), (tree.right, (total_g - left[0], total_h - left[1]))):
+        side[node] = tree.add(leaf_value(a, b, p))
+        # one that can't be split needs no sums of its own
+        if depth + 1 < deepest and b >= 2 * p["min_child_weight"] - 1e-9:
+            open_.append(side[node])
+    return open_
+
+
+def subtree(bins, g, h, columns, depth: int, width: int, p: dict) -> Tree:
+    """All that grows from a node at a depth, from its rows: their bins of the columns (features by number), gradients and hessians."""
+    import numpy as np
+
+    tree, m = Tree(), len(columns)
+    at, waiting, own = np.zeros(len(bins), np.int64), [tree.add()], np.arange(m)
+    while waiting:
+        following = []
+        for i in range(0, len(waiting), max(1, SUMS // (m * width))):
+            nodes = waiting[i : i + max(1, SUMS // (m * width))]
+            place = np.full(len(tree.feature), -1)
+            place[nodes] = np.arange(len(nodes))
+            # rows that stand at a node that was split after the places were made wait for the next level
+            here = np.flatnonzero((at < len(place)) & (place[np.minimum(at, len(place) - 1)] >= 0))
+            sums = np.zeros((2, len(nodes) * m * width))
+            for j in range(0, len(here), STEP):
+                rows = here[j : j + STEP]
+                key = (((place[at[rows]] * m)[:, None] + own) * width + bins[rows]).ravel()
+                for k, v in enumerate((g, h)):
+                    sums[k] += np.bincount(key, np.repeat(v[rows], m), sums.shape[1])
+            sums = sums.reshape(2, len(nodes), m, width)
+            for j, node in enumerate(nodes):
+                following += divide(tree, node, depth, sums[0, j], sums[1, j], own, p)
+        feature, cut, missing, left, right = (np.array(x) for x in (tree.feature, tree.cut, tree.missing_left, tree.left, tree.right))
+        moves = np.flatnonzero(feature[at] >= 0)
+        n = at[moves]
+        b = bins[moves, feature[n]]
+        at[moves] = np.where(np.where(b == 0, missing[n], b <= cut[n]), left[n], right[n])
+        waiting, depth = following, depth + 1
+    tree.feature = [int(columns[f]) if f >= 0 else -1 for f in tree.feature]
+    return tree
+
+
 class Growing:
-    """One model while its trees grow: the tree, and its nodes that a next job has to split."""
+    """One model while its trees grow: the tree, its nodes that a next job has to split with their depths, and the rows that a node has at most."""
 
-    def __init__(self, model: Boosted):
-        self.model, self.waiting = model, {}
+    def __init__(self, model: Boosted, n_rows: int):
+        self.model, self.n_rows, self.waiting = model, n_rows, {}
         self.begin()
 
     @property
@@ -203,86 +285,160 @@ class Growing:
 
     def begin(self) -> None:
         self.tree = Tree()
-        self.waiting = {self.tree.add(): 0}
+        root = self.tree.add()
+        self.waiting, self.rows = {root: 0}, {root: self.n_rows}
+
+    def columns(self):
+        return columns_of(len(self.model.trees), len(self.model.feats), self.model.params)
 
     def split(self, node: int, g, h) -> None:
         """Makes a node that waits a leaf or splits it, by its sums; a tree without such nodes is finished."""
-        import numpy as np
-
-        p, depth = self.model.params, self.waiting.pop(node)
-        deepest = DEEPEST if p["max_depth"] is None else p["max_depth"]
-        columns = columns_of(len(self.model.trees), len(self.model.feats), p)
-        allowed = np.zeros(len(self.model.feats), bool)
-        allowed[columns] = True
-        found = best_split(g, h, allowed, p) if depth < deepest else None
-        total_g, total_h = float(g[columns[0]].sum()), float(h[columns[0]].sum())
-        self.tree.value[node] = leaf_value(total_g, total_h, p)
-        if found:
-            _, f, cut, missing = found
-            self.tree.feature[node], self.tree.cut[node], self.tree.missing_left[node] = f, cut, missing
-            left = [float(x[f, 1 : cut + 1].sum() + missing * x[f, 0]) for x in (g, h)]
-            for side, (a, b) in ((self.tree.left, left), (self.tree.right, (total_g - left[0], total_h - left[1]))):
-                side[node] = self.tree.add(leaf_value(a, b, p))
-                # one that can't be split needs no sums of its own
-                if depth + 1 < deepest and b >= 2 * p["min_child_weight"] - 1e-9:
-                    self.waiting[side[node]] = depth + 1
+        depth = self.waiting.pop(node)
+        for child in divide(self.tree, node, depth, g, h, self.columns(), self.model.params):
+            self.waiting[child], self.rows[child] = depth + 1, self.rows[node]
+        self.end()
+
+    def graft(self, node: int, below: Tree) -> None:
+        """Puts a tree in the place of a node that waits."""
+        self.waiting.pop(node)
+        t, start = self.tree, len(self.tree.feature) - 1
+        number = lambda n: -1 if n < 0 else node if n == 0 else n + start
+        for i in range(len(below.feature)):
+            at = node if i == 0 else t.add()
+            t.feature[at], t.cut[at], t.missing_left[at], t.value[at] = below.feature[i], below.cut[i], below.missing_left[i], below.value[i]
+            t.left[at], t.right[at] = number(below.left[i]), number(below.right[i])
+        self.end()
+
+    def end(self) -> None:
         if not self.waiting:
-            self.model.trees.append(self.tree)
+            self.model.trees.append(by_level(self.tree))
             if not self.done:
                 self.begin()
 
 
+def by_level(t: Tree) -> Tree:
+    """The tree with its nodes numbered level by level, whichever way it grew."""
+    order = [0]
+    for n in order:
+        if t.feature[n] >= 0:
+            order += [t.left[n], t.right[n]]
+    number = {n: i for i, n in enumerate(order)} | {-1: -1}
+    pick = lambda x: [x[n] for n in order]
+    return Tree(pick(t.feature), pick(t.cut), pick(t.missing_left), [number[n] for n in pick(t.left)], [number[n] for n in pick(t.right)], pick(t.value))
+
+
 ROWS = T.StructType().add("row", "long").add("bins", "binary").add("y", "integer").add("margins", T.ArrayType(T.DoubleType()))
 
 
+def jobs_of(growing: list[Growing], asked: list[tuple[int, int]], rested: list[int]) -> list[tuple]:
+    """What a task has to know of each model with asked (model, node)s, which stand by model: its number, parameters, trees since its margins were
+    written, the tree that grows and its number, the nodes, the first one's place, and the features."""
+    number = {a: i for i, a in enumerate(asked)}
+    out = []
+    for m in sorted({m for m, _ in asked}):
+        g = growing[m]
+        nodes = [n for mm, n in asked if mm == m]
+        out.append((m, g.model.params, g.model.trees[rested[m] :], g.tree, len(g.model.trees), nodes, number[m, nodes[0]], g.columns()))
+    return out
+
+
+def derivatives(batch, jobs: list[tuple], n_feats: int):
+    """For each job with rows here: the job, those rows' bins, places among the job's nodes, gradients and hessians."""
+    import numpy as np
+
+    bins = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, n_feats)
+    row, y = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(float)
+    margins = batch.column(3).flatten().to_numpy().reshape(len(row), -1)
+    for job in jobs:
+        m, p, trees, tree, nth, nodes = job[:6]
+        at = tree.node_of(bins)
+        # the nodes of a model stand in a row
+        place = np.full(len(tree.feature), -1)
+        place[nodes] = np.arange(len(nodes))
+        here = place[at] >= 0
+        if p["subsample"] < 1:
+            here &= drawn(row, nth, p["seed"]) < p["subsample"]
+        i = np.flatnonzero(here)
+        if len(i):
+            own = bins[i]
+            margin = margins[i, m] + sum((np.array(t.value)[t.node_of(own)] for t in trees), np.zeros(len(i)))
+            prob = 1 / (1 + np.exp(-margin))
+            weight = np.where(y[i] > 0, p["scale_pos_weight"], 1.0)
+            yield job, own, place[at[i]], (prob - y[i]) * weight, np.maximum(prob * (1 - prob), 1e-16) * weight
+
+
 def level(rows: DataFrame, growing: list[Growing], asked: list[tuple[int, int]], rested: list[int], width: int):
-    """Sums (asked, features, width, 2) of gradients and hessians of the asked (model, node)s."""
+    """Sums (asked, features, width, 2) of gradients and hessians of the asked (model, node)s, whose numbers of rows are noted."""
     import numpy as np
 
     n_feats = len(growing[0].model.feats)
-    number = {a: i for i, a in enumerate(asked)}  # by model, then node
-    jobs = []
-    for m in sorted({m for m, _ in asked}):
-        g = growing[m]
-        nodes = [n for mm, n in asked if mm == m]
-        jobs.append((m, g.model.params, g.model.trees[rested[m] :], g.tree, len(g.model.trees), nodes, number[m, nodes[0]], columns_of(len(g.model.trees), n_feats, g.model.params)))
+    jobs = jobs_of(growing, asked, rested)
+    cells = len(asked) * n_feats * width
 
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros((2, len(asked) * n_feats * width))
+        total, count = np.zeros((2, cells)), np.zeros(len(asked))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, n_feats)
-            row, y = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(float)
-            margins = batch.column(3).flatten().to_numpy().reshape(len(row), -1)
-            for m, p, trees, tree, nth, nodes, first, columns in jobs:
-                at = tree.node_of(bins)
-                # the nodes of a model stand in a row
-                place = np.full(len(tree.feature), -1)
-                place[nodes] = np.arange(len(nodes))
+            for (_, _, _, _, _, nodes, first, columns), bins, place, *sums in derivatives(batch, jobs, n_feats) if batch.num_rows else ():
                 start, size = first * n_feats * width, len(nodes) * n_feats * width
-                here = place[at] >= 0
-                if p["subsample"] < 1:
-                    here &= drawn(row, nth, p["seed"]) < p["subsample"]
-                i = np.flatnonzero(here)
-                if not len(i):
-                    continue
-                margin = margins[i, m] + sum((np.array(t.value)[t.node_of(bins[i])] for t in trees), np.zeros(len(i)))
-                prob = 1 / (1 + np.exp(-margin))
-                weight = np.where(y[i] > 0, p["scale_pos_weight"], 1.0)
-                for k, v in enumerate(((prob - y[i]) * weight, np.maximum(prob * (1 - prob), 1e-16) * weight)):
-                    key = ((place[at[i]] * n_feats)[:, None] + columns) * width + bins[i][:, columns]
+                count[first : first + len(nodes)] += np.bincount(place, minlength=len(nodes))
+                for k, v in enumerate(sums):
+                    key = ((place * n_feats)[:, None] + columns) * width + bins[:, columns]
                     total[k, start : start + size] += np.bincount(key.ravel(), np.repeat(v, len(columns)), size)
-        some = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], ["at", "g", "h"])
+        some, held = np.flatnonzero(total[1]), np.flatnonzero(count)
+        # numbers of rows stand behind the sums
+        at, g, h = np.r_[some, cells + held], np.r_[total[0][some], count[held]], np.r_[total[1][some], np.zeros(len(held))]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g), pa.array(h)], ["at", "g", "h"])
 
     sums = rows.mapInArrow(run, "at long, g double, h double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-    out = np.zeros((2, len(asked) * n_feats * width))
+    out = np.zeros((2, cells + len(asked)))
     for k, c in enumerate(("g", "h")):
         out[k][sums.column("at").to_numpy()] = sums.column(c).to_numpy()
-    return out.reshape(2, len(asked), n_feats, width)
+    for (m, node), n in zip(asked, out[0, cells:]):
+        growing[m].rows[node] = int(n)
+    return out[:, :cells].reshape(2, len(asked), n_feats, width)
+
+
+def grown_below(rows: DataFrame, growing: list[Growing], asked: list[tuple[int, int]], rested: list[int], width: int) -> dict[int, Tree]:
+    """The trees that grow from the asked (model, node)s of ``SMALL`` rows at most, by place in asked; each is one task's, to which Spark deals the node's rows."""
+    import numpy as np
+
+    n_feats = len(growing[0].model.feats)
+    jobs = jobs_of(growing, asked, rested)
+    # what a task has to know of a node: its depth, the features, the parameters
+    known = [(growing[m].waiting[n], growing[m].columns(), growing[m].model.params) for m, n in asked]
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for (_, _, _, _, _, nodes, first, columns), bins, place, g, h in derivatives(batch, jobs, n_feats) if batch.num_rows else ():
+                order = np.argsort(place, kind="stable")
+                ends = np.searchsorted(place[order], np.arange(len(nodes) + 1))
+                for j in np.flatnonzero(np.diff(ends)).tolist():
+                    i = order[ends[j] : ends[j + 1]]
+                    out.append((first + j, np.ascontiguousarray(bins[i][:, columns]).tobytes(), g[i].tobytes(), h[i].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["node", "bins", "g", "h"])
+
+    def grow(batches):
+        import pyarrow as pa
+
+        held: dict = {}
+        for batch in batches:
+            for node, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(node, []).append(parts)
+        for node, parts in held.items():
+            depth, columns, p = known[node]
+            bins, g, h = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*parts), (np.uint8, float, float)))
+            tree = subtree(bins.reshape(-1, len(columns)), g, h, columns, depth, width, p)
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int32()), pa.array([json.dumps(asdict(tree))])], ["node", "tree"])
+
+    # one node a task
+    dealt = rows.mapInArrow(deal, "node int, bins binary, g binary, h binary").repartitionById(len(asked), "node")
+    got = dealt.mapInArrow(grow, "node int, tree string").toArrow()
+    return {n: Tree(**json.loads(t)) for n, t in zip(got.column("node").to_pylist(), got.column("tree").to_pylist())}
 
 
 def with_margins(rows: DataFrame, growing: list[Growing], rested: list[int], n_feats: int) -> DataFrame:
@@ -333,16 +489,25 @@ def boost_fits(df: DataFrame, feats: list[str], label: str, points: list[dict],
 
     # the number of a row is written with it, so that it stays the same
     rows = keep(df.select(F.monotonically_increasing_id().alias("row"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(feats)]).mapInArrow(to_bins, ROWS).coalesce(max(1, -(-n_rows // TASK))))
-    growing, rested = [Growing(m) for m in models], [0] * n_points
+    growing, rested = [Growing(m, n_rows) for m in models], [0] * n_points
     at_once = max(1, SUMS // (n_feats * width))
     while True:
-        asked = [(i, n) for i, g in enumerate(growing) if not g.done for n in g.waiting][:at_once]
+        asked = [(i, n) for i, g in enumerate(growing) if not g.done for n in g.waiting]
         if not asked:
             discard(rows)
             return models
-        sums = level(rows, growing, asked, rested, width)
-        for j, (i, node) in enumerate(asked):
-            growing[i].split(node, sums[0, j], sums[1, j])
+        large = [(i, n) for i, n in asked if growing[i].rows[n] > SMALL][:at_once]
+        small = [(i, n) for i, n in asked if growing[i].rows[n] <= SMALL]
+        if large:
+            sums = level(rows, growing, large, rested, width)
+            for j, (i, node) in enumerate(large):
+                growing[i].split(node, sums[0, j], sums[1, j])
+        else:
+            # nodes of many levels are grown together, once no larger one waits
+            below = grown_below(rows, growing, small, rested, width)
+            leaf = lambda i: Tree([-1], [0], [False], [-1], [-1], [leaf_value(0.0, 0.0, growing[i].model.params)])
+            for j, (i, node) in enumerate(small):
+                growing[i].graft(node, below.get(j) or leaf(i))
         grown = max(len(g.model.trees) - r for g, r in zip(growing, rested))
         if grown >= REST and not all(g.done for g in growing):
             before, rows = rows, keep(with_margins(rows, growing, rested, n_feats))

@@ -115,9 +115,14 @@ def sums_of_f1(predict: list, df: DataFrame, label: str) -> list[float]:
         every = every.unionByName(p)
     is_ = lambda a, b: F.count_if((F.col("_l") == a) & (F.col("pred") == b))
     cm = every.groupBy("point").agg(is_(0, 0).alias("tn"), is_(0, 1).alias("fp"), is_(1, 0).alias("fn"), is_(1, 1).alias("tp"))
+    return scores_of(cm, len(predict))
+
+
+def scores_of(cm: DataFrame, n: int) -> list[float]:
+    """The sum of both classes' f1 of n points, from their confusions."""
     rows = classification_report(cm, "point").where("class = 'sum f1'").collect()  # one number a point
     found = {r["point"]: float(r["f1"]) for r in rows}
-    return [found.get(i, 0.0) for i in range(len(predict))]
+    return [found.get(i, 0.0) for i in range(n)]
 
 
 def sum_f1(model, df: DataFrame, label: str) -> float:
@@ -146,7 +151,7 @@ def random_search(train: DataFrame, val: DataFrame, kind: str, feats: list[str],
     feats, points = allowed(feats), draws(grid, n, seed)
     if kind == "gbt":
         models = gbt_fits(train, feats, label, points, keep)
-        scores = sums_of_f1([m.predicted for m in models], val, label)
+        scores = scores_of(boost.confusions(models, val, label), len(models))
     else:
         double = [F.col(c).cast("double").alias(c) for c in feats]
         stages, rows = assembled(weighted(train.select(*double, label), label), feats, label)

@@ -117,6 +117,32 @@ def test_only_sums_of_bins_reach_the_driver(spark, mixed, monkeypatch):
     assert len(seen) <= 5 * 5
 
 
+@pytest.mark.parametrize("small", [0, 120])
+def test_small_nodes_grow_in_one_job(spark, mixed, monkeypatch, small):
+    """The same trees, whichever nodes a task finishes; it gets no more rows than it may."""
+    whole, jobs, own, level = boost.boost_fits(mixed, ["a", "b", "c"], "y", POINTS, ad.kept, bins=8), [], boost.grown_below, boost.level
+
+    def below(rows, growing, asked, *rest):
+        jobs.append([growing[m].rows[n] for m, n in asked])
+        return own(rows, growing, asked, *rest)
+
+    levels = []
+    monkeypatch.setattr(boost, "grown_below", below)
+    monkeypatch.setattr(boost, "level", lambda *a: levels.append(1) or level(*a))
+    boost.boost_fits(mixed, ["a", "b", "c"], "y", POINTS, ad.kept, bins=8)
+    assert len(jobs) == 5 and not levels  # a job a tree, not one a level
+    jobs.clear()
+    monkeypatch.setattr(boost, "SMALL", small)
+    again = boost.boost_fits(mixed, ["a", "b", "c"], "y", POINTS, ad.kept, bins=8)
+    assert levels and bool(jobs) == bool(small) and all(n <= small for job in jobs for n in job)
+    for a, b in zip(whole, again):
+        for s, t in zip(a.trees, b.trees):
+            assert (s.feature, s.cut, s.missing_left, s.left, s.right) == (t.feature, t.cut, t.missing_left, t.left, t.right)
+            assert s.value == pytest.approx(t.value, abs=1e-9)
+    one_by_one = learn.sums_of_f1([m.predicted for m in whole], mixed, "y")
+    assert learn.scores_of(boost.confusions(whole, mixed, "y"), len(whole)) == one_by_one
+
+
 def test_boosting_without_rows(mixed):
     m = boost.boost_fit(mixed.where("y > 5"), ["a", "b"], "y", {"n_estimators": 2}, ad.kept)
     assert {r["probability"] for r in m.predicted(mixed.limit(5)).collect()} == {0.5}
