@@ -283,6 +283,16 @@ def test_settled_restarts_leave_the_passes(spark, monkeypatch):
     assert [x["k"] for x in m] == [1, 2, 3] and all(x["loglik"] == x["path"][-1] for x in m)
 
 
+def test_tasks_of_a_pass_follow_the_states(spark, monkeypatch):
+    """Many states make a task's share of the values smaller, whatever partitions the sequences come in."""
+    asked, own = [], hmm.pass_over
+    monkeypatch.setattr(hmm, "pass_over", lambda rows, tasks, models: asked.append(tasks) or own(rows, tasks, models))
+    monkeypatch.setattr(hmm, "TASK_CELLS", 1200)
+    df = spark.createDataFrame([([0.0, 0.1, 3.0, 3.1],)] * 100, "x array<double>").coalesce(1)
+    one, many = hmm.hmm_fits(df, "x", [2], 3, 1), hmm.hmm_fits(df, "x", [2, 4], 3, 2)
+    assert asked[0] == 1 and asked[-1] == 4 and one[0]["loglik"] == pytest.approx(many[0]["loglik"], abs=0.5)
+
+
 def plain_decode(x, m):
     k = len(m["mean"])
     emit = lambda v, j: -0.5 * math.log(2 * math.pi * m["var"][j]) - (v - m["mean"][j]) * (v - m["mean"][j]) / (2 * m["var"][j])
