@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boost, logistic
+from . import forest as fo
 from .reports import classification_report, confusion_matrix
 
 #: Columns that define the label, so no model may see them.
@@ -49,15 +50,29 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
     return rows.withColumn("weight", F.col("_t") / (F.col("_n") * 2.0)).drop("_l", "_n", "_t")
 
 
+#: Rows that are worth a task of a forest's passes: each task adds up all nodes of a level, however few rows it has.
+TASK = 8192
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """df in as many partitions as its rows are worth."""
+    return df.coalesce(max(1, -(-df.count() // TASK)))
+
+
 def allowed(feats: list[str]) -> list[str]:
     return [c for c in feats if c not in LEAKS]
 
 
 def forest(label: str, params: dict) -> RandomForestClassifier:
     """A forest of a point of the grid, in Spark ML's parameters."""
+    p = forest_point(params)
+    return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=1, numTrees=p["n_estimators"], maxDepth=min(p["max_depth"] or boost.DEEPEST, boost.DEEPEST), minInstancesPerNode=p["least"], bootstrap=p["bootstrap"], maxMemoryInMB=512)
+
+
+def forest_point(params: dict) -> dict:
+    """A forest's parameters, with least: the rows of a leaf."""
     p = {"n_estimators": 20, "max_depth": 5, "min_samples_split": 2, "min_samples_leaf": 1, "bootstrap": True} | params
-    leaf = max(p["min_samples_leaf"], p["min_samples_split"] // 2)
-    return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=1, numTrees=p["n_estimators"], maxDepth=min(p["max_depth"] or boost.DEEPEST, boost.DEEPEST), minInstancesPerNode=leaf, bootstrap=p["bootstrap"], maxMemoryInMB=512)
+    return p | {"least": max(p["min_samples_leaf"], p["min_samples_split"] // 2)}
 
 
 def assembled(df: DataFrame, feats: list[str], label: str, fitted=None):
@@ -70,7 +85,7 @@ def assembled(df: DataFrame, feats: list[str], label: str, fitted=None):
 def rf_fit(df: DataFrame, feats: list[str], label: str, params: dict | None = None):
     """A fitted pipeline; the weighted rows are read by each of its stages, so they're kept meanwhile."""
     feats = allowed(feats)
-    rows = weighted(df.select(*[F.col(c).cast("double").alias(c) for c in feats], label), label).persist()
+    rows = weighted(few_tasks(df.select(*[F.col(c).cast("double").alias(c) for c in feats], label)), label).persist()
     try:
         filled = [f"_{c}" for c in feats]
         return Pipeline(stages=[Imputer(inputCols=feats, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), forest(label, params or {})]).fit(rows)
@@ -146,20 +161,26 @@ def draws(grid: dict[str, list], n: int, seed: int) -> list[dict]:
 def random_search(train: DataFrame, val: DataFrame, kind: str, feats: list[str], label: str, grid: dict, n: int, seed: int = 0, threads: int = 2, keep=None) -> list[tuple[dict, float]]:
     """Points with their sum of f1 on val, best first.
 
-    Boosted points grow together in shared passes; forests are fitted a few at once on cached vectors.
+    Boosted points grow together in shared passes; so do forests of ``boost.SMALL`` rows at most, larger ones are Spark ML's, fitted a few at once on cached vectors.
     """
     feats, points = allowed(feats), draws(grid, n, seed)
     if kind == "gbt":
         models = gbt_fits(train, feats, label, points, keep)
         scores = scores_of(boost.confusions(models, val, label), len(models))
+    elif train.count() <= boost.SMALL:
+        found = fo.forests(train, feats, label, [forest_point(p) for p in points])
+        scores = scores_of(fo.forest_confusions(*found, val, feats, label), len(points))
     else:
         double = [F.col(c).cast("double").alias(c) for c in feats]
-        stages, rows = assembled(weighted(train.select(*double, label), label), feats, label)
+        stages, rows = assembled(weighted(few_tasks(train.select(*double, label)), label), feats, label)
         rows = rows.select("features", label, "weight").persist()
-        held = assembled(val.select(*double, label), feats, label, stages)[1].select("features", label).persist()
+        held = assembled(few_tasks(val.select(*double, label)), feats, label, stages)[1].select("features", label).persist()
+        # the largest ones begin first
+        order = sorted(range(len(points)), key=lambda i: -points[i].get("n_estimators", 0))
         try:
             with ThreadPoolExecutor(threads) as pool:
-                scores = list(pool.map(lambda p: sum_f1(forest(label, p).fit(rows), held, label), points))
+                found = dict(zip(order, pool.map(lambda i: sum_f1(forest(label, points[i]).fit(rows), held, label), order)))
+            scores = [found[i] for i in range(len(points))]
         finally:
             rows.unpersist()
             held.unpersist()

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regionflow.operators import boost, hmm, learn, logistic, sums
+from regionflow.operators import boost, forest, hmm, learn, logistic, sums
 from regionflow.plans import adapter as ad
 
 
@@ -358,3 +358,65 @@ def test_learning_finds_a_plain_rule(spark, tmp_path):
         r = row.first()
         assert (tmp_path / kind).exists() and r["tn"] + r["fp"] + r["fn"] + r["tp"] == test.count() == r["class_0_support"] + r["class_1_support"]
         assert json.loads(r["params"]) == found[0][0] and r["sum_f1"] == pytest.approx(r["class_0_f1"] + r["class_1_f1"], abs=2e-3) and r["model"] == kind
+
+
+def test_models_of_few_rows_are_one_job(spark, mixed, monkeypatch):
+    """All trees of all boosted points, however many, with the trees that levels give."""
+    points = [p | {"n_estimators": 7} for p in POINTS]
+    monkeypatch.setattr(boost, "FEW", 99)
+    by_tree = boost.boost_fits(mixed, ["a", "b", "c"], "y", points, ad.kept, bins=8)
+    monkeypatch.undo()
+    monkeypatch.setattr(boost, "grown_below", None)  # a job a tree
+    monkeypatch.setattr(boost, "level", None)  # a job a level
+    whole = boost.boost_fits(mixed, ["a", "b", "c"], "y", points, ad.kept, bins=8)
+    for a, b in zip(by_tree, whole):
+        assert len(a.trees) == len(b.trees) == 7
+        for s, t in zip(a.trees, boost.Boosted.from_json(b.to_json()).trees):
+            assert (s.feature, s.cut, s.missing_left, s.left, s.right) == (t.feature, t.cut, t.missing_left, t.left, t.right)
+            assert s.value == pytest.approx(t.value, abs=1e-9)
+
+
+def plain_gini(bins, y, weights, least, depth, rows):
+    """The share of class 1 that a tree over all features gives each row, node by node."""
+    c = np.bincount(y[rows], minlength=2) * weights
+    gini = lambda c: c.sum() - (c**2).sum() / max(c.sum(), 1e-300)
+    best = None
+    for f in range(bins.shape[1]) if depth else ():
+        for cut in range(1, int(bins.max()) + 1):
+            left = bins[rows, f] <= cut
+            if min(left.sum(), (~left).sum()) < least:
+                continue
+            gain = gini(c) - sum(gini(np.bincount(y[part], minlength=2) * weights) for part in (rows[left], rows[~left]))
+            if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                best = gain, rows[left], rows[~left]
+    out = np.zeros(len(y))
+    if best:
+        return sum((plain_gini(bins, y, weights, least, depth - 1, part) for part in best[1:]), out)
+    out[rows] = c[1] / c.sum()
+    return out
+
+
+def test_trees_of_forests_equal_brute_force():
+    rng = np.random.default_rng(4)
+    bins = rng.integers(1, 9, (300, 4)).astype(np.uint8)
+    y = (bins[:, 0] + bins[:, 2] + rng.normal(0, 2, 300) > 10).astype(np.int64)
+    for least, depth in ((1, 3), (5, 8)):
+        p = {"n_estimators": 1, "max_depth": depth, "least": least}
+        tree = forest.tree_of(bins, y, np.ones(300, np.int64), [0.7, 1.9], 10, p, np.random.default_rng(0))
+        got = boost.unpacked(boost.packed([tree]), 1)[0]
+        assert got.value[got.node_of(bins)] == pytest.approx(plain_gini(bins, y, np.array([0.7, 1.9]), least, depth, np.arange(300)), abs=1e-9)
+
+
+def test_forests_of_few_rows_are_one_job(spark, mixed, monkeypatch):
+    """All forests of a search grow together, as good as Spark ML's of the same points."""
+    df = mixed.where("y IS NOT NULL")
+    train, val = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    grid = {"n_estimators": [15, 25], "max_depth": [3, None], "min_samples_split": [2, 10], "bootstrap": [True, False]}
+    search = lambda: learn.random_search(train, val, "rf", ["a", "b", "c"], "y", grid, 16)
+    monkeypatch.setattr(boost, "SMALL", 0)
+    theirs = dict((json.dumps(p), s) for p, s in search())
+    monkeypatch.undo()
+    monkeypatch.setattr(learn, "forest", None)  # a fit of Spark ML
+    own = dict((json.dumps(p), s) for p, s in search())
+    assert own.keys() == theirs.keys() and len(own) == 16
+    assert all(abs(own[p] - theirs[p]) < 0.15 for p in own) and abs(np.mean([own[p] - theirs[p] for p in own])) < 0.05
