@@ -114,7 +114,7 @@ def lr_search(train: DataFrame, val: DataFrame, feats: list[str], label: str, cs
     names = [(float(c), p) for c in cs for p in penalties]
     n = train.where(F.col(label).isNotNull()).count()
     models = lr_fit(train, feats, label, logistic.grid(cs, penalties, n))
-    scores = sums_of_f1([m.predicted for m in models], val, label)
+    scores = scores_of(logistic.confusions(models, val, label), len(models))
     return sorted(zip(names, models, scores), key=lambda x: -x[2])
 
 

@@ -4,7 +4,7 @@ All points are columns of one coefficient matrix.  A pass is one job: each task
 adds up losses, gradients and curvatures of its rows for all points, Spark adds
 up the tasks' sums, and the driver, which holds points times features squared
 numbers, takes a proximal Newton step of each point: it minimises the quadratic
-model with its L1 and L2 terms by coordinate descent.  A step that doesn't lower
+model with its L1 and L2 terms exactly.  A step that doesn't lower
 the objective is halved.  A point leaves the passes when it has settled.
 
 The objective is that of Spark ML: the weighted mean of the log-loss, plus
@@ -51,6 +51,32 @@ class Logistic:
         return df.withColumn("probability", 1 / (1 + F.exp(-z))).withColumn(out, (F.col("probability") > 0.5).cast("int"))
 
 
+def confusions(models: list[Logistic], df: DataFrame, label: str) -> DataFrame:
+    """tn, fp, fn, tp of each point (a model's place), by one pass over df; all models have the same features and means."""
+    import numpy as np
+
+    feats, means = models[0].feats, np.array(models[0].means)
+    scale = np.array([1 / d if d else 0.0 for d in models[0].deviations])
+    start = np.array([m.coefficients[0] for m in models])
+    slopes = np.stack([np.array(m.coefficients[1:]) * scale for m in models], axis=1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        cells = np.zeros((len(models), 4), np.int64)
+        for batch in batches:
+            for part in (batch.slice(i, 8192) for i in range(0, batch.num_rows, 8192)):
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns[1:]], axis=1) - means
+                z = start + np.where(np.isnan(x), 0.0, x) @ slopes
+                key = 2 * part.column(0).to_numpy()[:, None] + (z > 0)
+                for m in range(len(models)):
+                    cells[m] += np.bincount(key[:, m], minlength=4)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models)), pa.int32()), *(pa.array(cells[:, k]) for k in range(4))], ["point", "tn", "fp", "fn", "tp"])
+
+    rows = df.where(F.col(label).isin(0, 1)).select(F.col(label).cast("long").alias("y"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(feats)])
+    return rows.mapInArrow(run, "point int, tn long, fp long, fn long, tp long").groupBy("point").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
+
+
 def grid(cs: list[float], penalties: list[str], weight: float) -> list[dict]:
     """The points of strengths C (of the summed loss over the given weight) and penalties, as Spark ML names them."""
     return [{"regParam": 1 / (c * weight), "elasticNetParam": {"l1": 1.0, "l2": 0.0}[p]} for c in cs for p in penalties]
@@ -74,27 +100,54 @@ def moments(df: DataFrame, feats: list[str], label: str, weight: str):
     return means["one"] or 0.0, means["all"] or 0.0, n, m, deviation
 
 
-def newton_step(b, grad, hess, l1, l2, rounds: int = 200):
-    """The b' that minimises grad (b' - b) + (b' - b) hess (b' - b) / 2 + l1 |b'| + l2 b'^2 / 2, the intercept without penalty."""
+def newton_step(b, grad, hess, l1, l2, rounds: int = 2000):
+    """The b' that minimises grad (b' - b) + (b' - b) hess (b' - b) / 2 + l1 |b'| + l2 b'^2 / 2, the intercept without penalty.
+
+    Given which coefficients aren't zero, and their signs, the minimum is a linear system; a solution that changes signs
+    is followed to the best point where one becomes zero, and coefficients join while their slope exceeds l1 (feature-sign search).
+    """
     import numpy as np
 
-    new, slope = b.copy(), grad.copy()
-    free = np.r_[0.0, np.ones(len(b) - 1)]
-    curve = np.diag(hess) + l2 * free
+    n = len(b)
+    free = np.r_[0.0, np.ones(n - 1)]
+    curve = hess + np.diag(l2 * free)
+    varies = np.diag(curve) > 1e-14
+    # columns that others make up get a little curvature of their own
+    curve = curve + np.diag(1e-11 * np.maximum(np.diag(curve), 1e-14))
+    start = grad + l2 * free * b
+    slope_at = lambda x: start + curve @ (x - b)
+    value_at = lambda x: start @ (x - b) + (x - b) @ curve @ (x - b) / 2 + l1 * np.abs(x[1:]).sum()
+    x, bar = b.copy(), l1 * (1 + 1e-9) + 1e-13
+    sign = np.sign(x) * free
+    active = varies & ((x != 0) if l1 else True)
+    active[0] = varies[0]
     for _ in range(rounds):
-        moved = 0.0
-        for j in np.flatnonzero(curve > 1e-14):
-            h = hess[j, j]
-            want = h * new[j] - slope[j]
-            to = np.sign(want) * max(abs(want) - l1 * free[j], 0.0) / (h + l2 * free[j])
-            step = to - new[j]
-            if step:
-                new[j] = to
-                slope += hess[:, j] * step
-                moved = max(moved, abs(step) * curve[j] ** 0.5)
-        if moved < 1e-10:
+        i = np.flatnonzero(active)
+        to = x.copy()
+        to[i] -= np.linalg.solve(curve[np.ix_(i, i)], (slope_at(x) + l1 * sign)[i]) if len(i) else 0.0
+        turned = np.flatnonzero(active & (free > 0) & (to * sign < 0)) if l1 else []
+        if len(turned):
+            # where each of them is zero, and the end
+            shares = x[turned] / (x[turned] - to[turned])
+            points = []
+            for share, j in zip(shares, turned):
+                y = x + share * (to - x)
+                y[j] = 0.0
+                points.append(y)
+            best = min([*points, to], key=value_at)
+            if not value_at(best) < value_at(x):
+                best = points[int(np.argmin(shares))]
+            x = best
+            sign = np.sign(x) * free
+            active &= (x != 0) | (free == 0)
+            continue
+        x = to
+        outside = np.where(varies & ~active, np.abs(slope_at(x)), 0.0)
+        j = int(outside.argmax())
+        if not l1 or outside[j] <= bar:
             break
-    return new
+        active[j], sign[j] = True, -np.sign(slope_at(x)[j])
+    return x
 
 
 def lr_grid(df: DataFrame, feats: list[str], label: str, points: list[dict], weight: str = "weight", passes: int = 50, tol: float = 1e-9) -> list[Logistic]:

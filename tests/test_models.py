@@ -420,3 +420,29 @@ def test_forests_of_few_rows_are_one_job(spark, mixed, monkeypatch):
     own = dict((json.dumps(p), s) for p, s in search())
     assert own.keys() == theirs.keys() and len(own) == 16
     assert all(abs(own[p] - theirs[p]) < 0.15 for p in own) and abs(np.mean([own[p] - theirs[p] for p in own])) < 0.05
+
+
+def test_logistic_steps_are_exact():
+    """Nearly collinear features: coordinate descent of 200 rounds is far from the minimum, of which every slope is a condition."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1000, 40))
+    x[:, 20:] = x[:, :20] + 0.05 * x[:, 20:]
+    x[:, 0], x[:, 38], x[:, 39] = 1.0, x[:, 5] + x[:, 6], 0.0  # an intercept, a sum of others, a constant
+    y = (x[:, 1] - x[:, 2] + rng.normal(size=1000) > 0.5) * 1.0
+    b = np.r_[0.0, rng.normal(size=37), 0.0, 0.0]
+    p = 1 / (1 + np.exp(-x @ b))
+    grad, hess = x.T @ (p - y) / 1000, x.T @ (x * (p * (1 - p))[:, None]) / 1000
+    for l1, l2 in ((0.1, 0.0), (1e-3, 0.0), (1e-6, 0.0), (0.0, 0.1), (0.0, 1e-6), (1e-3, 1e-3)):
+        new = logistic.newton_step(b, grad, hess, l1, l2)
+        free = np.r_[0.0, np.ones(39)]
+        slope = grad + hess @ (new - b) + l2 * free * new
+        moved = new != 0
+        assert np.abs(slope + l1 * free * np.sign(new))[moved].max() < 1e-8
+        assert (np.abs(slope[~moved]) <= l1 + 1e-8).all()
+
+
+def test_logistic_points_are_scored_in_one_pass(mixed):
+    df = mixed.where("y IS NOT NULL")
+    points = logistic.grid((0.01, 1.0, 100.0), ("l1", "l2"), 400)
+    models = learn.lr_fit(df, ["a", "b", "c"], "y", points)
+    assert learn.scores_of(logistic.confusions(models, mixed, "y"), 6) == learn.sums_of_f1([m.predicted for m in models], mixed, "y")
