@@ -116,3 +116,15 @@ def test_a_site_at_the_limit_of_p_is_not_significant_in_either_engine(spark, db)
     sql = f"WITH group_counts({q.K}, pos, high_meth, high_cov, low_meth, low_cov) AS (VALUES {rows}) {q._APPROX}"
     got = [r[0] for r in db.execute(f"SELECT total_sig_cpgs FROM ({sql})").fetchall()]
     assert got == [0] * 4
+
+
+def test_the_support_of_learning_rows_computes_no_features(spark, monkeypatch):
+    """It counts the rows of the training table; densities are neither written nor in its plan."""
+    written, own = [], q.ad.kept
+    monkeypatch.setattr(q.ad, "kept", lambda df: written.append(df.columns) or own(df))
+    got = q.QUERIES["training_support"](spark, SF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert written and not any("cpg_fm_kd_0" in c for c in written) and "cpg_fm_kd_0" not in plan and "cpgs_w_padding" not in plan
+    monkeypatch.undo()
+    rows = q.learning_rows(spark, SF)[0].groupBy("dataset", q.LABEL).count().collect()
+    assert {(r["dataset"], r["label"]): r["n"] for r in got.collect()} == {(r["dataset"], r[q.LABEL]): r["count"] for r in rows}
