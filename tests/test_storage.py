@@ -53,6 +53,44 @@ def test_a_retried_append_adds_nothing(spark, tmp_path):
     assert io.read_appended(spark, path).where("run_id = '007'").count() == 1 and io.read_appended(spark, path).count() == 11
 
 
+@pytest.mark.parametrize("keys, each, most", [(300, 10, 8), (4, 1000, 5)])  # ranges of keys (both ends cut, and no key); a key of many rows has a folder
+def test_folders_of_a_replaced_table_follow_its_rows(spark, tmp_path, monkeypatch, keys, each, most):
+    monkeypatch.setattr(io, "FOLDER_ROWS", 500, raising=False)
+    path = str(tmp_path / "t")
+    rows = spark.range(keys * each).selectExpr(f"nullif(cast(id % {keys} - 2 AS int), 0) AS k", "'S' || id % 3 AS s", "id").repartition(5)
+    io.replace_table(rows.union(rows), path, "k", ["s"])
+    io.replace_table(rows, path, "k", ["s"])  # nothing of the first is left
+    folders = [f for f in os.listdir(path) if "=" in f]
+    assert len(folders) <= most
+    back = spark.read.parquet(path)
+    assert sorted(map(str, back.select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
+    ends = back.where("k IS NOT NULL").groupBy("k_from").agg(F.min("k"), F.max("k")).orderBy("k_from").collect()
+    assert len(ends) == len(folders) - 1  # rows without a key have a folder, too
+    assert all(f <= lo for f, lo, _ in ends) and all(a[2] < b[0] for a, b in zip(ends, ends[1:]))
+    for file in back.inputFiles():
+        got = [((r["k"] is not None, r["k"]), r["s"]) for r in spark.read.parquet(file).collect()]
+        assert got == sorted(got)
+
+
+def test_tables_without_rows_or_keys_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(3).selectExpr("cast(NULL AS int) AS k", "id")
+    io.replace_table(rows, path, "k", ["id"])
+    assert spark.read.parquet(path).count() == 3
+    io.replace_table(rows.limit(0), path, "k", ["id"])
+    assert spark.read.schema("k int, id long").parquet(path).count() == 0
+
+
+@given
+def test_calls_of_a_replaced_table_are_joined_once_and_not_left(spark, monkeypatch):
+    stored, keep = [], io.kept
+    monkeypatch.setattr(io, "kept", lambda df: stored.append(keep(df)) or stored[-1])
+    df = q.QUERIES["sink_table_replace"](spark, SF)
+    assert len(stored) == 1 and not os.path.exists(stored[0].stored_at.removeprefix("file:"))
+    assert df.count() == 6000 and df.schema["clustering_index"].dataType == T.IntegerType()
+    assert len({os.path.dirname(f) for f in df.inputFiles()}) == 1  # few rows
+
+
 INNER = T.StructType().add("id", "long").add("m", T.ArrayType(T.IntegerType()))
 SCHEMA = T.StructType().add("chr", "integer").add("pos", "long").add("x", "double").add("s", "string").add("a", T.ArrayType(T.DoubleType())).add("r", T.ArrayType(INNER))
 
