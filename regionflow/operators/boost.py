@@ -37,8 +37,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 REST, DEEPEST, SUMS, TASK = 5, 30, 1 << 22, 1024
 #: Trees that are a job each, however few rows they have, so that a lost task costs one tree.
 FEW = 5
-#: Rows of a node below which one task grows the rest; rows whose bins a task adds up, and nodes that it splits, at once.
-SMALL, STEP, NODES = 1 << 16, 8192, 32
+#: Rows of a node below which one task grows the rest; nodes that it splits at once.
+SMALL, NODES = 1 << 20, 32
+#: Values of a pack of features that are counted together, for nodes of few and of many rows; bins of features whose sums are searched together.
+PACKS, WIDTHS = (64, 1024), (3, 5, 9, 17)
 DEFAULTS = {"n_estimators": 100, "max_depth": 6, "eta": 0.3, "min_child_weight": 1.0, "subsample": 1.0, "colsample_bytree": 1.0, "reg_lambda": 1.0, "reg_alpha": 0.0, "gamma": 0.0, "scale_pos_weight": 1.0, "seed": 0}
 
 
@@ -63,13 +65,15 @@ class Tree:
         import numpy as np
 
         feature, cut, missing, left, right = (np.asarray(x) for x in (self.feature, self.cut, self.missing_left, self.left, self.right))
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        at, i = np.zeros(len(bins), np.int64), np.arange(len(bins))
         while True:
-            inner = feature[at] >= 0
-            if not inner.any():
+            n = at[i]
+            inner = feature[n] >= 0
+            if not inner.all():
+                i, n = i[inner], n[inner]
+            if not len(i):
                 return at
-            i = np.flatnonzero(inner)
-            n, b = at[i], bins[rows[i], feature[at[i]]]
+            b = bins[i, feature[n]]
             at[i] = np.where(np.where(b == 0, missing[n], b <= cut[n]), left[n], right[n])
 
 
@@ -190,29 +194,49 @@ def best_splits(g, h, allowed, p: dict) -> list:
     """``best_split`` of each of several nodes, whose sums are g, h (nodes by features by bins)."""
     import numpy as np
 
+    found = splits_of([(np.flatnonzero(allowed), g[:, allowed], h[:, allowed])], p)
+    return [(gain, f, b, missing) if good else None for good, gain, f, b, missing, _, _ in zip(*(x.tolist() for x in found))]
+
+
+def splits_of(parts: list, p: dict):
+    """Of each node: whether it may be split, gain, feature, bin, missing_left, and the left side's sums; ties as ``best_split`` has them.
+
+    parts: the numbers of features that have as many bins, ascending, and their sums g, h (nodes by features by bins).
+    """
+    import numpy as np
+
     lam, alpha = p["reg_lambda"], p["reg_alpha"]
     score = lambda a, b: cut_towards_zero(a, alpha) ** 2 / (b + lambda_of(b, lam))
-    total_g, total_h = g.sum(2, keepdims=True), h.sum(2, keepdims=True)
-    least, whole = max(p["min_child_weight"], 1e-12), score(total_g, total_h)
-    gains, below_g, below_h = [], np.cumsum(g[:, :, 1:], 2), np.cumsum(h[:, :, 1:], 2)
-    # where no value is missing, both sides are the same for them
-    for missing in (0, 1) if h[:, :, 0].any() else (0,):
-        gl, hl = (below_g + g[:, :, :1], below_h + h[:, :, :1]) if missing else (below_g, below_h)
-        gr, hr = total_g - gl, total_h - hl
-        gain = score(gl, hl) + score(gr, hr) - whole
-        gain[(hl < least) | (hr < least) | (hl <= 1e-12) | (hr <= 1e-12)] = -np.inf
-        gains.append(gain)
-    both = np.stack(gains, 3)
-    both[:, ~allowed] = -np.inf
-    shape, both = both.shape[1:], both.reshape(len(g), -1)
-    best = both.max(1)
+    least, every = max(p["min_child_weight"], 1e-12), []
+    for _, g, h in parts:
+        total_g, total_h = g.sum(2, keepdims=True), h.sum(2, keepdims=True)
+        whole = score(total_g, total_h)
+        gains, below_g, below_h = [], np.cumsum(g[:, :, 1:], 2), np.cumsum(h[:, :, 1:], 2)
+        # where no value is missing, both sides are the same for them
+        for missing in (0, 1) if h[:, :, 0].any() else (0,):
+            gl, hl = (below_g + g[:, :, :1], below_h + h[:, :, :1]) if missing else (below_g, below_h)
+            gr, hr = total_g - gl, total_h - hl
+            gain = score(gl, hl) + score(gr, hr) - whole
+            gain[(hl < least) | (hr < least) | (hl <= 1e-12) | (hr <= 1e-12)] = -np.inf
+            gains.append(gain)
+        every.append(np.stack(gains, 3))
+    nodes = np.arange(len(parts[0][1]))
+    best = np.max([x.reshape(len(nodes), -1).max(1, initial=-np.inf) for x in every], axis=0)
     # sums are added in any order, so gains within rounding are equal
-    at = np.argmax(both >= (best - 1e-9 * np.maximum(1.0, np.abs(best)))[:, None], axis=1)
-    out = []
-    for gain, i in zip(both[np.arange(len(at)), at].tolist(), at.tolist()):
-        f, b, missing = np.unravel_index(i, shape)
-        out.append((gain, int(f), int(b) + 1, bool(missing)) if np.isfinite(gain) and gain > max(p["gamma"], 1e-6) else None)
-    return out
+    least_gain = best - 1e-9 * np.maximum(1.0, np.abs(best))
+    out = [np.full(len(nodes), v) for v in (-np.inf, 1 << 30, 0, False, 0.0, 0.0)]
+    for (numbers, g, h), gain in zip(parts, every):
+        if not len(numbers):
+            continue
+        flat = gain.reshape(len(nodes), -1)
+        at = np.argmax(flat >= least_gain[:, None], axis=1)
+        f, b, missing = np.unravel_index(at, gain.shape[1:])
+        here = np.flatnonzero((flat[nodes, at] >= least_gain) & (numbers[f] < out[1]))
+        f, b, missing = f[here], b[here], missing[here]
+        left = [np.cumsum(x[here, f, 1:], 1)[np.arange(len(here)), b] + missing * x[here, f, 0] for x in (g, h)]
+        for x, v in zip(out, (flat[here, at[here]], numbers[f], b + 1, missing > 0, *left)):
+            x[here] = v
+    return np.isfinite(out[0]) & (out[0] > max(p["gamma"], 1e-6)), *out
 
 
 def lambda_of(h, lam: float):
@@ -230,16 +254,13 @@ def deepest_of(p: dict) -> int:
     return DEEPEST if p["max_depth"] is None else p["max_depth"]
 
 
-def divide(tree: Tree, node: int, depth: int, g, h, columns, found, p: dict) -> list[int]:
-    """Makes a node a leaf or splits it as found, by its sums (features by bins) and the features that it may split by; the children that may be split again."""
-    deepest = deepest_of(p)
-    total_g, total_h = float(g[columns[0]].sum()), float(h[columns[0]].sum())
+def divide(tree: Tree, node: int, depth: int, total: tuple, found, left: tuple, p: dict) -> list[int]:
+    """Makes a node a leaf or splits it as found, by its sums g, h and those of its left side; the children that may be split again."""
+    deepest, (total_g, total_h) = deepest_of(p), total
     tree.value[node] = leaf_value(total_g, total_h, p)
     if not found:
         return []
-    _, f, cut, missing = found
-    tree.feature[node], tree.cut[node], tree.missing_left[node] = f, cut, missing
-    left = [float(x[f, 1 : cut + 1].sum() + missing * x[f, 0]) for x in (g, h)]
+    tree.feature[node], tree.cut[node], tree.missing_left[node] = found
     open_ = []
     for side, (a, b) in ((tree.left, left), (tree.right, (total_g - left[0], total_h - left[1]))):
         side[node] = tree.add(leaf_value(a, b, p))
@@ -249,13 +270,62 @@ def divide(tree: Tree, node: int, depth: int, g, h, columns, found, p: dict) ->
     return open_
 
 
+def packs_of(values: list[int], most: int) -> list[list[int]]:
+    """Features in packs whose numbers of values have a product of ``most`` at most; a larger one is alone."""
+    packs, size = [], most + 1
+    for f in sorted(range(len(values)), key=values.__getitem__):
+        if size * values[f] > most:
+            packs.append([])
+            size = 1
+        packs[-1].append(f)
+        size *= values[f]
+    return packs
+
+
+def codes_of(by_feature, values: list[int], packs: list[list[int]]) -> list[tuple]:
+    """Of each pack: its features, and one number a row that stands for the values of all."""
+    import numpy as np
+
+    out = []
+    for pack in packs:
+        code = by_feature[pack[0]].astype(np.uint16)
+        for f in pack[1:]:
+            code = code * np.uint16(values[f]) + by_feature[f]
+        out.append((pack, code))
+    return out
+
+
+def margins_of(sums, pack: list[int], values: list[int], put) -> None:
+    """Calls put(feature, sums by its values) for each of a pack, from sums (two by nodes by codes)."""
+    if len(pack) == 1:
+        put(pack[0], sums)
+        return
+    half = len(pack) // 2
+    first, second = pack[:half], pack[half:]
+    size = 1
+    for f in first:
+        size *= values[f]
+    both = sums.reshape(*sums.shape[:2], size, -1)
+    margins_of(both.sum(3), first, values, put)
+    margins_of(both.sum(2), second, values, put)
+
+
 def subtree(bins, g, h, columns, depth: int, width: int, p: dict) -> Tree:
-    """All that grows from a node at a depth, from its rows: their bins of the columns (features by number), gradients and hessians."""
+    """All that grows from a node at a depth, from its rows: their bins of the columns (features by number), gradients and hessians.
+
+    Features of few values are counted in packs, one number a row for all of a pack, whose sums are added up to those of each.
+    """
     import numpy as np
 
     tree, m = Tree(), len(columns)
-    at, waiting, own = np.zeros(len(bins), np.int64), [tree.add()], np.arange(m)
-    cells = bins + (own * width).astype(np.int32)
+    at, waiting = np.zeros(len(bins), np.int64), [tree.add()]
+    by_feature = np.ascontiguousarray(bins.T)
+    values = (by_feature.max(1) + 1).tolist()
+    coded = {most: codes_of(by_feature, values, packs_of(values, most)) for most in PACKS}
+    # features by width, so that those of few values have few sums
+    classes = {w: [f for f in range(m) if max(v for v in (0, *WIDTHS) if v < w) < values[f] <= w] for w in (*WIDTHS, width)}
+    classes = {w: np.array(c) for w, c in classes.items() if c}
+    place_of = {int(f): (w, i) for w, c in classes.items() for i, f in enumerate(c)}
     while waiting:
         following = []
         for i in range(0, len(waiting), max(1, SUMS // (m * width))):
@@ -264,18 +334,31 @@ def subtree(bins, g, h, columns, depth: int, width: int, p: dict) -> Tree:
             place[nodes] = np.arange(len(nodes))
             # rows that stand at a node that was split after the places were made wait for the next level
             here = np.flatnonzero((at < len(place)) & (place[np.minimum(at, len(place) - 1)] >= 0))
-            sums = np.zeros((2, len(nodes) * m * width))
-            for j in range(0, len(here), STEP):
-                rows = here[j : j + STEP]
-                key = ((place[at[rows]] * (m * width))[:, None] + cells[rows]).ravel()
-                for k, v in enumerate((g, h)):
-                    sums[k] += np.bincount(key, np.repeat(v[rows], m), sums.shape[1])
-            sums = sums.reshape(2, len(nodes), m, width)
+            own, weights = place[at[here]], (g[here], h[here])
+            total = [np.bincount(own, v, len(nodes)) for v in weights]
+            deep = depth >= deepest_of(p)
+            sums = {w: np.zeros((2, len(nodes), len(c), w)) for w, c in classes.items()} if not deep else {}
+
+            def put(f, x):
+                w, j = place_of[f]
+                sums[w][:, :, j, : x.shape[2]] = x
+
+            # packs of many values pay where a node has more rows than those
+            for pack, code in () if deep else coded[PACKS[len(here) >= PACKS[1] * len(nodes)]]:
+                size = 1
+                for f in pack:
+                    size *= values[f]
+                key = own * size + (code if len(here) == len(code) else code[here])
+                margins_of(np.stack([np.bincount(key, v, len(nodes) * size) for v in weights]).reshape(2, len(nodes), size), pack, values, put)
             for j in range(0, len(nodes), NODES):
                 part = slice(j, j + NODES)
-                splits = best_splits(sums[0, part], sums[1, part], own >= 0, p) if depth < deepest_of(p) else [None] * NODES
-                for node, g_, h_, found in zip(nodes[part], sums[0, part], sums[1, part], splits):
-                    following += divide(tree, node, depth, g_, h_, own, found, p)
+                own_total = list(zip(*(t[part].tolist() for t in total)))
+                if deep:
+                    splits = [(False, 0, 0, 0, False, 0.0, 0.0)] * len(own_total)
+                else:
+                    splits = zip(*(x.tolist() for x in splits_of([(c, *sums[w][:, part]) for w, c in classes.items()], p)))
+                for node, both, (good, _, f, cut, missing, *left) in zip(nodes[part], own_total, splits):
+                    following += divide(tree, node, depth, both, good and (f, cut, missing), left, p)
         feature, cut, missing, left, right = (np.array(x) for x in (tree.feature, tree.cut, tree.missing_left, tree.left, tree.right))
         moves = np.flatnonzero(feature[at] >= 0)
         n = at[moves]
@@ -313,7 +396,11 @@ class Growing:
         allowed = np.zeros(len(g), bool)
         allowed[columns] = True
         found = best_split(g, h, allowed, p) if depth < deepest_of(p) else None
-        for child in divide(self.tree, node, depth, g, h, columns, found, p):
+        total, left = [float(x[columns[0]].sum()) for x in (g, h)], None
+        if found:
+            _, f, cut, missing = found
+            left, found = [float(x[f, 1 : cut + 1].sum() + missing * x[f, 0]) for x in (g, h)], found[1:]
+        for child in divide(self.tree, node, depth, total, found, left, p):
             self.waiting[child], self.rows[child] = depth + 1, self.rows[node]
         self.end()
 
@@ -487,11 +574,11 @@ def unpacked(data: bytes, n: int) -> list[Tree]:
     return trees
 
 
-def trees_of(bins, row, y, width: int, p: dict) -> list[Tree]:
-    """All trees of a model, from all rows: their bins (features by number), numbers and classes."""
+def trees_of(bins, row, y, width: int, p: dict):
+    """All trees of a model, one after another, from all rows: their bins (features by number), numbers and classes."""
     import numpy as np
 
-    trees, margin, weight = [], np.zeros(len(y)), np.where(y > 0, p["scale_pos_weight"], 1.0)
+    margin, weight = np.zeros(len(y)), np.where(y > 0, p["scale_pos_weight"], 1.0)
     for nth in range(p["n_estimators"]):
         columns = columns_of(nth, bins.shape[1], p)
         i = np.flatnonzero(drawn(row, nth, p["seed"]) < p["subsample"]) if p["subsample"] < 1 else np.arange(len(y))
@@ -499,8 +586,7 @@ def trees_of(bins, row, y, width: int, p: dict) -> list[Tree]:
         g, h = (prob - y[i]) * weight[i], np.maximum(prob * (1 - prob), 1e-16) * weight[i]
         tree = subtree(bins[i][:, columns], g, h, columns, 0, width, p) if len(i) else leaf(p)
         margin += np.array(tree.value)[tree.node_of(bins)]
-        trees.append(by_level(tree))
-    return trees
+        yield by_level(tree)
 
 
 def leaf(p: dict) -> Tree:
@@ -508,39 +594,112 @@ def leaf(p: dict) -> Tree:
     return Tree([-1], [0], [False], [-1], [-1], [leaf_value(0.0, 0.0, p)])
 
 
-def grown_whole(rows: DataFrame, models: list[Boosted], width: int) -> None:
-    """Grows all trees of models of ``SMALL`` rows at most in one job: each model is one task's, to which Spark deals all rows."""
+def dealt(rows: DataFrame, cuts: list, places: int) -> DataFrame:
+    """The bins of rows (part, row, y, features), all of them to each of so many tasks."""
     import numpy as np
 
-    n_feats, points = len(models[0].feats), [m.params for m in models]
-    # the longest ones begin first
-    place = np.argsort(np.argsort([-p["n_estimators"] * deepest_of(p) * p["subsample"] for p in points], kind="stable"), kind="stable").tolist()
-
     def deal(batches):
         import pyarrow as pa
 
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            row, y = batch.column(0).to_numpy().tobytes(), batch.column(2).to_numpy().tobytes()
-            bins = b"".join(batch.column(1).to_pylist())
-            for i in range(len(points)) if batch.num_rows else ():
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((i, pa.int32()), (place[i], pa.int32()), (row, pa.binary()), (bins, pa.binary()), (y, pa.binary()))], ["point", "place", "row", "bins", "y"])
+            part, row, y = (batch.column(k).to_numpy() for k in range(3))
+            bins = binned(batch.columns[3:], cuts)
+            for k in np.unique(part).tolist():
+                i = np.flatnonzero(part == k)
+                own = [x[i].tobytes() for x in (row, y, bins)]
+                for place in range(places):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((place, k, *own), kinds)], ["place", "part", "row", "y", "bins"])
+
+    return rows.mapInArrow(deal, "place int, part int, row binary, y binary, bins binary").repartitionById(places, "place")
+
+
+def gathered(batches, n_feats: int):
+    """From what ``dealt`` gives a task: each place, and of the rows of parts 0 and 1 by their numbers: those, classes, bins."""
+    import numpy as np
+
+    held: dict = {}
+    for batch in batches:
+        for place, part, *own in zip(*(c.to_pylist() for c in batch.columns)):
+            held.setdefault(place, ([], []))[part].append(own)
+    while held:
+        place, parts = held.popitem()
+        out = []
+        for own in parts:
+            row, y, bins = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*own) if own else ((), (), ()), (np.int64, np.int32, np.uint8)))
+            own.clear()
+            order = np.argsort(row)
+            out.append((row[order], y[order], bins.reshape(-1, n_feats)[order]))
+        yield place, out
+
+
+def places_of(points: list[dict]) -> list[int]:
+    """The points by their tasks: the longest ones begin first."""
+    return sorted(range(len(points)), key=lambda i: -points[i]["n_estimators"] * deepest_of(points[i]) * points[i]["subsample"])
+
+
+def parts_of(df: DataFrame, part: int, feats: list[str], label: str) -> DataFrame:
+    return df.select(F.lit(part).alias("part"), F.monotonically_increasing_id().alias("row"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(feats)])
+
+
+def grown_and_scored(df: DataFrame, held: DataFrame, feats: list[str], label: str, points: list[dict], bins: int = 32, trees: bool = False) -> tuple[DataFrame, list]:
+    """A table of point (its place), tn, fp, fn, tp on ``held`` and, if asked for, its packed trees; and the cuts.
+
+    For df and held of ``SMALL`` rows at most: each point is one task's, which gets all rows, grows its trees and scores them, so that the driver gets four numbers a point.
+    """
+    import numpy as np
+
+    points = [DEFAULTS | p for p in points]
+    df, held = df.where(F.col(label).isNotNull()), held.where(F.col(label).isin(0, 1))
+    cuts, _ = cuts_of(df, feats, bins)
+    width, n_feats, order = max(map(len, cuts)) + 2, len(feats), places_of(points)
 
     def grow(batches):
         import pyarrow as pa
 
-        held: dict = {}
+        for place, ((row, y, b), (_, held_y, held_b)) in gathered(batches, n_feats):
+            point, margin, own = order[place], np.zeros(len(held_y)), []
+            for tree in trees_of(b, row, y.astype(float), width, points[point]):
+                margin += np.array(tree.value)[tree.node_of(held_b)]
+                if trees:
+                    own.append(tree)
+            cells = np.bincount(2 * held_y.astype(np.int64) + (1 / (1 + np.exp(-margin)) > 0.5), minlength=4)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((point, pa.int32()), *((int(c), pa.int64()) for c in cells), (packed(own) if own else None, pa.binary()))], ["point", "tn", "fp", "fn", "tp", "trees"])
+
+    rows = parts_of(df, 0, feats, label).unionAll(parts_of(held, 1, feats, label))
+    return dealt(rows, cuts, len(points)).mapInArrow(grow, "point int, tn long, fp long, fn long, tp long, trees binary"), cuts
+
+
+def save_packed(table: DataFrame, feats: list[str], cuts: list, params: dict, path: str) -> None:
+    """The model of a table of ``grown_and_scored``, as one row of JSON, written by a task; ``Boosted.from_json`` reads it."""
+    params = DEFAULTS | params
+
+    def run(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            for point, *parts in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
-                held.setdefault(point, []).append(parts)
-        for point, parts in held.items():
-            row, bins, y = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*parts), (np.int64, np.uint8, np.int32)))
-            order = np.argsort(row)
-            trees = trees_of(bins.reshape(-1, n_feats)[order], row[order], y[order].astype(float), width, points[point])
-            yield pa.RecordBatch.from_arrays([pa.array([point], pa.int32()), pa.array([packed(trees)], pa.binary())], ["point", "trees"])
+            texts = [Boosted(list(feats), cuts, params, unpacked(data, params["n_estimators"])).to_json() for data in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["model"])
+
+    table.where("trees IS NOT NULL").select("trees").mapInArrow(run, "model string").write.mode("overwrite").text(path)
+
+
+def grown_whole(df: DataFrame, models: list[Boosted], label: str, width: int) -> None:
+    """Grows all trees of models of ``SMALL`` rows at most in one job: each model is one task's, to which Spark deals all rows."""
+    import numpy as np
+
+    feats, cuts, points = models[0].feats, models[0].cuts, [m.params for m in models]
+    n_feats, order = len(feats), places_of(points)
+
+    def grow(batches):
+        import pyarrow as pa
+
+        for place, ((row, y, b), _) in gathered(batches, n_feats):
+            trees = list(trees_of(b, row, y.astype(float), width, points[order[place]]))
+            yield pa.RecordBatch.from_arrays([pa.array([order[place]], pa.int32()), pa.array([packed(trees)], pa.binary())], ["point", "trees"])
 
     # one model a task
-    dealt = rows.mapInArrow(deal, "point int, place int, row binary, bins binary, y binary").repartitionById(len(points), "place")
-    got = dealt.mapInArrow(grow, "point int, trees binary").toArrow()
+    got = dealt(parts_of(df, 0, feats, label), cuts, len(points)).mapInArrow(grow, "point int, trees binary").toArrow()
     found = dict(zip(got.column("point").to_pylist(), got.column("trees").to_pylist()))
     for i, m in enumerate(models):
         n = m.params["n_estimators"]
@@ -584,6 +743,9 @@ def boost_fits(df: DataFrame, feats: list[str], label: str, points: list[dict],
         m.cuts = cuts
     width = max(map(len, cuts)) + 2
     n_feats, n_points = len(feats), len(points)
+    if n_rows <= SMALL and max(m.params["n_estimators"] for m in models) > FEW:
+        grown_whole(df, models, label, width)
+        return models
 
     def to_bins(batches):
         import pyarrow as pa
@@ -595,10 +757,6 @@ def boost_fits(df: DataFrame, feats: list[str], label: str, points: list[dict],
 
     # the number of a row is written with it, so that it stays the same
     rows = keep(df.select(F.monotonically_increasing_id().alias("row"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(feats)]).mapInArrow(to_bins, ROWS).coalesce(max(1, -(-n_rows // TASK))))
-    if n_rows <= SMALL and max(m.params["n_estimators"] for m in models) > FEW:
-        grown_whole(rows, models, width)
-        discard(rows)
-        return models
     growing, rested = [Growing(m, n_rows) for m in models], [0] * n_points
     at_once = max(1, SUMS // (n_feats * width))
     while True:

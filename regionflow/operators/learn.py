@@ -13,6 +13,7 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import io
 from . import boost, logistic
 from . import forest as fo
 from .reports import classification_report, confusion_matrix
@@ -98,10 +99,19 @@ def gbt_fit(df: DataFrame, feats: list[str], label: str, params: dict | None = N
     return gbt_fits(df, feats, label, [params or {}], keep)[0]
 
 
-def gbt_fits(df: DataFrame, feats: list[str], label: str, points: list[dict], keep) -> list[boost.Boosted]:
+def gbt_points(df: DataFrame, label: str, points: list[dict]) -> list[dict]:
     row = df.agg(F.count_if(F.col(label) == 0).alias("zeros"), F.count_if(F.col(label) == 1).alias("ones")).first()
     ratio = row["zeros"] / row["ones"] if row["ones"] else 1.0
-    return boost.boost_fits(df, allowed(feats), label, [{"scale_pos_weight": ratio} | p for p in points], keep)
+    return [{"scale_pos_weight": ratio} | p for p in points]
+
+
+def gbt_fits(df: DataFrame, feats: list[str], label: str, points: list[dict], keep) -> list[boost.Boosted]:
+    return boost.boost_fits(df, allowed(feats), label, gbt_points(df, label, points), keep)
+
+
+def held_by_a_task(*parts: DataFrame) -> bool:
+    """Whether a task can hold the rows of each part."""
+    return all(df.count() <= boost.SMALL for df in parts)
 
 
 def lr_fit(df: DataFrame, feats: list[str], label: str, points: list[dict] | None = None) -> list[logistic.Logistic]:
@@ -161,15 +171,17 @@ def draws(grid: dict[str, list], n: int, seed: int) -> list[dict]:
 def random_search(train: DataFrame, val: DataFrame, kind: str, feats: list[str], label: str, grid: dict, n: int, seed: int = 0, threads: int = 2, keep=None) -> list[tuple[dict, float]]:
     """Points with their sum of f1 on val, best first.
 
-    Boosted points grow together in shared passes; so do forests of ``boost.SMALL`` rows at most, larger ones are Spark ML's, fitted a few at once on cached vectors.
+    Points of ``boost.SMALL`` rows at most are grown and scored by tasks that hold all rows, and no tree reaches the driver.  Of more rows, boosted points grow
+    together in shared passes, and forests are Spark ML's, fitted a few at once on cached vectors.
     """
-    feats, points = allowed(feats), draws(grid, n, seed)
-    if kind == "gbt":
+    feats, points, small = allowed(feats), draws(grid, n, seed), held_by_a_task(train, val)
+    if kind == "gbt" and small:
+        scores = scores_of(boost.grown_and_scored(train, val, feats, label, gbt_points(train, label, points))[0], len(points))
+    elif kind == "gbt":
         models = gbt_fits(train, feats, label, points, keep)
         scores = scores_of(boost.confusions(models, val, label), len(models))
-    elif train.count() <= boost.SMALL:
-        found = fo.forests(train, feats, label, [forest_point(p) for p in points])
-        scores = scores_of(fo.forest_confusions(*found, val, feats, label), len(points))
+    elif small:
+        scores = scores_of(fo.forests(train, val, feats, label, [forest_point(p) for p in points]).confusions(), len(points))
     else:
         double = [F.col(c).cast("double").alias(c) for c in feats]
         stages, rows = assembled(weighted(few_tasks(train.select(*double, label)), label), feats, label)
@@ -190,8 +202,23 @@ def random_search(train: DataFrame, val: DataFrame, kind: str, feats: list[str],
 def refit_and_test(train_val: DataFrame, test: DataFrame, kind: str, feats: list[str], label: str, params: dict, keep=None, path: str | None = None):
     """The model of all training and validation rows, and its row of a table of results: parameters, confusion and report on the test rows.
 
-    A path keeps the model: Spark ML's pipeline of a forest, one row of JSON of boosted trees.
+    Of ``boost.SMALL`` rows at most, model is the table of results of its only point, with packed trees; else Spark ML's pipeline or ``boost.Boosted``.
+    A path keeps the model: one row of JSON of boosted trees, lines of JSON of a forest, or Spark ML's pipeline of a forest of more rows.
     """
+    small = held_by_a_task(train_val, test)
+    if kind == "gbt" and small:
+        (p,) = gbt_points(train_val, label, [params])
+        found, cuts = boost.grown_and_scored(train_val, test, allowed(feats), label, [p], trees=True)
+        model = (keep or io.kept)(found)
+        if path:
+            boost.save_packed(model, allowed(feats), cuts, p, path)
+        return model, result_row(model, kind, params)
+    if kind == "rf" and small:
+        model = fo.forests(train_val, test, allowed(feats), label, [forest_point(params)], trees=True)
+        model.table = (keep or io.kept)(model.table)
+        if path:
+            model.save(path)
+        return model.table, result_row(model.confusions(), kind, params)
     if kind == "gbt":
         model = gbt_fit(train_val, feats, label, params, keep)
         scored = model.predicted(test)
@@ -202,12 +229,12 @@ def refit_and_test(train_val: DataFrame, test: DataFrame, kind: str, feats: list
         train_val.sparkSession.createDataFrame([(model.to_json(),)], "model string").write.mode("overwrite").text(path)
     elif path:
         model.write().overwrite().save(path)
-    return model, result_row(scored, label, kind, params)
+    return model, result_row(confusion_matrix(scored, label, "pred"), kind, params)
 
 
-def result_row(scored: DataFrame, label: str, kind: str, params: dict) -> DataFrame:
+def result_row(cm: DataFrame, kind: str, params: dict) -> DataFrame:
     """One row: model, params, the confusion's four counts, and the report's figures by class."""
-    cm = confusion_matrix(scored, label, "pred")
+    cm = cm.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tn", "fp", "fn", "tp")])
     report = classification_report(cm.withColumn("one", F.lit(1)), "one")
     cells = [F.max(F.when(F.col("class") == c, F.col(m))).alias(f"{c.replace(' ', '_')}_{m}") for c in ("0", "1", "macro avg", "weighted avg") for m in ("precision", "recall", "f1", "support")]
     single = [F.max(F.when(F.col("class") == c, F.col("f1"))).alias(c.replace(" ", "_")) for c in ("accuracy", "sum f1")]

@@ -422,6 +422,73 @@ def test_forests_of_few_rows_are_one_job(spark, mixed, monkeypatch):
     assert all(abs(own[p] - theirs[p]) < 0.15 for p in own) and abs(np.mean([own[p] - theirs[p] for p in own])) < 0.05
 
 
+@pytest.mark.parametrize("many", [0, 40, 1 << 30])
+def test_nodes_of_many_and_few_rows_are_counted_alike(monkeypatch, many):
+    monkeypatch.setattr(forest, "MANY", many)
+    monkeypatch.setattr(forest, "STEP", max(100, min(many, 300)))
+    monkeypatch.setattr(forest, "CELLS", 200)
+    rng = np.random.default_rng(6)
+    bins = rng.integers(1, [3, 9, 5, 4], (300, 4)).astype(np.uint8)
+    y = (bins[:, 1] + bins[:, 2] + rng.normal(0, 2, 300) > 7).astype(np.int64)
+    tree = forest.tree_of(bins, y, np.ones(300, np.int64), [0.7, 1.9], 10, {"n_estimators": 1, "max_depth": 6, "least": 2}, np.random.default_rng(0))
+    assert tree.value[tree.node_of(bins)] == pytest.approx(plain_gini(bins, y, np.array([0.7, 1.9]), 2, 6, np.arange(300)), abs=1e-9)
+
+
+def test_packs_of_features_give_the_trees_of_each(monkeypatch):
+    """Sums of packs, added up to those of their features, are those that features have alone; so are splits by width."""
+    rng = np.random.default_rng(8)
+    bins = np.stack([rng.integers(low, high, 3000) for low, high in ((0, 2), (1, 3), (0, 3), (1, 2), (0, 9), (1, 33), (0, 33), (1, 3), (0, 5))], 1).astype(np.uint8)
+    y = (bins[:, 0] + bins[:, 4] / 4 + bins[:, 6] / 16 + rng.normal(0, 1, 3000) > 3.2).astype(float)
+    p = boost.DEFAULTS | {"n_estimators": 3, "max_depth": 8, "subsample": 0.8, "colsample_bytree": 0.9, "reg_alpha": 0.1}
+    grown = lambda: list(boost.trees_of(bins, np.arange(3000), y, 35, p))
+    packed, held = grown(), [len(x) for x in boost.packs_of([2, 3, 3, 2, 9, 33, 33, 3, 5], 64)]
+    assert sum(held) == 9 and max(held) > 2
+    monkeypatch.setattr(boost, "PACKS", (1, 2))
+    monkeypatch.setattr(boost, "WIDTHS", ())
+    for s, t in zip(packed, grown(), strict=True):
+        assert len(s.feature) > 20 and (s.feature, s.cut, s.missing_left, s.left, s.right) == (t.feature, t.cut, t.missing_left, t.left, t.right)
+        assert s.value == pytest.approx(t.value, abs=1e-9)
+
+
+def test_points_are_scored_where_they_grow(mixed):
+    """The counts that a task returns are those of the models that levels give."""
+    learned, held = mixed.where("id % 3 > 0"), mixed.where("id % 3 = 0")
+    models = boost.boost_fits(learned, ["a", "b", "c"], "y", POINTS, ad.kept, bins=8)
+    counts = lambda df: sorted(tuple(r) for r in df.select("point", "tn", "fp", "fn", "tp").collect())
+    found, _ = boost.grown_and_scored(learned, held, ["a", "b", "c"], "y", POINTS, bins=8)
+    assert counts(found) == counts(boost.confusions(models, held, "y")) and found.where("trees IS NOT NULL").count() == 0
+
+
+def test_refits_are_one_job_and_keep_their_model(spark, mixed, monkeypatch, tmp_path):
+    """Neither Spark ML's levels nor a job a tree; the saved model gives the counts of the row."""
+    monkeypatch.setattr(learn, "rf_fit", None)
+    monkeypatch.setattr(learn, "gbt_fit", None)
+    df = mixed.where("y IS NOT NULL").repartition(2)
+    learned, test, feats = df.where("id % 3 > 0"), df.where("id % 3 = 0"), ["a", "b", "c"]
+    y = np.array([r["y"] for r in test.select("id", "y").orderBy("id").collect()])
+    x = test.orderBy("id").select(*feats).toPandas().astype(float).to_numpy()
+    counts = lambda pred: np.bincount(2 * y + pred, minlength=4).tolist()
+    for kind, params in (("gbt", {"n_estimators": 9, "max_depth": 3}), ("rf", {"n_estimators": 25, "max_depth": 6})):
+        path = str(tmp_path / kind)
+        r = learn.refit_and_test(learned, test, kind, feats, "y", params, ad.kept, path)[1].first()
+        lines = [t["value"] for t in spark.read.text(path).collect()]
+        if kind == "gbt":
+            model = boost.Boosted.from_json(lines[0])
+            pred = (model.margin(binned_of(x, model.cuts)) > 0).astype(int)
+            assert len(lines) == 1 and len(model.trees) == 9
+        else:
+            known, trees = json.loads(lines[0]), [t for line in lines for t in forest.trees_from(line)]
+            x = np.where(np.isnan(x), np.array(known["means"]), x)
+            bins = binned_of(x, known["cuts"])
+            pred = (sum(t.value[t.node_of(bins)] for t in trees) > 12.5).astype(int)
+            assert len(trees) == 25 and known["feats"] == feats
+        assert [r[c] for c in ("tn", "fp", "fn", "tp")] == counts(pred)
+
+
+def binned_of(x, cuts):
+    return np.stack([np.where(np.isnan(v), 0, np.searchsorted(np.array(q), v) + 1) for v, q in zip(x.T, cuts)], 1).astype(np.uint8)
+
+
 def test_logistic_steps_are_exact():
     """Nearly collinear features: coordinate descent of 200 rounds is far from the minimum, of which every slope is a condition."""
     rng = np.random.default_rng(1)
