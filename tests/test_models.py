@@ -459,6 +459,16 @@ def test_points_are_scored_where_they_grow(mixed):
     assert counts(found) == counts(boost.confusions(models, held, "y")) and found.where("trees IS NOT NULL").count() == 0
 
 
+def test_searches_send_no_tree_to_the_driver(spark, monkeypatch):
+    """More rows than the 65,536 of which all trees went to the driver; forests were Spark ML's, boosted trees a job or more each."""
+    df = spark.range(70_000).selectExpr("id % 10 AS a", "id % 7 AS b", "id % 3 AS c", "cast((id % 10 >= 5) != (id % 41 = 0) AS int) AS y", "id")
+    for module, name in ((learn, "forest"), (boost, "boost_fits"), (boost, "unpacked"), (forest, "unpacked"), (boost, "level"), (boost, "grown_below")):
+        monkeypatch.setattr(module, name, None)
+    for kind in ("rf", "gbt"):
+        found = learn.random_search(df, df.where("id % 10 < 9"), kind, ["a", "b", "c"], "y", {"n_estimators": [5, 7], "max_depth": [2, 4]}, 4)
+        assert len(found) == 4 and found[0][1] > 1.9
+
+
 def test_refits_are_one_job_and_keep_their_model(spark, mixed, monkeypatch, tmp_path):
     """Neither Spark ML's levels nor a job a tree; the saved model gives the counts of the row."""
     monkeypatch.setattr(learn, "rf_fit", None)
